@@ -55,26 +55,26 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["k"])
 
 
-def tempered_weights(docs: DataFrame, source: str = "source", exponent: float = 0.5) -> DataFrame:
-    """Target weights in proportion to ``rows ** exponent``: rows (source, n, total, weight)."""
-    counts = docs.groupBy(F.col(source).alias("__mix_source")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.sum(F.pow(F.col("n").cast("double"), F.lit(exponent))).alias("mass"))
-    return counts.crossJoin(F.broadcast(total)).select(  # one row: an aggregate without keys
-        "__mix_source", "n", "total", (F.pow(F.col("n").cast("double"), F.lit(exponent)) / F.col("mass")).alias("weight")
-    )
-
+def repetition_rates(
+    docs: DataFrame, weights: dict[str | None, float] | None, source: str, exponent: float, epochs: float
+) -> tuple[DataFrame, int]:
+    """Rows (__mix_source, __mix_rate), and how many there are.
 
-def repetition_rates(docs: DataFrame, weights: dict[str | None, float] | None, source: str, exponent: float, epochs: float) -> DataFrame:
-    """Rows (__mix_source, __mix_rate)."""
-    table = tempered_weights(docs, source, exponent)
-    if weights is not None:
+    Without given weights a source's weight is in proportion to ``rows ** exponent``.
+    """
+    counts = docs.groupBy(F.col(source).alias("__mix_source")).agg(F.count("*").alias("n"))
+    power = F.pow(F.col("n").cast("double"), F.lit(float(exponent)))
+    sources, total, mass = counts.agg(F.count("*"), F.sum("n"), F.sum(power)).first()
+    if weights is None:
+        weight = power / F.lit(mass)
+    else:
         named = [(k, float(v)) for k, v in weights.items()]
         given = docs.sparkSession.createDataFrame(named, "s string, w double")
-        table = table.join(given, F.col("__mix_source").cast("string").eqNullSafe(F.col("s")), "left")
-        table = table.withColumn("weight", F.coalesce(F.col("w"), F.lit(0.0)))
-    rate = F.col("weight") * F.col("total") * F.lit(float(epochs)) / F.col("n")
-    checked = F.when(rate > 700, F.raise_error(F.lit("a repetition rate above 700; raise the source's rows or lower its weight"))).otherwise(rate)
-    return table.select("__mix_source", checked.alias("__mix_rate"))
+        counts = counts.join(given, F.col("__mix_source").cast("string").eqNullSafe(F.col("s")), "left")
+        weight = F.coalesce(F.col("w"), F.lit(0.0))
+    rate = weight * F.lit(total) * F.lit(float(epochs)) / F.col("n")
+    checked = F.when(rate > 700, F.raise_error(F.lit("a repetition rate above 700: lower the source's weight"))).otherwise(rate)
+    return counts.select("__mix_source", checked.alias("__mix_rate")), sources
 
 
 def mix(
@@ -97,9 +97,8 @@ def mix(
     clash = [c for c in docs.columns if c.startswith("__mix_") or keep_draw and c.lower() in ("copy_no", "n_copies", "shuffle_key")]
     if clash:
         raise ValueError(f"columns in use by the operator: {clash}")
-    rates = repetition_rates(docs, weights, source, exponent, epochs)
-    few = len(rates.limit(MAX_BROADCAST_SOURCES + 1).select("__mix_rate").collect()) <= MAX_BROADCAST_SOURCES
-    rates = F.broadcast(rates) if few else rates
+    rates, sources = repetition_rates(docs, weights, source, exponent, epochs)
+    rates = F.broadcast(rates) if sources <= MAX_BROADCAST_SOURCES else rates
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
     drawn = drawn.withColumn("__mix_n", poisson_inverse(uniform(seed, F.col(key)), F.col("__mix_rate"))).where("__mix_n > 0")
     copies = drawn.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
