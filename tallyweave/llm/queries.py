@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import mixing, shinglejoin
+from tallyweave.llm import bpe, mixing, shinglejoin
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Every machine has the public vocabularies at the same place.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.shingle_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -23,6 +32,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_bpe_round_trip": op6_bpe_round_trip,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
     }
