@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, mixing, shinglejoin
+from tallyweave.llm import bpe, fertility, mixing, shinglejoin
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Every machine has the public vocabularies at the same place.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Piece model, byte ranks and the byte vocabulary's pattern.
+FERTILITY = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(_read(spark, sf_dir, "documents"), FERTILITY).drop("lang")
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +38,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_tokenizer_fertility": op2_tokenizer_fertility,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
