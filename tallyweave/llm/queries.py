@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, fertility, mixing, shinglejoin
+from tallyweave.llm import bpe, fertility, langid, mixing, shinglejoin
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,13 @@ def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(_read(spark, sf_dir, "documents"), FERTILITY).drop("lang")
 
 
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
+    found = langid.identify(docs, langid.train(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -39,6 +47,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_tokenizer_fertility": op2_tokenizer_fertility,
+        "op4_language_spans": op4_language_spans,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
