@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, fertility, langid, mixing, shinglejoin
+from tallyweave.llm import bpe, fertility, htmltext, langid, mixing, shinglejoin
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.shingle_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tokenizer_fertility": op2_tokenizer_fertility,
         "op4_language_spans": op4_language_spans,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_main_text": op7_main_text,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
     }
