@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, fertility, htmltext, langid, mixing, shinglejoin
+from tallyweave.llm import bpe, common, fertility, htmltext, langid, mixing, shinglejoin, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "archive")
+    warc.write_archive(_read(spark, sf_dir, "pages"), path, min_bytes=0)
+    found = warc.captures(warc.parse(warc.restore(spark, path)))
+    common.drop(spark, path)
+    return found.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -52,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_tokenizer_fertility": op2_tokenizer_fertility,
         "op4_language_spans": op4_language_spans,
+        "op5_warc_archive": op5_warc_archive,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_main_text": op7_main_text,
         "op9_shingle_join": op9_shingle_join,
@@ -61,5 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc_archive": warc.ORACLE_SQL,
         "op10_poisson_mix": mixing.ORACLE_SQL,
     }
