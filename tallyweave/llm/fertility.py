@@ -26,9 +26,10 @@ Defined results
 
 from __future__ import annotations
 
+import base64
 import math
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ from tallyweave.llm import common, scripts
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents that a band is taken from, at least.
 MIN_GROUP = 100
+#: Bands are widened by the square root of 1 + this over the number of words.
+SHORT_WORDS = 100
 #: For each measure: quartile distances below and above the median, and the least half-width.
 BANDS = {
     "chars_per_token": (8.0, 8.0, 0.25),
@@ -61,46 +64,55 @@ FIXED = {
 #: Bands up to this number (languages and scripts) are joined by broadcast.
 MAX_BROADCAST_BANDS = 10_000
 #: Words kept by a worker in each of two generations.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 350_000
+#: Texts measured at a time.
+SLICE_ROWS = 300
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
 _SCRIPTS = sorted({r[0] for r in scripts.RANGES} | {"other"})
+_LATIN = _SCRIPTS.index("latin")
 
 
 class _Vocabularies:
-    """Both vocabularies and what they say of single words."""
+    """Both vocabularies and what they say of single words.
+
+    A known word has its token ids (as int32), the byte fallbacks among them, its tokens in the byte vocabulary, and
+    its script.
+    """
 
     def __init__(self, piece_model: str, byte_ranks: str, pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         self.fallback = {i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i)}
-        import base64
-
         with open(byte_ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.new: dict = {}
         self.old: dict = {}
 
-    def of(self, words: list[bytes]) -> list[tuple]:
-        """For each word: token ids, byte fallbacks among them, tokens of the byte vocabulary, script (-1: none)."""
-        new, old = self.new, self.old
-        missing = [w for w in words if w not in new]
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that these words are known; what a worker has kept beyond its bound goes."""
+        if len(self.new) > MEMO_WORDS:
+            self.old, self.new = self.new, {}
+        new, old, fallback, encode = self.new, self.old, self.fallback, self.bytes.encode_ordinary
         todo = []
-        for w in missing:
-            if w in old:
-                new[w] = old[w]
-            else:
-                todo.append(w)
-        if todo:
-            texts = [w.decode() for w in todo]
-            for w, t, ids in zip(todo, texts, self.pieces.encode(texts, num_threads=1), strict=True):
-                script = scripts.word_script(t)
-                fallbacks = sum(i in self.fallback for i in ids)
-                new[w] = (tuple(ids), fallbacks, len(self.bytes.encode_ordinary(" " + t)), -1 if script is None else _SCRIPTS.index(script))
-        found = [new[w] for w in words]
-        if len(new) > MEMO_WORDS:
-            self.old, self.new = new, {}
-        return found
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    todo.append(w)
+        texts = [w.decode() for w in todo]
+        for w, t, ids in zip(todo, texts, self.pieces.encode(texts, num_threads=1) if todo else (), strict=True):
+            fallbacks = 0 if fallback.isdisjoint(ids) else sum(i in fallback for i in ids)
+            new[w] = (array("i", ids).tobytes(), fallbacks, len(encode(" " + t)), _script_at(t))
+
+
+def _script_at(word: str) -> int:
+    """The place of a word's script in ``_SCRIPTS``; -1 for a word with no letter."""
+    if word[0].isascii() and word[0].isalpha():
+        return _LATIN
+    script = scripts.word_script(word)
+    return -1 if script is None else _SCRIPTS.index(script)
 
 
 _LOADED: dict[tuple, _Vocabularies] = {}
@@ -141,20 +153,24 @@ _FIELDS = {
 }
 
 
-def measure_text(raw: bytes | None, vocabularies: _Vocabularies) -> tuple:
-    """The values of ``_FIELDS`` for one text in UTF-8."""
-    raw = raw or b""
-    words = raw.split()
+def measure_texts(texts: list[bytes | None], vocabularies: _Vocabularies) -> list[tuple]:
+    """The values of ``_FIELDS`` for each text in UTF-8."""
+    split = [(t or b"").split() for t in texts]
+    vocabularies.learn(set().union(*split))
+    return [_measured(t or b"", words, vocabularies) for t, words in zip(texts, split, strict=True)]
+
+
+def _measured(raw: bytes, words: list[bytes], vocabularies: _Vocabularies) -> tuple:
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     if not words:
         return 0, 0, symbols, 0, 0, 0, None, None, None, None, None, None
     order: dict[bytes, int] = {}
     ids = np.array([order.setdefault(w, len(order)) for w in words], np.int64)
     each = np.bincount(ids)
-    pieces, fallback, in_bytes, script = zip(*vocabularies.of(list(order)), strict=True)
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    pieces, fallback, in_bytes, script = zip(*map(vocabularies.new.__getitem__, order), strict=True)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
     tokens = int(lengths @ each)
-    flat = np.fromiter(chain.from_iterable(pieces), np.int64, int(lengths.sum()))
+    flat = np.frombuffer(b"".join(pieces), np.int32)
     counts = np.bincount(np.unique(flat, return_inverse=True)[1], weights=np.repeat(each, lengths))
     same = float((counts * (counts - 1)).sum())
     entropy = math.log2(tokens * (tokens - 1) / max(same, 1.0)) if tokens > 1 else 0.0
@@ -176,10 +192,11 @@ def measure(docs: DataFrame, paths: tuple[str, str, str], *, key: str = "doc_id"
         vocabularies = _load(*paths)
         kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
         for batch in batches:
-            rows = [measure_text(t, vocabularies) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(_FIELDS)
-            arrays = [pa.array(c, kinds[k]) for c, k in zip(columns, _FIELDS.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["key", "lang", *_FIELDS])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                rows = measure_texts(part.column(2).cast(pa.binary()).to_pylist(), vocabularies)
+                arrays = [pa.array(c, kinds[k]) for c, k in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["key", "lang", *_FIELDS])
 
     read = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     kind = read.schema[0].dataType.simpleString()
@@ -202,7 +219,7 @@ def _outside(m: str) -> Column:
     """Whether the measure lies outside the band of the language, else the script, else the fixed one."""
     low, high, least = BANDS[m]
     q = F.coalesce(F.col(f"lang_{m}"), F.col(f"script_{m}"))
-    spread = F.sqrt(1 + 100 / F.col("n_words")) * 1.0
+    spread = F.sqrt(1 + SHORT_WORDS / F.col("n_words"))
     width = lambda k: F.greatest((q[2] - q[0]) * k, F.lit(least)) * spread
     fitted = (F.col(m) < q[1] - width(low)) | (F.col(m) > q[1] + width(high))
     return F.when(q.isNotNull(), fitted).otherwise(~F.col(m).between(*map(F.lit, FIXED[m])))
