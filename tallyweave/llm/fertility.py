@@ -10,7 +10,7 @@ one. They measure
   the m tokens. It is unbiased in the sum, so short and long texts share one band.
 
 A language's band lies around its median, as wide as a multiple of the distance between its quartiles, taken over
-all documents of the language that pass the base rules, and is widened for short texts by ``sqrt(1 + 100 / n_words)``. A language with
+all documents of the language that pass the base rules, and is widened for short texts by ``sqrt(1 + 200 / n_words)``. A language with
 fewer than ``MIN_GROUP`` such documents, or a null one, takes the band of the document's main script, and a script
 with fewer takes the fixed bands of ``FIXED``. A document outside a band is rejected.
 
@@ -44,7 +44,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents that a band is taken from, at least.
 MIN_GROUP = 100
 #: Bands are widened by the square root of 1 + this over the number of words.
-SHORT_WORDS = 100
+SHORT_WORDS = 200
 #: For each measure: quartile distances below and above the median, and the least half-width.
 BANDS = {
     "chars_per_token": (8.0, 8.0, 0.25),
