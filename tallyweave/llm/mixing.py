@@ -68,10 +68,9 @@ def repetition_rates(
     if weights is None:
         weight = power / F.lit(mass)
     else:
-        named = [(k, float(v)) for k, v in weights.items()]
-        given = docs.sparkSession.createDataFrame(named, "s string, w double")
-        counts = counts.join(given, F.col("__mix_source").cast("string").eqNullSafe(F.col("s")), "left")
-        weight = F.coalesce(F.col("w"), F.lit(0.0))
+        named = [F.lit(x) for k, v in weights.items() if k is not None for x in (str(k), float(v))]
+        given = F.try_element_at(F.create_map(*named), F.col("__mix_source").cast("string")) if named else F.lit(None)
+        weight = F.when(F.col("__mix_source").isNull(), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(given, F.lit(0.0)))
     rate = weight * F.lit(total) * F.lit(float(epochs)) / F.col("n")
     checked = F.when(rate > 700, F.raise_error(F.lit("a repetition rate above 700: lower the source's weight"))).otherwise(rate)
     return counts.select("__mix_source", checked.alias("__mix_rate")), sources

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, common, fertility, htmltext, langid, mixing, shinglejoin, warc
+from tallyweave.llm import bpe, common, fertility, htmltext, langid, licences, mixing, shinglejoin, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.shingle_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_archive": op5_warc_archive,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_main_text": op7_main_text,
+        "op8_license_scan": op8_license_scan,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
     }
@@ -71,5 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_warc_archive": warc.ORACLE_SQL,
+        "op8_license_scan": licences.oracle_sql(),
         "op10_poisson_mix": mixing.ORACLE_SQL,
     }
