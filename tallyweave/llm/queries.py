@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, common, fertility, htmltext, langid, licences, mixing, shinglejoin, warc
+from tallyweave.llm import bpe, common, fertility, htmltext, langid, licences, mixing, shinglejoin, vectordedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectordedup.near_vectors(_read(spark, sf_dir, "embeddings"), least=0.93)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 #: Every machine has the public vocabularies at the same place.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Piece model, byte ranks and the byte vocabulary's pattern.
@@ -62,6 +68,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_vector_dedup": op1_vector_dedup,
         "op2_tokenizer_fertility": op2_tokenizer_fertility,
         "op4_language_spans": op4_language_spans,
         "op5_warc_archive": op5_warc_archive,
