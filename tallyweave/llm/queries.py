@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, common, fertility, htmltext, langid, licences, mixing, shinglejoin, vectordedup, warc
+from tallyweave.llm import bpe, common, compaction, fertility, htmltext, langid, licences, mixing, shinglejoin, vectordedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,17 @@ def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(_read(spark, sf_dir, "documents"), FERTILITY).drop("lang")
 
 
+def op3_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen arrivals, compacted; what the last version holds, with digests of the texts."""
+    store = compaction.Store(spark, common.scratch(spark, "store"))
+    docs = compaction.arrivals_of(_read(spark, sf_dir, "documents"))
+    store.append_batches(docs, F.col("arrival"))
+    store.compact()
+    store.vacuum()
+    sized = store.read().withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    return sized.select("doc_id", "arrival", "n_bytes", "text_sha256", "lang", "source", "n_chars")
+
+
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
@@ -70,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_dedup": op1_vector_dedup,
         "op2_tokenizer_fertility": op2_tokenizer_fertility,
+        "op3_compacted_shards": op3_compacted_shards,
         "op4_language_spans": op4_language_spans,
         "op5_warc_archive": op5_warc_archive,
         "op6_bpe_round_trip": op6_bpe_round_trip,
@@ -82,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_compacted_shards": compaction.ORACLE_SQL,
         "op5_warc_archive": warc.ORACLE_SQL,
         "op8_license_scan": licences.oracle_sql(),
         "op10_poisson_mix": mixing.ORACLE_SQL,
