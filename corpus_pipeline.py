@@ -1,19 +1,64 @@
-"""A training-data pipeline over ``documents``: STAGES in order, each written as Parquet and read again."""
+"""A training-data pipeline over ``documents``: STAGES in order, each written as Parquet and read again.
+
+Language ID drops documents without a language or with a doubtful one; quality rules drop what fails them; of near
+duplicates one document stays; sources are mixed to target weights by replication; the last stage tokenises. Ids that
+several rows share go only if each of their rows is rejected.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import common, mixing
+from tallyweave.llm import bpe, common, fertility, langid, mixing, queries, shinglejoin
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose language has a lower score go.
+MIN_LANGUAGE_SCORE = 0.5
+#: Near duplicates: words of a shingle, and the similarity in percent.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Rejected ids up to this number (8 MB) are told to all tasks; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without the ids that ``verdicts`` (doc_id, kept) reject in all their rows."""
+    rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("rejected"))
+    rejected, _ = common.written(rejected, "rejected")
+    rejected = F.broadcast(rejected) if rejected.count() <= MAX_BROADCAST_IDS else rejected
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti").select(*DOC_COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs, langid.train(docs))
+    return _keep(docs, found.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).alias("kept")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, fertility.quality(docs, queries.FERTILITY).select("doc_id", "kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = shinglejoin.shingle_components(docs, width=SHINGLE_WORDS, percent=SIMILARITY)
+    return _keep(docs, found.select("doc_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, keep_draw=False)
+    return mixing.mix(docs.select(*DOC_COLUMNS), keep_draw=False)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, queries.BYTE_BPE, carry=["doc_id", "lang", "source", "n_chars"])
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("tokenise", tokenise),
+]
+#: Language models, vocabularies and components are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -184,40 +184,45 @@ def load(path: str) -> ByteBPE:
 _ROWS = 500
 
 
-def _scan(df: DataFrame, schema: str, row) -> DataFrame:
-    """mapInArrow over (key, text): ``row`` makes the output values behind the key."""
+def _scan(df: DataFrame, read: str, schema: str, row, carry: list[str]) -> DataFrame:
+    """mapInArrow: ``row`` makes the values of ``schema`` from a value of the column ``read``; ``carry`` goes along."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = None
         for batch in batches:
-            names = [f.split()[0] for f in schema.split(", ")]
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                made = [row(v) for v in part.column(1).to_pylist()]
-                columns = [pa.array(c) if made else None for c in zip(*made, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+                made = [row(v.as_py()) for v in part.column(part.num_columns - 1)]
+                columns = [pa.array(c) for c in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*carry, *names])
 
-    return df.mapInArrow(scan, schema)
+    kinds = dict(df.dtypes)
+    given = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{read}`").alias("__read"))
+    return given.mapInArrow(scan, ", ".join([*[f"`{c}` {kinds[c]}" for c in carry], schema]))
 
 
-def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, ids array<int>), one for each input row."""
+def encode(df: DataFrame, path: str, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Rows (carried columns, n_tokens, ids array<int>, restored), one for each input row.
+
+    ``restored`` tells whether decoding gave the text back. All columns but the text are carried by default.
+    """
 
     def row(raw: bytes | None) -> tuple:
-        return (pa.scalar(load(path).encode(raw), pa.list_(pa.int32())),)
+        bpe = load(path)
+        ids = bpe.encode(raw)
+        return len(ids), pa.scalar(ids, pa.list_(pa.int32())), bpe.decode(ids).encode() == (raw or b"")
 
-    kind = dict(df.dtypes)[key]
-    return _scan(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("binary").alias("t")), f"{key} {kind}, ids array<int>", row)
+    carry = [c for c in df.columns if c != text] if carry is None else carry
+    return _scan(df.withColumn(text, F.col(f"`{text}`").cast("binary")), text, "n_tokens long, ids array<int>, restored boolean", row, carry)
 
 
-def decode(df: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Rows (key, text): the decoded texts of an ids column; null ids give the empty text."""
+def decode(df: DataFrame, path: str, *, ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
+    """Rows (carried columns, text): the decoded texts of an ids column; null ids give the empty text."""
 
     def row(values: list[int] | None) -> tuple:
         return (load(path).decode(values or []),)
 
-    kind = dict(df.dtypes)[key]
-    return _scan(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{ids}`").alias("i")), f"{key} {kind}, text string", row)
+    return _scan(df, ids, "text string", row, [c for c in df.columns if c not in (ids, "text")] if carry is None else carry)
 
 
 def round_trip(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,6 +237,5 @@ def round_trip(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "te
         listed = ",".join(map(bpe.decimals.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
-    kind = dict(df.dtypes)[key]
-    columns = [F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("binary").alias("t")]
-    return _scan(df.select(*columns), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    read = df.withColumn(text, F.col(f"`{text}`").cast("binary"))
+    return _scan(read, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, [key])
