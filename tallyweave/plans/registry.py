@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import numeric
+from tallyweave.plans import numeric, texts
 
-_MODULES = (numeric,)
+_MODULES = (numeric, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
