@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import numeric, texts
+from tallyweave.plans import graphs, numeric, texts
 
-_MODULES = (numeric, texts)
+_MODULES = (numeric, texts, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
