@@ -33,7 +33,7 @@ def language_of(path: Column) -> Column:
 
 def source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Whole files below a path: path, language, content and its SHA-256."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     out = read.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
     return out.select("path", language_of(F.col("path")).alias("language"), "content", S.sha256(F.col("content")).alias("content_sha256"))
 
