@@ -18,8 +18,9 @@ Plan
    component, members outside the component of the group's smallest member meet all members, keyed by shingle and
    length band, and their pairs are verified too. So every link is found or implied by found links.
 5. Candidates pass the length filter, the positional filter (what is left behind the shared shingle must suffice)
-   and, once the sets are at hand, the suffix filter (fixed pivots split the hash space; the differences of the
-   parts' sizes bound the Hamming distance from below), and each distinct pair is intersected once.
+   and the suffix filter: fixed pivots split the hash space into parts, and each part in which one set has an even
+   number of shingles and the other an odd one stands for a shingle that they do not share. Only for what is left are whole sets made again from the texts, and each distinct pair is
+   intersected once.
 
 Defined results
 ---------------
@@ -42,12 +43,16 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import common
 
-#: Cells of the rarity table; 2 ** 16 counts take 512 KB on the driver and on each worker.
-SKETCH_BUCKETS = 1 << 16
+#: Cells of the rarity table; 2 ** 18 counts take 2 MB on the driver and on each worker.
+SKETCH_BUCKETS = 1 << 18
 #: Odd multipliers for the words of a shingle, and for the finaliser.
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Pivots split the hash space into this many equal parts for the suffix filter.
-SUFFIX_PARTS = 16
+#: Pivots split the hash space into this many equal parts for the suffix filter; one bit is kept of each.
+SUFFIX_PARTS = 512
+#: Groups beyond this size are joined by length band too.
+BANDED_GROUP = 256
+#: Up to so many ids (8 MB) of documents whose sets are needed are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def _finalise(h: np.ndarray) -> np.ndarray:
@@ -72,8 +77,17 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return h & np.int64(SKETCH_BUCKETS - 1)
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
-    return batch.column(at).cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch, at: int) -> Iterator[bytes | None]:
+    """The texts of a column as UTF-8, one at a time."""
+    for value in batch.column(at).cast(pa.binary()):
+        yield value.as_py()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that what is made from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _rarity(texts: DataFrame, width: int) -> np.ndarray:
@@ -82,8 +96,15 @@ def _rarity(texts: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH_BUCKETS, np.int64)
         for batch in batches:
+            waiting, size = [], 0
             for text in _texts(batch, 0):
-                total += 0 if not text else np.bincount(_cells(shingle_set(text, width)), minlength=SKETCH_BUCKETS)
+                waiting.append(_cells(shingle_set(text, width)))
+                size += len(waiting[-1])
+                if size > SKETCH_BUCKETS:
+                    total += np.bincount(np.concatenate(waiting), minlength=SKETCH_BUCKETS)
+                    waiting, size = [], 0
+            if size:
+                total += np.bincount(np.concatenate(waiting), minlength=SKETCH_BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
@@ -93,46 +114,52 @@ def _rarity(texts: DataFrame, width: int) -> np.ndarray:
     return table
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """A bit for each part of the hash space: whether it holds an odd number of the shingles. As longs."""
+    odd = np.bincount((h >> np.int64(55)) & np.int64(SUFFIX_PARTS - 1), minlength=SUFFIX_PARTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _ceil_share(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
 def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, digest, prefix)."""
+    """Rows (id, n, digest, parts, prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for batch in batches:
-            sizes, digests, firsts = [], [], []
+        for batch in _slices(batches):
+            sizes, digests, parts, firsts = [], [], [], []
             for text in _texts(batch, 1):
                 h = shingle_set(text, width)
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                parts.append(_parities(h))
                 keep = len(h) - _ceil_share(len(h), percent) + 1 if len(h) else 0
                 firsts.append(h[np.argsort(counts[_cells(h)], kind="stable")[:keep]])
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix], ["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64())), prefix], ["id", "n", "digest", "parts", "prefix"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(scan, f"id {kind}, n long, digest binary, prefix array<long>")
+    return docs.mapInArrow(scan, f"id {kind}, n long, digest binary, parts array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (node, n, parts, items): whole sets, with the sizes of their parts between the pivots."""
+    """Rows (node, n, items): whole sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             every = [shingle_set(t, width) for t in _texts(batch, 1)]
-            parts = [np.bincount((h >> np.int64(60)) & np.int64(15), minlength=SUFFIX_PARTS).tolist() for h in every]
             flat = np.concatenate(every) if every else np.empty(0, np.int64)
             items = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in every], pa.int64()), pa.array(parts, pa.list_(pa.int32())), items], ["node", "n", "parts", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in every], pa.int64()), items], ["node", "n", "items"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(scan, f"node {kind}, n long, parts array<int>, items array<long>")
+    return docs.mapInArrow(scan, f"node {kind}, n long, items array<long>")
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -150,14 +177,35 @@ def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return length & prefix & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, percent))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) that link. Each is intersected once, behind the suffix filter."""
-    side = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "parts", "items")])
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    bound = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)
+def _may_be_near(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
+    """Suffix filter: the parts with different parities are at most the shingles that only one set has."""
+    apart = F.lit(0)
+    for i in range(SUFFIX_PARTS // 64):
+        apart = apart + F.bit_count(F.get(p, F.lit(i)).bitwiseXOR(F.get(q, F.lit(i))))
+    return apart <= n + m - 2 * _needed(n, m, percent)
+
+
+def _sides(pairs: DataFrame, what: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both nodes, named by side."""
+    for x in ("a", "b"):
+        pairs = pairs.join(what.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
+    """The distinct pairs (a, b) that link, and where they are written. Each is intersected once."""
+    n, m = F.col("n_a"), F.col("n_b")
+    near = _sides(pairs.distinct(), classes, "n", "parts").where(_may_be_near(n, F.col("parts_a"), m, F.col("parts_b"), percent))
+    near, near_path = common.written(near.select("a", "b").distinct(), "near")
+    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    wanted, wanted_path = common.written(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+    sets, sets_path = common.written(_sets(docs.join(wanted, "id", "left_semi"), width), "sets")
     same = F.size(F.array_intersect("items_a", "items_b"))
-    return both.where(F.when(apart <= bound, 100 * same >= percent * (F.col("n_a") + F.col("n_b") - same)).otherwise(False)).select("a", "b")
+    links = _sides(near, sets, "n", "items").where(100 * same >= percent * (n + m - same)).select("a", "b").distinct()
+    links, path = common.written(links, "links")
+    common.drop(docs.sparkSession, near_path, wanted_path, sets_path)
+    return links, path
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -176,35 +224,51 @@ def shingle_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     table = _rarity(docs.select("text").where("text is not null"), width)
     meta, meta_path = common.written(_prefixes(docs, table, width, percent), "prefixes")
     known = meta.where("id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes, classes_path = common.written(classes, "classes")
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "node", F.col("n").cast("int").alias("n"), "pos")
-
-    ends = entries.groupBy("sh").agg(F.count("*").alias("k"), *[f(F.struct("n", "node", "pos")).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))])
-    groups, groups_path = common.written(entries.join(ends.where("k > 1").drop("k"), "sh"), "groups")
-    wanted = groups.select(F.col("node").alias("id")).distinct()
-    sets, sets_path = common.written(_sets(docs.join(wanted, "id", "left_semi"), width), "sets")
+    once = [F.first(c).alias(c) for c in ("n", "parts", "prefix")]
+    wide, wide_path = common.written(known.groupBy("digest").agg(F.min("id").alias("node"), *once), "classes")
+    meta, _ = common.written(meta.select("id", "n", "digest"), "sizes")
+    known = meta.where("id is not null and digest is not null")
+    common.drop(spark, meta_path)
+    # size and position share a long: half of the rows' bytes are their hash and node
+    packed = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long"))
+    entries = wide.select("node", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "node", packed.alias("np"))
+    size, position = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    ends = entries.groupBy("sh").agg(F.count("*").alias("k"), F.min(F.struct("np", "node")).alias("lo"), F.max(F.struct("np", "node")).alias("hi"))
+    groups = entries.join(ends.where("k > 1").drop("k"), "sh").withColumns({"n": size(F.col("np")), "pos": position(F.col("np"))})
+    groups, groups_path = common.written(groups.drop("np"), "groups")
+    classes, _ = common.written(wide.drop("prefix"), "classes")
+    common.drop(spark, wide_path)
 
-    at = [F.col("n"), F.col("pos")]
     first = [
-        groups.where(F.col("node") != F.col(f"{end}.node")).where(_may_link(*at, F.col(f"{end}.n"), F.col(f"{end}.pos"), percent)).select(*_ordered(F.col("node"), F.col(f"{end}.node")))
+        groups.where(F.col("node") != F.col(f"{end}.node"))
+        .where(_may_link(F.col("n"), F.col("pos"), size(F.col(f"{end}.np")), position(F.col(f"{end}.np")), percent))
+        .select(*_ordered(F.col("node"), F.col(f"{end}.node")))
         for end in ("lo", "hi")
     ]
-    links, links_path = common.written(_verify(first[0].unionByName(first[1]), sets, percent), "links")
+    links, links_path = _verify(first[0].unionByName(first[1]), classes, docs, width, percent)
     found, found_path = common.connected_components(links)
 
     placed = groups.select("sh", "node", "n", "pos").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     placed, placed_path = common.written(placed, "placed")
-    mixed = placed.groupBy("sh").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("n", "node", "c"))["c"].alias("main"))
-    rest = placed.join(mixed.where("c0 <> c1").select("sh", "main"), "sh")
+    ends = [F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("n", "node", "c"))["c"].alias("main")]
+    mixed = placed.groupBy("sh").agg(F.count("*").alias("k"), *ends).where("c0 <> c1").select("sh", "k", "main")
+    # a node that stands for several sets is left to the verification, which takes each set's own parts
+    own = classes.groupBy("node").agg(F.first("parts").alias("parts"), (F.count("*") > 1).alias("several"))
+    rest = placed.join(mixed, "sh").join(own, "node")
     # a little wider than the length filter, so that rounding never puts two sizes more than one band apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
-    inner = rest.select("sh", band.alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c")], (F.col("c") != F.col("main")).alias("odd_b"))
-    outer = rest.where("c <> main").select("sh", F.explode(F.array(*[band + d for d in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c")])
+    small = F.col("k") <= BANDED_GROUP
+    columns = ("node", "n", "pos", "c", "parts", "several")
+    inner = rest.select("sh", F.when(small, 0).otherwise(band).alias("band"), *[F.col(c).alias(f"{c}_b") for c in columns], (F.col("c") != F.col("main")).alias("odd_b"))
+    bands = F.when(small, F.array(F.lit(0))).otherwise(F.array(*[band + d for d in (-1, 0, 1)]))
+    outer = rest.where("c <> main").select("sh", F.explode(bands).alias("band"), *[F.col(c).alias(f"{c}_a") for c in columns])
     pairs = outer.join(inner, ["sh", "band"]).where("c_a <> c_b and (not odd_b or node_a < node_b)")
-    pairs = pairs.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)).select(*_ordered(F.col("node_a"), F.col("node_b")))
-    more, more_path = common.written(_verify(pairs, sets, percent), "links")
-    common.drop(spark, sets_path, placed_path, groups_path)
+    pairs = pairs.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
+    near = _may_be_near(F.col("n_a"), F.col("parts_a"), F.col("n_b"), F.col("parts_b"), percent)
+    pairs = pairs.where(F.col("several_a") | F.col("several_b") | near).select(*_ordered(F.col("node_a"), F.col("node_b")))
+    more, more_path = _verify(pairs, classes, docs, width, percent)
+    common.drop(spark, placed_path, groups_path)
     # an id that stands in several rows ties the classes of its texts together
     several = known.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     ties = known.select("id", "digest").join(several, "id", "left_semi").join(classes.select("digest", "node"), "digest")
