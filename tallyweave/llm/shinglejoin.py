@@ -11,12 +11,13 @@ Plan
 2. *Prefixes.* A second pass writes, for each document, the size of its set, a 128-bit digest of it, and the first
    ``n - ceil(t n) + 1`` shingles in that order. Documents with equal sets become one class (partial aggregate on
    the digest); only classes go on.
-3. *Groups.* Classes that share a prefix shingle are candidates. Each group first compares its members with its
-   smallest and its largest member only: candidates stay proportional to the prefixes, however large a group of near
-   copies is. Verified links give preliminary components.
-4. *Rest.* A pair left over is one whose members lie in different components. For every group with more than one
-   component, members outside the component of the group's smallest member meet all members, keyed by shingle and
-   length band, and their pairs are verified too. So every link is found or implied by found links.
+3. *Groups.* Classes that share a prefix shingle are candidates. Groups of up to ``SMALL_GROUP`` classes compare all
+   pairs; a larger one first compares its members with ``LEADERS`` of them only, those that share most of their prefix
+   with others. So candidates stay proportional to the prefixes, however large a group of near copies is. Verified
+   links give preliminary components.
+4. *Rest.* A pair left over is one of a larger group whose members lie in different components. For every such group,
+   members outside the component of the group's smallest member meet all members, keyed by shingle and length band,
+   and pairs that pass all filters are verified too. So every link is found or implied by found links.
 5. Candidates pass the length filter, the positional filter (what is left behind the shared shingle must suffice)
    and the suffix filter: fixed pivots split the hash space into parts, and each part in which one set has an even
    number of shingles and the other an odd one stands for a shingle that they do not share. Only for what is left are whole sets made again from the texts, and each distinct pair is
@@ -49,6 +50,8 @@ SKETCH_BUCKETS = 1 << 18
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Pivots split the hash space into this many equal parts for the suffix filter; one bit is kept of each.
 SUFFIX_PARTS = 512
+#: Groups up to this size compare all their pairs at once. Larger ones compare all members with some leaders first.
+SMALL_GROUP, LEADERS = 8, 4
 #: Groups beyond this size are joined by length band too.
 BANDED_GROUP = 256
 #: Up to so many ids (8 MB) of documents whose sets are needed are broadcast; more are joined by a shuffle.
@@ -234,39 +237,47 @@ def shingle_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     entries = wide.select("node", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "node", packed.alias("np"))
     size, position = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    ends = entries.groupBy("sh").agg(F.count("*").alias("k"), F.min(F.struct("np", "node")).alias("lo"), F.max(F.struct("np", "node")).alias("hi"))
-    groups = entries.join(ends.where("k > 1").drop("k"), "sh").withColumns({"n": size(F.col("np")), "pos": position(F.col("np"))})
+    sizes = entries.groupBy("sh").agg(F.count("*").alias("k")).where("k > 1")
+    groups = entries.join(sizes, "sh").withColumns({"n": size(F.col("np")), "pos": position(F.col("np"))})
     groups, groups_path = common.written(groups.drop("np"), "groups")
     classes, _ = common.written(wide.drop("prefix"), "classes")
     common.drop(spark, wide_path)
 
-    first = [
-        groups.where(F.col("node") != F.col(f"{end}.node"))
-        .where(_may_link(F.col("n"), F.col("pos"), size(F.col(f"{end}.np")), position(F.col(f"{end}.np")), percent))
-        .select(*_ordered(F.col("node"), F.col(f"{end}.node")))
-        for end in ("lo", "hi")
-    ]
-    links, links_path = _verify(first[0].unionByName(first[1]), classes, docs, width, percent)
+    def pairs_of(both: DataFrame) -> DataFrame:
+        both = both.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
+        return both.select(*_ordered(F.col("node_a"), F.col("node_b")))
+
+    side = lambda d, x, *cs: d.select("sh", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", *cs)])
+    small, large = groups.where(F.col("k") <= SMALL_GROUP), groups.where(F.col("k") > SMALL_GROUP)
+    first = pairs_of(side(small, "a").join(side(small, "b"), "sh").where("node_a < node_b"))
+    # a class with many shared shingles in its prefix has few of its own: it lies in the middle of its group
+    shared = large.groupBy("node").agg(F.count("*").alias("shared"))
+    ranked = large.join(shared, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LEADERS)))
+    heads = [F.max(F.when(F.col("part") == i, F.struct("shared", "node", "n", "pos"))).alias(f"l{i}") for i in range(LEADERS)]
+    led = large.join(ranked.groupBy("sh").agg(*heads), "sh").select("sh", "node", "n", "pos", F.explode(F.array_compact(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
+    led = led.where("node <> l.node").select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("l.node").alias("node_b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b"))
+    links, links_path = _verify(first.unionByName(pairs_of(led)), classes, docs, width, percent)
     found, found_path = common.connected_components(links)
 
-    placed = groups.select("sh", "node", "n", "pos").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    placed = large.select("sh", "node", "n", "pos", "k").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     placed, placed_path = common.written(placed, "placed")
     ends = [F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("n", "node", "c"))["c"].alias("main")]
-    mixed = placed.groupBy("sh").agg(F.count("*").alias("k"), *ends).where("c0 <> c1").select("sh", "k", "main")
+    mixed = placed.groupBy("sh").agg(*ends).where("c0 <> c1").select("sh", "main")
     # a node that stands for several sets is left to the verification, which takes each set's own parts
     own = classes.groupBy("node").agg(F.first("parts").alias("parts"), (F.count("*") > 1).alias("several"))
     rest = placed.join(mixed, "sh").join(own, "node")
     # a little wider than the length filter, so that rounding never puts two sizes more than one band apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
-    small = F.col("k") <= BANDED_GROUP
-    columns = ("node", "n", "pos", "c", "parts", "several")
-    inner = rest.select("sh", F.when(small, 0).otherwise(band).alias("band"), *[F.col(c).alias(f"{c}_b") for c in columns], (F.col("c") != F.col("main")).alias("odd_b"))
-    bands = F.when(small, F.array(F.lit(0))).otherwise(F.array(*[band + d for d in (-1, 0, 1)]))
-    outer = rest.where("c <> main").select("sh", F.explode(bands).alias("band"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    pairs = outer.join(inner, ["sh", "band"]).where("c_a <> c_b and (not odd_b or node_a < node_b)")
-    pairs = pairs.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
+    banded = F.col("k") > BANDED_GROUP
+    inner = rest.withColumn("band", F.when(banded, band).otherwise(0)).withColumn("odd", F.col("c") != F.col("main"))
+    bands = F.when(banded, F.array(*[band + d for d in (-1, 0, 1)])).otherwise(F.array(F.lit(0)))
+    outer = rest.where("c <> main").withColumn("band", F.explode(bands))
+    keep = ("c", "parts", "several")
+    both = side(outer, "a", *keep, "band").withColumnRenamed("band_a", "band").join(side(inner, "b", *keep, "band", "odd").withColumnRenamed("band_b", "band"), ["sh", "band"])
     near = _may_be_near(F.col("n_a"), F.col("parts_a"), F.col("n_b"), F.col("parts_b"), percent)
-    pairs = pairs.where(F.col("several_a") | F.col("several_b") | near).select(*_ordered(F.col("node_a"), F.col("node_b")))
+    both = both.where("c_a <> c_b and (not odd_b or node_a < node_b)")
+    both = both.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)).where(F.col("several_a") | F.col("several_b") | near)
+    pairs = both.select(*_ordered(F.col("node_a"), F.col("node_b")))
     more, more_path = _verify(pairs, classes, docs, width, percent)
     common.drop(spark, placed_path, groups_path)
     # an id that stands in several rows ties the classes of its texts together
