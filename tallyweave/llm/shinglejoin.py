@@ -20,7 +20,8 @@ Plan
    and pairs that pass all filters are verified too. So every link is found or implied by found links.
 5. Candidates pass the length filter, the positional filter (what is left behind the shared shingle must suffice)
    and the suffix filter: fixed pivots split the hash space into parts, and each part in which one set has an even
-   number of shingles and the other an odd one stands for a shingle that they do not share. Only for what is left are whole sets made again from the texts, and each distinct pair is
+   number of shingles and the other an odd one stands for a shingle that they do not share; for long sets the
+   differences of the parts' sizes are added up. Only for what is left are whole sets made again from the texts, and each distinct pair is
    intersected once.
 
 Defined results
@@ -50,6 +51,8 @@ SKETCH_BUCKETS = 1 << 18
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Pivots split the hash space into this many equal parts for the suffix filter; one bit is kept of each.
 SUFFIX_PARTS = 512
+#: Sets of more than this many shingles are too large for one bit a part; of them so many counts are kept too.
+LONG_SET, COUNTED_PARTS = 1024, 256
 #: Groups up to this size compare all their pairs at once. Larger ones compare all members with some leaders first.
 SMALL_GROUP, LEADERS = 8, 4
 #: Groups beyond this size are joined by length band too.
@@ -123,32 +126,41 @@ def _parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _counts(h: np.ndarray) -> np.ndarray:
+    """The sizes of the parts of a long set; nothing for others, and for sets so large that a size is no short."""
+    if len(h) <= LONG_SET:
+        return np.empty(0, np.int16)
+    n = np.bincount((h >> np.int64(56)) & np.int64(COUNTED_PARTS - 1), minlength=COUNTED_PARTS)
+    return n.astype(np.int16) if n.max() < 1 << 15 else np.empty(0, np.int16)
+
+
 def _ceil_share(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
 def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, digest, parts, prefix)."""
+    """Rows (id, n, digest, parts, counts, prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in _slices(batches):
-            sizes, digests, parts, firsts = [], [], [], []
+            sizes, digests, parts, counted, firsts = [], [], [], [], []
             for text in _texts(batch, 1):
                 h = shingle_set(text, width)
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 parts.append(_parities(h))
+                counted.append(_counts(h))
                 keep = len(h) - _ceil_share(len(h), percent) + 1 if len(h) else 0
                 firsts.append(h[np.argsort(counts[_cells(h)], kind="stable")[:keep]])
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64())), prefix], ["id", "n", "digest", "parts", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int16())), prefix], ["id", "n", "digest", "parts", "counts", "prefix"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(scan, f"id {kind}, n long, digest binary, parts array<long>, prefix array<long>")
+    return docs.mapInArrow(scan, f"id {kind}, n long, digest binary, parts array<long>, counts array<smallint>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -196,19 +208,40 @@ def _sides(pairs: DataFrame, what: DataFrame, *columns: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """The distinct pairs (a, b) that link, and where they are written. Each is intersected once."""
+    """Links (a, b) that connect what the given pairs connect, and where they are written.
+
+    Pairs that pass the suffix filter are intersected in two steps, each of them once: first every node with that
+    partner which has most partners, then the pairs whose ends the found links have not connected yet. Within a large
+    group of near copies the first step connects most, so few sets are moved.
+    """
     n, m = F.col("n_a"), F.col("n_b")
-    near = _sides(pairs.distinct(), classes, "n", "parts").where(_may_be_near(n, F.col("parts_a"), m, F.col("parts_b"), percent))
+    near = _sides(pairs.distinct(), classes, "n", "parts", "counts").where(_may_be_near(n, F.col("parts_a"), m, F.col("parts_b"), percent))
+    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
+    counted = (F.size("counts_a") > 0) & (F.size("counts_b") > 0)
+    near = near.where(F.when(counted, apart <= n + m - 2 * _needed(n, m, percent)).otherwise(True))
     near, near_path = common.written(near.select("a", "b").distinct(), "near")
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    wanted, wanted_path = common.written(wanted, "wanted")
+    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = ends.groupBy("a").agg(F.count("*").alias("degree"))
+    partners, partners_path = common.written(partners, "partners")
+    wanted = partners.select(F.col("a").alias("id"))
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
     sets, sets_path = common.written(_sets(docs.join(wanted, "id", "left_semi"), width), "sets")
-    same = F.size(F.array_intersect("items_a", "items_b"))
-    links = _sides(near, sets, "n", "items").where(100 * same >= percent * (n + m - same)).select("a", "b").distinct()
-    links, path = common.written(links, "links")
-    common.drop(docs.sparkSession, near_path, wanted_path, sets_path)
-    return links, path
+
+    def intersected(chosen: DataFrame) -> tuple[DataFrame, str]:
+        same = F.size(F.array_intersect("items_a", "items_b"))
+        good = _sides(chosen, sets, "n", "items").where(100 * same >= percent * (n + m - same))
+        return common.written(good.select("a", "b").distinct(), "links")
+
+    best = ends.join(partners.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("b"))
+    first, first_path = common.written(best.select(*_ordered(F.col("a"), F.col("b"))).distinct(), "first")
+    links, links_path = intersected(first)
+    found, found_path = common.connected_components(links)
+    at = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    left = near.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    more, more_path = intersected(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
+    every, path = common.written(links.unionByName(more), "links")
+    common.drop(docs.sparkSession, near_path, partners_path, sets_path, first_path, links_path, found_path, more_path)
+    return every, path
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -227,7 +260,7 @@ def shingle_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     table = _rarity(docs.select("text").where("text is not null"), width)
     meta, meta_path = common.written(_prefixes(docs, table, width, percent), "prefixes")
     known = meta.where("id is not null and digest is not null")
-    once = [F.first(c).alias(c) for c in ("n", "parts", "prefix")]
+    once = [F.first(c).alias(c) for c in ("n", "parts", "counts", "prefix")]
     wide, wide_path = common.written(known.groupBy("digest").agg(F.min("id").alias("node"), *once), "classes")
     meta, _ = common.written(meta.select("id", "n", "digest"), "sizes")
     known = meta.where("id is not null and digest is not null")
