@@ -249,7 +249,7 @@ FROM v, (VALUES ('KG1'), ('KG2'), ('Design'), ('Translation'), ('Acceptance'), (
     "remediation_items": _ITEMS_SQL + "SELECT id, weakness, status, schedule FROM items",
     "claims_audit": """SELECT * FROM (VALUES ('C-1', 'duplicate claim_id'), ('C-1', 'duplicate claim_id'), ('c2', 'malformed claim_id'), ('c2', 'status P without label'), ('C-3', 'missing claim_text'), ('C-3', 'status A without evidence'),
   ('C-4', 'missing source'), ('C-4', 'unknown status'), ('C-6', 'missing status')) t(claim_id, issue)""",
-    "claim_status": "SELECT * FROM (VALUES ('A', 2), ('E', 1), ('P', 2), ('other', 2)) t(status, n)",
+    "claim_status": "SELECT status, CAST(n AS BIGINT) AS n FROM (VALUES ('A', 2), ('E', 1), ('P', 2), ('other', 2)) t(status, n)",
     "clean_artifacts": "SELECT * FROM (VALUES ('src/a.cs:12', 'src/a.cs'), ('src/b.cs:3-9', 'src/b.cs'), ('results/x.json#top', 'results/x.json'), ('y.json (partial)', 'y.json'), ('doc.md:§2.1', 'doc.md'), ('z.py:main()', 'z.py'), ('a:b/c', 'a:b/c'), (' q?x=1 ', 'q')) t(path, cleaned)",
     "render_flow": _FLOW_SQL,
     "render_controls": _CONTROLS_SQL
