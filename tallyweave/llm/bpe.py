@@ -25,13 +25,16 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import common
+
 #: Pretokens kept in each of the two generations, and the longest that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 180_000, 48
 
 # Code points that the regex library knows as letters or numbers and the tokenizer's Unicode version
 # does not know yet; they count as neither.
@@ -175,6 +178,7 @@ _LOADED: dict[str, ByteBPE] = {}
 
 def load(path: str) -> ByteBPE:
     """The tokenizer of a path, kept for the life of the worker."""
+    common.keep_only(__name__, _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = ByteBPE(path)
     return _LOADED[path]
@@ -184,6 +188,14 @@ def load(path: str) -> ByteBPE:
 _ROWS = 500
 
 
+def _column(values: tuple) -> pa.Array:
+    """An Arrow array; lists of ids go through one flat array."""
+    if not isinstance(values[0], list):
+        return pa.array(values)
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(values), np.int32, int(ends[-1]))))
+
+
 def _scan(df: DataFrame, read: str, schema: str, row, carry: list[str]) -> DataFrame:
     """mapInArrow: ``row`` makes the values of ``schema`` from a value of the column ``read``; ``carry`` goes along."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -193,7 +205,7 @@ def _scan(df: DataFrame, read: str, schema: str, row, carry: list[str]) -> DataF
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 made = [row(v.as_py()) for v in part.column(part.num_columns - 1)]
-                columns = [pa.array(c) for c in zip(*made, strict=True)]
+                columns = [_column(c) for c in zip(*made, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*carry, *names])
 
     kinds = dict(df.dtypes)
@@ -210,7 +222,7 @@ def encode(df: DataFrame, path: str, *, text: str = "text", carry: list[str] | N
     def row(raw: bytes | None) -> tuple:
         bpe = load(path)
         ids = bpe.encode(raw)
-        return len(ids), pa.scalar(ids, pa.list_(pa.int32())), bpe.decode(ids).encode() == (raw or b"")
+        return len(ids), ids, bpe.decode(ids).encode() == (raw or b"")
 
     carry = [c for c in df.columns if c != text] if carry is None else carry
     return _scan(df.withColumn(text, F.col(f"`{text}`").cast("binary")), text, "n_tokens long, ids array<int>, restored boolean", row, carry)

@@ -4,11 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(owner: str, forget: Callable[[], None]) -> None:
+    """Called in a Python worker by the operator that keeps something between tasks; what others keep there goes.
+
+    Workers outlive stages, and the words that one operator has seen are of no use to the next.
+    """
+    for other in [k for k in _KEPT if k != owner]:
+        _KEPT.pop(other)()
+    _KEPT[owner] = forget
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
 
@@ -18,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='shared-')}")
     return spark.conf.get("spark.checkpoint.dir")

@@ -64,7 +64,7 @@ FIXED = {
 #: Bands up to this number (languages and scripts) are joined by broadcast.
 MAX_BROADCAST_BANDS = 10_000
 #: Words kept by a worker in each of two generations.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 250_000
 #: Texts measured at a time.
 SLICE_ROWS = 300
 _SYMBOLS = b"#*$%&|<>"
@@ -119,6 +119,7 @@ _LOADED: dict[tuple, _Vocabularies] = {}
 
 
 def _load(*paths: str) -> _Vocabularies:
+    common.keep_only(__name__, _LOADED.clear)
     if paths not in _LOADED:
         _LOADED[paths] = _Vocabularies(*paths)
     return _LOADED[paths]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm import scripts
+from tallyweave.llm import common, scripts
 
 #: Labelled rows that a language is learned from, in expectation, and the most languages learned.
 SAMPLE_ROWS, MAX_LANGS = 2000, 200
@@ -42,7 +42,7 @@ SMOOTHING = 0.5
 #: A language belongs to a script that this share of its words is in.
 SCRIPT_SHARE = 0.02
 #: Words kept by a worker, and words decoded at a time.
-MEMO_WORDS, SLICE_WORDS = 250_000, 600_000
+MEMO_WORDS, SLICE_WORDS = 200_000, 400_000
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
 _UND = "und"
 
@@ -244,6 +244,7 @@ _SCORERS: dict[str, _Scorer] = {}
 
 def _scorer(name: str, shared) -> _Scorer:
     """A worker's scorer of a broadcast model; it outlives the task, so that words seen before are not scored again."""
+    common.keep_only(__name__, _SCORERS.clear)
     if name not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[name] = _Scorer(shared.value)
