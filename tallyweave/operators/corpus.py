@@ -13,7 +13,7 @@ from tallyweave.operators import differential as D
 
 # The classes of routes and their counts in a corpus of 2000.
 TAG_COUNTS = {"nominal": 900, "precision-drift": 350, "degenerate-route": 200, "anti-meridian": 150, "leap-second": 200, "overflow": 200}
-PARTIES, CLASSES = ("DDG", "CG", "SSN"), ("BlockIV", "BlockV", "MST")
+PARTIES, CLASSES = ("north", "south", "below"), ("light", "heavy", "surface")
 DEFAULT_LAUNCH = 1_050_000_000
 BASELINE_DECIMALS = 8
 
@@ -40,7 +40,7 @@ def _walk(lat: Column, lon: Column, steps: Column, step: float, seed: int) -> Co
     return F.aggregate(F.sequence(F.lit(1), steps), F.array(point(lat, lon)), grow)
 
 
-def routes(spark: SparkSession, n: int = 2000, seed: int = 577) -> DataFrame:
+def routes(spark: SparkSession, n: int = 2000, seed: int = 2024) -> DataFrame:
     """Rows (id, tag, party, class, launch, points, edge): the classes in proportion, in order of ids."""
     bounds, low = [], 0
     for tag, count in TAG_COUNTS.items():
@@ -98,7 +98,7 @@ def evaluate(vectors: DataFrame, repaired: Column) -> DataFrame:
     turns = _next(_next(p, lambda a, b: S.bearing(*_ends(a, b))), lambda b1, b2: S.turn_angle(b1, b2) > S.MAX_TURN_DEG)
     out = out.withColumns({"n_far": F.size(F.filter(far, lambda x: x)), "n_turns": F.size(F.filter(turns, lambda x: x)), "ref_total": _sum(F.col("ref_legs")), "base_total": _sum(F.col("base_legs"))})
     out = out.withColumn("valid", (F.col("n_far") == 0) & (F.col("n_turns") == 0))
-    out = out.withColumn("go", F.col("valid") & ~((F.col("class") == "MST") & (F.col("party") == "SSN")))
+    out = out.withColumn("go", F.col("valid") & ~((F.col("class") == "surface") & (F.col("party") == "below")))
     rounded = F.col("launch") + F.rint(F.col("ref_total") / S.SPEED_NM_PER_SEC).cast("bigint")
     out = out.withColumn("ref_eta", rounded + S.boundaries_between(F.col("launch"), rounded))
     out = out.withColumn("base_eta", F.col("launch") + (F.col("base_total") / S.SPEED_NM_PER_SEC).cast("bigint"))

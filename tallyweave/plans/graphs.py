@@ -129,7 +129,7 @@ def thompson_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     agents = spark.createDataFrame(_AGENTS, "agent string, sovereign boolean, alpha double, beta double, weights map<string, double>")
     size = F.length("text") / 10000.0
     tasks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task"), F.create_map(F.lit("contextSize"), size, F.lit("complexity"), F.lit(0.5)).alias("features"))
-    return R.thompson_routes(tasks, agents, seed=577)
+    return R.thompson_routes(tasks, agents, seed=2024)
 
 
 def routing_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
