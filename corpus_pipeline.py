@@ -26,7 +26,8 @@ def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("rejected"))
     rejected, _ = common.written(rejected, "rejected")
     rejected = F.broadcast(rejected) if rejected.count() <= MAX_BROADCAST_IDS else rejected
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti").select(*DOC_COLUMNS)
+    kept = docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti").select(*DOC_COLUMNS)
+    return common.compacted(kept)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*DOC_COLUMNS), keep_draw=False)
+    return common.compacted(mixing.mix(docs.select(*DOC_COLUMNS), keep_draw=False))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, queries.BYTE_BPE, carry=["doc_id", "lang", "source", "n_chars"])
+    return common.compacted(bpe.encode(docs, queries.BYTE_BPE, carry=["doc_id", "lang", "source", "n_chars"]))
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +20,15 @@ def keep_only(owner: str, forget: Callable[[], None]) -> None:
 
     Workers outlive stages, and the words that one operator has seen are of no use to the next.
     """
-    for other in [k for k in _KEPT if k != owner]:
+    others = [k for k in _KEPT if k != owner]
+    for other in others:
         _KEPT.pop(other)()
     _KEPT[owner] = forget
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it: give freed pages back
+        if trim:
+            trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,10 +68,25 @@ def drop(spark: SparkSession, *paths: str) -> None:
         fs.delete(where, True)
 
 
+#: Partitions are put together until this much input stands behind each of them.
+SPLIT_BYTES = 16 << 20
+
+
+def compacted(df: DataFrame) -> DataFrame:
+    """The same rows in fewer partitions where these would be tiny, so that a write makes no swarm of small files.
+
+    At least two partitions stay for each core, and one for every ``SPLIT_BYTES`` of the tables that are read; nothing
+    is shuffled. On large inputs there are more splits of more bytes than that, and nothing changes.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES)), (1 << 31) - 1))
+
+
 def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write to the shared folder and read again. Survives the loss of any executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, kind)
-    df.write.parquet(path)
+    compacted(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

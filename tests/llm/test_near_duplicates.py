@@ -176,3 +176,25 @@ def test_no_texts(spark):
     assert shinglejoin.shingle_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         shinglejoin.shingle_components(spark.createDataFrame([], "doc_id long, text string"), percent=100)
+
+
+# writing
+
+
+def test_small_partitions_are_put_together(spark):
+    df = spark.range(1000).repartition(64)
+    few = common.compacted(df)
+    assert few.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and sorted(r["id"] for r in few.collect()) == list(range(1000))
+    out, path = common.written(df, "test")
+    assert out.count() == 1000 and len(out.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    common.drop(spark, path)
+
+
+def test_a_worker_keeps_one_operator_at_a_time():
+    kept = {"a": 1, "b": 1}
+    common.keep_only("a", lambda: kept.pop("a"))
+    common.keep_only("a", lambda: kept.pop("a"))
+    common.keep_only("b", lambda: kept.pop("b"))
+    assert kept == {"b": 1}
+    common.keep_only("c", lambda: None)
+    assert kept == {}
