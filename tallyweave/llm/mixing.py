@@ -16,6 +16,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_SOURCES = 10_000
 #: The inverse is searched up to mean + 12 * sqrt(mean) + 40; the tail beyond it is less than the draw's resolution.
 TAIL_SIGMAS, TAIL_MIN = 12.0, 40
+#: Given weights that ask for more copies of each document are refused as a mistake; tempered ones may reach any rate.
+MAX_GIVEN_RATE = 700
+#: Means up to this are summed from 0.
+MAX_PLAIN_MEAN = 700
 #: A draw takes 13 hexadecimal digits (52 bits) of an MD5.
 DRAW_DIGITS = 13
 
@@ -36,12 +42,18 @@ def uniform(seed: int, key: Column) -> Column:
 def poisson_inverse(u: Column, mean: Column) -> Column:
     """The smallest k with P(X <= k) > u for a Poisson X with this mean.
 
-    The terms are summed upwards from k = 0 as ``p(k) = p(k-1) * mean / k``; means above 700, where exp(-mean) is 0
-    in double precision, are refused by ``repetition_rates``.
+    The terms are summed upwards as ``p(k) = p(k-1) * mean / k``, from k = 0 for means up to ``MAX_PLAIN_MEAN``. Above,
+    where exp(-mean) nears 0 in double precision, they are summed from as far below the mean as the search goes above
+    it; the first term there is taken by its logarithm, ``log k!`` by Stirling's series.
     """
-    steps = F.sequence(F.lit(1), (mean + F.sqrt(mean) * TAIL_SIGMAS + TAIL_MIN).cast("int"))
-    first = F.exp(-mean)
-    start = F.struct(F.lit(0).alias("k"), first.alias("p"), first.alias("c"))
+    reach = F.sqrt(mean) * TAIL_SIGMAS + TAIL_MIN
+    low = F.when(mean > MAX_PLAIN_MEAN, F.floor(mean - reach)).otherwise(0).cast("int")
+    k = low.cast("double")
+    apart = (mean - k) / k
+    log_first = k * (F.log1p(apart) - apart) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    first = F.when(mean > MAX_PLAIN_MEAN, F.exp(log_first)).otherwise(F.exp(-mean))
+    steps = F.sequence(low + 1, (mean + reach).cast("int"))
+    start = F.struct(low.alias("k"), first.alias("p"), first.alias("c"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * mean / i
@@ -72,8 +84,9 @@ def repetition_rates(
         given = F.try_element_at(F.create_map(*named), F.col("__mix_source").cast("string")) if named else F.lit(None)
         weight = F.when(F.col("__mix_source").isNull(), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(given, F.lit(0.0)))
     rate = weight * F.lit(total) * F.lit(float(epochs)) / F.col("n")
-    checked = F.when(rate > 700, F.raise_error(F.lit("a repetition rate above 700: lower the source's weight"))).otherwise(rate)
-    return counts.select("__mix_source", checked.alias("__mix_rate")), sources
+    if weights is not None:  # what a caller asks for is checked; what follows from the corpus' size is not
+        rate = F.when(rate > MAX_GIVEN_RATE, F.raise_error(F.lit(f"a repetition rate above {MAX_GIVEN_RATE}: lower the source's weight"))).otherwise(rate)
+    return counts.select("__mix_source", rate.alias("__mix_rate")), sources
 
 
 def mix(

@@ -173,6 +173,30 @@ def test_mix_edges(spark):
         mixing.mix(df, {"a": 1.0}, epochs=1000.0).collect()
 
 
+def test_any_default_rate(spark):
+    """Rates that follow from the corpus are drawn exactly, however large."""
+    from decimal import Decimal, localcontext
+
+    def exact(u, mean):
+        with localcontext() as c:
+            c.prec = 60
+            k, p = 0, (-Decimal(mean)).exp()
+            total = p
+            while total <= Decimal(u):
+                k += 1
+                p *= Decimal(mean) / k
+                total += p
+            return k
+
+    cases = [(u, mean) for mean in (0.3, 699.5, 700.5, 936.0, 1752.25, 20_000.0) for u in (1e-12, 0.001, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9)]
+    got = spark.createDataFrame(cases, "u double, mean double").select("u", "mean", mixing.poisson_inverse(F.col("u"), F.col("mean")).alias("k")).collect()
+    assert len(got) == len(cases) and all(r["k"] == exact(r["u"], r["mean"]) for r in got)
+    rows = [(i, "x", "a") for i in range(3)] + [(9, "x", None)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), epochs=1500.0).groupBy("doc_id").count().collect()
+    mass = math.sqrt(3) + 1
+    assert {r["doc_id"]: r["count"] for r in out} == {i: exact(draw(20, i), (math.sqrt(3) / 3 if s else 1.0) / mass * 4 * 1500) for i, _, s in rows}
+
+
 def test_many_sources_are_shuffled(spark, monkeypatch):
     df = spark.createDataFrame([(i, "x", f"s{i % 40}") for i in range(400)], "doc_id long, text string, source string")
     few = order(map(tuple, mixing.mix(df).collect()))
