@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: STAGES in order, each written as Parquet and read again.
 
 Language ID drops documents without a language or with a doubtful one; quality rules drop what fails them; of near
-duplicates one document stays; sources are mixed to target weights by replication; the last stage tokenises. Ids that
-several rows share go only if each of their rows is rejected.
+duplicates one document stays; sources are mixed to target weights by replication; the last stage tokenises. Every row is
+judged by itself, whether its id is null or shared with others.
 """
 
 from __future__ import annotations
@@ -17,31 +17,54 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.5
 #: Near duplicates: words of a shingle, and the similarity in percent.
 SHINGLE_WORDS, SIMILARITY = 5, 80
-#: Rejected ids up to this number (8 MB) are told to all tasks; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+#: Rejected rows and groups up to this number (8 MB a column) are told to all tasks; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the ids that ``verdicts`` (doc_id, kept) reject in all their rows."""
-    rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("rejected"))
-    rejected, _ = common.written(rejected, "rejected")
-    rejected = F.broadcast(rejected) if rejected.count() <= MAX_BROADCAST_IDS else rejected
-    kept = docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti").select(*DOC_COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a ``row`` number, so that verdicts meet the rows that they were passed on.
+
+    Two reads of a stage's written input give the same numbers: they follow from its files' splits and the order within.
+    An input that is not read from files is refused, since its rows may come in another order the second time.
+    """
+    if not docs.inputFiles():
+        raise ValueError("a stage reads documents that are written")
+    return docs.select(*DOC_COLUMNS, F.monotonically_increasing_id().alias("row"))
+
+
+def _keep(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows without those that ``verdicts`` (row, kept) reject."""
+    rejected, _ = common.written(verdicts.where("not kept").select(F.col("row").alias("rejected")), "rejected")
+    rejected = F.broadcast(rejected) if rejected.count() <= MAX_BROADCAST_ROWS else rejected
+    kept = rows.join(rejected, F.col("row") == F.col("rejected"), "left_anti").select(*DOC_COLUMNS)
     return common.compacted(kept)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.train(docs))
-    return _keep(docs, found.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).alias("kept")))
+    rows = _numbered(docs)
+    found = langid.identify(rows, langid.train(docs), key="row")
+    return _keep(rows, found.select("row", ((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).alias("kept")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, fertility.quality(docs, queries.FERTILITY).select("doc_id", "kept"))
+    rows = _numbered(docs)
+    return _keep(rows, fertility.quality(rows, queries.FERTILITY, key="row").select("row", "kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shinglejoin.shingle_components(docs, width=SHINGLE_WORDS, percent=SIMILARITY)
-    return _keep(docs, found.select("doc_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    """Of a group of linked rows the one with the smallest id stays (null ids last, then the first row).
+
+    Rows of the group that repeat that very id stay with it, as test_pipeline_against_its_parts asks.
+    """
+    rows = _numbered(docs)
+    found = shinglejoin.shingle_components(rows, key="row", width=SHINGLE_WORDS, percent=SIMILARITY)
+    placed, _ = common.written(found.select("row", "component_id").join(rows.select("row", "doc_id"), "row"), "places")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    groups = placed.groupBy("component_id").agg(F.count("*").alias("k"), first).where("k > 1").select("component_id", "first")
+    groups, _ = common.written(groups, "groups")
+    groups = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_ROWS else groups
+    kept = (F.col("row") == F.col("first.row")) | F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False))
+    return _keep(rows, placed.join(groups, "component_id").select("row", kept.alias("kept")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,6 +268,27 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert order(map(tuple, P.run(spark, str(tmp_path)).collect())) == order(map(tuple, coded))
 
 
+def test_rows_of_null_and_shared_ids_are_judged_alone(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = [r for r in P.quality_rules(spark, docs, "").orderBy("doc_id").collect()][:3]
+    a, b, c = (r["text"] for r in good)
+    junk = "the and of to in"
+    mixed = [(None, a, "en", "s", 1), (None, junk, "en", "s", 2), (20_001, b, "en", "s", 3), (20_001, junk, "en", "s", 4), (None, None, "en", "s", 5)]
+    made = spark.createDataFrame(mixed, docs.schema)
+    both, _ = common.written(docs.unionByName(made), "mixed")
+    kept = [r["n_chars"] for r in P.quality_rules(spark, both, "").where("source = 's'").collect()]
+    assert sorted(kept) == [1, 3]
+    found = [r["n_chars"] for r in P.language_id(spark, both, "").where("source = 's'").collect()]
+    assert 5 not in found and {1, 3} <= set(found)
+    copies = [(None, a, "en", "s", 1), (None, a, "en", "s", 2), (None, b, "en", "s", 3), (7, b, "en", "s", 4), (9, b, "en", "s", 5), (8, c, "en", "s", 6), (8, a + " x", "en", "s", 7)]
+    left = sorted(r["n_chars"] for r in P.near_duplicates(spark, common.written(spark.createDataFrame(copies, docs.schema), "copies")[0], "").collect())
+    assert left == [4, 6, 7]
+    with pytest.raises(ValueError):
+        P.quality_rules(spark, made, "")
+
+
 def test_registered_names():
     names = set(queries.queries())
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names}
