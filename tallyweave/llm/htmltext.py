@@ -1,17 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines: every block-level tag ends one, also where nothing stands before it. The lengths of the
-lines, without link text, are summed over sliding windows of ``WINDOW`` lines. The text starts where the sums surge to
-``SURGE`` and ends where they dive to ``DIVE``; what lies between is kept, however short single lines are in there.
+Markup is stripped into lines: a block-level tag ends one. Each line has a length in code points, without link text, and
+the lengths are summed over sliding windows of ``WINDOW`` lines. The text surges where a sum reaches the surge
+threshold, ``SURGE`` or ``SURGE_SHARE`` of the page's greatest sum, whichever is less, and it dives, before and after
+that, where a sum falls to ``DIVE``. What lies between two dives with a surge is kept, however short single lines are in
+there; lines of length 0 at its ends are not.
 
-Before that, elements that never hold an article's text are stripped with what they contain: scripts, styles, menus,
-headers of the page, footers, sidebars, forms, and elements whose class, id or role names them as advert, notice,
-comments or the like. Where a page marks its article (``article``, ``main``, role ``main``), the lines outside count
-as empty, and inside any text is a surge.
+Markup weighs lines, and the sums decide:
+
+* Elements that never hold an article's text (scripts, styles, menus, page headers, footers, sidebars, forms), or whose
+  class, id or role names them as advert, notice, comments or the like, are stripped with what they contain. A line of
+  length 0 stands for them; for menus, headers, footers and sidebars outside a marked article it is a whole window.
+* Lines in a marked article (``article``, ``main``, role ``main``) count ``MARK_WEIGHT`` times, link text included, and
+  a window of length 0 stands at either end of it.
 
 Defined results
 ---------------
-* A null or empty page gives the empty text. A page whose sums never surge gives all that is left after stripping.
+* A null or empty page, and one whose lines all have length 0, gives the empty text. On any other page the window with
+  the greatest sum is a surge, however short its text is.
+* Lines without text (adjacent tags) are no lines.
 * Character references are decoded once, after the tags are gone. Runs of white space within a block become one space;
   ``br`` is white space; blocks are joined by one \\n.
 * Rows are independent; repeated rows give repeated results, and an empty table an empty one. Pages are read whole.
@@ -23,13 +30,18 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window, and the sums (code points) at which the text starts and ends.
-WINDOW, SURGE, DIVE = 3, 80, 0
+#: Lines of a window, and the sums (code points) of a surge and of a dive.
+WINDOW, SURGE, DIVE = 3, 600, 0
+#: A surge is this share of the greatest sum, where that is less than ``SURGE``.
+SURGE_SHARE = 0.25
+#: How often the lines of a marked article count.
+MARK_WEIGHT = 4
 
 # Element names of HTML by their role here.
 BLOCKS = frozenset(
@@ -39,6 +51,7 @@ BLOCKS = frozenset(
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button select menu dialog svg canvas object audio video map datalist fieldset head".split())
+FURNITURE = frozenset("nav header footer aside".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr"
@@ -76,9 +89,9 @@ def _boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Stripped lines: text (references not yet decoded), length without link text, whether in a marked article."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """Stripped lines: text, and weighted length. What was stripped, and the ends of marked articles, are empty lines."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     own = 0
     at, links, inside = 0, 0, 0
@@ -87,16 +100,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def end_line() -> None:
         nonlocal own
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        out.append((text, own if text else 0, inside > 0))
+        if text:
+            out.append((text, MARK_WEIGHT * len(text) if inside else own))
         parts.clear()
         own = 0
 
+    def gap(lines: int) -> None:
+        """End the line, and make sure that so many empty lines stand behind it."""
+        end_line()
+        have = 0
+        while have < lines and have < len(out) and not out[-1 - have][0]:
+            have += 1
+        out.extend([("", 0)] * (lines - have))
+
     def text(piece: str) -> None:
         nonlocal own
         if piece and not skip:
             parts.append(piece)
             if not links:
-                own += len(piece.strip())
+                own += len(" ".join(piece.split()))
 
     marks: list[str] = []
     while m := _TAG.search(page, at):
@@ -124,22 +146,22 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
             closed_here = closing and name == skip
             skip = ""
-            end_line()
             if closed_here:
                 continue
         if not closing and name not in VOID:
             attributes = _attributes(m[3]) if m[3].strip() else {}
             if _boilerplate(name, attributes, inside > 0):
-                end_line()
+                gap(WINDOW if name in FURNITURE and not inside else 1)
                 if not m[3].endswith("/"):
                     skip, depth = name, 1
                     names = set(re.split(r"[-_\s]+", attributes.get("class", "") + " " + attributes.get("id", "")))
                     skip_comments = name == "aside" or not COMMENTS.isdisjoint(names)
                 continue
             if name in ("article", "main") or attributes.get("role") == "main":
-                end_line()
+                gap(0 if inside else WINDOW)
                 marks.append(name)
                 inside += 1
+                links = 0
                 continue
         if name == "br":
             text(" ")
@@ -151,35 +173,44 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if closing and marks and name == marks[-1] and name in ("article", "main"):
             marks.pop()
             inside -= 1
+            gap(0 if inside else WINDOW)
     text(page[at:])
     end_line()
     return out
 
 
+def between_dives(sizes: list[int]) -> list[tuple[int, int]]:
+    """The runs of lines, first and behind the last, that hold a surge and end at dives."""
+    n = len(sizes)
+    sums = [0, *accumulate(sizes)]
+    ahead = [sums[min(i + WINDOW, n)] - sums[i] for i in range(n)]
+    peak = max(ahead, default=0)
+    if not peak:
+        return []
+    surge, runs, i, low = min(SURGE, SURGE_SHARE * peak), [], 0, 0
+    while i < n:
+        if ahead[i] < surge or ahead[i] <= DIVE:
+            i += 1
+            continue
+        first = end = next(j for j in range(i, n) if sizes[j])
+        while first > low and sums[first] - sums[max(first - WINDOW, low)] > DIVE:
+            first -= 1
+        while end < n and ahead[end] > DIVE:
+            end += 1
+        i = low = max(end, i + 1)
+        while not sizes[first]:
+            first += 1
+        while not sizes[end - 1]:
+            end -= 1
+        runs.append((first, end))
+    return runs
+
+
 def main_text(page: str | None) -> str:
     """The text of a page's article, blocks joined by \\n."""
-    if not page:
-        return ""
-    lines = lines_of(page)
-    marked = any(t and m for t, _, m in lines)
-    surge = 1 if marked else SURGE
-    size = [(len(t) if m else 0) if marked else n for t, n, m in lines]
-    sums = [0] * (len(size) + 1)
-    for i, n in enumerate(size):
-        sums[i + 1] = sums[i] + n
-    kept: list[str] = []
-    on = surged = False
-    for i, (t, _, m) in enumerate(lines):
-        window = sums[min(i + WINDOW, len(size))] - sums[i]
-        if not on and window >= surge:
-            on = surged = True
-        elif on and window <= DIVE:
-            on = False
-        if on and t and (m or not marked):
-            kept.append(t)
-    if not surged:
-        kept = [t for t, _, _ in lines if t]
-    return "\n".join(kept)
+    lines = lines_of(page) if page else []
+    runs = between_dives([n for _, n in lines])
+    return "\n".join(t for first, end in runs for t, _ in lines[first:end] if t)
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -208,6 +208,66 @@ def test_pages_against_their_articles(spark):
         assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text) and got[r["page_id"]]["url"] == r["url"]
 
 
+def article_of(page):
+    blocks = re.split("</?(?:p|h1|article)>", page[page.index("<article>") : page.index("</article>")])
+    plain = (" ".join(html_lib.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks)
+    return "\n".join(b for b in plain if b)
+
+
+def test_pages_without_marks_or_furniture(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    unmarked = [re.sub(r"<(/?)article\b", r"<\1div", p) for p in pages]
+    assert [htmltext.main_text(p) for p in unmarked] == [article_of(p) for p in pages]
+    # menus that only their links give away, and no advert
+    bare = [re.sub(r'<div class="ad">.*?</div>', "", re.sub(r"<(/?)(nav|ul)\b", r"<\1div", p), flags=re.S) for p in unmarked]
+    assert [htmltext.main_text(p) for p in bare] == [article_of(p) for p in pages]
+
+
+def plain_runs(sizes, surge):
+    """Runs between at least WINDOW zeros, with a window that reaches the surge, without zeros at the ends."""
+    runs, own = [], []
+    for i, n in enumerate([*sizes, *[0] * htmltext.WINDOW]):
+        own.append(i)
+        if n == 0 and len(own) >= htmltext.WINDOW and not any(i < len(sizes) and sizes[i] for i in own[-htmltext.WINDOW :]):
+            full = [i for i in own if i < len(sizes) and sizes[i]]
+            if full and any(sum(sizes[j : j + htmltext.WINDOW]) >= surge for j in range(full[0], full[-1] + 1)):
+                runs.append((full[0], full[-1] + 1))
+            own = []
+    return runs
+
+
+def test_surges_and_dives_against_a_plain_version():
+    rng = random.Random(4)
+    for _ in range(2000):
+        sizes = [rng.choice([0, 0, 0, 3, 20, 150, 700]) for _ in range(rng.randrange(0, 30))]
+        peak = max((sum(sizes[i : i + htmltext.WINDOW]) for i in range(len(sizes))), default=0)
+        surge = min(htmltext.SURGE, htmltext.SURGE_SHARE * peak)
+        assert htmltext.between_dives(sizes) == (plain_runs(sizes, surge) if peak else [])
+
+
+LINKS = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(5))
+BODY = "<h1>Title</h1><p>Short one.</p><p>Short two.</p><p>" + "x" * 300 + "</p><table><tbody><tr><td>cell</td></tr></tbody></table></div></div><div><p>The end.</p>"
+
+
+def test_short_blocks_of_an_unmarked_page(monkeypatch):
+    page = f"<div>A small site</div><ul>{LINKS}</ul><div>{BODY}</div><ul>{LINKS}</ul><div>Imprint and contact</div>"
+    text = "Title\nShort one.\nShort two.\n" + "x" * 300 + "\ncell\nThe end."
+    assert htmltext.main_text(page) == text
+    with monkeypatch.context() as m:  # the thresholds decide
+        m.setattr(htmltext, "SURGE", 15)
+        assert htmltext.main_text(page) == f"A small site\n{text}\nImprint and contact".replace("A small site\n", "")
+        m.setattr(htmltext, "SURGE", 10)
+        assert htmltext.main_text(page) == f"A small site\n{text}\nImprint and contact"
+    with monkeypatch.context() as m:
+        m.setattr(htmltext, "WINDOW", 6)
+        assert "link 0" in htmltext.main_text(page)
+
+
+def test_teasers_in_articles_do_not_hide_the_body():
+    body = "<p>" + "y" * 900 + "</p>"
+    assert htmltext.main_text(f"<div>{body}</div><article><a>More</a></article>") == "y" * 900
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, "u", ""), (2, "u", "<p>" + "x" * 100_000), (2, "u", "<p>" + "x" * 100_000), (None, "u", "<<<>&#0;&bogus;")], "page_id long, url string, html string")
     got = htmltext.extract(df).collect()
