@@ -6,8 +6,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,13 @@ def keep_only(owner: str, forget: Callable[[], None]) -> None:
             trim(0)
 
 
+def decoded(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a string column one at a time; bytes that are no UTF-8 become U+FFFD."""
+    for value in column.cast(pa.binary()):
+        raw = value.as_py()
+        yield None if raw is None else raw.decode("utf-8", "replace")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
 
@@ -90,34 +98,33 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
+def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     """Components of an undirected graph given as rows (a, b) of comparable ids.
 
     Alternates the large-star and small-star rewirings until the edges are stars around each component's smallest id.
-    Every step is a partial aggregate plus an equi-join, so a hub with very many neighbours is neither collected nor
-    kept in one task, and every round is written to the shared folder. Returns (node, component) for the nodes that
-    occur in an edge, and the path that holds it. Self-loops and repeated edges have no effect.
+    Every step is a partial aggregate, which is written, plus an equi-join of two plain tables, so that the rows of a
+    hub with very many neighbours are dealt to several tasks by adaptive execution. Every round is written to the
+    shared folder. Returns (node, component) for the nodes that occur in an edge, and the path that holds it.
+    Self-loops and repeated edges have no effect.
     """
     spark = edges.sparkSession
     stars = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars, path = written(stars, "edges")
-    seen = None
-    for _ in range(max_rounds):
+    while True:
+        # done when every node has one parent at most, and no parent has one
+        ends = stars.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(stars.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not per_node.where("up > 1 or up = 1 and down = 1").limit(1).count():
+            break
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least, least_path = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large, large_path = written(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        new, new_path = written(small, "edges")
-        drop(spark, path, large_path)
+        lower, lower_path = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        new, new_path = written(small.distinct(), "edges")
+        drop(spark, path, least_path, large_path, lower_path)
         stars, path = new, new_path
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), path

@@ -6,18 +6,18 @@ link between different texts but not every pair within a group of copies.
 
 Plan
 ----
-1. *Rarity.* One pass counts shingles into ``SKETCH_BUCKETS`` cells, a fixed-size table whatever the corpus. The
-   order "smaller cell count first, then smaller hash" is the global order: frequent shingles come last.
+1. *Rarity.* One pass counts shingles into cells, in number a small multiple of the texts up to a bound. The order
+   "rarer cell first, then smaller hash" is the global order: frequent shingles come last.
 2. *Prefixes.* A second pass writes, for each document, the size of its set, a 128-bit digest of it, and the first
    ``n - ceil(t n) + 1`` shingles in that order. Documents with equal sets become one class (partial aggregate on
-   the digest); only classes go on.
-3. *Groups.* Classes that share a prefix shingle are candidates. Groups of up to ``SMALL_GROUP`` classes compare all
-   pairs; a larger one first compares its members with ``LEADERS`` of them only, those that share most of their prefix
-   with others. So candidates stay proportional to the prefixes, however large a group of near copies is. Verified
-   links give preliminary components.
-4. *Rest.* A pair left over is one of a larger group whose members lie in different components. For every such group,
-   members outside the component of the group's smallest member meet all members, keyed by shingle and length band,
-   and pairs that pass all filters are verified too. So every link is found or implied by found links.
+   the digest); only classes go on. Shingles of the prefixes are then counted exactly; what is frequent although its
+   cell is not goes to the end of the order, and prefixes that held such shingles are made again.
+3. *Leaders.* Classes that share a prefix shingle are a group. Its members are compared with ``LEADERS`` of them, so
+   candidates stay proportional to the prefixes, however large a group is. Verified links give preliminary components.
+4. *Rest.* A pair left over is one of members that are no leaders and lie in different components. For every group
+   with such members, those outside its largest component meet all, keyed by shingle and length band; groups of more
+   than ``BLOCK`` members are cut into chunks, each pair of chunks being a key of its own. Pairs that pass all filters
+   are verified too. So every link is found or implied by found links.
 5. Candidates pass the length filter, the positional filter (what is left behind the shared shingle must suffice)
    and the suffix filter: fixed pivots split the hash space into parts, and each part in which one set has an even
    number of shingles and the other an odd one stands for a shingle that they do not share; for long sets the
@@ -45,18 +45,23 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import common
 
-#: Cells of the rarity table; 2 ** 18 counts take 2 MB on the driver and on each worker.
-SKETCH_BUCKETS = 1 << 18
+#: The rarity table has two to four cells for each text, and 2 ** 22 bytes at most; counts travel in blocks.
+CELL_BITS_PER_TEXT, MAX_CELL_BITS, BLOCK_CELLS = 1, 22, 1024
+#: Hashes that wait for counting at a time.
+MAX_WAITING = 1 << 18
+#: Shingles in the prefixes of more classes than this are counted exactly and put behind all others; up to so many
+#: (16 MB) of them, the most frequent ones, are told to all tasks.
+HOT_CLASSES, MAX_HOT = 200, 1_000_000
 #: Odd multipliers for the words of a shingle, and for the finaliser.
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Pivots split the hash space into this many equal parts for the suffix filter; one bit is kept of each.
 SUFFIX_PARTS = 512
 #: Sets of more than this many shingles are too large for one bit a part; of them so many counts are kept too.
 LONG_SET, COUNTED_PARTS = 1024, 256
-#: Groups up to this size compare all their pairs at once. Larger ones compare all members with some leaders first.
-SMALL_GROUP, LEADERS = 8, 4
-#: Groups beyond this size are joined by length band too.
-BANDED_GROUP = 256
+#: All members of a group are compared with so many leaders first.
+LEADERS = 3
+#: What leaders leave of a group meets in blocks of up to so many members on either side.
+BLOCK = 2048
 #: Up to so many ids (8 MB) of documents whose sets are needed are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -79,10 +84,6 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return h & np.int64(SKETCH_BUCKETS - 1)
-
-
 def _texts(batch: pa.RecordBatch, at: int) -> Iterator[bytes | None]:
     """The texts of a column as UTF-8, one at a time."""
     for value in batch.column(at).cast(pa.binary()):
@@ -97,28 +98,46 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _rarity(texts: DataFrame, width: int) -> np.ndarray:
-    """Counts of all shingles by cell."""
+def _rarity(texts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """The rarity of every cell: eight times the binary logarithm of its count of shingles, as a byte.
+
+    The number of cells follows the number of texts up to ``MAX_CELL_BITS``. A task returns its counts in blocks of
+    ``BLOCK_CELLS``, which are added up by block.
+    """
+    bits = min(max(rows, 1).bit_length() + CELL_BITS_PER_TEXT, MAX_CELL_BITS)
+    cells = max(1 << bits, BLOCK_CELLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH_BUCKETS, np.int64)
+        total = np.zeros(cells, np.uint32)
         for batch in _slices(batches):
             waiting, size = [], 0
             for text in _texts(batch, 0):
-                waiting.append(_cells(shingle_set(text, width)))
+                waiting.append(shingle_set(text, width) & np.int64(cells - 1))
                 size += len(waiting[-1])
-                if size > SKETCH_BUCKETS:
-                    total += np.bincount(np.concatenate(waiting), minlength=SKETCH_BUCKETS)
+                if size > MAX_WAITING:
+                    total += np.bincount(np.concatenate(waiting), minlength=cells).astype(np.uint32)
                     waiting, size = [], 0
             if size:
-                total += np.bincount(np.concatenate(waiting), minlength=SKETCH_BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
-
-    rows = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(SKETCH_BUCKETS, np.int64)
-    table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return table
+                total += np.bincount(np.concatenate(waiting), minlength=cells).astype(np.uint32)
+        blocks = total.reshape(-1, BLOCK_CELLS)
+        for at in range(0, len(blocks), 64):
+            used = [i for i in range(at, min(at + 64, len(blocks))) if blocks[i].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = sums.setdefault(block, np.zeros(BLOCK_CELLS, np.int64))
+                own += np.frombuffer(counts.as_py(), np.uint32)
+        ranks = [np.minimum(np.round(8 * np.log2(1.0 + n)), 255).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(ranks, pa.binary())], ["block", "ranks"])
+
+    counted = texts.mapInArrow(count, "block long, counts binary").repartition("block")
+    table = np.zeros((cells // BLOCK_CELLS, BLOCK_CELLS), np.uint8)
+    for row in counted.mapInArrow(add, "block long, ranks binary").collect():
+        table[row["block"]] = np.frombuffer(row["ranks"], np.uint8)
+    return table.ravel()
 
 
 def _parities(h: np.ndarray) -> np.ndarray:
@@ -139,12 +158,22 @@ def _ceil_share(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, digest, parts, counts, prefix)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _prefixes(docs: DataFrame, table: np.ndarray, hot: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+    """Rows (id, n, digest, parts, counts, prefix).
+
+    ``hot`` holds shingles, sorted, and their numbers: they come behind all others, the more frequent the later.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((table, *hot))
+
+    def order(h: np.ndarray, ranks: np.ndarray, late: np.ndarray, late_n: np.ndarray) -> np.ndarray:
+        rank = ranks[h & np.int64(len(ranks) - 1)].astype(np.int64)
+        if len(late):
+            at = np.minimum(np.searchsorted(late, h), len(late) - 1)
+            rank = np.where(late[at] == h, 256 + late_n[at], rank)
+        return np.argsort(rank, kind="stable")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        known = shared.value
         for batch in _slices(batches):
             sizes, digests, parts, counted, firsts = [], [], [], [], []
             for text in _texts(batch, 1):
@@ -154,11 +183,12 @@ def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> D
                 parts.append(_parities(h))
                 counted.append(_counts(h))
                 keep = len(h) - _ceil_share(len(h), percent) + 1 if len(h) else 0
-                firsts.append(h[np.argsort(counts[_cells(h)], kind="stable")[:keep]])
+                firsts.append(h[order(h, *known)[:keep]])
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int16())), prefix], ["id", "n", "digest", "parts", "counts", "prefix"])
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int16())), prefix]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "n", "digest", "parts", "counts", "prefix"])
 
     kind = docs.schema[0].dataType.simpleString()
     return docs.mapInArrow(scan, f"id {kind}, n long, digest binary, parts array<long>, counts array<smallint>, prefix array<long>")
@@ -249,6 +279,47 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _entries(wide: DataFrame) -> DataFrame:
+    """Rows (sh, node, np): the prefixes. Size and position share a long: half of the rows' bytes are hash and node."""
+    packed = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long"))
+    return wide.select("node", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "node", packed.alias("np"))
+
+
+def _exact_entries(wide: DataFrame, docs: DataFrame, table: np.ndarray, width: int, percent: int) -> tuple[DataFrame, list[str]]:
+    """The entries of prefixes in which shingles that turn out frequent come last, and what they are read from.
+
+    Shingles of the prefixes are counted exactly, by a shuffle. Those of more than ``HOT_CLASSES`` classes move behind
+    all others in the global order, which changes only prefixes that hold one; these are made again from their texts.
+    """
+    counted = _entries(wide).groupBy("sh").agg(F.count("*").alias("k")).where(F.col("k") > HOT_CLASSES)
+    found = counted.orderBy(F.desc("k"), "sh").limit(MAX_HOT).toPandas().sort_values("sh")
+    if not len(found):
+        return _entries(wide), []
+    hot = found["sh"].to_numpy(np.int64), found["k"].to_numpy(np.int64)
+    named = F.broadcast(docs.sparkSession.createDataFrame(found[["sh"]], "sh long"))
+    changed = wide.select("node", "digest", F.explode("prefix").alias("sh")).join(named, "sh", "left_semi").select("node", "digest").distinct()
+    changed, path = common.written(changed, "changed")
+    near = F.broadcast if changed.count() <= MAX_BROADCAST_IDS else lambda d: d
+    texts = docs.join(near(changed.select(F.col("node").alias("id")).distinct()), "id", "left_semi")
+    again = _prefixes(texts, table, hot, width, percent).withColumnRenamed("id", "node").join(near(changed), ["node", "digest"], "left_semi")
+    again = again.groupBy("node", "digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    same = wide.join(near(changed), ["node", "digest"], "left_anti")
+    return _entries(same.select("node", "n", "prefix").unionByName(again.select("node", "n", "prefix"))), [path]
+
+
+def _leaders(groups: DataFrame) -> DataFrame:
+    """Rows (sh, l): the leaders of each group.
+
+    They are the members that share most of their prefix with others, each the first of a part of the group by hash:
+    such a class has few shingles of its own and lies in the middle of its group.
+    """
+    shared = groups.groupBy("node").agg(F.count("*").alias("shared"))
+    ranked = groups.join(shared, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LEADERS)))
+    heads = [F.max(F.when(F.col("part") == i, F.struct("shared", "node", "n", "pos"))).alias(f"l{i}") for i in range(LEADERS)]
+    listed = F.array_compact(F.array(*[f"l{i}" for i in range(LEADERS)]))
+    return ranked.groupBy("sh").agg(*heads).select("sh", F.transform(listed, lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["pos"].alias("pos"))).alias("l"))
+
+
 def shingle_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: the key, ``n_shingles`` and ``component_id``.
 
@@ -258,67 +329,68 @@ def shingle_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         raise ValueError("percent lies between 1 and 99, width is 1 or more")
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    table = _rarity(docs.select("text").where("text is not null"), width)
-    meta, meta_path = common.written(_prefixes(docs, table, width, percent), "prefixes")
+    table = _rarity(docs.select("text").where("text is not null"), docs.count(), width)
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    meta, meta_path = common.written(_prefixes(docs, table, none, width, percent), "prefixes")
     known = meta.where("id is not null and digest is not null")
     once = [F.first(c).alias(c) for c in ("n", "parts", "counts", "prefix")]
     wide, wide_path = common.written(known.groupBy("digest").agg(F.min("id").alias("node"), *once), "classes")
     meta, _ = common.written(meta.select("id", "n", "digest"), "sizes")
     known = meta.where("id is not null and digest is not null")
     common.drop(spark, meta_path)
-    # size and position share a long: half of the rows' bytes are their hash and node
-    packed = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long"))
-    entries = wide.select("node", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "node", packed.alias("np"))
+    entries, changed_paths = _exact_entries(wide, docs, table, width, percent)
     size, position = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
-
-    sizes = entries.groupBy("sh").agg(F.count("*").alias("k")).where("k > 1")
-    groups = entries.join(sizes, "sh").withColumns({"n": size(F.col("np")), "pos": position(F.col("np"))})
-    groups, groups_path = common.written(groups.drop("np"), "groups")
+    # aggregates by shingle are written before they are joined, so that a hot shingle's members are dealt to several tasks
+    several, several_path = common.written(entries.groupBy("sh").agg(F.count("*").alias("k")).where("k > 1").select("sh"), "shared")
+    groups = entries.join(several, "sh").withColumns({"n": size(F.col("np")), "pos": position(F.col("np"))}).drop("np")
+    groups, groups_path = common.written(groups, "groups")
     classes, _ = common.written(wide.drop("prefix"), "classes")
-    common.drop(spark, wide_path)
-
-    def pairs_of(both: DataFrame) -> DataFrame:
-        both = both.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
-        return both.select(*_ordered(F.col("node_a"), F.col("node_b")))
-
-    side = lambda d, x, *cs: d.select("sh", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", *cs)])
-    small, large = groups.where(F.col("k") <= SMALL_GROUP), groups.where(F.col("k") > SMALL_GROUP)
-    first = pairs_of(side(small, "a").join(side(small, "b"), "sh").where("node_a < node_b"))
-    # a class with many shared shingles in its prefix has few of its own: it lies in the middle of its group
-    shared = large.groupBy("node").agg(F.count("*").alias("shared"))
-    ranked = large.join(shared, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LEADERS)))
-    heads = [F.max(F.when(F.col("part") == i, F.struct("shared", "node", "n", "pos"))).alias(f"l{i}") for i in range(LEADERS)]
-    led = large.join(ranked.groupBy("sh").agg(*heads), "sh").select("sh", "node", "n", "pos", F.explode(F.array_compact(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
-    led = led.where("node <> l.node").select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("l.node").alias("node_b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b"))
-    links, links_path = _verify(first.unionByName(pairs_of(led)), classes, docs, width, percent)
+    common.drop(spark, wide_path, several_path, *changed_paths)
+
+    def possible(n: str, pos: str, m: str, other: str) -> Column:
+        return _may_link(F.col(n), F.col(pos), F.col(m), F.col(other), percent)
+
+    leaders, leaders_path = common.written(_leaders(groups), "leaders")
+    led, led_path = common.written(groups.join(leaders, "sh"), "led")
+    near = F.filter("l", lambda x: (x["node"] != F.col("node")) & _may_link(F.col("n"), F.col("pos"), x["n"], x["pos"], percent))
+    pairs = led.select("node", F.explode(F.transform(near, lambda x: x["node"])).alias("leader"))
+    links, links_path = _verify(pairs.select(*_ordered(F.col("node"), F.col("leader"))), classes, docs, width, percent)
     found, found_path = common.connected_components(links)
 
-    placed = large.select("sh", "node", "n", "pos", "k").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    placed, placed_path = common.written(placed, "placed")
-    ends = [F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("n", "node", "c"))["c"].alias("main")]
-    mixed = placed.groupBy("sh").agg(*ends).where("c0 <> c1").select("sh", "main")
+    # what has met the leaders and lies in another component than they meets in blocks
+    headed = F.exists("l", lambda x: x["node"] == F.col("node"))
+    placed = led.where(~headed).select("sh", "node", "n", "pos").join(found, "node", "left")
+    placed, placed_path = common.written(placed.withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
+    common.drop(spark, led_path, leaders_path, groups_path)
+    sizes = placed.groupBy("sh", "c").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("sh").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("most"))
+    chunks = lambda c: F.ceil(c / F.lit(float(BLOCK))).cast("int")
+    mixed = sizes.where(F.col("most.k") < F.col("k"))
+    mixed = mixed.select("sh", F.col("most.c").alias("main"), chunks(F.col("k")).alias("inner"), chunks(F.col("k") - F.col("most.k")).alias("outer"))
+    mixed, mixed_path = common.written(mixed, "mixed")
+    rest = placed.join(mixed, "sh")
     # a node that stands for several sets is left to the verification, which takes each set's own parts
     own = classes.groupBy("node").agg(F.first("parts").alias("parts"), (F.count("*") > 1).alias("several"))
-    rest = placed.join(mixed, "sh").join(own, "node")
+    rest = rest.join(own, "node")
     # a little wider than the length filter, so that rounding never puts two sizes more than one band apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / percent)))).cast("int")
-    banded = F.col("k") > BANDED_GROUP
-    inner = rest.withColumn("band", F.when(banded, band).otherwise(0)).withColumn("odd", F.col("c") != F.col("main"))
-    bands = F.when(banded, F.array(*[band + d for d in (-1, 0, 1)])).otherwise(F.array(F.lit(0)))
-    outer = rest.where("c <> main").withColumn("band", F.explode(bands))
-    keep = ("c", "parts", "several")
-    both = side(outer, "a", *keep, "band").withColumnRenamed("band_a", "band").join(side(inner, "b", *keep, "band", "odd").withColumnRenamed("band_b", "band"), ["sh", "band"])
-    near = _may_be_near(F.col("n_a"), F.col("parts_a"), F.col("n_b"), F.col("parts_b"), percent)
-    both = both.where("c_a <> c_b and (not odd_b or node_a < node_b)")
-    both = both.where(_may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)).where(F.col("several_a") | F.col("several_b") | near)
-    pairs = both.select(*_ordered(F.col("node_a"), F.col("node_b")))
-    more, more_path = _verify(pairs, classes, docs, width, percent)
-    common.drop(spark, placed_path, groups_path)
+    chunk = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = rest.where("c <> main").withColumn("i", chunk("outer")).withColumn("j", every("inner"))
+    left = left.withColumn("band", F.explode(F.array(*[band + d for d in (-1, 0, 1)])))
+    right = rest.withColumns({"j": chunk("inner"), "band": band, "odd": F.col("c") != F.col("main")}).withColumn("i", every("outer"))
+    keys = ("sh", "band", "i", "j")
+    side = lambda d, x, *cs: d.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c", "parts", "several", *cs)])
+    alike = _may_be_near(F.col("n_a"), F.col("parts_a"), F.col("n_b"), F.col("parts_b"), percent)
+    both = side(left, "a").join(side(right, "b", "odd"), list(keys)).where("c_a <> c_b and (not odd_b or node_a < node_b)")
+    both = both.where(possible("n_a", "pos_a", "n_b", "pos_b")).where(F.col("several_a") | F.col("several_b") | alike)
+    more, more_path = _verify(both.select(*_ordered(F.col("node_a"), F.col("node_b"))), classes, docs, width, percent)
+    common.drop(spark, placed_path, mixed_path)
     # an id that stands in several rows ties the classes of its texts together
     several = known.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     ties = known.select("id", "digest").join(several, "id", "left_semi").join(classes.select("digest", "node"), "digest")
-    every = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(ties.select(F.col("id").alias("a"), F.col("node").alias("b")))
-    joined, _ = common.connected_components(every)
+    ends = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    joined, _ = common.connected_components(ends.unionByName(ties.select(F.col("id").alias("a"), F.col("node").alias("b"))))
     common.drop(spark, links_path, more_path, found_path)
 
     member = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
