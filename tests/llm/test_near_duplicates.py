@@ -119,9 +119,34 @@ def test_hadamard():
     x = np.random.default_rng(1).normal(size=(5, 8))
     y = vectordedup.hadamard(x)
     assert np.allclose((y * y).sum(1), (x * x).sum(1)) and np.allclose(vectordedup.hadamard(y), x)
-    c = vectordedup.codes(x / np.linalg.norm(x, axis=1, keepdims=True))
-    assert c.shape == (5, vectordedup.TABLES, vectordedup.PROBES)
-    assert all(len(set(row)) == vectordedup.PROBES for t in c for row in t)
+    for plan in vectordedup.PLANS:
+        c = vectordedup.codes(x / np.linalg.norm(x, axis=1, keepdims=True), plan)
+        assert c.shape == (5, *plan[1:]) and all(len(set(row)) == plan[2] for t in c for row in t)
+
+
+def test_rotations_follow_the_vectors():
+    assert [vectordedup.plan_for(n, 64)[0] for n in (0, 10**5, 10**6, 10**7, 10**8, 10**12)] == [2, 2, 3, 3, 4, 4]
+
+
+@pytest.mark.parametrize("plan", vectordedup.PLANS)
+@pytest.mark.parametrize("width", [64, 300])
+def test_recall_at_the_threshold(plan, width):
+    rng = np.random.default_rng(width)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(600, width)))
+    z = rng.normal(size=x.shape)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    a, b = vectordedup.codes(x, plan), vectordedup.codes(y, plan)
+    assert ((b == a[:, :, :1]).any((1, 2)) | (a == b[:, :, :1]).any((1, 2))).mean() >= 0.97
+
+
+@pytest.mark.parametrize("plan", vectordedup.PLANS[1:])
+def test_links_by_more_rotations(spark, monkeypatch, plan):
+    monkeypatch.setattr(vectordedup, "PLANS", (plan,))
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = {r["vec_id"]: r["n_links"] for r in vectordedup.near_vectors(df).collect()}
+    exact = {r["vec_id"]: r["n_links"] for r in vectordedup.exact_links(df, df.where("vec_id % 20 = 0")).collect()}
+    assert sum(found[i] for i in exact) >= 0.9 * sum(exact.values())
 
 
 # shingles
@@ -149,8 +174,10 @@ def text_rows(seed=7, copies=300):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
-def test_shingles_against_brute_force(spark, width, percent):
+@pytest.mark.parametrize("width,percent,block,hot", [(3, 90, 2048, 200), (5, 80, 2048, 200), (3, 90, 16, 10), (5, 80, 7, 10**6)])
+def test_shingles_against_brute_force(spark, monkeypatch, width, percent, block, hot):
+    monkeypatch.setattr(shinglejoin, "BLOCK", block)
+    monkeypatch.setattr(shinglejoin, "HOT_CLASSES", hot)
     rows = text_rows()
     sets = {i: shingles(t, width) for i, t in rows}
     edges = []
