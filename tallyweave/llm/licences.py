@@ -1,29 +1,40 @@
-"""Licence scans (DataFrame functions only).
-
-Texts are normalised (lower case, everything but letters, digits and line ends becomes a space) and cut into segments:
-every line, and every paragraph of two lines or more (paragraphs end at blank lines). A segment is compared with a
-licence template by the Dice coefficient of their sets of word bigrams, ``2 |A and B| / (|A| + |B|)``. A coefficient of
-``t`` or more needs ``t / (2 - t) <= |A| / |B| <= (2 - t) / t``; so each template is listed under the set sizes that it
-can match, and a segment meets, by an equality join on its size, only those templates. The best template of each
-segment is reported where it reaches ``t``; ties go to the name that comes first.
+"""Licence notices in texts: Dice coefficient over word bigrams (DataFrame functions only).
+
+A text is normalised to lower-case words. For every template, windows of the template's number of words slide over the
+whole text, across lines and paragraphs, over all places where some bigram lies as far from the window's start as from the
+template's; a window matches where the Dice coefficient of its set of bigrams and the template's reaches
+``MIN_PERCENT``. Of matching windows that overlap the best is reported: most shared bigrams, then the
+highest coefficient, the first place, and the first name.
+
+Plan
+----
+1. *Size bounds.* A window that reaches the coefficient shares at least ``need`` of the template's ``b`` bigrams, which
+   follows from the sizes alone. So it holds one of any ``b - need + 1`` of them: the template's anchors, those with most
+   letters, which ordinary prose hardly has. All bigrams of all texts meet the anchors by one broadcast join on hashes.
+2. Only texts and templates that met go on. Their bigrams meet all of the template's; each hit puts the template at a
+   place, and windows are compared there.
 
 Defined results
 ---------------
-* Null and empty texts have no segments; a segment of fewer than two words has no bigram and matches nothing.
-* A line that holds a whole template matches as a line, a template wrapped over lines as a paragraph; both may be
-  reported. Lines and paragraphs are counted from 0 within the text.
-* Repeated rows are scanned one by one. An empty table gives an empty table. Only key and text are read.
+* Null and empty texts, and texts of one word, have no matches; a text shorter than a template is one window. An empty
+  table gives an empty table. Only key and text are read, whatever the other columns are called.
+* Rows are judged one by one: repeated rows, and rows of one id, give their matches each. Texts of any length are
+  compared whole; a text's words are one array.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyweave.llm import common
+
 #: The least coefficient, in percent.
 MIN_PERCENT = 80
+#: Rows with an anchor up to this number (8 MB) are told to all tasks; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 
 # Wording of common licence notices.
 TEMPLATES = {
@@ -51,102 +62,124 @@ TEMPLATES = {
     "mit/notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "mpl-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense/notice": "This is free and unencumbered software released into the public domain.",
+    "bsd-2-clause/conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause/endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd/disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc/disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit/disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "unlicense/terms": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib/notice": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 
 
 def normalise(text: Column) -> Column:
-    """Lower case, with runs of anything but letters, digits and line ends turned into one space."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-
-
-def _words(segment: Column) -> Column:
-    return F.split(F.trim(segment), " ")
+    """Lower case, with runs of anything but letters and digits turned into one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _bigrams(words: Column) -> Column:
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+def _plain(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def _sizes(pairs: int, percent: int) -> tuple[int, int]:
-    """The least and the greatest set size that can reach the coefficient with a template of so many bigrams."""
-    return max(1, -(-percent * pairs // (200 - percent))), (200 - percent) * pairs // percent
+def _each(words: Column, f) -> Column:
+    """``f`` of every two neighbours of an array of words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), f)
 
 
-def _plain(text: str) -> list[str]:
-    return re.sub(r"[\W_]+", " ", text.lower()).split()
+def _joined(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
 
 
-def templates(spark: SparkSession, named: dict[str, str], percent: int) -> DataFrame:
-    """Rows (size, template, t_size, t_bigrams): each template under every set size that can reach the coefficient.
+def templates(spark: SparkSession, named: dict[str, str]) -> DataFrame:
+    """Rows (template, len, w, t): number of words, words, and distinct bigrams of the templates, a fixed number of rows."""
+    listed = [F.struct(F.lit(k).alias("template"), F.lit(" ".join(_plain(v))).alias("text")) for k, v in sorted(named.items())]
+    rows = spark.range(1, numPartitions=1).select(F.inline(F.array(*listed))).select("template", F.split("text", " ").alias("w"))
+    return rows.select("template", F.size("w").alias("len"), "w", F.array_distinct(_each(F.col("w"), _joined)).alias("t")).where("len > 1")
 
-    At most the templates times three halves of their words: a fixed number of rows.
-    """
-    listed = []
-    for name, text in sorted(named.items()):
-        words = _plain(text)
-        low, high = _sizes(len(set(zip(words, words[1:], strict=False))), percent)
-        fields = (("template", name), ("text", " ".join(words)), ("low", low), ("high", high))
-        listed.append(F.struct(*[F.lit(v).alias(k) for k, v in fields]))
-    rows = spark.range(1, numPartitions=1).select(F.inline(F.array(*listed))).withColumn("t_bigrams", _bigrams(F.split("text", " ")))
-    return rows.select(F.explode(F.sequence("low", "high")).alias("size"), "template", F.size("t_bigrams").alias("t_size"), "t_bigrams")
 
+def needed(bigrams: Column, percent: int) -> Column:
+    """The least number of shared bigrams, from 200 shared >= percent (window + template) and window >= shared."""
+    return F.ceil(percent * bigrams / F.lit(200 - percent))
 
-def segments(docs: DataFrame, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (row, key, kind, segment_no, bigrams) of the segments with more words than ``least``.
 
-    ``row`` tells rows apart that repeat a key. A task that is run again on the same input gives the same numbers.
-    """
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), normalise(F.col(f"`{text}`").cast("string")).alias("t")).where("t is not null")
-    lines = F.transform(F.split("t", "\n"), lambda s, i: F.struct(F.lit("line").alias("kind"), i.alias("no"), _words(s).alias("w")))
-    parts = F.transform(F.split("t", r"\n *\n[ \n]*"), lambda s, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("no"), s.alias("s")))
-    parts = F.filter(parts, lambda s: F.trim(s["s"], F.lit(" \n")).contains("\n"))
-    parts = F.transform(parts, lambda s: F.struct(s["kind"].alias("kind"), s["no"].alias("no"), F.filter(F.split(s["s"], "[ \n]+"), lambda x: x != "").alias("w")))
-    every = F.filter(F.concat(lines, parts), lambda s: F.size(s["w"]) > least)
-    return plain.select("row", "key", F.explode(every).alias("s")).select("row", "key", F.col("s.kind").alias("kind"), F.col("s.no").alias("segment_no"), _bigrams(F.col("s.w")).alias("bigrams"))
+def anchors(listed: DataFrame, percent: int) -> DataFrame:
+    """Rows (h, template): hashes of bigrams of which every matching window has one, those with most letters."""
+    pairs = F.array_sort(F.array_distinct(_each(F.col("w"), lambda a, b: F.struct((-F.length(a) - F.length(b)).alias("less"), a.alias("a"), b.alias("b")))))
+    some = F.slice(pairs, 1, (F.size(pairs) - needed(F.size(pairs), percent) + 1).cast("int"))
+    return listed.select("template", F.explode(some).alias("p")).select(F.xxhash64("p.a", "p.b").alias("h"), "template")
 
 
 def scan(docs: DataFrame, *, named: dict[str, str] | None = None, percent: int = MIN_PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, kind, segment_no, license, dice, n_shared, n_bigrams) of the segments that match a template."""
-    named = named or TEMPLATES
-    listed = templates(docs.sparkSession, named, percent)
-    least = min(_sizes(len(set(zip(w, w[1:], strict=False))), percent)[0] for w in map(_plain, named.values()))
-    found = segments(docs, least, key, text).withColumn("size", F.size("bigrams")).join(F.broadcast(listed), "size")
-    shared = found.withColumn("n_shared", F.size(F.array_intersect("bigrams", "t_bigrams"))).drop("bigrams", "t_bigrams")
-    good = shared.where(200 * F.col("n_shared") >= percent * (F.col("size") + F.col("t_size")))
-    match = F.struct((-2.0 * F.col("n_shared") / (F.col("size") + F.col("t_size"))).alias("less"), "template", "n_shared")
-    best = good.groupBy("row", "key", "kind", "segment_no", "size").agg(F.min(match).alias("b"))
-    return best.select(
-        F.col("key").alias(key), "kind", "segment_no", F.col("b.template").alias("license"), (-F.col("b.less")).alias("dice"), F.col("b.n_shared").alias("n_shared"), F.col("size").alias("n_bigrams")
-    )
+    """Rows (key, first_word, last_word, license, dice, n_shared, n_bigrams) of the windows that match; words count from 0."""
+    spark = docs.sparkSession
+    listed = templates(spark, named or TEMPLATES)
+    words = F.split(normalise(F.col(f"`{text}`").cast("string")), " ")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), words.alias("w")).where(F.size("w") > 1)
+    hashes = _each(F.col("w"), lambda a, b: F.xxhash64(a, b))
+    met = rows.select("row", F.explode(hashes).alias("h")).join(F.broadcast(anchors(listed, percent)), "h").select("row", "template").distinct()
+    met, _ = common.written(met, "met")
+    near = F.broadcast if met.count() <= MAX_BROADCAST_ROWS else lambda d: d
+    few = rows.join(near(met.select("row").distinct()), "row", "left_semi")
+    few, _ = common.written(few, "texts")
+
+    every = listed.select("template", "len", F.posexplode(hashes).alias("place", "h"))
+    hits = few.select("row", F.size("w").alias("n"), F.posexplode(hashes).alias("pos", "h")).join(F.broadcast(every), "h")
+    hits = hits.join(near(met), ["row", "template"], "left_semi")
+    start = F.greatest(F.least(F.col("pos") - F.col("place"), F.col("n") - F.col("len")), F.lit(0))
+    places = hits.groupBy("row", "template").agg(F.collect_set(start).alias("starts"))
+
+    def compared(s: Column) -> Column:
+        own = F.array_distinct(_each(F.slice("w", s + 1, F.col("len")), _joined))
+        return F.struct(s.alias("first_word"), F.size(F.array_intersect(own, "t")).alias("n_shared"), F.size(own).alias("n_bigrams"))
+
+    found = places.join(few, "row").join(F.broadcast(listed.drop("w")), "template")
+    found = found.select("row", "key", "template", "len", F.size("t").alias("b"), F.size("w").alias("n"), F.inline(F.transform("starts", compared)))
+    found = found.where(200 * F.col("n_shared") >= percent * (F.col("n_bigrams") + F.col("b")))
+    found = found.withColumn("last_word", F.least(F.col("first_word") + F.col("len"), F.col("n")) - 1)
+    found = found.withColumn("dice", 2.0 * F.col("n_shared") / (F.col("n_bigrams") + F.col("b")))
+    best = _best_of_overlapping(_best_of_overlapping(found, "row", "template"), "row")
+    return best.select(F.col("key").alias(key), "first_word", "last_word", F.col("template").alias("license"), "dice", "n_shared", "n_bigrams")
+
+
+def _best_of_overlapping(found: DataFrame, *group: str) -> DataFrame:
+    """Of every chain of overlapping windows of a group the best."""
+    order = Window.partitionBy(*group).orderBy("first_word", "last_word", "template")
+    before = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chained = found.withColumn("opens", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("int"))
+    chained = chained.withColumn("chain", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = Window.partitionBy(*group, "chain").orderBy(F.desc("n_shared"), F.desc("dice"), "first_word", "template")
+    return chained.withColumn("place", F.row_number().over(best)).where("place = 1").drop("opens", "chain", "place")
 
 
 def oracle_sql(named: dict[str, str] | None = None, percent: int = MIN_PERCENT) -> str:
-    """DuckDB SQL of ``scan`` over the table ``documents``."""
-    values = ", ".join("('{}', '{}')".format(k, " ".join(_plain(v))) for k, v in sorted((named or TEMPLATES).items()))
-    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    """DuckDB SQL of ``scan`` over the table ``documents``: every hit of any bigram of a template, with no anchors."""
+    values = ", ".join("('{}', '{}')".format(k, " ".join(w)) for k, w in ((k, _plain(v)) for k, v in sorted((named or TEMPLATES).items())) if len(w) > 1)
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    best = """SELECT * EXCLUDE (opens, chain) FROM (SELECT *, sum(opens) OVER (PARTITION BY {0} ORDER BY first_word, last_word, template ROWS UNBOUNDED PRECEDING) AS chain FROM (
+    SELECT *, CASE WHEN first_word <= max(last_word) OVER (PARTITION BY {0} ORDER BY first_word, last_word, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM {1}))
+  QUALIFY row_number() OVER (PARTITION BY {0}, chain ORDER BY n_shared DESC, dice DESC, first_word, template) = 1"""
     return f"""
 WITH t AS (
-  SELECT template, {pairs} AS b FROM (SELECT template, string_split(words, ' ') AS w FROM (VALUES {values}) v(template, words))
-), plain AS (
-  SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL
-), lines AS (
-  SELECT doc_id, unnest(string_split(x, chr(10))) AS s, unnest(range(0, len(string_split(x, chr(10))))) AS no FROM plain
-), parts AS (
-  SELECT doc_id, unnest(string_split_regex(x, '\\n *\\n[ \\n]*')) AS s, unnest(range(0, len(string_split_regex(x, '\\n *\\n[ \\n]*')))) AS no FROM plain
-), segments AS (
-  SELECT doc_id, 'line' AS kind, no, string_split(trim(s, ' '), ' ') AS w FROM lines
-  UNION ALL
-  SELECT doc_id, 'paragraph', no, list_filter(string_split_regex(s, '[ \\n]+'), lambda v: v <> '') FROM parts WHERE contains(trim(s, ' ' || chr(10)), chr(10))
+  SELECT template, tw, {pairs.format("tw")} AS t FROM (SELECT template, string_split(words, ' ') AS tw FROM (VALUES {values}) v(template, words))
+), places AS (
+  SELECT template, len(tw) AS len, t, unnest(range(0, len(tw) - 1)) AS place, unnest(list_transform(range(1, len(tw)), lambda i: tw[i] || ' ' || tw[i + 1])) AS g FROM t
+), d AS (
+  SELECT doc_id, w FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 1
 ), bigrams AS (
-  SELECT doc_id, kind, no, {pairs} AS b FROM segments WHERE len(w) > 1
-), hits AS (
-  SELECT doc_id, kind, no, template, len(list_intersect(bigrams.b, t.b)) AS shared, len(bigrams.b) AS size, len(t.b) AS t_size
-  FROM bigrams JOIN t ON {200 - percent} * len(bigrams.b) >= {percent} * len(t.b) AND {200 - percent} * len(t.b) >= {percent} * len(bigrams.b)
+  SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g, len(w) AS n FROM d
+), starts AS (
+  SELECT DISTINCT doc_id, template, greatest(least(pos - place, n - len), 0) AS first_word FROM bigrams JOIN places USING (g)
+), windows AS (
+  SELECT doc_id, template, first_word, least(first_word + len(tw), len(w)) - 1 AS last_word, t, w[first_word + 1 : first_word + len(tw)] AS x FROM starts JOIN d USING (doc_id) JOIN t USING (template)
+), compared AS (
+  SELECT doc_id, template, first_word, last_word, len(t) AS b, len({pairs.format("x")}) AS n_bigrams, len(list_intersect({pairs.format("x")}, t)) AS n_shared FROM windows
+), found AS (
+  SELECT *, 2.0::DOUBLE * n_shared / (n_bigrams + b) AS dice FROM compared WHERE 200 * n_shared >= {percent} * (n_bigrams + b)
+), own AS (
+  {best.format("doc_id, template", "found")}
+), overall AS (
+  {best.format("doc_id", "own")}
 )
-SELECT doc_id, kind, CAST(no AS INTEGER) AS segment_no, template AS license, 2.0::DOUBLE * shared / (size + t_size) AS dice,
-  CAST(shared AS INTEGER) AS n_shared, CAST(size AS INTEGER) AS n_bigrams
-FROM hits WHERE 200 * shared >= {percent} * (size + t_size)
-QUALIFY row_number() OVER (PARTITION BY doc_id, kind, no ORDER BY 2.0::DOUBLE * shared / (size + t_size) DESC, template) = 1
+SELECT doc_id, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTEGER) AS last_word, template AS license, dice, CAST(n_shared AS INTEGER) AS n_shared, CAST(n_bigrams AS INTEGER) AS n_bigrams FROM overall
 """
