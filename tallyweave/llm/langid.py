@@ -4,16 +4,20 @@ Script ranges narrow the languages of a word to those that were seen in its scri
 n-grams; a Viterbi pass over the words with a penalty for switching labels spans. The language of most letters is
 the document's.
 
-Training takes, for each language, a bounded sample of about ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the key, and keeps
-the ``MAX_GRAMS`` most frequent n-grams, so the model that goes to the workers has a fixed bound.
+Training takes, for each language, a bounded sample of about ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the key
+(of the text where the key is null). Every language is learned and keeps its own most frequent n-grams, equally many
+for all: ``LANG_GRAMS``, or as many as keep the table of n-grams by languages within ``MODEL_CELLS``, but at least
+``LEAST_GRAMS``. So the model that goes to the workers takes 4 bytes a cell up to some 1,400 languages.
 
 Defined results
 ---------------
-* ``und`` with score 0 where the text is null or has no letter, or where no labelled row exists. A text whose letters
-  all lie in scripts that no language was seen in gets the most frequent language, with its prior as the score.
+* ``und`` with score 0 where the text is null or has no letter (number signs are none), or where no labelled row
+  exists. A text whose letters all lie in scripts that no language was seen in gets the most frequent language, with its prior as the score.
 * Ties go to the language that comes first in the order of code points. Repeated rows are labelled one by one, an
-  empty table gives an empty table. Only key, text and (for training) language columns are read.
-* Words are runs of up to ``WORD_LETTERS`` letters of the whole lower-cased text; longer runs are cut.
+  empty table gives an empty table. Only key, text and (for training) language columns are read. Bytes that are no
+  UTF-8 count as U+FFFD, which is no letter.
+* Words are runs of up to ``WORD_LETTERS`` letters and number signs of the whole lower-cased text that hold a letter;
+  longer runs are cut. Very long texts are labelled whole: a text takes some 6 bytes for each word and language.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm import common, scripts
 
-#: Labelled rows that a language is learned from, in expectation, and the most languages learned.
-SAMPLE_ROWS, MAX_LANGS = 2000, 200
-#: n-grams of the model, and their lengths.
-MAX_GRAMS, ORDERS = 200_000, (1, 2, 3, 4)
+#: Labelled rows that a language is learned from, in expectation.
+SAMPLE_ROWS = 2000
+#: n-grams of a language at most and at least, cells (n-grams times languages) of the model, and lengths of n-grams.
+LANG_GRAMS, LEAST_GRAMS, MODEL_CELLS, ORDERS = 50_000, 16, 1 << 25, (1, 2, 3, 4)
 #: Evidence of one word is cut at this many nats, and a switch of language costs this many.
 WORD_CAP, SWITCH_PENALTY = 4.0, 10.0
 WORD_LETTERS = 32
@@ -43,10 +47,15 @@ SMOOTHING = 0.5
 SCRIPT_SHARE = 0.02
 #: Words kept by a worker, and words decoded at a time.
 MEMO_WORDS, SLICE_WORDS = 200_000, 400_000
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
+_RUN = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
 _UND = "und"
 
 
+def _lettered(word: str) -> bool:
+    """Whether a run holds a letter; roman numerals, fractions and raised digits are none."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def grams(word: str) -> list[str]:
     """The n-grams of a word with its ends marked."""
     marked = f"<{word}>"
@@ -107,17 +116,18 @@ class Model:
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows of ``docs`` that have a language and a text."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")).where("l is not null and t is not null")
-    by = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
+    by = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not by:
         return Model([], [], {})
     share = F.create_map(*[F.lit(x) for v, n in by.items() for x in (v, sample_rows / n)])
-    sample = rows.where(_draw(F.coalesce(F.col("k").cast("string"), F.lit("null"))) < F.try_element_at(share, F.col("l"))).select("l", "t")
+    sample = rows.where(_draw(F.coalesce(F.col("k").cast("string"), F.concat(F.lit("text/"), "t"))) < F.try_element_at(share, F.col("l"))).select("l", "t")
+    each = max(min(LANG_GRAMS, MODEL_CELLS // len(by) ** 2), LEAST_GRAMS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         for batch in batches:
-            for v, t in zip(batch.column(0), batch.column(1), strict=True):
-                words.setdefault(v.as_py(), Counter()).update(_WORD.findall(t.as_py().lower()))
+            for v, t in zip(common.decoded(batch.column(0)), common.decoded(batch.column(1)), strict=True):
+                words.setdefault(v, Counter()).update(filter(_lettered, _RUN.findall(t.lower())))
         for v, own in words.items():
             found, by_script = Counter(), Counter()
             for w, n in own.items():
@@ -130,7 +140,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
 
     counted = sample.mapInArrow(count, "l string, g string, is_script boolean, n long")
     counted = counted.groupBy("l", "g", "is_script").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("is_script"), F.desc("n"), "l", "g").limit(MAX_GRAMS).collect()
+    place = F.row_number().over(Window.partitionBy("l", "is_script").orderBy(F.desc("n"), "g"))
+    top = counted.withColumn("place", place).where(F.col("is_script") | (F.col("place") <= each)).orderBy("l", "is_script", "place").collect()
     return Model([(r["g"], r["l"], r["n"]) for r in top if not r["is_script"]], [(r["g"], r["l"], r["n"]) for r in top if r["is_script"]], by)
 
 
@@ -199,11 +210,16 @@ class _Scorer:
             self.clear()
         at, new, ids, sizes, letters = self.at, [], [], [], []
         for text in texts:
-            words = _WORD.findall(text.lower()) if text and model.langs else []
-            for w in set(words):
+            runs = _RUN.findall(text.lower()) if text and model.langs else []
+            none = set()
+            for w in set(runs):
                 if w not in at:
-                    at[w] = len(at)
-                    new.append(w)
+                    if _lettered(w):
+                        at[w] = len(at)
+                        new.append(w)
+                    else:
+                        none.add(w)
+            words = [w for w in runs if w not in none] if none else runs
             ids.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
             letters.append(np.fromiter(map(len, words), np.int64, len(words)))
             sizes.append(len(words))
@@ -262,8 +278,8 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
         scorer = _scorer(name, shared)
         for batch in batches:
             keys, texts, size, at = batch.column(0), [], 0, 0
-            for i, value in enumerate(batch.column(1)):
-                texts.append(value.as_py())
+            for i, t in enumerate(common.decoded(batch.column(1))):
+                texts.append(t)
                 size += len(texts[-1] or "")
                 if size > 5 * SLICE_WORDS or i == batch.num_rows - 1:
                     made = scorer.label(texts)
