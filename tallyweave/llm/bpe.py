@@ -12,6 +12,8 @@ that changes time only, never ids.
 Defined results
 ---------------
 * A null text counts as empty: no tokens, decoded to the empty string. Empty texts too.
+* Bytes that are no UTF-8 become U+FFFD, so such a text is not restored. Ids that are null or of no token decode to
+  nothing.
 * Rows are independent: repeated rows give repeated results, an empty table an empty one. Any text length is handled
   whole; a pretoken of n bytes takes O(n log n). Columns besides key and text are not read, whatever their names.
 """
@@ -158,7 +160,7 @@ class ByteBPE:
         """Ids of a text in UTF-8; special tokens' strings become their ids, nothing is added."""
         if not raw:
             return []
-        text = raw.decode()
+        text = raw.decode("utf-8", "replace")
         pattern = self.any if _HIGH.search(raw) else self.low
         parts = self.cut.split(text) if self.cut else [text]
         ids: list[int] = []
@@ -229,10 +231,11 @@ def encode(df: DataFrame, path: str, *, text: str = "text", carry: list[str] | N
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
-    """Rows (carried columns, text): the decoded texts of an ids column; null ids give the empty text."""
+    """Rows (carried columns, text): the decoded texts of an ids column; null ids, and those of no token, give no text."""
 
     def row(values: list[int] | None) -> tuple:
-        return (load(path).decode(values or []),)
+        bpe = load(path)
+        return (bpe.decode([i for i in values or () if i is not None and 0 <= i < len(bpe.strings)]),)
 
     return _scan(df, ids, "text string", row, [c for c in df.columns if c not in (ids, "text")] if carry is None else carry)
 

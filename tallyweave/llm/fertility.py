@@ -9,10 +9,13 @@ one. They measure
 * ``token_entropy``: the collision entropy of its tokens in bits, ``-log2(sum c (c-1) / (m (m-1)))`` over counts c of
   the m tokens. It is unbiased in the sum, so short and long texts share one band.
 
-A language's band lies around its median, as wide as a multiple of the distance between its quartiles, taken over
-all documents of the language that pass the base rules, and is widened for short texts by ``sqrt(1 + 200 / n_words)``. A language with
-fewer than ``MIN_GROUP`` such documents, or a null one, takes the band of the document's main script, and a script
-with fewer takes the fixed bands of ``FIXED``. A document outside a band is rejected.
+A band lies around the median of a measure, as wide as a multiple of the distance between its quartiles (lower and upper
+multiples are ``BANDS``), and is widened for short texts by ``sqrt(1 + 200 / n_words)``. A document outside a band is
+rejected. Quartiles are those of all documents that pass the base rules, exact on a grid of ``STEP``. They are taken for
+each language, each main script and the whole corpus, and pulled by their count n: ``PULL^2 / (n^2 + PULL^2)`` of a
+language's quartiles are those of the document's script, drawn apart by ``APART`` since languages differ; likewise for a
+script and the corpus, and for the corpus and ``PRIOR``. So rare languages, null ones and small tables have bands too, the
+wider the fewer documents stand behind them, and one more document moves them little.
 
 Base rules: fewer than 50 words, or more than half of the words within word triples that occur twice or more.
 
@@ -21,7 +24,8 @@ Defined results
 * Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. A null or empty text has no words and fails the base rules.
 * ``n_dup_lines`` counts lines (split at \\n) that hold a word and equal an earlier line of the text.
 * Repeated rows are measured one by one. An empty table gives an empty table. Only the key, text and language columns
-  are read, whatever the others' names.
+  are read, whatever the others' names. Very long texts are measured whole; a text takes memory in proportion.
+* Bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -35,31 +39,33 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm import common, scripts
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Documents that a band is taken from, at least.
-MIN_GROUP = 100
+#: Documents that weigh as much as what a group's quartiles are pulled to, and the grid of the quartiles.
+PULL, STEP = 25, 0.001
+#: How far the quartiles of a script, of the corpus and of the prior are drawn apart for what is pulled to them.
+APART = {"lang": 3, "script": 8, "all": 1}
 #: Bands are widened by the square root of 1 + this over the number of words.
 SHORT_WORDS = 200
 #: For each measure: quartile distances below and above the median, and the least half-width.
 BANDS = {
-    "chars_per_token": (8.0, 8.0, 0.25),
-    "bytes_chars_per_token": (8.0, 8.0, 0.25),
+    "chars_per_token": (4.0, 8.0, 0.05),
+    "bytes_chars_per_token": (3.5, 8.0, 0.05),
     "tokens_per_word": (6.0, 6.0, 0.3),
     "token_entropy": (3.5, 10.0, 0.5),
-    "byte_share": (8.0, 8.0, 0.1),
+    "byte_share": (8.0, 8.0, 0.05),
 }
-#: Bands of scripts that have too few documents.
-FIXED = {
-    "chars_per_token": (0.4, 12.0),
-    "bytes_chars_per_token": (0.25, 12.0),
-    "tokens_per_word": (1.0, 60.0),
-    "token_entropy": (2.5, 16.0),
-    "byte_share": (0.0, 0.9),
+#: Quartiles of a corpus of no documents.
+PRIOR = {
+    "chars_per_token": (2.0, 3.0, 4.0),
+    "bytes_chars_per_token": (2.0, 3.0, 4.0),
+    "tokens_per_word": (1.5, 2.5, 4.0),
+    "token_entropy": (5.0, 6.0, 8.0),
+    "byte_share": (0.0, 0.0, 0.1),
 }
 #: Bands up to this number (languages and scripts) are joined by broadcast.
 MAX_BROADCAST_BANDS = 10_000
@@ -101,7 +107,7 @@ class _Vocabularies:
                     new[w] = old[w]
                 else:
                     todo.append(w)
-        texts = [w.decode() for w in todo]
+        texts = [w.decode("utf-8", "replace") for w in todo]
         for w, t, ids in zip(todo, texts, self.pieces.encode(texts, num_threads=1) if todo else (), strict=True):
             fallbacks = 0 if fallback.isdisjoint(ids) else sum(i in fallback for i in ids)
             new[w] = (array("i", ids).tobytes(), fallbacks, len(encode(" " + t)), _script_at(t))
@@ -175,7 +181,7 @@ def _measured(raw: bytes, words: list[bytes], vocabularies: _Vocabularies) -> tu
     counts = np.bincount(np.unique(flat, return_inverse=True)[1], weights=np.repeat(each, lengths))
     same = float((counts * (counts - 1)).sum())
     entropy = math.log2(tokens * (tokens - 1) / max(same, 1.0)) if tokens > 1 else 0.0
-    chars = len(raw.decode()) - (len(raw) - len(raw.translate(None, _SPACES)))
+    chars = len(raw.decode("utf-8", "replace")) - (len(raw) - len(raw.translate(None, _SPACES)))
     by_script = np.bincount(np.array(script) + 1, weights=each, minlength=2)
     by_script[0] = 0
     main = _SCRIPTS[int(by_script.argmax()) - 1] if by_script.any() else None
@@ -209,21 +215,41 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Rows (kind, name, q_<measure> array of three quartiles) of languages and scripts with documents enough."""
+    """Rows (kind, name, n, q_<measure> array of three quartiles) of languages, scripts and, without a name, the corpus."""
     good = measured.where(~base_failed())
-    named = good.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("lang", "script")])).alias("g"), *BANDS)
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"q_{m}") for m in BANDS]
-    return named.where("g.name is not null").groupBy("g").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= MIN_GROUP).select("g.*", *[f"q_{m}" for m in BANDS])
+    bins = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / STEP).cast("long").alias("bin")) for m in BANDS])
+    counts = good.select("lang", "script", F.inline(bins)).groupBy("lang", "script", "measure", "bin").agg(F.count("*").alias("n"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("lang", F.col("lang")), ("script", F.col("script")), ("all", F.lit("")))])
+    counts = counts.select("measure", "bin", "n", F.inline(kinds)).where("name is not null").groupBy("kind", "name", "measure", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("kind", "name", "measure")
+    counts = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)})
+    quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin"))) * STEP for p in (0.25, 0.5, 0.75)])
+    found = counts.groupBy("kind", "name", "measure").agg(F.max("total").alias("n"), quartiles.alias("q"))
+    return found.groupBy("kind", "name").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(f"q_{m}") for m in BANDS])
+
+
+def _pulled(own: Column, n: Column, to: Column) -> Column:
+    weight = F.lit(float(PULL**2)) / (n * n + PULL**2)
+    return F.zip_with(own, to, lambda x, y: x + (y - x) * weight)
+
+
+def _shrunk(m: str) -> Column:
+    """The quartiles for a row: its language's, pulled to those of its script, the corpus and the prior."""
+    q = F.array(*map(F.lit, PRIOR[m]))
+    for kind in ("all", "script", "lang"):
+        own, n, apart = F.col(f"{kind}_{m}"), F.col(f"{kind}_n").cast("double"), APART[kind]
+        to = F.array(*[q[1] + (q[i] - q[1]) * apart for i in range(3)])
+        q = F.when(own.isNull(), to).otherwise(_pulled(own, n, to))
+    return q
 
 
 def _outside(m: str) -> Column:
-    """Whether the measure lies outside the band of the language, else the script, else the fixed one."""
+    """Whether the measure lies outside its band."""
     low, high, least = BANDS[m]
-    q = F.coalesce(F.col(f"lang_{m}"), F.col(f"script_{m}"))
+    q = F.col(f"q_{m}")
     spread = F.sqrt(1 + SHORT_WORDS / F.col("n_words"))
     width = lambda k: F.greatest((q[2] - q[0]) * k, F.lit(least)) * spread
-    fitted = (F.col(m) < q[1] - width(low)) | (F.col(m) > q[1] + width(high))
-    return F.when(q.isNotNull(), fitted).otherwise(~F.col(m).between(*map(F.lit, FIXED[m])))
+    return (F.col(m) < q[1] - width(low)) | (F.col(m) > q[1] + width(high))
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -234,14 +260,13 @@ def judge(measured: DataFrame) -> DataFrame:
     table = bands(measured)
     table, _ = common.written(table, "bands")
     near = F.broadcast if table.count() <= MAX_BROADCAST_BANDS else lambda d: d
-    for kind in ("lang", "script"):
-        own = table.where(F.col("kind") == kind).select(F.col("name").alias(f"name_{kind}"), *[F.col(f"q_{m}").alias(f"{kind}_{m}") for m in BANDS])
-        measured = measured.join(near(own), F.col(kind) == F.col(f"name_{kind}"), "left").drop(f"name_{kind}")
+    for kind in ("lang", "script", "all"):
+        own = table.where(F.col("kind") == kind).select(F.col("name").alias(f"name_{kind}"), F.col("n").alias(f"{kind}_n"), *[F.col(f"q_{m}").alias(f"{kind}_{m}") for m in BANDS])
+        measured = measured.join(near(own), (F.col(kind) if kind != "all" else F.lit("")) == F.col(f"name_{kind}"), "left")
+    out = measured.withColumns({f"q_{m}": _shrunk(m) for m in BANDS}).withColumn("base_failed", base_failed())
     reasons = F.array_compact(F.array(*[F.when(_outside(m), F.lit(m)) for m in BANDS]))
-    out = measured.withColumn("base_failed", base_failed())
     out = out.withColumn("reasons", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(reasons))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
-    return out.drop(*[f"{k}_{m}" for k in ("lang", "script") for m in BANDS])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).select("key", "lang", *_FIELDS, "base_failed", "reasons", "kept")
 
 
 def quality(docs: DataFrame, paths: tuple[str, str, str], *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -22,7 +22,7 @@ Defined results
 * Character references are decoded once, after the tags are gone. Runs of white space within a block become one space;
   ``br`` is white space; blocks are joined by one \\n.
 * Rows are independent; repeated rows give repeated results, and an empty table an empty one. Pages are read whole.
-  Columns besides key, url and html are not read.
+  Columns besides key, url and html are not read. Bytes that are no UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import common
+
 #: Lines of a window, and the sums (code points) of a surge and of a dive.
 WINDOW, SURGE, DIVE = 3, 600, 0
 #: A surge is this share of the greatest sum, where that is less than ``SURGE``.
@@ -220,7 +222,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: s
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [main_text(p.as_py()) for p in part.column(2)]
+                texts = [main_text(p) for p in common.decoded(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["key", "url", "text", "n_chars"])
 
     read = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))

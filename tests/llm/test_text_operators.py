@@ -1,9 +1,12 @@
 """Quality, language, BPE, pages, licences: brute force, round trips, held-out accuracy and edge cases."""
 
+import base64
 import hashlib
 import html as html_lib
+import math
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -108,10 +111,78 @@ def test_bands_reject_what_is_unlike_the_language(spark):
     df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string").withColumn("lang", F.lit("xx"))
     got = {r["doc_id"]: r["kept"] for r in fertility.quality(df, queries.FERTILITY).collect()}
     assert sum(got[i] for i in range(300)) >= 298 and not any(got[i] for i in range(300, 320))
-    alone = fertility.quality(df.where("doc_id < 20"), queries.FERTILITY)  # too few for bands of their own
+    alone = fertility.quality(df.where("doc_id < 20"), queries.FERTILITY)
     assert alone.where("kept").count() == 20
 
 
+def plain_measures(text):
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=queries.FERTILITY[0])
+    with open(queries.FERTILITY[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("plain", pat_str=queries.FERTILITY[2], mergeable_ranks=ranks, special_tokens={})
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    tokens = [i for w in words for i in pieces.encode(w)]
+    in_bytes = sum(len(own.encode_ordinary(" " + w)) for w in words)
+    chars, m = sum(map(len, words)), len(tokens)
+    same = sum(c * (c - 1) for c in Counter(tokens).values())
+    return {
+        "chars_per_token": chars / m, "bytes_chars_per_token": chars / in_bytes, "tokens_per_word": m / len(words),
+        "byte_share": sum(map(pieces.is_byte, tokens)) / m, "token_entropy": math.log2(m * (m - 1) / max(same, 1)),
+    }
+
+
+def test_measures_and_bands_against_a_plain_version(spark):
+    rng = random.Random(12)
+    rows = [(prose(rng, rng.randrange(50, 300)), "xx") for _ in range(120)]
+    rows += [(prose(rng, rng.randrange(50, 300), ("ka", "\u010de", "zo", "mi")), "yy") for _ in range(12)]  # a rare language
+    rows += [("\u0436\u0443\u043a " * 3 + prose(rng, 60, ("\u0431\u0430", "\u0434\u043e", "\u0442\u0438", "\u043b\u044e")), None) for _ in range(5)]  # a rare script, no language
+    rows += [(" ".join(w + "\U00012000" * 2 for w in prose(rng, 80).split()), "xx"), (" ".join(prose(rng, 90).upper()), "xx"), (" ".join(w + "%%%" for w in prose(rng, 100).split()), "yy")]
+    df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in fertility.quality(df.repartition(5), queries.FERTILITY).collect()}
+    plain = [plain_measures(t) for t, _ in rows]
+    for i, p in enumerate(plain):
+        assert all(abs(got[i][k] - v) < 1e-9 for k, v in p.items()), i
+    good = [i for i in got if not got[i]["base_failed"]]
+
+    def quartiles(ids, m, to, apart):
+        to = [to[1] + apart * (x - to[1]) for x in to]
+        if not ids:
+            return to
+        values = sorted(math.floor(plain[i][m] / 0.001 + 0.5) for i in ids)
+        own = [0.001 * next(v for k, v in enumerate(values, 1) if k >= p * len(values)) for p in (0.25, 0.5, 0.75)]
+        weight = 25**2 / (len(ids) ** 2 + 25**2)
+        return [x + weight * (y - x) for x, y in zip(own, to)]
+
+    for i in good:
+        reasons = []
+        for m, (low, high, least) in fertility.BANDS.items():
+            q = quartiles(good, m, fertility.PRIOR[m], 1)
+            q = quartiles([j for j in good if got[j]["script"] == got[i]["script"]], m, q, 8)
+            q = quartiles([j for j in good if rows[j][1] == rows[i][1] is not None], m, q, 3)
+            spread = math.sqrt(1 + 200 / got[i]["n_words"])
+            x = plain[i][m]
+            if x < q[1] - max(low * (q[2] - q[0]), least) * spread or x > q[1] + max(high * (q[2] - q[0]), least) * spread:
+                reasons.append(m)
+        assert got[i]["reasons"] == reasons and got[i]["kept"] == (not reasons), (i, reasons)
+    assert "byte_share" in got[137]["reasons"] and not got[138]["kept"] and len(good) == 140
+    assert sum(got[i]["kept"] for i in range(137)) >= 135
+
+
+def test_very_long_and_broken_texts_are_measured(spark):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(1, bytearray(prose(rng, 200_000).encode()), "xx"), (2, bytearray(b"ab\xff\xfe cd \xe2\x82 " * 40), "xx")], "doc_id long, b binary, lang string")
+    df = df.select("doc_id", F.col("b").cast("string").alias("text"), "lang")
+    got = {r["doc_id"]: r for r in fertility.quality(df, queries.FERTILITY).collect()}
+    assert got[1]["n_words"] == 200_000 and got[2]["n_words"] == 120 and got[2]["word_chars"] == 40 * (4 + 2 + 1)
+    assert {r["doc_id"] for r in langid.identify(df, langid.train(df)).collect()} == {1, 2}
+    coded = {r["doc_id"]: r for r in bpe.encode(df.where("doc_id = 2"), queries.BYTE_BPE).collect()}
+    assert coded[2]["n_tokens"] > 0 and not coded[2]["restored"]
+    assert htmltext.extract(df.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u"))).count() == 2
+
+
 # languages
 
 SYLLABLES = {"aa": ("the", "ing", "and", "wh", "ly", "ed"), "bb": ("ción", "que", "los", "ñ", "ado", "es"), "cc": ("ich", "sch", "ung", "der", "ein", "ß")}
@@ -146,6 +217,35 @@ def test_nothing_to_learn_from(spark):
     assert (r["lang_pred"], r["score"]) == ("und", 0.0)
 
 
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(0, "\u00bd \u00b2 \u2460 \u2167"), (1, "\u00bd the ing wh"), (2, " ".join(["the\u00b2"] * 3))], "doc_id long, text string")
+    model = langid.train(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert (got[0]["lang_pred"], got[0]["score"], got[0]["spans"]) == ("und", 0.0, [])
+    assert [(s["lang"], s["first_word"], s["last_word"]) for s in got[1]["spans"]] == [("aa", 0, 2)] and got[2]["lang_pred"] == "aa"
+
+
+def test_rare_languages_among_many_are_learned(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:03}": tuple("".join(rng.choice(letters) for _ in range(3)) for _ in range(6)) for i in range(230)}
+    rows = [(len(own) * k + i, prose(rng, 40, own[v]), v) for i, v in enumerate(own) for k in range(3 if i % 2 else 1)]
+    rows += [(100_000 + i, prose(rng, 200, own["l000"]), "l000") for i in range(300)]  # one holds a third of all words and more
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(own)
+    fresh = spark.createDataFrame([(i, prose(rng, 25, own[v])) for i, v in enumerate(own)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(fresh, model).collect()}
+    assert sum(got[i] == v for i, v in enumerate(own)) >= 228
+
+
+def test_a_very_long_text_and_rows_without_keys(spark):
+    docs = spark.createDataFrame([(None, t, v) for _, t, v in language_rows()], "doc_id long, text string, lang string")
+    model = langid.train(docs, sample_rows=20)
+    rng = random.Random(2)
+    texts = spark.createDataFrame([(None, prose(rng, 150_000, SYLLABLES["cc"])), (None, prose(rng, 30, SYLLABLES["bb"]))], "doc_id long, text string")
+    assert sorted(r["lang_pred"] for r in langid.identify(texts, model).collect()) == ["bb", "cc"]
+
+
 def test_viterbi_against_dynamic_programming():
     import numpy as np
 
@@ -282,36 +382,45 @@ def test_long_line_of_quotes():
 # licences
 
 
-def dice(a, b):
-    grams = lambda t: {(x, y) for x, y in zip(t, t[1:])}
-    x, y = grams(a), grams(b)
-    return len(x & y), len(x), len(y)
-
-
-def licence_segments(text):
-    flat = re.sub(r"[^\w\n]|_", " ", text.lower())
-    flat = re.sub(r"[^\S\n]+", " ", flat)
-    for i, line in enumerate(flat.split("\n")):
-        yield "line", i, line.split()
-    for i, p in enumerate(re.split(r"\n *\n[ \n]*", flat)):
-        if "\n" in p.strip(" \n"):
-            yield "paragraph", i, p.split()
+def plain_windows(text, named=licences.TEMPLATES):
+    """Matching windows at all places where a bigram of a template lies, then the best of every chain of overlaps, twice."""
+    grams = lambda t: set(zip(t, t[1:]))
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    found = []
+    for name, template in sorted(named.items()):
+        t = re.sub(r"[\W_]+", " ", template.lower()).split()
+        hits = {p - o for p in range(len(words) - 1) for o in range(len(t) - 1) if words[p : p + 2] == t[o : o + 2]}
+        for s in {max(min(h, len(words) - len(t)), 0) for h in hits}:
+            w = words[s : s + len(t)]
+            shared, size = len(grams(w) & grams(t)), len(grams(w)) + len(grams(t))
+            if shared and 200 * shared >= 80 * size:
+                found.append((s, s + len(w) - 1, name, 2 * shared / size, shared, len(grams(w))))
+
+    def best(windows):
+        chains, end = [], -1
+        for w in sorted(windows):
+            if not chains or w[0] > end:
+                chains.append([])
+            chains[-1].append(w)
+            end = max(end, w[1])
+        return [min(c, key=lambda w: (-w[4], -w[3], w[0], w[2])) for c in chains]
+
+    return best([w for name in named for w in best([f for f in found if f[2] == name])])
 
 
 def test_licences_against_brute_force(spark):
     mit = licences.TEMPLATES["mit/notice"].split()
     wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    rng = random.Random(6)
+    edited = " ".join(rng.choice(["foo", "bar"]) if rng.random() < 0.05 else w for w in licences.TEMPLATES["bsd/disclaimer"].split())
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + licences.TEMPLATES["apache-2.0/notice"].split("LICENSE-2.0 ")[1]
     texts = [None, "", "x", "Released under the MIT License.", "Released under MIT License", "Intro\nLicensed under CC BY-NC 4.0.\nmore words here", "preamble text\n\n" + wrapped + "\n\nafter", wrapped.upper(), "All rights reserved. " * 3, "ALL RIGHTS RESERVED", "word " * 5000, "Licensed under the BSD 3-Clause License.\nLicensed under the BSD 3-Clause License."]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").withColumns({"license": F.lit("clash"), "size": F.lit(1)})
-    got = sorted((r["doc_id"], r["kind"], r["segment_no"], r["license"], r["n_shared"], r["n_bigrams"], r["dice"]) for r in licences.scan(df).collect())
-    expected = []
-    for i, t in list(enumerate(texts)) + [(3, texts[3])]:
-        for kind, no, words in licence_segments(t or ""):
-            best = None
-            for name, text in sorted(licences.TEMPLATES.items()):
-                shared, a, b = dice(words, re.sub(r"[\W_]+", " ", text.lower()).split())
-                if a and 200 * shared >= 80 * (a + b) and (best is None or 2 * shared / (a + b) > best[-1]):
-                    best = (i, kind, no, name, shared, a, 2 * shared / (a + b))
-            expected += [best] if best else []
-    assert got == sorted(expected) and len(got) > 6
+    texts += ["Copyright (c) 2021 Foo. Released under the MIT License. See LICENSE for details.", "One says that " + edited + " and then goes on. All rights reserved by all.", "/*\n" + apache + "\n*/", prose(rng, 30_000) + " Released under the MIT License. " + prose(rng, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3]), (None, texts[3])], "doc_id long, text string").withColumns({"license": F.lit("clash"), "row": F.lit(1), "w": F.lit("x")})
+    order = lambda rows: sorted(rows, key=repr)
+    got = order((r["doc_id"], r["first_word"], r["last_word"], r["license"], r["dice"], r["n_shared"], r["n_bigrams"]) for r in licences.scan(df).collect())
+    expected = [(i, *w) for i, t in [*enumerate(texts), (3, texts[3]), (None, texts[3])] for w in plain_windows(t or "")]
+    assert got == order(expected) and len(got) > 14
+    found = {i: {w[2] for w in plain_windows(texts[i])} for i in (12, 13, 14, 15)}
+    assert found == {12: {"mit/line"}, 13: {"bsd/disclaimer", "all-rights-reserved"}, 14: {"apache-2.0/notice"}, 15: {"mit/line"}}
     assert licences.scan(df.where("false")).count() == 0
