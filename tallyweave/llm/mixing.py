@@ -4,13 +4,16 @@ A source that holds the share p of the rows and should hold the share w of the m
 ``lambda = epochs * w / p``. Each document draws a uniform number from a hash of seed and id, and the inverse of the
 Poisson distribution with that mean turns it into a number of copies. The draw depends on nothing else, so a rerun
 of a lost task gives the same copies. The copies are then shuffled globally by a hash of seed, id and copy number.
+Rows whose id is null or stands in several rows draw, and are shuffled, by their place in the input besides, so they
+draw independently too and a hot id is spread over all partitions.
 
 Defined results
 ---------------
 * A null source counts as a source of its own. A source with no target weight gets the weight 0 and so no copies;
   a target weight of a source with no rows is ignored, and the others are not rescaled for it.
-* A null id draws as the text ``null``; repeated rows (same id) draw the same count, each row being replicated.
-* An empty table gives an empty table. Texts are carried, never looked at; columns of any other name pass through,
+* Rows of null and of repeated ids draw one by one. Their places are those of Spark's row numbers over the scan, so
+  the same draws need the same files; a row whose id is its own draws the same whatever the files.
+* An empty table gives an empty table. Texts are carried, never looked at, however long; columns of any other name pass through,
   and the helper columns carry a prefix that is refused in the input (``__mix_``).
 """
 
@@ -21,8 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import common
+
 #: Sources up to this number are joined by broadcast; each is a row of a name and two numbers. More are shuffled.
 MAX_BROADCAST_SOURCES = 10_000
+#: Repeated ids up to this number (8 MB) are joined by broadcast. More are shuffled.
+MAX_BROADCAST_IDS = 1_000_000
 #: The inverse is searched up to mean + 12 * sqrt(mean) + 40; the tail beyond it is less than the draw's resolution.
 TAIL_SIGMAS, TAIL_MIN = 12.0, 40
 #: Given weights that ask for more copies of each document are refused as a mistake; tempered ones may reach any rate.
@@ -35,7 +42,7 @@ DRAW_DIGITS = 13
 
 def uniform(seed: int, key: Column) -> Column:
     """A number in [0, 1) from a hash of seed and key."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, DRAW_DIGITS)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, DRAW_DIGITS)
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**DRAW_DIGITS))
 
 
@@ -89,6 +96,21 @@ def repetition_rates(
     return counts.select("__mix_source", rate.alias("__mix_rate")), sources
 
 
+def drawing_names(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with ``__mix_name``, which no other row has: the id, and the row's place where the id is not its own."""
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__mix_id")).agg(F.count("*").alias("n"))
+    repeated, _ = common.written(repeated.where("n > 1").select("__mix_id"), "repeated")
+    several = repeated.count()
+    name, place = F.col(key).cast("string"), F.col("__mix_row").cast("string")
+    rows = docs.withColumn("__mix_row", F.monotonically_increasing_id())
+    alone = F.col(key).isNotNull()
+    if several:
+        rows = rows.join(F.broadcast(repeated) if several <= MAX_BROADCAST_IDS else repeated, F.col(key) == F.col("__mix_id"), "left")
+        alone = alone & F.col("__mix_id").isNull()
+    named = rows.withColumn("__mix_name", F.when(alone, name).otherwise(F.concat(F.coalesce(name, F.lit("null")), F.lit("#"), place)))
+    return named.drop("__mix_row", "__mix_id")
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
@@ -111,10 +133,10 @@ def mix(
         raise ValueError(f"columns in use by the operator: {clash}")
     rates, sources = repetition_rates(docs, weights, source, exponent, epochs)
     rates = F.broadcast(rates) if sources <= MAX_BROADCAST_SOURCES else rates
-    drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
-    drawn = drawn.withColumn("__mix_n", poisson_inverse(uniform(seed, F.col(key)), F.col("__mix_rate"))).where("__mix_n > 0")
+    drawn = drawing_names(docs, key).join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
+    drawn = drawn.withColumn("__mix_n", poisson_inverse(uniform(seed, F.col("__mix_name")), F.col("__mix_rate"))).where("__mix_n > 0")
     copies = drawn.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    text = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit("/"), F.col("__mix_copy").cast("string"))
+    text = F.concat(F.lit(f"{seed}/"), F.col("__mix_name"), F.lit("/"), F.col("__mix_copy").cast("string"))
     copies = copies.withColumn("__mix_key", F.md5(text))
     shuffled = copies.repartition("__mix_key").sortWithinPartitions("__mix_key")
     draw = [F.col("__mix_copy").alias("copy_no"), F.col("__mix_n").alias("n_copies"), F.col("__mix_key").alias("shuffle_key")]
