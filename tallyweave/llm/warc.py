@@ -145,7 +145,8 @@ def captures(parsed: DataFrame) -> DataFrame:
     narrow = parsed.select("record_type", "record_id", "page_id", "payload_digest", "refers_to_record", F.octet_length("payload").cast("long").alias("size"))
     narrow, _ = common.written(narrow, "parsed")
     named = narrow.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("first"), F.first("size").alias("first_size"))
-    named = named.withColumnRenamed("record_id", "refers_to_record")
+    # written, so that the revisits of a hot payload are dealt to several tasks when they meet their response
+    named, _ = common.written(named.withColumnRenamed("record_id", "refers_to_record"), "responses")
     found = narrow.where("record_type = 'revisit'").join(named, "refers_to_record", "left")
     sizes = F.coalesce("first_size", F.raise_error(F.lit("a revisit refers to no response")).cast("long"))
     both = found.select("page_id", sizes.alias("payload_bytes"), "payload_digest", "record_type", F.col("first").alias("refers_to"))
