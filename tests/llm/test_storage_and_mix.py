@@ -106,12 +106,78 @@ def test_store(spark):
     assert len(last.shards) == 1 and last.version > 6 and sorted(map(repr, store.read().collect())) == before
     assert sorted(map(repr, store.read(first.version).collect())) == sorted(map(repr, df.where("doc_id < 10").collect()))  # old versions stay readable
     with pytest.raises(compaction.Conflict):
-        store._commit(last.version, last.schema, [])
+        store._commit(first, last.schema, [], set())
     assert store.vacuum() > 0 and store.versions() == [last.version] and sorted(map(repr, store.read().collect())) == before
     with pytest.raises(ValueError):
         store.append_batches(df.withColumn("__batch", F.lit(1)), F.lit(1))
 
 
+def test_arrivals_come_in_order_of_their_numbers(spark):
+    store = compaction.Store(spark, common.scratch(spark, "store"))
+    df = spark.range(160).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 150, (F.col("id") % 15).cast("int")).alias("batch"))
+    store.append_batches(df, F.col("batch"))
+    assert store.versions() == list(range(1, 17)) and store._numbers("s") == [16]
+    seen = [{r["batch"] for r in store.read(v).collect()} for v in store.versions()]
+    assert [new - old for old, new in zip([set(), *seen], seen)] == [*({i} for i in range(15)), {None}]
+    store.append(df.limit(1))
+    assert store.read(16).count() == 160 and store.read(17).count() == 161 and store.read(3).count() == 30
+    store.vacuum(keep=2)
+    assert store.versions() == [16, 17] and store.read(16).count() == 160 and store.read().count() == 161
+
+
+def test_a_vacuum_spares_writers_at_work(spark, monkeypatch):
+    """A second writer, and a vacuum, come between the data and the commit of the first."""
+    path = common.scratch(spark, "store")
+    store, other = compaction.Store(spark, path), compaction.Store(spark, path)
+    store.append(spark.range(10).toDF("doc_id"))
+    plain, calls = compaction.Store._commit, []
+
+    def slow(self, last, schema, add, remove):
+        if self is store and not calls:
+            calls.append(1)
+            other.append(spark.range(20, 25).toDF("doc_id"))
+            other.vacuum()
+        return plain(self, last, schema, add, remove)
+
+    monkeypatch.setattr(compaction.Store, "_commit", slow)
+    made = store.append(spark.range(10, 20).toDF("doc_id"))
+    assert calls and made.version == 3 and sorted(r["doc_id"] for r in store.read().collect()) == list(range(25))
+    assert store._announced() == set()
+
+
+@pytest.mark.parametrize("rival", ["append", "compact"])
+def test_a_merge_that_finds_its_version_taken(spark, monkeypatch, rival):
+    path = common.scratch(spark, "store")
+    store, other = compaction.Store(spark, path), compaction.Store(spark, path)
+    store.append_batches(spark.range(40).toDF("doc_id"), F.col("doc_id") % 4)
+    plain, calls = compaction.Store._commit, []
+
+    def slow(self, last, schema, add, remove):
+        if self is store and not calls:
+            calls.append(1)
+            other.append(spark.range(100, 101).toDF("doc_id").coalesce(1)) if rival == "append" else other.compact()
+        return plain(self, last, schema, add, remove)
+
+    monkeypatch.setattr(compaction.Store, "_commit", slow)
+    last = store.compact()
+    assert calls and sorted(r["doc_id"] for r in store.read().collect()) == [*range(40), *([100] if rival == "append" else [])]
+    assert len(last.shards) == (2 if rival == "append" else 1) and last == store.manifest()
+    store.vacuum()
+    assert store.read().count() == (41 if rival == "append" else 40)
+
+
+def test_a_vacuum_takes_what_dead_writers_left(spark, monkeypatch):
+    store = compaction.Store(spark, common.scratch(spark, "store"))
+    store.append(spark.range(3).toDF("doc_id"))
+    monkeypatch.setattr(compaction.Store, "_added", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.append(spark.range(3).toDF("doc_id"))
+    monkeypatch.undo()
+    assert store.vacuum() == 0
+    monkeypatch.setattr(compaction, "INTENT_HOURS", -1)
+    assert store.vacuum() > 0 and store.read().count() == 3
+
+
 def test_empty_store(spark):
     store = compaction.Store(spark, common.scratch(spark, "store"))
     empty = spark.createDataFrame([], "doc_id long, text string")
@@ -133,8 +199,8 @@ def inverse(u, mean):
     return k
 
 
-def draw(seed, key):
-    return int(hashlib.md5(f"{seed}:{'null' if key is None else key}".encode()).hexdigest()[:13], 16) / 16**13
+def draw(seed, name):
+    return int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:13], 16) / 16**13
 
 
 def test_replication_against_brute_force(spark):
@@ -146,14 +212,36 @@ def test_replication_against_brute_force(spark):
         n[r[2]] = n.get(r[2], 0) + 1
     mass = sum(math.sqrt(v) for v in n.values())
     expected = []
+    # ids that are null or not a row's own draw by the row's place besides
+    place = {(r["doc_id"], r["text"]): r["place"] for r in df.withColumn("place", F.monotonically_increasing_id()).collect()}
     for key, text, source in rows:
         rate = math.sqrt(n[source]) / mass * len(rows) / n[source]
-        k = inverse(draw(20, key), rate)
+        shared = key is None or sum(r[0] == key for r in rows) > 1
+        k = inverse(draw(20, f"{'null' if key is None else key}#{place[key, text]}" if shared else key), rate)
         expected += [(key, text, source, c, k) for c in range(1, k + 1)]
     got = [(r["doc_id"], r["text"], r["source"], r["copy_no"], r["n_copies"]) for r in mixing.mix(df).collect()]
     assert order(got) == order(expected)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_rows_of_null_and_repeated_ids_draw_alone(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_IDS", most)
+    rows = [(None, "same text", "a")] * 10_000 + [(7, "same text", "a")] * 10_000 + [(100 + i, "x", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"a": 40_000 / 20_400, "b": 800 / 20_400}
+    got = mixing.mix(df, weights).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.count("*").alias("n"), F.count_distinct("shuffle_key").alias("keys")).collect()
+    by = {r["id"]: r for r in got}
+    for i in (-1, 7):  # a mean of two copies for each row
+        assert abs(by[i]["n"] - 20_000) < 6 * math.sqrt(20_000) and by[i]["n"] != 20_000 and by[i]["keys"] == by[i]["n"]
+    assert abs(sum(r["n"] for i, r in by.items() if i >= 100) - 800) < 6 * math.sqrt(800)
+
+
+def test_long_texts_are_carried(spark):
+    df = spark.createDataFrame([(1, "y" * 3_000_000, "a"), (2, None, "a"), (3, "", "a")], "doc_id long, text string, source string")
+    got = mixing.mix(df, epochs=5.0).select("doc_id", F.length("text").alias("n")).distinct().collect()
+    assert {(r["doc_id"], r["n"]) for r in got} <= {(1, 3_000_000), (2, None), (3, 0)} and got
+
+
 def test_given_weights(spark):
     rows = [(i, "x", s) for i, s in enumerate(["a"] * 3000 + ["b"] * 1000 + ["c"] * 10 + [None] * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -250,13 +338,16 @@ def test_pipeline_against_its_parts(spark, tmp_path):
             if a < b and 100 * o >= 80 * (len(grams[a]) + len(grams[b]) - o):
                 x, y = place[a], place[b]
                 place = {k: (min(x, y) if v in (x, y) else v) for k, v in place.items()}
-    assert order(map(tuple, kept)) == order(tuple(r) for r in rows if r["doc_id"] is None or place[r["doc_id"]] == r["doc_id"])
+    assert len(rows) > len({r["doc_id"] for r in rows})  # a repeated row is one more copy, so one of its group stays
+    assert all(r["doc_id"] is not None for r in rows)
+    assert order(map(tuple, kept)) == order({tuple(r) for r in rows if place[r["doc_id"]] == r["doc_id"]})
 
     rows, kept = seen["mix_sources"]
     n = {}
     for r in rows:
         n[r["source"]] = n.get(r["source"], 0) + 1
     mass = sum(math.sqrt(v) for v in n.values())
+    assert len({r["doc_id"] for r in rows}) == len(rows)
     expected = [tuple(r) for r in rows for _ in range(inverse(draw(20, r["doc_id"]), math.sqrt(n[r["source"]]) / mass * len(rows) / n[r["source"]]))]
     assert order(map(tuple, kept)) == order(expected)
 
@@ -285,6 +376,9 @@ def test_rows_of_null_and_shared_ids_are_judged_alone(spark, tmp_path):
     copies = [(None, a, "en", "s", 1), (None, a, "en", "s", 2), (None, b, "en", "s", 3), (7, b, "en", "s", 4), (9, b, "en", "s", 5), (8, c, "en", "s", 6), (8, a + " x", "en", "s", 7)]
     left = sorted(r["n_chars"] for r in P.near_duplicates(spark, common.written(spark.createDataFrame(copies, docs.schema), "copies")[0], "").collect())
     assert left == [4, 6, 7]
+    again = [(3, a, "en", "s", 1), (3, a, "en", "s", 1), (3, a + " x", "en", "s", 2), (4, b, "en", "s", 3), (4, b, "en", "s", 3)]
+    left = sorted(r["n_chars"] for r in P.near_duplicates(spark, common.written(spark.createDataFrame(again, docs.schema), "copies")[0], "").collect())
+    assert len(left) == 2 and left[1] == 3
     with pytest.raises(ValueError):
         P.quality_rules(spark, made, "")
 
