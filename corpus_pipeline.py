@@ -52,10 +52,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of linked rows the one with the smallest id stays (null ids last, then the first row).
-
-    Rows of the group that repeat that very id stay with it, as test_pipeline_against_its_parts asks.
-    """
+    """Of a group of linked rows one stays: that with the smallest id (null ids last), of rows that share it the first."""
     rows = _numbered(docs)
     found = shinglejoin.shingle_components(rows, key="row", width=SHINGLE_WORDS, percent=SIMILARITY)
     placed, _ = common.written(found.select("row", "component_id").join(rows.select("row", "doc_id"), "row"), "places")
@@ -63,8 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = placed.groupBy("component_id").agg(F.count("*").alias("k"), first).where("k > 1").select("component_id", "first")
     groups, _ = common.written(groups, "groups")
     groups = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_ROWS else groups
-    kept = (F.col("row") == F.col("first.row")) | F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False))
-    return _keep(rows, placed.join(groups, "component_id").select("row", kept.alias("kept")))
+    return _keep(rows, placed.join(groups, "component_id").select("row", (F.col("row") == F.col("first.row")).alias("kept")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
