@@ -63,13 +63,20 @@ class Oracle:
     where: Column | None = None
 
 
-def vector_votes(vectors: DataFrame, oracles: list[Oracle], key: str) -> DataFrame:
-    """Rows (key, votes array<struct<oracle, kind, vote, rel>>, n_violations, class); oracles not evaluated are left out."""
+def vector_votes(vectors: DataFrame, oracles: list[Oracle], key: str, parsed: Column | None = None) -> DataFrame:
+    """Rows (key, votes array<struct<oracle, kind, vote, rel>>, n_violations, class); oracles not evaluated are left out.
+
+    Where ``parsed`` does not hold, the candidate gave nothing that can be read (its model failed, or its text is
+    broken): every oracle that is evaluated on all rows counts as a violation, the others are not evaluated.
+    """
+    read = F.lit(True) if parsed is None else F.coalesce(parsed, F.lit(False))
     made = []
     for o in oracles:
         rel = F.coalesce(o.rel, F.lit(0.0)) if o.rel is not None else F.lit(0.0)
-        vote = F.struct(F.lit(o.name).alias("oracle"), F.lit(o.kind).alias("kind"), o.vote.cast("int").alias("vote"), F.when(rel < float("inf"), rel).otherwise(F.lit(0.0)).alias("rel"))
-        made.append(vote if o.where is None else F.when(o.where, vote))
+        rel = F.when(read & (rel < float("inf")), rel).otherwise(F.lit(0.0))
+        vote = F.when(read, o.vote.cast("int")).otherwise(VIOLATION)
+        row = F.struct(F.lit(o.name).alias("oracle"), F.lit(o.kind).alias("kind"), vote.alias("vote"), rel.alias("rel"))
+        made.append(row if o.where is None else F.when(read & o.where, row))
     votes = F.array_compact(F.array(*made))
     bad = F.size(F.filter("votes", lambda v: v["vote"] == VIOLATION))
     fixed = F.size(F.filter("votes", lambda v: v["vote"] == INTENTIONAL))

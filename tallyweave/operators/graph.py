@@ -88,10 +88,10 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Data
     """Rows (id, level): 0 for nodes that depend on nothing, else one more than the highest level depended on.
 
     An edge points to what its source depends on. Peels the nodes without open dependencies; nodes on or above a
-    cycle get a null level.
+    cycle get a null level. An error where ``max_rounds`` end before that is known.
     """
     left, arcs = cut(nodes.select("id").distinct()), cut(known_only(edges.select("src", "dst").distinct(), nodes))
-    done, level = None, 0
+    done = None
     for level in range(max_rounds):
         open_ = arcs.select(F.col("src").alias("id")).distinct()
         free = cut(left.join(open_, "id", "left_anti"))
@@ -101,6 +101,9 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Data
         done = now if done is None else done.unionByName(now)
         left = cut(left.join(free, "id", "left_anti"))
         arcs = cut(arcs.join(free.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"levels are open after {max_rounds} rounds")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
 

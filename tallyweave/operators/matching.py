@@ -11,18 +11,37 @@ from tallyweave.operators.lineage import cut
 THRESHOLD = 0.18
 
 
+# The categories that a rule may have.
+CATEGORIES = ("Calculation", "Validation", "Routing", "Constraint")
+
+
+def _prefixes(side: DataFrame, counts: DataFrame, category: str, threshold: float) -> DataFrame:
+    """Rows (category, tok, id, n): of every set the rarest keywords, so many that two similar sets share one of them."""
+    each = side.select("id", category, F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(counts, [category, "tok"])
+    listed = each.groupBy("id", category, "n").agg(F.sort_array(F.collect_list(F.struct("k", "tok"))).alias("l"))
+    first = F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    return listed.select(category, "id", "n", F.explode(first).alias("e")).select(category, F.col("e.tok").alias("tok"), "id", "n")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, category: str, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of one category whose keyword sets have a Jaccard coefficient of at least the threshold.
 
-    Both sides have (id, category, toks). The sets are exploded and joined on category and keyword, and shared keywords
-    are counted: only pairs with a keyword in common are formed, and sizes give the union.
+    Both sides have (id, category, toks). Keywords are counted over both; a set's prefix leaves out its most frequent
+    ones, which two similar sets cannot both need. Prefixes meet by category and keyword where the sizes allow the
+    coefficient, and each pair that meets is compared once.
     """
-    side = lambda d, s: d.select(F.col("id").alias(f"{s}_id"), F.col(category), F.size("toks").alias(f"{s}_n"), F.explode("toks").alias("tok"))
-    both = side(left, "l").join(side(right, "r"), [category, "tok"]).groupBy(category, "l_id", "r_id", "l_n", "r_n").agg(F.count("*").alias("shared"))
-    return both.withColumn("jaccard", F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared"))).where(F.col("jaccard") >= threshold)
-
-
-def greedy_match(pairs: DataFrame, category: str, max_rounds: int = 200) -> DataFrame:
+    counts = left.select(category, "toks").unionByName(right.select(category, "toks")).select(category, F.explode("toks").alias("tok")).groupBy(category, "tok").agg(F.count("*").alias("k"))
+    side = lambda d, s: _prefixes(d, counts, category, threshold).withColumnsRenamed({"id": f"{s}_id", "n": f"{s}_n"})
+    sizes = F.least("l_n", "r_n") >= threshold * F.greatest("l_n", "r_n") - 1e-9
+    met = side(left, "l").join(side(right, "r"), [category, "tok"]).where(sizes).select(category, "l_id", "r_id").distinct()
+    sets = lambda d, s: d.select(category, F.col("id").alias(f"{s}_id"), F.col("toks").alias(f"{s}_toks"))
+    both = met.join(sets(left, "l"), [category, "l_id"]).join(sets(right, "r"), [category, "r_id"])
+    both = both.withColumns({"l_n": F.size("l_toks"), "r_n": F.size("r_toks"), "shared": F.size(F.array_intersect("l_toks", "r_toks")).cast("bigint")})
+    pairs = both.select(category, "l_id", "r_id", "l_n", "r_n", "shared", (F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared"))).alias("jaccard"))
+    return pairs.where(F.col("jaccard") >= threshold)
+
+
+def greedy_match(pairs: DataFrame, category: str) -> DataFrame:
     """One-to-one assignment: the best pair left first, by coefficient and then by ids.
 
     In rounds: a pair that is the best of both its ends would be taken by the sequential rule too, so all such pairs
@@ -31,7 +50,7 @@ def greedy_match(pairs: DataFrame, category: str, max_rounds: int = 200) -> Data
     rank = F.struct((-F.col("jaccard")).alias("less"), "l_id", "r_id")
     left = cut(pairs.select(category, "l_id", "r_id", "jaccard"))
     taken = None
-    for _ in range(max_rounds):
+    while True:  # every round takes at least the best pair of all that are left
         best = lambda end: left.groupBy(category, end).agg(F.min(rank).alias("best")).select(category, F.col("best.l_id").alias("l_id"), F.col("best.r_id").alias("r_id"))
         both = best("l_id").intersect(best("r_id"))
         won = cut(left.join(both, [category, "l_id", "r_id"], "left_semi"))
@@ -39,7 +58,6 @@ def greedy_match(pairs: DataFrame, category: str, max_rounds: int = 200) -> Data
         left = cut(left.join(won.select(category, "l_id"), [category, "l_id"], "left_anti").join(won.select(category, "r_id"), [category, "r_id"], "left_anti"))
         if left.isEmpty():
             return taken
-    raise RuntimeError(f"pairs are left after {max_rounds} rounds")
 
 
 def match_score(matches: DataFrame, left: DataFrame, right: DataFrame, category: str) -> DataFrame:
@@ -59,10 +77,10 @@ def with_tokens(df: DataFrame, key: str, text: str, category: Column) -> DataFra
 def parse_turtle(blocks: DataFrame, text: str) -> DataFrame:
     """Rules of Turtle statements, one block in a row: category, label, statement, expression, references.
 
-    A comment from a # outside quotes to the end of its line is stripped; blocks with no category give no row.
+    A comment from a # outside quotes to the end of its line is stripped; blocks without a known category give no row.
     """
     bare = F.regexp_replace(F.col(text), r'(?m)^((?:[^"#\n]|"(?:[^"\\]|\\.)*")*)#.*$', "$1")
     value = lambda p: F.nullif(F.regexp_extract("__t", p + r'\s+"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
     out = blocks.withColumn("__t", bare)
     out = out.withColumns({"category": value(":category"), "label": value("rdfs:label"), "statement": value(":statement"), "expression": value(":expression")})
-    return out.withColumn("refs", F.regexp_extract_all("__t", F.lit(r':sourceRef\s+"((?:[^"\\]|\\.)*)"'), F.lit(1))).where("category is not null").drop("__t")
+    return out.withColumn("refs", F.regexp_extract_all("__t", F.lit(r':sourceRef\s+"((?:[^"\\]|\\.)*)"'), F.lit(1))).where(F.col("category").isin(*CATEGORIES)).drop("__t")

@@ -34,6 +34,9 @@ STANDING = (("AU-10", "provenance.json"), ("CM-8", "sbom.json"), ("SA-15", "sbom
 # The gates and what their evidence must show.
 GATES = ("KG1", "KG2", "Design", "Translation", "Acceptance")
 # Node types of schema documents.
+CONTROL_FLOW_TYPES = ("SEQUENCE", "BRANCH", "FOR_LOOP", "WHILE_LOOP", "DO_UNTIL", "SWITCH", "TRY_CATCH", "PARALLEL", "PIPELINE", "EVENT_HANDLER", "STATE_MACHINE", "COROUTINE")
+BUSINESS_LOGIC_TYPES = ("RULE", "CONSTRAINT", "INVARIANT", "VALIDATION", "CALCULATION", "CLASSIFICATION", "ROUTING", "AUTHORIZATION", "AUDIT", "NOTIFICATION")
+INFRASTRUCTURE_TYPES = ("FILE_IO", "DB_QUERY", "API_CALL", "MESSAGE_SEND", "MESSAGE_RECEIVE", "STREAM_PROCESS", "BATCH_JOB", "TIMER", "LOGGING", "CONFIGURATION")
 DATA_FLOW_TYPES = ("VARIABLE", "CONSTANT", "PARAMETER", "RETURN_VALUE", "ASSIGNMENT", "ARITHMETIC", "COMPARISON", "CAST", "AGGREGATE", "COLLECTION", "RECORD", "FIXED_DECIMAL", "FLOATING_POINT", "STRING_OP", "DATE_TIME")
 
 
@@ -96,10 +99,9 @@ def gate_passed(gate: Column, evidence: Column) -> Column:
 
 def gate_decisions(gates: DataFrame) -> DataFrame:
     """Rows (gate, passed, payload): the payload is canonical, with keys in order, and goes to the ledger."""
-    entries = F.array_sort(F.map_entries("evidence"))
-    listed = F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"'))), ",")
     passed = gate_passed(F.col("gate"), F.col("evidence"))
-    payload = F.concat(F.lit('{"gate":"'), F.col("gate"), F.lit('","passed":'), passed.cast("string"), F.lit(',"evidence":{'), listed, F.lit("}}"))
+    ordered = F.map_from_entries(F.array_sort(F.map_entries("evidence")))
+    payload = F.to_json(F.struct("gate", passed.alias("passed"), ordered.alias("evidence")), {"ignoreNullFields": "false"})
     return gates.select("gate", passed.alias("passed"), payload.alias("payload"))
 
 
@@ -150,6 +152,39 @@ def schema_document(df: DataFrame, module: str) -> DataFrame:
     return rows_of(df.sparkSession, "module string, node_id string, type string, name string, nullable boolean, parent string", rows)
 
 
+LAYERS = {"controlFlow": CONTROL_FLOW_TYPES, "dataFlow": DATA_FLOW_TYPES, "businessLogic": BUSINESS_LOGIC_TYPES, "infrastructure": INFRASTRUCTURE_TYPES}
+
+
+def layered_nodes(fields: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (module, layer, node_id, type, name): fields as data flow, calls as control flow, accesses, rules by category.
+
+    ``fields`` comes from ``schema_document`` and names the module, ``edges`` has (src, dst, kind), ``rules`` (rule,
+    category, statement). A category that is no type of a rule counts as RULE.
+    """
+    module = fields.select("module").limit(1)
+    node = lambda layer, i, kind, name: (F.lit(layer).alias("layer"), i.alias("node_id"), kind.alias("type"), name.alias("name"))
+    arrow = F.concat_ws("->", "src", "dst")
+    known = F.when(F.upper("category").isin(*BUSINESS_LOGIC_TYPES), F.upper("category")).otherwise("RULE")
+    parts = [
+        fields.select(*node("dataFlow", F.col("node_id"), F.col("type"), F.col("name"))),
+        edges.where("kind = 'Calls'").select(*node("controlFlow", arrow, F.lit("SEQUENCE"), F.col("dst"))),
+        edges.where("kind = 'DataAccess'").select(*node("infrastructure", arrow, F.lit("DB_QUERY"), F.col("src"))),
+        rules.select(*node("businessLogic", F.concat(F.lit("rule:"), "rule"), known, F.col("statement"))),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(module.withColumn("one", F.lit(1))), "one").select("module", "layer", "node_id", "type", "name")  # one row
+
+
+def layer_errors(nodes: DataFrame) -> DataFrame:
+    """Rows (node_id, error) of layered nodes whose layer, or whose type within it, is not known, or that lack a name."""
+    types = F.create_map(*[x for k, v in LAYERS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
+    allowed = F.try_element_at(types, F.col("layer"))
+    wrong = [(allowed.isNull(), "unknown layer"), (F.coalesce(~F.array_contains(allowed, F.col("type")), F.lit(False)), "unknown type"), (~S.given(F.col("name")), "missing name")]
+    return nodes.select("node_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in wrong]))).alias("error"))
+
+
 def schema_errors(nodes: DataFrame) -> DataFrame:
     """Rows (node_id, error) of nodes with an unknown type, an empty name, a repeated id or a parent that is none."""
     w = Window.partitionBy("node_id")

@@ -19,14 +19,14 @@ def _first(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.min("line_no").alias("line_no"))
 
 
-def security_findings(files: DataFrame, *, skip_comments: bool = True) -> DataFrame:
-    """Findings in files (path, language, content).
+def security_findings(files: DataFrame, *, skip_comments: tuple[str, ...] = ("sql", "javascript")) -> DataFrame:
+    """Findings in files (path, language, content); lines that are comments are skipped in the given languages.
 
     In C#: connection strings, secrets and disabled certificate checks line by line, and the first command whose text
     is concatenated within a few lines. In SQL and JavaScript the first line of each kind.
     """
     lines = X.lines(files.withColumn("content", F.replace("content", F.lit("\r\n"), F.lit("\n"))), "content", "path", "language")
-    code = lines.where(X.not_comment()) if skip_comments else lines
+    code = lines.where(X.not_comment() | ~F.col("language").isin(*skip_comments)) if skip_comments else lines
     of = lambda language: code.where(F.col("language") == language)
     has = lambda p: F.col("line").rlike(p)
     w = Window.partitionBy("path").orderBy("line_no").rangeBetween(0, LOOK_AHEAD - 1)

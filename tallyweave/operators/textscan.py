@@ -69,10 +69,11 @@ def not_comment() -> Column:
     return ~F.col("line").rlike(COMMENT)
 
 
-def findings(docs: DataFrame, text: str, key: str, patterns: tuple[Pattern, ...], *, skip_comments: bool = False) -> DataFrame:
-    """A row for each line and pattern that meet: key, line_no, name, family, severity and flags.
+def findings(docs: DataFrame, text: str, key: str, patterns: tuple[Pattern, ...], *, skip_comments: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each line and pattern that meet: key, kept columns, line_no, name, family, severity and flags.
 
-    Each line is matched against all patterns in one pass; lines that hold nothing never leave it.
+    Texts in which no pattern matches anywhere are left out before they are cut into lines: a pattern that matches a
+    line matches the text. Each line left is matched against all patterns in one pass.
     """
     hit = [
         F.when(
@@ -81,9 +82,38 @@ def findings(docs: DataFrame, text: str, key: str, patterns: tuple[Pattern, ...]
         )
         for p in patterns
     ]
-    rows = lines(docs, text, key)
+    some = F.lit(False)
+    for p in patterns:
+        some = some | F.col(text).rlike(p.regex)
+    rows = lines(docs.where(some), text, key, *keep)
     rows = rows.where(not_comment()) if skip_comments else rows
-    return rows.select(key, "line_no", F.inline(F.array_compact(F.array(*hit))))
+    return rows.select(key, *keep, "line_no", F.inline(F.array_compact(F.array(*hit))))
+
+
+def whole_text_findings(docs: DataFrame, text: str, key: str, patterns: tuple[Pattern, ...]) -> DataFrame:
+    """A row for each match of each pattern in a whole text, which may span lines: key, line_no, name, family, severity, matched.
+
+    ``line_no`` is the line in which the match starts. Matches of a pattern do not overlap; the text is split before
+    each of them, and the lines of the parts before it are counted.
+    """
+    mark = "\u0001"
+    made = []
+    for p in patterns:
+        parts = F.split(F.regexp_replace(F.replace(F.col(text), F.lit(mark), F.lit(" ")), f"({p.regex})", f"{mark}$1"), mark)
+        breaks = F.transform(parts, lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))))
+        found = F.regexp_extract_all(F.replace(F.col(text), F.lit(mark), F.lit(" ")), F.lit(f"({p.regex})"), F.lit(1))
+
+        def row(m: Column, i: Column, p: Pattern = p, breaks: Column = breaks) -> Column:
+            before = F.aggregate(F.slice(breaks, F.lit(1), i + 1), F.lit(0), lambda s, n: s + n)
+            return F.struct((before + 1).alias("line_no"), F.lit(p.name).alias("name"), F.lit(p.family).alias("family"), F.lit(p.severity).alias("severity"), m.alias("matched"))
+
+        made.append(F.when(F.col(text).rlike(p.regex), _numbered(found, row)).otherwise(F.array().cast("array<struct<line_no: int, name: string, family: string, severity: string, matched: string>>")))
+    return docs.select(key, F.inline(F.concat(*made)))
+
+
+def _numbered(values: Column, row) -> Column:
+    """``row`` of every value and its place from 0."""
+    return F.transform(values, lambda m, i: row(m, i))
 
 
 def highest_per_place(found: DataFrame, key: str) -> DataFrame:
@@ -132,3 +162,41 @@ def recognise(docs: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
         for r in rules
     ]
     return docs.select(key, F.inline(F.array_compact(F.array(*made))))
+
+
+@dataclass(frozen=True)
+class Structure:
+    """A recogniser of a construction in a source text: all of its patterns occur."""
+
+    name: str
+    category: str
+    confidence: float
+    patterns: tuple[str, ...]
+
+
+# Categories and confidences of the twelve recognisers, and the names by which they know a construction.
+STRUCTURAL = (
+    Structure("great-circle-leg-distance", "Calculation", 0.92, (r"EarthRadius", r"\.Sqrt\s*\(")),
+    Structure("total-distance-accumulation", "Calculation", 0.9, (r"(?i)\w*total\w*\s*\+=",)),
+    Structure("estimated-time-on-target", "Calculation", 0.85, (r"launchEpochSec", r"NominalSpeed")),
+    Structure("anti-meridian-wrap", "Calculation", 0.9, (r"\b360\b", r"\b180\b", r"\bwhile\s*\(")),
+    Structure("leg-degree-box", "Validation", 0.9, (r"MaxLegDLat", r"MaxLegDLon")),
+    Structure("turn-rate-limit", "Validation", 0.9, (r"MaxTurnDeg",)),
+    Structure("tot-tolerance", "Validation", 0.9, (r"TotTol", r"\bAbs\b", r"desiredTot")),
+    Structure("route-validity", "Validation", 0.85, (r"\brouteValid\s*=\s*false\b",)),
+    Structure("sequential-waypoints", "Routing", 0.85, (r"\[i ?\+ ?1\]", r"\bfor\s*\(")),
+    Structure("categorical-go-no-go", "Constraint", 0.93, (r"""==\s*"[^"]+"\s*&&[^;]*==\s*"[^"]+""", r"(?i)goNoGo")),
+    Structure("range-by-variant", "Constraint", 0.85, (r"Dictionary<string, double>", r"\b900\b")),
+    Structure("maximum-leg-length", "Constraint", 0.8, (r"MaxLegNm|MAX_LEG_NM",)),
+)
+
+
+def structural_rules(text: str) -> list[Rule]:
+    """The recognisers as rules on a column of source texts."""
+    made = []
+    for s in STRUCTURAL:
+        when = F.lit(True)
+        for p in s.patterns:
+            when = when & F.col(text).rlike(p)
+        made.append(Rule(s.name, s.category, s.name.replace("-", " "), s.confidence, when))
+    return made

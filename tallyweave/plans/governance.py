@@ -100,31 +100,35 @@ def remediation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir)
 
 
-_CLAIMS = [
-    ("C-1", "sums are exact", "orders", "quant", "A", None, "src/a.py:12"),
-    ("C-1", "again", "orders", "quant", "E", None, None),
-    ("c2", "lower case", "parts", "qual", "P", " ", None),
-    ("C-3", "", "parts", "qual", "A", None, ""),
-    ("C-4", "forbidden", None, "qual", "I", None, None),
-    ("C-5", "fine", "parts", "qual", "P", "preliminary", None),
-    ("C-6", "no status", "parts", "qual", None, None, None),
-]
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims: what they lack follows from their status, priority and price."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "E").when(F.col("o_totalprice") > 400_000, "X").when(F.col("o_totalprice") > 50_000, "P")
+    return orders.select(
+        F.concat(F.when(F.col("o_orderpriority") == "5-LOW", "c").otherwise("C-"), F.col("o_custkey").cast("string")).alias("claim_id"),
+        F.when(F.col("o_totalprice") > 20_000, "sums are exact").otherwise(" ").alias("claim_text"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("source"), F.lit("quant").alias("claim_type"),
+        status.alias("status"), F.when(F.col("o_totalprice") > 200_000, "preliminary").alias("label"), F.when(F.col("o_totalprice") > 90_000, "src/a.py:12").alias("evidence"),
+    )
 
 
 def claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = spark.createDataFrame(_CLAIMS, "claim_id string, claim_text string, source string, claim_type string, status string, label string, evidence string")
-    return P.audit_claims(claims)
+    return P.audit_claims(_claims(spark, sf_dir))
 
 
 def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = spark.createDataFrame(_CLAIMS, "claim_id string, claim_text string, source string, claim_type string, status string, label string, evidence string")
-    return claims.groupBy(F.when(F.col("status").isin("A", "E", "P"), F.col("status")).otherwise("other").alias("status")).agg(F.count("*").alias("n"))
+    known = F.when(F.col("status").isin("A", "E", "P"), F.col("status")).otherwise("other")
+    return _claims(spark, sf_dir).groupBy(known.alias("status")).agg(F.count("*").alias("n"))
+
+
+#: What may follow an artifact's path.
+TAILS = (":12", ":3-9", "#top", " (partial)", ":\u00a72.1", ":main()", "?x=1 ", "")
 
 
 def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = ("src/a.cs:12", "src/b.cs:3-9", "results/x.json#top", "y.json (partial)", "doc.md:§2.1", "z.py:main()", "a:b/c", " q?x=1 ")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in paths])).alias("path"))
-    return rows.select("path", P.clean_artifact(F.col("path")).alias("cleaned"))
+    """Files named after parts, with a tail by their size."""
+    tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), F.pmod("p_size", F.lit(len(TAILS))) + 1)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("results/"), F.col("p_name"), F.lit(".json"), tail).alias("path"))
+    return rows.select("p_partkey", "path", P.clean_artifact(F.col("path")).alias("cleaned"))
 
 
 def schema_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +210,13 @@ WITH e AS (
   UNION ALL SELECT 3, id, '    class ' || replace(id, '-', '_') || ' ' || CASE WHEN risk >= 0.66 THEN 'high' WHEN risk >= 0.40 THEN 'med' ELSE 'low' END || ';' FROM u
 ) SELECT 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, key) || chr(10) AS doc FROM l"""
 
+_CLAIMS_SQL = """
+WITH c AS (
+  SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'c' ELSE 'C-' END || o_custkey AS claim_id, o_totalprice > 20000 AS worded, o_orderpriority <> '1-URGENT' AS sourced,
+    CASE WHEN o_orderstatus = 'F' THEN 'A' WHEN o_orderstatus = 'O' THEN 'E' WHEN o_totalprice > 400000 THEN 'X' WHEN o_totalprice > 50000 THEN 'P' END AS status,
+    o_totalprice > 200000 AS labelled, o_totalprice > 90000 AS proven FROM orders
+)"""
+
 QUERIES = {
     "ledger_entries": ledger_entries,
     "ledger_head": ledger_head,
@@ -247,10 +258,13 @@ SELECT gate, CASE gate WHEN 'KG1' THEN true WHEN 'KG2' THEN n = 0 WHEN 'Design'
 FROM v, (VALUES ('KG1'), ('KG2'), ('Design'), ('Translation'), ('Acceptance'), ('Unknown')) g(gate)""",
     "control_evidence": _CONTROLS_SQL + "SELECT control_id, control_name, evidence FROM controls",
     "remediation_items": _ITEMS_SQL + "SELECT id, weakness, status, schedule FROM items",
-    "claims_audit": """SELECT * FROM (VALUES ('C-1', 'duplicate claim_id'), ('C-1', 'duplicate claim_id'), ('c2', 'malformed claim_id'), ('c2', 'status P without label'), ('C-3', 'missing claim_text'), ('C-3', 'status A without evidence'),
-  ('C-4', 'missing source'), ('C-4', 'unknown status'), ('C-6', 'missing status')) t(claim_id, issue)""",
-    "claim_status": "SELECT status, CAST(n AS BIGINT) AS n FROM (VALUES ('A', 2), ('E', 1), ('P', 2), ('other', 2)) t(status, n)",
-    "clean_artifacts": "SELECT * FROM (VALUES ('src/a.cs:12', 'src/a.cs'), ('src/b.cs:3-9', 'src/b.cs'), ('results/x.json#top', 'results/x.json'), ('y.json (partial)', 'y.json'), ('doc.md:§2.1', 'doc.md'), ('z.py:main()', 'z.py'), ('a:b/c', 'a:b/c'), (' q?x=1 ', 'q')) t(path, cleaned)",
+    "claims_audit": _CLAIMS_SQL
+    + """, d AS (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n FROM c), i AS (
+  SELECT claim_id, unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate claim_id' END, CASE WHEN claim_id[1] = 'c' THEN 'malformed claim_id' END, CASE WHEN NOT worded THEN 'missing claim_text' END, CASE WHEN NOT sourced THEN 'missing source' END,
+    CASE WHEN status IS NULL THEN 'missing status' END, CASE WHEN status = 'X' THEN 'unknown status' END, CASE WHEN status = 'P' AND NOT labelled THEN 'status P without label' END, CASE WHEN status = 'A' AND NOT proven THEN 'status A without evidence' END], lambda x: x IS NOT NULL)) AS issue FROM d
+) SELECT claim_id, issue FROM i""",
+    "claim_status": _CLAIMS_SQL + " SELECT CASE WHEN status IN ('A', 'E', 'P') THEN status ELSE 'other' END AS status, count(*) AS n FROM c GROUP BY 1",
+    "clean_artifacts": f"SELECT p_partkey, 'results/' || p_name || '.json' || {list(TAILS)!r}[CAST(p_size % 8 + 1 AS INTEGER)] AS path, 'results/' || p_name || '.json' AS cleaned FROM part",
     "render_flow": _FLOW_SQL,
     "render_controls": _CONTROLS_SQL
     + f""", y AS (SELECT control_id, control_name, list_transform(string_split(evidence, '|'), lambda x: '      - ' || {_YAML("x")}) AS l FROM controls)

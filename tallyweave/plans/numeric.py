@@ -26,14 +26,13 @@ def _oracles() -> list[D.Oracle]:
     # per line, a tagged candidate equals the reference and any other one the baseline
     line = F.when(c("urgent") & (c("lines_off") > 0), D.INTENTIONAL).otherwise(D.EQUIVALENT)
     line_rel = F.when(c("urgent"), c("line_rel")).otherwise(F.lit(0.0))
-    same = lambda col: D.discrete_vote(c(col), c(col), c(col))
     units = D.discrete_vote(c("base_units"), c("cand_units"), c("ref_units"))
     return [
         discrete("big_order", "big"),
         discrete("within_units", "ok"),
-        D.Oracle("has_return", "discrete", same("returned")),
+        discrete("has_return", "returned"),
         discrete("handling_units", "units"),
-        D.Oracle("line_count", "discrete", same("lines")),
+        discrete("line_count", "lines"),
         discrete("message_count", "messages"),
         D.Oracle("line_values", "continuous", line, line_rel),
         D.Oracle("total_value", "continuous", total, total_rel),
@@ -144,16 +143,17 @@ _LN20, _LN1000 = math.log(1 / (1 - 0.95)), math.log(1 / (1 - 0.999))
 _VECTORS_SQL = """
 WITH each_line AS (
   SELECT l_orderkey, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * 100 AS BIGINT) * (100 - CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS BIGINT)) AS exact,
-    l_returnflag = 'R' AS returned FROM lineitem
+    l_returnflag = 'R' AS returned, l_returnflag, l_partkey FROM lineitem
 ), rounded_line AS (
   SELECT *, (exact // 100 + CASE WHEN 2 * (exact % 100) > 100 OR (2 * (exact % 100) = 100 AND (exact // 100) % 2 = 1) THEN 1 ELSE 0 END) * 100 AS rounded FROM each_line
 ), rel_line AS (
   SELECT *, abs(exact / 10000.0::DOUBLE - rounded / 10000.0::DOUBLE) / greatest(abs(exact / 10000.0::DOUBLE), abs(rounded / 10000.0::DOUBLE), 1e-12::DOUBLE) AS rel FROM rounded_line
 ), per AS (
-  SELECT l_orderkey, count(*) AS lines, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(rounded) AS BIGINT) AS rounded, max(CAST(returned AS INT)) AS returned, max(rel) AS line_rel,
+  SELECT l_orderkey, count(*) AS lines, count(l_orderkey) AS base_lines, count(l_partkey) AS cand_lines, count(*) FILTER (WHERE returned) > 0 AS base_returned, max(l_returnflag) >= 'R' AS cand_returned, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(rounded) AS BIGINT) AS rounded, max(CAST(returned AS INT)) AS returned, max(rel) AS line_rel,
     CAST(sum(CASE WHEN rel > 1e-9::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS lines_off FROM rel_line GROUP BY l_orderkey
 ), v0 AS (
-  SELECT o_orderkey, o_orderpriority, coalesce(lines, 0) AS lines, coalesce(exact, 0) AS exact, coalesce(rounded, 0) AS rounded, coalesce(returned, 0) AS returned,
+  SELECT o_orderkey, o_orderpriority, coalesce(lines, 0) AS ref_lines, coalesce(base_lines, 0) AS base_lines, coalesce(cand_lines, 0) AS cand_lines, coalesce(returned, 0) = 1 AS ref_returned,
+    coalesce(base_returned, false) AS base_returned, coalesce(cand_returned, false) AS cand_returned, coalesce(lines, 0) AS lines, coalesce(exact, 0) AS exact, coalesce(rounded, 0) AS rounded, coalesce(returned, 0) AS returned,
     coalesce(line_rel, 0) AS line_rel, coalesce(lines_off, 0) AS lines_off, o_orderpriority = '1-URGENT' AS urgent
   FROM orders LEFT JOIN per ON o_orderkey = l_orderkey
 ), v1 AS (
@@ -182,9 +182,9 @@ _SQL_LINE, _SQL_LINE_REL = "CASE WHEN urgent AND lines_off > 0 THEN 1 ELSE 0 END
 _SQL_ORACLES = [
     ("big_order", "discrete", _sql_discrete("big"), "0.0::DOUBLE", "true"),
     ("within_units", "discrete", _sql_discrete("ok"), "0.0::DOUBLE", "true"),
-    ("has_return", "discrete", "0", "0.0::DOUBLE", "true"),
+    ("has_return", "discrete", _sql_discrete("returned"), "0.0::DOUBLE", "true"),
     ("handling_units", "discrete", _sql_discrete("units"), "0.0::DOUBLE", "true"),
-    ("line_count", "discrete", "0", "0.0::DOUBLE", "true"),
+    ("line_count", "discrete", _sql_discrete("lines"), "0.0::DOUBLE", "true"),
     ("message_count", "discrete", _sql_discrete("messages"), "0.0::DOUBLE", "true"),
     ("line_values", "continuous", _SQL_LINE, _SQL_LINE_REL, "true"),
     ("total_value", "continuous", _SQL_TOTAL, "bc", "true"),
@@ -192,15 +192,18 @@ _SQL_ORACLES = [
     ("property:returned", "discrete", _sql_discrete("units"), "0.0::DOUBLE", "returned = 1"),
     ("property:urgent", "continuous", _SQL_LINE, _SQL_LINE_REL, "urgent"),
 ]
-_VOTES_SQL = (
-    _VECTORS_SQL
-    + ", votes AS ("
-    + " UNION ALL ".join(f"SELECT o_orderkey, '{n}' AS oracle, '{k}' AS kind, {v} AS vote, {r} AS rel FROM v WHERE {w}" for n, k, v, r, w in _SQL_ORACLES)
-    + """), classes AS (
+def votes_sql(parsed: str = "true") -> str:
+    """Common tables ``votes`` and ``classes``; where the condition does not hold, the candidate cannot be read."""
+    each = [
+        f"SELECT o_orderkey, '{n}' AS oracle, '{k}' AS kind, CASE WHEN {parsed} THEN {v} ELSE 2 END AS vote, CASE WHEN {parsed} THEN {r} ELSE 0.0::DOUBLE END AS rel FROM v WHERE {w}" + (f" AND {parsed}" if w != "true" else "")
+        for n, k, v, r, w in _SQL_ORACLES
+    ]
+    return f"""{_VECTORS_SQL}, votes AS ({" UNION ALL ".join(each)}), classes AS (
   SELECT o_orderkey, CAST(sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) AS INTEGER) AS n_violations,
     CASE WHEN max(vote) = 2 THEN 'violation' WHEN max(vote) = 1 THEN 'intentional' ELSE 'pass' END AS class FROM votes GROUP BY o_orderkey
 )"""
-)
+
+
 _LEGS_SQL = """
 WITH points AS (
   SELECT user_id, event_id, ts, ((event_id * 37) % 1200) / 10.0::DOUBLE - 60.0::DOUBLE AS lat, ((event_id * 101) % 3600) / 10.0::DOUBLE - 180.0::DOUBLE AS lon FROM events
@@ -229,6 +232,21 @@ _DECISIONS_SQL = (
 )"""
 )
 
+def report_sql(parsed: str = "true") -> str:
+    return f"""{votes_sql(parsed)}, t AS (
+  SELECT count(*) AS vectors_total, CAST(sum(CASE WHEN class = 'pass' THEN 1 ELSE 0 END) AS BIGINT) AS vectors_passed,
+    CAST(sum(CASE WHEN class = 'intentional' THEN 1 ELSE 0 END) AS BIGINT) AS intentional_vectors, CAST(sum(CASE WHEN class = 'violation' THEN 1 ELSE 0 END) AS BIGINT) AS violating_vectors,
+    CAST(sum(n_violations) AS BIGINT) AS total_violations FROM classes
+)
+SELECT oracle, kind, count(*) AS evaluated, CAST(sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) AS BIGINT) AS violations, CAST(sum(CASE WHEN vote = 1 THEN 1 ELSE 0 END) AS BIGINT) AS intentional,
+  max(rel) AS max_rel_error, max(vote) FILTER (WHERE vote = 1) IS NOT NULL AS is_intentional, any_value(vectors_total) AS vectors_total, any_value(vectors_passed) AS vectors_passed,
+  any_value(intentional_vectors) AS intentional_vectors, any_value(violating_vectors) AS violating_vectors, any_value(total_violations) AS total_violations,
+  any_value(CASE WHEN total_violations = 0 THEN {_LN20!r}::DOUBLE / vectors_passed ELSE total_violations / CAST(vectors_total AS DOUBLE) END) AS bound,
+  any_value(CASE WHEN total_violations = 0 THEN {_LN1000!r}::DOUBLE / vectors_passed END) AS secondary_bound
+FROM votes, t GROUP BY oracle, kind
+"""
+
+
 QUERIES = {
     "diff_oracle_report": diff_oracle_report,
     "diff_vector_class": diff_vector_class,
@@ -248,20 +266,8 @@ _EXPECTED_SQL, _DETECTED_SQL = (
     "(br > 1e-9::DOUBLE OR base_ok <> ref_ok OR base_big <> ref_big)",
 )
 ORACLES = {
-    "diff_oracle_report": _VOTES_SQL
-    + f""", t AS (
-  SELECT count(*) AS vectors_total, CAST(sum(CASE WHEN class = 'pass' THEN 1 ELSE 0 END) AS BIGINT) AS vectors_passed,
-    CAST(sum(CASE WHEN class = 'intentional' THEN 1 ELSE 0 END) AS BIGINT) AS intentional_vectors, CAST(sum(CASE WHEN class = 'violation' THEN 1 ELSE 0 END) AS BIGINT) AS violating_vectors,
-    CAST(sum(n_violations) AS BIGINT) AS total_violations FROM classes
-)
-SELECT oracle, kind, count(*) AS evaluated, CAST(sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) AS BIGINT) AS violations, CAST(sum(CASE WHEN vote = 1 THEN 1 ELSE 0 END) AS BIGINT) AS intentional,
-  max(rel) AS max_rel_error, max(vote) FILTER (WHERE vote = 1) IS NOT NULL AS is_intentional, any_value(vectors_total) AS vectors_total, any_value(vectors_passed) AS vectors_passed,
-  any_value(intentional_vectors) AS intentional_vectors, any_value(violating_vectors) AS violating_vectors, any_value(total_violations) AS total_violations,
-  any_value(CASE WHEN total_violations = 0 THEN {_LN20!r}::DOUBLE / vectors_passed ELSE total_violations / CAST(vectors_total AS DOUBLE) END) AS bound,
-  any_value(CASE WHEN total_violations = 0 THEN {_LN1000!r}::DOUBLE / vectors_passed END) AS secondary_bound
-FROM votes, t GROUP BY oracle, kind
-""",
-    "diff_vector_class": _VOTES_SQL + "SELECT o_orderkey, n_violations, class FROM classes",
+    "diff_oracle_report": report_sql(),
+    "diff_vector_class": votes_sql() + "SELECT o_orderkey, n_violations, class FROM classes",
     "divergence_confusion": _VECTORS_SQL
     + f""", c AS (
   SELECT o_orderpriority, CAST(sum(CASE WHEN {_DETECTED_SQL} AND {_EXPECTED_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN {_DETECTED_SQL} AND NOT {_EXPECTED_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS fp,

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import corpora, governance, graphs, numeric, texts
+from tallyweave.plans import corpora, exchange, governance, graphs, numeric, planning, texts
 
-_MODULES = (numeric, texts, graphs, governance, corpora)
+_MODULES = (numeric, texts, graphs, governance, corpora, planning, exchange)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

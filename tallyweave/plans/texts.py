@@ -62,7 +62,7 @@ def html_findings_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in documents by what the benchmark items still hold; documents in English or German are in scope."""
     docs = table(spark, sf_dir, "documents")
-    before = X.highest_per_place(X.findings(docs, "text", "doc_id", (*_SECRETS, *X.ALGORITHMS), skip_comments=True), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    before = X.highest_per_place(X.findings(docs, "text", "doc_id", (*_SECRETS, *X.ALGORITHMS), skip_comments=True, keep=("lang",)), "doc_id")
     after = X.findings(table(spark, sf_dir, "benchmark"), "text", "item_id", (*_SECRETS, *X.ALGORITHMS), skip_comments=True)
     out = X.dispositions(before, after, "name", F.col("lang").isin("en", "de"))
     return out.select("doc_id", "line_no", "name", "severity", "disposition")
@@ -128,31 +128,42 @@ def blob_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.points_of_blob(blobs, "event_id", "blob")
 
 
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with lines, with the status that their lines give them."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("status"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", F.concat(F.lit("lines:"), "status").alias("o_orderstatus"))
+
+
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of the orders as the target, half of them again with another status as the source."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    target = orders.where(F.pmod("o_orderkey", F.lit(3)) != 0)
-    source = orders.where(F.pmod("o_orderkey", F.lit(2)) == 0).withColumn("o_orderstatus", F.lit("U"))
-    return scans.upsert(target, source, "o_orderkey")
+    """All orders as the target; what their lines say of their status is the source."""
+    target = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return scans.upsert(target, _settled(spark, sf_dir), "o_orderkey")
 
 
 def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders that the target of the upsert lacks."""
-    orders = table(spark, sf_dir, "orders").where(F.pmod("o_orderkey", F.lit(3)) != 0)
+    """Lines of orders that are no longer open."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return scans.orphans(lines, orders, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
 
 
-_TURTLE = (
-    'r:one a w:Rule ; # first\n  w:category "Constraint" ; rdfs:label "limit" ;\n  w:statement "a # within quotes" ; w:expression "x < 3" ; w:sourceRef "a.cs" ; w:sourceRef "b.cs"',
-    'r:two a w:Rule ;\n  w:category "Routing" ; rdfs:label "order" ; w:statement "first come"',
-    'r:three a w:Note ; rdfs:label "no category"',
-)
+def whole_text_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole documents, matches over several lines included."""
+    found = X.whole_text_findings(table(spark, sf_dir, "documents"), "text", "doc_id", X.SECRETS)
+    return found.select("doc_id", "line_no", "name", "severity", S.sha256(F.col("matched")).alias("matched_sha256"))
 
 
 def gold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in _TURTLE])).alias("t"))
-    return M.parse_turtle(blocks, "t").select("category", "label", "statement", "expression", F.array_join("refs", "|").alias("refs"))
+    """Nations as rules in Turtle, with comments and quoted signs, read again; those of the last regions name no known category."""
+    category = F.element_at(F.array(*[F.lit(c) for c in ("Constraint", "Routing", "Validation", "Calculation", "Unknown")]), F.col("n_regionkey") + 1)
+    refs = F.when(F.col("n_nationkey") > 9, F.concat(F.lit(' ; w:sourceRef "a.cs" ; w:sourceRef "b'), F.col("n_nationkey").cast("string"), F.lit('.cs"'))).otherwise("")
+    expression = F.when(F.col("n_nationkey") < 5, F.concat(F.lit(' ; w:expression "x < '), F.col("n_nationkey").cast("string"), F.lit('"'))).otherwise("")
+    name = F.col("n_name")
+    text = F.concat(
+        F.lit("r:"), name, F.lit(" a w:Rule ; # first\n  w:category \""), category, F.lit('" ; rdfs:label "'), name, F.lit('" ;\n  w:statement "a # within '), name, F.lit('"'), expression, refs
+    )
+    return M.parse_turtle(table(spark, sf_dir, "nation").select(text.alias("t")), "t").select("category", "label", "statement", "expression", F.array_join("refs", "|").alias("refs"))
 
 
 def _sql(p: str) -> str:
@@ -217,6 +228,7 @@ QUERIES = {
     "blob_points": blob_points,
     "upsert_orders": upsert_orders,
     "orphan_lines": orphan_lines,
+    "whole_text_secrets": whole_text_secrets,
     "gold_rules": gold_rules,
 }
 _ALL = (*_SECRETS, *X.ALGORITHMS)
@@ -250,7 +262,13 @@ ORACLES = {
 ) SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r""",
     "tolerant_json": "SELECT event_id, json_valid(t) AS parsed, coalesce(CASE WHEN json_valid(t) THEN TRY_CAST(json_extract_string(t, '$.k') AS BIGINT) END, 0) AS k FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, 3) ELSE props END AS t FROM events)",
     "blob_points": "SELECT event_id, 0 AS seq, CAST(user_id AS DOUBLE) AS lat, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 13 AS DOUBLE) END AS lon FROM events UNION ALL SELECT event_id, 1, 1.0, 2.0 FROM events",
-    "upsert_orders": "SELECT o_orderkey, o_custkey, 'U' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0",
-    "orphan_lines": "SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY l_orderkey",
-    "gold_rules": "SELECT * FROM (VALUES ('Constraint', 'limit', 'a # within quotes', 'x < 3', 'a.cs|b.cs'), ('Routing', 'order', 'first come', NULL, '')) t(category, label, statement, expression, refs)",
+    "upsert_orders": "SELECT o_orderkey, o_custkey, coalesce('lines:' || status, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS status FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
+    "orphan_lines": "SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY l_orderkey",
+    "whole_text_secrets": " UNION ALL ".join(
+        f"""SELECT doc_id, CAST(1 + list_sum(list_transform(parts[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))) AS INTEGER) AS line_no, '{p.name}' AS name, '{p.severity}' AS severity, sha256(found[i]) AS matched_sha256
+  FROM (SELECT doc_id, parts, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({_sql(p.regex)})', chr(1) || '\\1', 'g'), chr(1)) AS parts, regexp_extract_all(text, '({_sql(p.regex)})', 1) AS found FROM documents WHERE regexp_matches(text, '{_sql(p.regex)}')))"""
+        for p in X.SECRETS
+    ),
+    "gold_rules": """SELECT ['Constraint', 'Routing', 'Validation', 'Calculation'][n_regionkey + 1] AS category, n_name AS label, 'a # within ' || n_name AS statement,
+  CASE WHEN n_nationkey < 5 THEN 'x < ' || n_nationkey END AS expression, CASE WHEN n_nationkey > 9 THEN 'a.cs|b' || n_nationkey || '.cs' ELSE '' END AS refs FROM nation WHERE n_regionkey < 4""",
 }

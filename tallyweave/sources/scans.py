@@ -79,12 +79,17 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def write_below(df: DataFrame, base: str, path: str, fmt: str = "json") -> str:
-    """Write below a base folder only; a path that leaves it is refused."""
+def guarded(base: str, path: str) -> str:
+    """A path below a base folder; one that leaves it is refused."""
     parts = [p for p in path.split("/") if p not in ("", ".")]
     if path.startswith("/") or "://" in path or ".." in parts:
         raise ValueError(f"{path} leaves {base}")
-    where = "/".join([base.rstrip("/"), *parts])
+    return "/".join([base.rstrip("/"), *parts])
+
+
+def write_below(df: DataFrame, base: str, path: str, fmt: str = "json") -> str:
+    """Write below a base folder only."""
+    where = guarded(base, path)
     df.write.mode("errorifexists").format(fmt).save(where)
     return where
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallyweave.operators import corpus as C
 from tallyweave.operators import differential as D
 from tallyweave.operators import review as V
-from tallyweave.plans import corpora
 from tallyweave.sources import scans
 
 
@@ -21,10 +20,36 @@ def test_counts_and_shares(spark, vectors):
     got = {r["tag"]: (r["n"], r["divergent"]) for r in C.by_tag(vectors).collect()}
     assert {k: n for k, (n, _) in got.items()} == C.TAG_COUNTS
     assert got["anti-meridian"] == (150, 150) and got["nominal"][1] == 0
-    assert 0.10 <= sum(d for _, d in got.values()) / 2000 <= 0.25
+    share = C.checked_share(C.by_tag(vectors)).first()["share"]
+    assert 0.10 <= share <= 0.25
+    with pytest.raises(Exception, match="leaves its band"):
+        C.checked_share(C.by_tag(vectors), 0.5, 0.6).collect()
     assert sorted(C.routes(spark).collect()) == sorted(C.routes(spark).repartition(7).collect())
 
 
+def test_shapes_of_routes(vectors):
+    rows = vectors.select("tag", "launch", "late", "points", "n_far", "ref_legs", "ref_eta", "desired").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["tag"], []).append(r)
+        assert all(abs(p["lat"]) <= 85 and abs(p["lon"]) <= 180 for p in r["points"])
+        assert r["desired"] - r["ref_eta"] == (120 if r["late"] else 0)
+    assert all(10 <= len(r["ref_legs"]) <= 30 for r in by["precision-drift"])
+    assert any(r["n_far"] for r in by["degenerate-route"]) and any(not any(r["ref_legs"]) for r in by["degenerate-route"])
+    assert all(min(p["lon"] for p in r["points"]) < 0 < max(p["lon"] for p in r["points"]) for r in by["anti-meridian"])
+    assert all(any(r["launch"] < e <= r["ref_eta"] for e in (10**9, 11 * 10**8, 12 * 10**8, 2 * 10**9, 4 * 10**9)) for r in by["leap-second"])
+    assert all(r["launch"] < 2**32 <= r["ref_eta"] for r in by["overflow"])
+
+
+def test_recorded_outputs_are_replayed(vectors):
+    recorded = C.record(vectors, "base")
+    assert C.replay_mismatches(recorded, "base").count() == 0
+    off = C.flipped(C.perturbed(recorded, "base_total", 1 + 1e-6, F.col("id") == 3), "base_go", F.col("id") == 4)
+    assert sorted(tuple(r) for r in C.replay_mismatches(off, "base").collect()) == [(3, "distances"), (4, "go")]
+    short = recorded.withColumn("base_legs", F.when(F.col("id") == 9, F.slice("base_legs", 1, F.size("base_legs") - 1)).otherwise(F.col("base_legs")))
+    assert C.divergent is not None and short.where("id = 9").select(C.distance_error("base", "ref")).first()[0] == math.inf
+
+
 def test_a_candidate_that_keeps_everything_passes(vectors):
     r = D.oracle_report(D.vector_votes(vectors, C.oracles(), "id")).first()
     assert (r["vectors_passed"], r["total_violations"]) == (2000, 0)
@@ -44,10 +69,15 @@ def test_mutants_are_caught(vectors):
     assert D.oracle_report(D.vector_votes(flipped, C.oracles(), "id")).first()["total_violations"] == 1
 
 
-def test_comments_are_an_option(spark):
-    files = scans.source_texts(spark, corpora.AFTER)
+AFTER = {"new/Store.cs": "class Store {\n  // TrustServerCertificate = true\n  string c = \"Server=db;Integrated Security=true\";\n}", "new/a.js": "// innerHTML = a"}
+
+
+def test_comments_are_skipped_by_language(spark):
+    files = scans.source_texts(spark, AFTER)
     rules = lambda **k: {r["rule"] for r in V.security_findings(files, **k).collect()}
-    assert rules() == {"hardcoded-credentials"} and rules(skip_comments=False) == {"hardcoded-credentials", "certificate-validation"}
+    assert rules() == {"hardcoded-credentials", "certificate-validation"}
+    assert rules(skip_comments=("csharp",)) == {"hardcoded-credentials", "output-encoding"}
+    assert rules(skip_comments=()) == {"hardcoded-credentials", "certificate-validation", "output-encoding"}
 
 
 def test_look_ahead_ends(spark):
