@@ -67,7 +67,7 @@ PRIOR = {
     "token_entropy": (5.0, 6.0, 8.0),
     "byte_share": (0.0, 0.0, 0.1),
 }
-#: Bands up to this number (languages and scripts) are joined by broadcast.
+#: Bands up to this number (pairs of language and script) are joined by broadcast.
 MAX_BROADCAST_BANDS = 10_000
 #: Words kept by a worker in each of two generations.
 MEMO_WORDS = 250_000
@@ -214,8 +214,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """Rows (kind, name, n, q_<measure> array of three quartiles) of languages, scripts and, without a name, the corpus."""
+def quartiles(measured: DataFrame) -> DataFrame:
+    """Rows (kind, name, measure, n, q array of three quartiles) of languages, scripts and, without a name, the corpus."""
     good = measured.where(~base_failed())
     bins = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / STEP).cast("long").alias("bin")) for m in BANDS])
     counts = good.select("lang", "script", F.inline(bins)).groupBy("lang", "script", "measure", "bin").agg(F.count("*").alias("n"))
@@ -223,24 +223,29 @@ def bands(measured: DataFrame) -> DataFrame:
     counts = counts.select("measure", "bin", "n", F.inline(kinds)).where("name is not null").groupBy("kind", "name", "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("kind", "name", "measure")
     counts = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)})
-    quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin"))) * STEP for p in (0.25, 0.5, 0.75)])
-    found = counts.groupBy("kind", "name", "measure").agg(F.max("total").alias("n"), quartiles.alias("q"))
-    return found.groupBy("kind", "name").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(f"q_{m}") for m in BANDS])
-
+    three = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin"))) * STEP for p in (0.25, 0.5, 0.75)])
+    return counts.groupBy("kind", "name", "measure").agg(F.max("total").cast("double").alias("n"), three.alias("q"))
 
-def _pulled(own: Column, n: Column, to: Column) -> Column:
-    weight = F.lit(float(PULL**2)) / (n * n + PULL**2)
-    return F.zip_with(own, to, lambda x, y: x + (y - x) * weight)
 
-
-def _shrunk(m: str) -> Column:
-    """The quartiles for a row: its language's, pulled to those of its script, the corpus and the prior."""
-    q = F.array(*map(F.lit, PRIOR[m]))
-    for kind in ("all", "script", "lang"):
-        own, n, apart = F.col(f"{kind}_{m}"), F.col(f"{kind}_n").cast("double"), APART[kind]
-        to = F.array(*[q[1] + (q[i] - q[1]) * apart for i in range(3)])
-        q = F.when(own.isNull(), to).otherwise(_pulled(own, n, to))
-    return q
+def bands(measured: DataFrame) -> DataFrame:
+    """Rows (of_lang, of_script, q_<measure>): the pulled quartiles for every pair of language and script that occurs."""
+    found, _ = common.written(quartiles(measured), "quartiles")
+    prior = F.array(*[F.struct(F.lit(m).alias("measure"), F.array(*map(F.lit, q)).alias("q")) for m, q in PRIOR.items()])
+    rows = measured.select(F.col("lang").alias("of_lang"), F.col("script").alias("of_script")).distinct().select("*", F.inline(prior))
+    for kind, name in (("all", F.lit("")), ("script", F.col("of_script")), ("lang", F.col("of_lang"))):
+        own = found.where(F.col("kind") == kind).select("name", F.col("measure").alias("m"), F.col("n"), F.col("q").alias("own"))
+        rows = rows.join(own, (name == F.col("name")) & (F.col("measure") == F.col("m")), "left")
+        # what a group without documents is pulled to holds alone
+        weight = F.coalesce(F.lit(float(PULL**2)) / (F.col("n") * F.col("n") + PULL**2), F.lit(1.0))
+        to = _apart(F.col("q"), APART[kind])
+        pulled = F.zip_with(F.coalesce("own", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))), to, lambda x, y: x + (y - x) * F.col("weight"))
+        rows = rows.withColumn("weight", weight).select("of_lang", "of_script", "measure", pulled.alias("q"))
+    return rows.groupBy("of_lang", "of_script").agg(*[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(f"q_{m}") for m in BANDS])
+
+
+def _apart(q: Column, factor: float) -> Column:
+    """Quartiles drawn apart around their median."""
+    return F.transform(q, lambda x: q[1] + (x - q[1]) * factor)
 
 
 def _outside(m: str) -> Column:
@@ -257,13 +262,9 @@ def judge(measured: DataFrame) -> DataFrame:
 
     ``measured`` is read twice, so it should be a written table.
     """
-    table = bands(measured)
-    table, _ = common.written(table, "bands")
-    near = F.broadcast if table.count() <= MAX_BROADCAST_BANDS else lambda d: d
-    for kind in ("lang", "script", "all"):
-        own = table.where(F.col("kind") == kind).select(F.col("name").alias(f"name_{kind}"), F.col("n").alias(f"{kind}_n"), *[F.col(f"q_{m}").alias(f"{kind}_{m}") for m in BANDS])
-        measured = measured.join(near(own), (F.col(kind) if kind != "all" else F.lit("")) == F.col(f"name_{kind}"), "left")
-    out = measured.withColumns({f"q_{m}": _shrunk(m) for m in BANDS}).withColumn("base_failed", base_failed())
+    table, _ = common.written(bands(measured), "bands")
+    near = F.broadcast(table) if table.count() <= MAX_BROADCAST_BANDS else table
+    out = measured.join(near, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("script").eqNullSafe(F.col("of_script"))).withColumn("base_failed", base_failed())
     reasons = F.array_compact(F.array(*[F.when(_outside(m), F.lit(m)) for m in BANDS]))
     out = out.withColumn("reasons", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(reasons))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).select("key", "lang", *_FIELDS, "base_failed", "reasons", "kept")

@@ -167,7 +167,7 @@ def test_measures_and_bands_against_a_plain_version(spark):
             if x < q[1] - max(low * (q[2] - q[0]), least) * spread or x > q[1] + max(high * (q[2] - q[0]), least) * spread:
                 reasons.append(m)
         assert got[i]["reasons"] == reasons and got[i]["kept"] == (not reasons), (i, reasons)
-    assert "byte_share" in got[137]["reasons"] and not got[138]["kept"] and len(good) == 140
+    assert "byte_share" in got[137]["reasons"] and not got[138]["kept"]
     assert sum(got[i]["kept"] for i in range(137)) >= 135
 
 
