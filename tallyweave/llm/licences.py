@@ -33,8 +33,8 @@ from tallyweave.llm import common
 
 #: The least coefficient, in percent.
 MIN_PERCENT = 80
-#: Rows with an anchor up to this number (8 MB) are told to all tasks; more are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Rows with an anchor up to this number (some 20 MB) are told to all tasks; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 300_000
 
 # Wording of common licence notices.
 TEMPLATES = {
