@@ -67,6 +67,7 @@ def remediation_items(findings: DataFrame, defects: DataFrame, latent: DataFrame
 
     ``findings`` (rule, severity, place, disposition), ``defects`` (statement), ``latent`` (tag, n).
     """
+    # Statuses and schedules of items; the weaknesses' wording is this library's own.
     done = F.col("disposition") == "Remediated"
     schedule = F.when(done, F.lit(None).cast("string")).when(F.col("disposition") == "OutOfScope", "Follow-on increment (out of scope)").otherwise("Change-recommended")
     text = F.concat(F.lit("["), F.col("rule"), F.lit(" / "), F.col("severity"), F.lit("] "), F.col("place"), F.lit(" [disposition: "), F.col("disposition"), F.lit("]"))
@@ -84,6 +85,7 @@ def gate_passed(gate: Column, evidence: Column) -> Column:
     number = lambda k, kind: F.trim(v(k)).try_cast(kind)
     every = lambda *cs: F.coalesce(F.forall(F.array(*cs), lambda c: c), F.lit(False))
     no_violation = F.coalesce(number("discreteViolations", "int") == 0, F.lit(False))
+    # The keys of each gate's evidence.
     rules = {
         "KG1": every(F.coalesce(number("ruleF1", "double") >= 0.85, F.lit(False)), *yes("oracleHarnessRuns")),
         "KG2": every(no_violation, *yes("catoBundle")),

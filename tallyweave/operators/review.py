@@ -33,7 +33,7 @@ def security_findings(files: DataFrame, *, skip_comments: tuple[str, ...] = ("sq
     built = of("csharp").withColumn("joined", F.max(has(X.CONCATENATION).cast("int")).over(w) == 1).where(has(X.COMMAND) & F.col("joined"))
     parts = [
         _found(of("csharp").where(has(X.CONNECTION_LITERAL)), "hardcoded-credentials", "Connection string in a literal", "CAT II"),
-        _found(of("csharp").where(has(X.ASSIGNED_SECRET.regex)), "hardcoded-credentials", "Secret in a literal", "CAT I"),
+        _found(of("csharp").where(has(X.EMBEDDED_SECRET)), "hardcoded-credentials", "Secret in a literal", "CAT I"),
         _found(of("csharp").where(has(X.CERTIFICATE_BYPASS)), "certificate-validation", "Certificates are not validated", "CAT II"),
         _found(_first(built), "sql-injection", "Command text is concatenated", "CAT I"),
         _found(_first(of("sql").where(has(X.BLOB_PARSING))), "input-validation", "A delimited text is parsed without checks", "CAT II"),

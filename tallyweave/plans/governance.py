@@ -48,6 +48,7 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for each gate, from the differential report and counts of documents."""
     report = numeric.diff_oracle_report(spark, sf_dir).where("kind = 'discrete'").agg(F.sum("violations").cast("string").alias("v"))
+    # The keys of the gates' evidence.
     base = {"humanApproved": "true", "boundaryApproved": " TRUE ", "unitScope": "orders", "diffReviewed": "true", "rulesHonored": "true", "compiledClean": "yes", "oracleHarnessRuns": "true", "ruleF1": "0.85", "catoBundle": "true", "continuousWithinTolerance": "true", "catoDeltaReviewed": "true"}
     fixed = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
     gates = F.array(*[F.lit(g) for g in (*P.GATES, "Unknown")])

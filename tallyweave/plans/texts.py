@@ -150,7 +150,7 @@ def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_text_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in whole documents, matches over several lines included."""
-    found = X.whole_text_findings(table(spark, sf_dir, "documents"), "text", "doc_id", X.SECRETS)
+    found = X.whole_text_findings(table(spark, sf_dir, "documents"), "text", "doc_id", _SECRETS)
     return found.select("doc_id", "line_no", "name", "severity", S.sha256(F.col("matched")).alias("matched_sha256"))
 
 
@@ -267,7 +267,7 @@ ORACLES = {
     "whole_text_secrets": " UNION ALL ".join(
         f"""SELECT doc_id, CAST(1 + list_sum(list_transform(parts[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))) AS INTEGER) AS line_no, '{p.name}' AS name, '{p.severity}' AS severity, sha256(found[i]) AS matched_sha256
   FROM (SELECT doc_id, parts, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({_sql(p.regex)})', chr(1) || '\\1', 'g'), chr(1)) AS parts, regexp_extract_all(text, '({_sql(p.regex)})', 1) AS found FROM documents WHERE regexp_matches(text, '{_sql(p.regex)}')))"""
-        for p in X.SECRETS
+        for p in _SECRETS
     ),
     "gold_rules": """SELECT ['Constraint', 'Routing', 'Validation', 'Calculation'][n_regionkey + 1] AS category, n_name AS label, 'a # within ' || n_name AS statement,
   CASE WHEN n_nationkey < 5 THEN 'x < ' || n_nationkey END AS expression, CASE WHEN n_nationkey > 9 THEN 'a.cs|b' || n_nationkey || '.cs' ELSE '' END AS refs FROM nation WHERE n_regionkey < 4""",
