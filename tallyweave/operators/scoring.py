@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +15,10 @@ OBSCURITY = {"vb6": 1.0, "cobol": 1.0, "fortran": 0.9, "ada": 0.8, "sql": 0.6, "
 DOC_GAP = {"vb6": 0.9, "cobol": 0.9, "fortran": 0.9, "sql": 0.7, "javascript": 0.6}
 
 
+#: Agents that a task meets at most, and pairs that a draw tries.
+MAX_AGENTS, TRIES = 1000, 40
+
+
 def lookup(key: Column, table: dict[str, float], default: float) -> Column:
     pairs = [F.lit(x) for k, v in table.items() for x in (k, v)]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
@@ -59,33 +58,69 @@ def majority(rows: DataFrame, by: str, label: str, order: dict[str, int]) -> Dat
     return counts.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("less"), rank.alias("rank"), label)).alias("b")).select(by, F.col(f"b.{label}").alias(label), (-F.col("b.less")).alias("n"))
 
 
+def uniform(seed: int, *what: Column | str) -> Column:
+    """A number in (0, 1) from 48 bits of an MD5 of seed and names; the same on every engine and in every rerun."""
+    named = [F.lit(w) if isinstance(w, str) else w.cast("string") for w in what]
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *named)), 1, 12)
+    return (F.conv(digits, 16, 10).cast("bigint") + 0.5) / float(1 << 48)
+
+
+def gamma_sample(seed: int, name: Column, shape: Column) -> Column:
+    """A draw from the gamma distribution of a positive shape: whole parts by sums of exponentials, the rest by rejection.
+
+    A fraction f is an exponential times a draw from Beta(f, 1 - f), the first of ``TRIES`` pairs of powers of uniforms
+    with a sum up to 1; one is accepted with a probability above 0.78, so that none is has a probability below 1e-26.
+    """
+    whole = F.floor(shape).cast("int")
+    f = shape - whole
+    log = lambda i: -F.log(uniform(seed, name, "w", i))
+    # the sequence is never empty; its first element counts nothing
+    total = F.aggregate(F.sequence(F.lit(0), whole), F.lit(0.0), lambda s, i: s + F.when(i > 0, log(i)).otherwise(0.0))
+
+    def pair(i: Column) -> Column:
+        return F.struct(F.pow(uniform(seed, name, "u", i), 1 / f).alias("x"), F.pow(uniform(seed, name, "v", i), 1 / (1 - f)).alias("y"))
+
+    kept = F.filter(F.transform(F.sequence(F.lit(1), F.lit(TRIES)), pair), lambda p: p["x"] + p["y"] <= 1)
+    part = -F.log(uniform(seed, name, "e")) * kept[0]["x"] / (kept[0]["x"] + kept[0]["y"])
+    return total + F.when(f > 0, part).otherwise(0.0)
+
+
+def beta_sample(seed: int, name: Column, alpha: Column, beta: Column) -> Column:
+    """A draw from the beta distribution."""
+    a, b = gamma_sample(seed, F.concat(name, F.lit(":a")), alpha), gamma_sample(seed, F.concat(name, F.lit(":b")), beta)
+    return a / (a + b)
+
+
 def thompson_routes(tasks: DataFrame, agents: DataFrame, seed: int, *, sovereign_only: bool = False) -> DataFrame:
     """The agent for each task: a sample of its success rate times how its weights match the task's features.
 
-    ``tasks`` has (task, features map), ``agents`` (agent, sovereign, alpha, beta, weights map); there are few agents,
-    and they go to every task as an array. The generator of a task is seeded from its name, so a rerun draws the same.
+    ``tasks`` has (task, features map), ``agents`` (agent, sovereign, alpha, beta, weights map); there are at most
+    ``MAX_AGENTS``, and each task meets all of them. Draws follow from the names of task and agent. Of equal scores the
+    larger mean wins, then the name that comes first.
     """
     pool = agents.where("sovereign") if sovereign_only else agents
-    listed = [r.asDict() for r in pool.orderBy("agent").collect()]
-    if not listed or any(a["alpha"] <= 0 or a["beta"] <= 0 for a in listed):
-        raise ValueError("no agent is eligible, or one has a parameter that is not positive")
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for task, features in zip(pdf["task"], pdf["features"], strict=True):
-                draw = np.random.default_rng(seed ^ zlib.crc32(str(task).encode()))
-                made = []
-                for a in listed:
-                    total = sum(abs(v) for v in features.values())
-                    match = sum(abs(v) * a["weights"].get(k, 0.0) for k, v in features.items()) / total if total > 0 else 1.0
-                    made.append((-draw.beta(a["alpha"], a["beta"]) * match, -a["alpha"] / (a["alpha"] + a["beta"]) * match, a["agent"]))
-                best = min(made)
-                out.append((task, best[2], -best[0], -best[1]))
-            yield pd.DataFrame(out, columns=["task", "agent", "sampled", "posterior_mean"])
-
-    kind = dict(tasks.dtypes)["task"]
-    return tasks.select("task", "features").mapInPandas(choose, f"task {kind}, agent string, sampled double, posterior_mean double")
+    n, good = pool.agg(F.count("*"), F.min((F.col("alpha") > 0) & (F.col("beta") > 0))).first()
+    if not n or not good or n > MAX_AGENTS:
+        raise ValueError(f"no agent is eligible, or one has a parameter that is not positive, or there are more than {MAX_AGENTS}")
+    listed = pool.agg(F.collect_list(F.struct("agent", "alpha", "beta", "weights")).alias("pool"))
+
+    def scored(a: Column) -> Column:
+        match = S.feature_match(F.col("features"), a["weights"])
+        name = F.concat_ws(":", F.col("task").cast("string"), a["agent"])
+        sample = beta_sample(seed, name, a["alpha"].cast("double"), a["beta"].cast("double")) * match
+        mean = a["alpha"] / (a["alpha"] + a["beta"]) * match
+        return F.struct((-sample).alias("less"), (-mean).alias("lower"), a["agent"].alias("agent"))
+
+    # one row of agents
+    both = tasks.withColumn("one", F.lit(1)).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one")
+    best = both.select("task", F.array_min(F.transform("pool", scored)).alias("b"))
+    return best.select("task", F.col("b.agent").alias("agent"), (-F.col("b.less")).alias("sampled"), (-F.col("b.lower")).alias("posterior_mean"))
+
+
+def capabilities(features: Column, sovereign_only: Column) -> Column:
+    """What an agent must be able to do: code, and analysis for tasks that touch cryptography unless only local agents may be used."""
+    crypto = F.coalesce(F.try_element_at(features, F.lit("crypto")), F.lit(0.0)) >= 0.5
+    return F.array_union(F.array(F.lit("code")), F.when(crypto & ~sovereign_only, F.array(F.lit("analysis"))).otherwise(F.array().cast("array<string>")))
 
 
 def strategy(features: Column, sovereign_only: Column) -> Column:

@@ -45,12 +45,17 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", L.merkle_root(F.transform("l", lambda e: e["h"])).alias("root"))
 
 
+# The keys of the gates' evidence.
+EVIDENCE = {
+    "humanApproved": "true", "boundaryApproved": " TRUE ", "unitScope": "orders", "diffReviewed": "true", "rulesHonored": "true", "compiledClean": "yes",
+    "oracleHarnessRuns": "true", "ruleF1": "0.85", "catoBundle": "true", "continuousWithinTolerance": "true", "catoDeltaReviewed": "true",
+}
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for each gate, from the differential report and counts of documents."""
     report = numeric.diff_oracle_report(spark, sf_dir).where("kind = 'discrete'").agg(F.sum("violations").cast("string").alias("v"))
-    # The keys of the gates' evidence.
-    base = {"humanApproved": "true", "boundaryApproved": " TRUE ", "unitScope": "orders", "diffReviewed": "true", "rulesHonored": "true", "compiledClean": "yes", "oracleHarnessRuns": "true", "ruleF1": "0.85", "catoBundle": "true", "continuousWithinTolerance": "true", "catoDeltaReviewed": "true"}
-    fixed = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
+    fixed = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])
     gates = F.array(*[F.lit(g) for g in (*P.GATES, "Unknown")])
     return report.select(F.explode(gates).alias("gate"), F.map_concat(fixed, F.create_map(F.lit("discreteViolations"), F.coalesce("v", F.lit("0")))).alias("evidence"))
 
@@ -152,7 +157,12 @@ def render_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([("rule-01", "Constraint", 'say "no"\tthen\\stop', 0.9), ("rule-02", "Routing", "first\nsecond", 0.8125)], "rule string, category string, statement string, confidence double")
+    """Kinds of events as rules in Turtle; statements hold quotes, tabs, line breaks and backslashes."""
+    share = F.col("n") / 8.0 - F.floor(F.col("n") / 8.0)
+    rules = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).select(
+        F.concat(F.lit("rule-"), "event_type").alias("rule"), F.when(F.col("event_type") > "f", "Routing").otherwise("Constraint").alias("category"),
+        F.concat(F.lit('say "'), "event_type", F.lit('"\tthen\\stop\n'), F.col("n").cast("string")).alias("statement"), share.alias("confidence"),
+    )
     return render.turtle(rules)
 
 
@@ -217,6 +227,15 @@ WITH c AS (
     CASE WHEN o_orderstatus = 'F' THEN 'A' WHEN o_orderstatus = 'O' THEN 'E' WHEN o_totalprice > 400000 THEN 'X' WHEN o_totalprice > 50000 THEN 'P' END AS status,
     o_totalprice > 200000 AS labelled, o_totalprice > 90000 AS proven FROM orders
 )"""
+_GATES_SQL = f"""WITH r AS ({numeric.ORACLES["diff_oracle_report"]}), v AS (SELECT sum(violations) AS n FROM r WHERE kind = 'discrete')
+SELECT gate, CASE gate WHEN 'KG1' THEN true WHEN 'KG2' THEN n = 0 WHEN 'Design' THEN true WHEN 'Translation' THEN false WHEN 'Acceptance' THEN n = 0 ELSE false END AS passed
+FROM v, (VALUES ('KG1'), ('KG2'), ('Design'), ('Translation'), ('Acceptance'), ('Unknown')) g(gate)"""
+_SCHEMA_SQL = """
+WITH cols AS (SELECT table_name AS module, column_name AS name, data_type AS t, column_index AS i FROM duckdb_columns() WHERE table_name IN ('embeddings', 'orders')), nodes AS (
+  SELECT module, module || '.' || name AS node_id, CASE WHEN t LIKE '%[]' THEN 'COLLECTION' WHEN t IN ('DOUBLE', 'FLOAT') THEN 'FLOATING_POINT' WHEN t = 'VARCHAR' THEN 'STRING_OP' WHEN t LIKE 'TIMESTAMP%' OR t = 'DATE' THEN 'DATE_TIME' ELSE 'VARIABLE' END AS type,
+    name, true AS nullable, module AS parent FROM cols
+)
+"""
 
 QUERIES = {
     "ledger_entries": ledger_entries,
@@ -254,9 +273,7 @@ SELECT conv_id, count(*) AS n, count(reason) = 0 AS valid, CAST(min(seq) FILTER
   UNION ALL
   SELECT conv_id, list_transform(range(0, CAST(ceil(len(h) / 2.0) AS BIGINT)), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], h[2 * i + 1]))) FROM m WHERE len(h) > 1
 ) SELECT conv_id, h[1] AS root FROM m WHERE len(h) = 1""",
-    "gate_eval": f"""WITH r AS ({numeric.ORACLES["diff_oracle_report"]}), v AS (SELECT sum(violations) AS n FROM r WHERE kind = 'discrete')
-SELECT gate, CASE gate WHEN 'KG1' THEN true WHEN 'KG2' THEN n = 0 WHEN 'Design' THEN true WHEN 'Translation' THEN false WHEN 'Acceptance' THEN n = 0 ELSE false END AS passed
-FROM v, (VALUES ('KG1'), ('KG2'), ('Design'), ('Translation'), ('Acceptance'), ('Unknown')) g(gate)""",
+    "gate_eval": _GATES_SQL,
     "control_evidence": _CONTROLS_SQL + "SELECT control_id, control_name, evidence FROM controls",
     "remediation_items": _ITEMS_SQL + "SELECT id, weakness, status, schedule FROM items",
     "claims_audit": _CLAIMS_SQL
@@ -266,6 +283,21 @@ FROM v, (VALUES ('KG1'), ('KG2'), ('Design'), ('Translation'), ('Acceptance'), (
 ) SELECT claim_id, issue FROM i""",
     "claim_status": _CLAIMS_SQL + " SELECT CASE WHEN status IN ('A', 'E', 'P') THEN status ELSE 'other' END AS status, count(*) AS n FROM c GROUP BY 1",
     "clean_artifacts": f"SELECT p_partkey, 'results/' || p_name || '.json' || {list(TAILS)!r}[CAST(p_size % 8 + 1 AS INTEGER)] AS path, 'results/' || p_name || '.json' AS cleaned FROM part",
+    "gate_ledger": f"""WITH RECURSIVE g AS ({_GATES_SQL}), evidence AS (
+  SELECT '{{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}}' AS json FROM (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in EVIDENCE.items())}) t(k, v) UNION ALL SELECT 'discreteViolations', CAST(sum(violations) AS VARCHAR) FROM ({numeric.ORACLES["diff_oracle_report"]}) WHERE kind = 'discrete')
+), e AS (
+  SELECT gate, '{{"gate":"' || gate || '","passed":' || CAST(passed AS VARCHAR) || ',"evidence":' || (SELECT json FROM evidence) || '}}' AS payload FROM g
+), r AS (SELECT row_number() OVER (ORDER BY gate) - 1 AS seq, 'GateDecision' AS action, 'gate:' || gate AS actor, sha256(payload) AS p FROM e), c AS (
+  SELECT seq, action, actor, 'GENESIS' AS prev_hash, sha256(concat_ws('|', seq, action, actor, p, 'GENESIS')) AS entry_hash FROM r WHERE seq = 0
+  UNION ALL SELECT r.seq, r.action, r.actor, c.entry_hash, sha256(concat_ws('|', r.seq, r.action, r.actor, r.p, c.entry_hash)) FROM r JOIN c ON r.seq = c.seq + 1
+)
+) SELECT 'gates' AS chain, * FROM c""",
+    "schema_ir": _SCHEMA_SQL + "SELECT * FROM nodes",
+    "schema_ir_errors": "SELECT * FROM (VALUES ('orders.x', 'unknown type'), ('orders.x', 'missing name'), ('orders.x', 'unknown parent'), ('orders.o_orderkey', 'repeated id'), ('orders.o_orderkey', 'repeated id')) t(node_id, error)",
+    "render_rules": """WITH r AS (SELECT event_type AS e, count(*) AS n FROM events GROUP BY 1), b AS (
+  SELECT 'rule-' || e AS rule, 'r:rule_' || e || ' a w:Rule ;' || chr(10) || '    w:category "' || CASE WHEN e > 'f' THEN 'Routing' ELSE 'Constraint' END || '" ;' || chr(10) || '    w:statement "say \\"' || e || '\\"\\tthen\\\\stop\\n' || n || '" ;' || chr(10)
+    || '    w:confidence "' || printf('%.3f', n / 8.0::DOUBLE - floor(n / 8.0::DOUBLE)) || '" .' AS t FROM r
+) SELECT '@prefix w: <urn:rules#> .' || chr(10) || '@prefix r: <urn:rule#> .' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY rule) || chr(10) AS doc FROM b""",
     "render_flow": _FLOW_SQL,
     "render_controls": _CONTROLS_SQL
     + f""", y AS (SELECT control_id, control_name, list_transform(string_split(evidence, '|'), lambda x: '      - ' || {_YAML("x")}) AS l FROM controls)

@@ -129,7 +129,14 @@ def thompson_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     agents = spark.createDataFrame(_AGENTS, "agent string, sovereign boolean, alpha double, beta double, weights map<string, double>")
     size = F.length("text") / 10000.0
     tasks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task"), F.create_map(F.lit("contextSize"), size, F.lit("complexity"), F.lit(0.5)).alias("features"))
-    return R.thompson_routes(tasks, agents, seed=2024)
+    got = R.thompson_routes(tasks, agents, seed=2024)
+    return got.select("task", "agent", F.round("sampled", 9).alias("sampled"), F.round("posterior_mean", 9).alias("posterior_mean"))
+
+
+def task_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    features = F.create_map(F.lit("crypto"), F.length("text") / 2000.0)
+    return docs.select("doc_id", F.array_join(R.capabilities(features, F.col("lang") == "de"), "|").alias("capabilities"))
 
 
 def routing_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +183,40 @@ QUERIES = {
     "unit_max_risk": unit_max_risk,
     "thompson_route": thompson_route,
     "routing_strategy": routing_strategy,
+    "task_capabilities": task_capabilities,
 }
+_UNI = lambda name: f"((CAST(('0x' || substr(md5('2024:' || {name}), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+
+
+def _gamma_sql(name: str, shape: str) -> str:
+    u = lambda kind: _UNI(f"{name} || ':{kind}:' || i")
+    whole = f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, CAST(floor({shape}) AS BIGINT) + 1), lambda i: -ln({u('w')}))), lambda x, y: x + y)"
+    f = f"({shape} - floor({shape}))"
+    pairs = f"list_transform(range(1, 41), lambda i: {{'x': pow({u('u')}, 1 / {f}), 'y': pow({u('v')}, 1 / (1 - {f}))}})"
+    kept = f"list_filter({pairs}, lambda p: p.x + p.y <= 1)[1]"
+    tail = _UNI(name + " || ':e'")
+    return f"({whole} + CASE WHEN {f} > 0 THEN -ln({tail}) * ({kept}).x / (({kept}).x + ({kept}).y) ELSE 0 END)"
+
+
 ORACLES = {
+    "thompson_route": "WITH agents(agent, alpha, beta, complexity, size) AS (VALUES "
+    + ", ".join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE, {w['complexity']}::DOUBLE, {w['contextSize']}::DOUBLE)" for a, _, x, y, w in _AGENTS)
+    + f"""), t AS (
+  SELECT doc_id AS task, length(text) / 10000.0::DOUBLE AS s, agent, alpha, beta, complexity, size, doc_id || ':' || agent AS name FROM documents, agents
+), d AS (SELECT *, {_gamma_sql("name || ':a'", "alpha")} AS ga, {_gamma_sql("name || ':b'", "beta")} AS gb, (s * size + 0.5::DOUBLE * complexity) / (s + 0.5::DOUBLE) AS match FROM t
+) SELECT task, agent, round(ga / (ga + gb) * match, 9) AS sampled, round(alpha / (alpha + beta) * match, 9) AS posterior_mean FROM d QUALIFY row_number() OVER (PARTITION BY task ORDER BY ga / (ga + gb) * match DESC, alpha / (alpha + beta) * match DESC, agent) = 1""",
+    "task_capabilities": "SELECT doc_id, CASE WHEN length(text) / 2000.0::DOUBLE >= 0.5 AND NOT lang = 'de' THEN 'code|analysis' ELSE 'code' END AS capabilities FROM documents",
+    "priority_order": "WITH RECURSIVE "
+    + _USERS_SQL
+    + """, down AS (SELECT src, dst FROM arcs WHERE src > dst), u AS (SELECT id, (n % 10) / 10.0::DOUBLE AS risk, (SELECT count(*) FROM down WHERE src = id) AS needs FROM users), o AS (
+  SELECT row_number() OVER (ORDER BY risk, needs, id) AS rank, id FROM u
+), s AS (
+  SELECT o.rank, o.id, coalesce(list(d.rank) FILTER (WHERE d.rank IS NOT NULL), []) AS needs FROM o LEFT JOIN down ON src = o.id LEFT JOIN o d ON d.id = dst GROUP BY o.rank, o.id
+), all_units AS (SELECT list({'rank': rank, 'needs': needs} ORDER BY rank) AS l FROM s), steps AS (
+  SELECT 0 AS k, CAST([] AS BIGINT[]) AS done, l FROM all_units
+  UNION ALL
+  SELECT k + 1, list_append(done, list_filter(l, lambda x: NOT list_contains(done, x.rank) AND list_has_all(done, x.needs))[1].rank), l FROM steps WHERE k < len(l)
+) SELECT id, CAST(position AS INTEGER) AS position FROM (SELECT unnest(done) AS rank, unnest(range(1, len(done) + 1)) AS position FROM steps WHERE k = len(l)) JOIN o USING (rank)""",
     "fan_in": """WITH led AS (
   SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events
 ), e AS (SELECT DISTINCT user_id || ':' || event_type AS src, user_id || ':' || nxt AS dst FROM led WHERE nxt IS NOT NULL), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import scalars as S
 from tallyweave.operators import differential as D
+from tallyweave.operators import lineage
 from tallyweave.operators import matching as M
 from tallyweave.operators import textscan as X
-from tallyweave.sources import scans
+from tallyweave.sources import exchange, scans
 from tallyweave.sources.tables import table
 
 #: Pages whose markup builds or runs script.
@@ -116,8 +117,51 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties of events, every tenth text cut short: whether it parses, and a number with its default."""
     events = table(spark, sf_dir, "events")
     text = F.when(F.pmod("event_id", F.lit(10)) == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
-    got = F.from_json(text, "k bigint")
-    return events.select("event_id", F.get_json_object(text, "$").isNotNull().alias("parsed"), F.coalesce(got["k"], F.lit(0)).alias("k"))
+    result = scans.tolerant_result(F.replace(text, F.lit('"k"'), F.lit('"est"')))
+    listed = F.concat(F.lit('{"a":{"l":['), F.array_join(F.transform(F.sequence(F.lit(1), F.pmod("user_id", F.lit(4)) + 1), lambda i: i.cast("string")), ","), F.lit("]}}"))
+    return events.select("event_id", result["parsed"].alias("parsed"), result["est"].alias("k"), result["valid"].alias("valid"), scans.array_length(listed, "$.a.l").alias("n"))
+
+
+def recorded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as tasks: recorded results by the hash of unit, language and stack; those of the last regions were not recorded."""
+    tasks = table(spark, sf_dir, "nation").select(F.col("n_name").alias("unit"), F.lit("cs").alias("language"), F.col("n_regionkey").cast("string").alias("stack"))
+    key = S.sha256(F.concat_ws("|", "unit", "language", "stack"))
+    recorded = tasks.where("stack < 3").select(key.alias("key"), F.concat(F.lit("result of "), "unit").alias("result"))
+    return scans.attach_recorded(tasks, recorded, missing="null").select("unit", "record_key", "result")
+
+
+def lines_of_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of the middle of every document, of a place before its start and of one behind its end."""
+    docs = table(spark, sf_dir, "documents")
+    line = lambda offset: S.line_of(F.col("text"), offset)
+    return docs.select("doc_id", line(F.floor(F.length("text") / 2).cast("int")).alias("middle"), line(F.lit(-5)).alias("first"), line(F.length("text") + 9).alias("last"))
+
+
+def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the parts written as files below a folder and scanned again, whole: languages, hashes, and their order by path."""
+    base = lineage.folder(spark, "sources")
+    parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list("p_name")), "\n").alias("doc"))
+    parts = parts.select(F.concat(F.translate("p_brand", "#", "_"), F.lit(".sql")).alias("file"), "doc")
+    where = exchange.write_documents(parts, base, "scan/of/parts")
+    found = scans.source_files(spark, where, "*.txt").withColumn("path", F.regexp_extract("path", r"file=([^/]+)/", 1))
+    ordered = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path"))
+    return found.select("path", scans.language_of(F.col("path")).alias("language"), S.sha256(F.regexp_replace("content", "\n$", "")).alias("sha256"), ordered.alias("position"))
+
+
+def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as test vectors in a JSON corpus, written and read again; a baseline output of another length than the reference's is told."""
+    base = lineage.folder(spark, "corpus")
+    points = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.cast("double").alias("lat"), (i * 2).cast("double").alias("lon")))
+    n = F.floor(F.col("o_totalprice") / 100_000).cast("int") + 1
+    output = lambda k: F.to_json(F.struct(F.transform(F.sequence(F.lit(1), k), lambda i: i.cast("double")).alias("leg_dist"), F.lit(True).alias("valid")))
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.array("o_orderpriority").alias("tags"), F.struct(F.col("o_orderkey").cast("string").alias("id"), points(n).alias("points")).alias("input"),
+        output(n).alias("reference_output"), output(F.when(F.col("o_orderstatus") == "P", n + 1).otherwise(n)).alias("baseline_output"), (F.col("o_orderstatus") == "P").alias("expected_divergent"),
+    )
+    where = scans.write_below(rows, base, "corpus")
+    read = scans.vectors(spark, where, lines=True)
+    legs = lambda c: F.size(scans.tolerant_result(F.col(c))["leg_dist"])
+    return read.select(F.col("id").cast("bigint").alias("id"), F.size("input.points").alias("n_points"), F.element_at("tags", 1).alias("tag"), (legs("reference_output") != legs("baseline_output")).alias("mismatch"), "expected_divergent")
 
 
 def blob_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +270,10 @@ QUERIES = {
     "label_confusion": label_confusion,
     "tolerant_json": tolerant_json,
     "blob_points": blob_points,
+    "recorded_results": recorded_results,
+    "lines_of_offsets": lines_of_offsets,
+    "written_sources": written_sources,
+    "corpus_vectors": corpus_vectors,
     "upsert_orders": upsert_orders,
     "orphan_lines": orphan_lines,
     "whole_text_secrets": whole_text_secrets,
@@ -253,6 +301,19 @@ ORACLES = {
   ('contact-address', 'Validation', 0.88::DOUBLE, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[A-Za-z]+'), ('numeric-limit', 'Calculation', 0.80::DOUBLE, '[0-9]+\\.[0-9]+'), ('long-lines', 'Routing', 0.85::DOUBLE, '')
 ) r(rule, category, confidence, pattern) WHERE CASE WHEN rule = 'long-lines' THEN len(string_split(text, chr(10))) > 20 ELSE regexp_matches(text, pattern) END""",
     "keyword_jaccard_pairs": _TOKS_SQL + "SELECT * FROM near",
+    "greedy_match_f1": _TOKS_SQL.replace("WITH words", "WITH RECURSIVE words")
+    + """, ranked AS (SELECT category, l_id, r_id, row_number() OVER (PARTITION BY category ORDER BY jaccard DESC, l_id, r_id) AS rank FROM near
+), lists AS (SELECT category, list({'l': l_id, 'r': r_id} ORDER BY rank) AS l FROM ranked GROUP BY category), steps AS (
+  SELECT category, 0 AS k, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs, l FROM lists
+  UNION ALL
+  SELECT category, k + 1, CASE WHEN list_contains(ls, l[k + 1].l) OR list_contains(rs, l[k + 1].r) THEN ls ELSE list_append(ls, l[k + 1].l) END,
+    CASE WHEN list_contains(ls, l[k + 1].l) OR list_contains(rs, l[k + 1].r) THEN rs ELSE list_append(rs, l[k + 1].r) END, l FROM steps WHERE k < len(l)
+), matched AS (SELECT category, len(ls) AS matched FROM steps WHERE k = len(l)), n AS (
+  SELECT category, count(*) FILTER (WHERE t = 'b') AS expected, count(*) FILTER (WHERE t = 'd') AS found FROM c GROUP BY category
+), r AS (
+  SELECT category, expected, found, CAST(coalesce(matched, 0) AS BIGINT) AS matched, CASE WHEN found > 0 THEN coalesce(matched, 0) / CAST(found AS DOUBLE) ELSE 0.0 END AS precision,
+    CASE WHEN expected > 0 THEN coalesce(matched, 0) / CAST(expected AS DOUBLE) ELSE 0.0 END AS recall FROM n LEFT JOIN matched USING (category)
+) SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r""",
     "label_confusion": """WITH c AS (
   SELECT CAST(sum(CASE WHEN toxic = 1 AND quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN toxic = 1 AND quality <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
     CAST(sum(CASE WHEN toxic <> 1 AND quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN toxic <> 1 AND quality <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM labels
@@ -260,7 +321,11 @@ ORACLES = {
   SELECT c.*, v AS vacuous, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE v END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE v END AS recall
   FROM c, (VALUES (1.0::DOUBLE), (0.0::DOUBLE)) t(v)
 ) SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r""",
-    "tolerant_json": "SELECT event_id, json_valid(t) AS parsed, coalesce(CASE WHEN json_valid(t) THEN TRY_CAST(json_extract_string(t, '$.k') AS BIGINT) END, 0) AS k FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, 3) ELSE props END AS t FROM events)",
+    "tolerant_json": "SELECT event_id, json_valid(t) AS parsed, coalesce(CASE WHEN json_valid(t) THEN TRY_CAST(json_extract_string(t, '$.k') AS BIGINT) END, 0) AS k, false AS valid, CAST(user_id % 4 + 1 AS INTEGER) AS n FROM (SELECT event_id, user_id, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, 3) ELSE props END AS t FROM events)",
+    "recorded_results": "SELECT n_name AS unit, sha256(concat_ws('|', n_name, 'cs', n_regionkey)) AS record_key, CASE WHEN n_regionkey < 3 THEN 'result of ' || n_name END AS result FROM nation",
+    "lines_of_offsets": "SELECT doc_id, CAST(1 + length(h) - length(replace(h, chr(10), '')) AS INTEGER) AS middle, CAST(CASE WHEN text IS NOT NULL THEN 1 END AS INTEGER) AS first, CAST(1 + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS last FROM (SELECT *, substr(text, 1, CAST(length(text) // 2 AS INTEGER)) AS h FROM documents)",
+    "written_sources": "SELECT replace(p_brand, '#', '_') || '.sql' AS path, 'sql' AS language, sha256(string_agg(p_name, chr(10) ORDER BY p_name)) AS sha256, CAST(row_number() OVER (ORDER BY replace(p_brand, '#', '_') || '.sql') AS INTEGER) AS position FROM part GROUP BY p_brand",
+    "corpus_vectors": "SELECT o_orderkey AS id, CAST(floor(o_totalprice / 100000) AS INTEGER) + 1 AS n_points, o_orderpriority AS tag, o_orderstatus = 'P' AS mismatch, o_orderstatus = 'P' AS expected_divergent FROM orders",
     "blob_points": "SELECT event_id, 0 AS seq, CAST(user_id AS DOUBLE) AS lat, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 13 AS DOUBLE) END AS lon FROM events UNION ALL SELECT event_id, 1, 1.0, 2.0 FROM events",
     "upsert_orders": "SELECT o_orderkey, o_custkey, coalesce('lines:' || status, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS status FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
     "orphan_lines": "SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY l_orderkey",

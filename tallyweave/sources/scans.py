@@ -43,10 +43,10 @@ def source_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return rows.select("path", language_of(F.col("path")).alias("language"), "content", S.sha256(F.col("content")).alias("content_sha256"))
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus of test vectors from JSON arrays: input, reference and baseline output, label, all in one row."""
+def vectors(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """A corpus of test vectors from JSON arrays (or lines): input, reference and baseline output, label, all in one row."""
     schema = f"id string, tags array<string>, input {REQUEST}, reference_output string, baseline_output string, expected_divergent boolean"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def tolerant_result(json: Column) -> Column:
