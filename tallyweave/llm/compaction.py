@@ -20,7 +20,7 @@ Defined results
 ---------------
 * The table read at a version has exactly the rows appended up to it, repeated rows and nulls included; an append of
   no rows is a version with the same shards. A store without versions cannot be read.
-* All appends have the columns of the first. A column named ``__batch`` is refused in ``append_batches``.
+* All appends have the columns of the first, whatever their names.
 * Arrivals of ``append_batches`` become versions in order of their values, numbers by size, a null last. An empty table
   is one arrival without shards.
 * The order of rows is not kept. A failed append or merge leaves files that no manifest lists, and an intent that
@@ -214,15 +214,16 @@ class Store:
 
     def append_batches(self, df: DataFrame, batch) -> Manifest:
         """Several arrivals in one job: the rows of each value of ``batch`` are an arrival and a version of their own."""
-        if "__batch" in df.columns:
-            raise ValueError("a column is named __batch")
+        name = "__batch"
+        while name in map(str.lower, df.columns):
+            name += "_"
         with self._writing() as folder:
-            named = df.withColumn("__batch", batch)
-            named.write.partitionBy("__batch").parquet(f"{self.path}/{folder}")
-            number = isinstance(named.schema["__batch"].dataType, T.NumericType)
+            named = df.withColumn(name, batch)
+            named.write.partitionBy(name).parquet(f"{self.path}/{folder}")
+            number = isinstance(named.schema[name].dataType, T.NumericType)
             arrivals: dict[tuple, list[Shard]] = {}
             for s in self._listed(folder):
-                value = s.path.rsplit("/", 2)[1].removeprefix("__batch=")
+                value = s.path.rsplit("/", 2)[1].removeprefix(f"{name}=")
                 last = value == "__HIVE_DEFAULT_PARTITION__"
                 arrivals.setdefault((last, Decimal(value) if number and not last else value), []).append(s)
             made = None

@@ -13,8 +13,8 @@ Defined results
   a target weight of a source with no rows is ignored, and the others are not rescaled for it.
 * Rows of null and of repeated ids draw one by one. Their places are those of Spark's row numbers over the scan, so
   the same draws need the same files; a row whose id is its own draws the same whatever the files.
-* An empty table gives an empty table. Texts are carried, never looked at, however long; columns of any other name pass through,
-  and the helper columns carry a prefix that is refused in the input (``__mix_``).
+* An empty table gives an empty table. Texts are carried, never looked at, however long; columns of any other name pass through.
+  Where the draw's columns are kept, input columns of their names give way to them.
 """
 
 from __future__ import annotations
@@ -77,38 +77,42 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
 def repetition_rates(
     docs: DataFrame, weights: dict[str | None, float] | None, source: str, exponent: float, epochs: float
 ) -> tuple[DataFrame, int]:
-    """Rows (__mix_source, __mix_rate), and how many there are.
+    """Rows (of_source, rate), and how many there are.
 
     Without given weights a source's weight is in proportion to ``rows ** exponent``.
     """
-    counts = docs.groupBy(F.col(source).alias("__mix_source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col(f"`{source}`").alias("of_source")).agg(F.count("*").alias("n"))
     power = F.pow(F.col("n").cast("double"), F.lit(float(exponent)))
     sources, total, mass = counts.agg(F.count("*"), F.sum("n"), F.sum(power)).first()
     if weights is None:
         weight = power / F.lit(mass)
     else:
         named = [F.lit(x) for k, v in weights.items() if k is not None for x in (str(k), float(v))]
-        given = F.try_element_at(F.create_map(*named), F.col("__mix_source").cast("string")) if named else F.lit(None)
-        weight = F.when(F.col("__mix_source").isNull(), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(given, F.lit(0.0)))
+        given = F.try_element_at(F.create_map(*named), F.col("of_source").cast("string")) if named else F.lit(None)
+        weight = F.when(F.col("of_source").isNull(), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(given, F.lit(0.0)))
     rate = weight * F.lit(total) * F.lit(float(epochs)) / F.col("n")
     if weights is not None:  # what a caller asks for is checked; what follows from the corpus' size is not
         rate = F.when(rate > MAX_GIVEN_RATE, F.raise_error(F.lit(f"a repetition rate above {MAX_GIVEN_RATE}: lower the source's weight"))).otherwise(rate)
-    return counts.select("__mix_source", rate.alias("__mix_rate")), sources
+    return counts.select("of_source", rate.alias("rate")), sources
 
 
-def drawing_names(docs: DataFrame, key: str) -> DataFrame:
-    """The rows with ``__mix_name``, which no other row has: the id, and the row's place where the id is not its own."""
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__mix_id")).agg(F.count("*").alias("n"))
-    repeated, _ = common.written(repeated.where("n > 1").select("__mix_id"), "repeated")
+def drawing_names(rows: DataFrame) -> DataFrame:
+    """The rows with ``name``, which no other row has: the ``id``, and the row's place where the id is not its own."""
+    repeated = rows.where("id is not null").groupBy(F.col("id").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").select("shared")
+    repeated, _ = common.written(repeated, "repeated")
     several = repeated.count()
-    name, place = F.col(key).cast("string"), F.col("__mix_row").cast("string")
-    rows = docs.withColumn("__mix_row", F.monotonically_increasing_id())
-    alone = F.col(key).isNotNull()
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    alone = F.col("id").isNotNull()
     if several:
-        rows = rows.join(F.broadcast(repeated) if several <= MAX_BROADCAST_IDS else repeated, F.col(key) == F.col("__mix_id"), "left")
-        alone = alone & F.col("__mix_id").isNull()
-    named = rows.withColumn("__mix_name", F.when(alone, name).otherwise(F.concat(F.coalesce(name, F.lit("null")), F.lit("#"), place)))
-    return named.drop("__mix_row", "__mix_id")
+        rows = rows.join(F.broadcast(repeated) if several <= MAX_BROADCAST_IDS else repeated, F.col("id") == F.col("shared"), "left")
+        alone = alone & F.col("shared").isNull()
+    text = F.col("id").cast("string")
+    own = F.concat(F.coalesce(text, F.lit("null")), F.lit("#"), F.col("place").cast("string"))
+    return rows.select("doc", "source", F.when(alone, text).otherwise(own).alias("name"))
+
+
+#: Columns of the draw.
+DRAW = ("copy_no", "n_copies", "shuffle_key")
 
 
 def mix(
@@ -128,19 +132,19 @@ def mix(
     the mix in passes over the input. With ``keep_draw`` the columns ``copy_no`` (from 1), ``n_copies`` and
     ``shuffle_key`` follow the input's. Rows come in order of ``shuffle_key`` within each file.
     """
-    clash = [c for c in docs.columns if c.startswith("__mix_") or keep_draw and c.lower() in ("copy_no", "n_copies", "shuffle_key")]
-    if clash:
-        raise ValueError(f"columns in use by the operator: {clash}")
     rates, sources = repetition_rates(docs, weights, source, exponent, epochs)
     rates = F.broadcast(rates) if sources <= MAX_BROADCAST_SOURCES else rates
-    drawn = drawing_names(docs, key).join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
-    drawn = drawn.withColumn("__mix_n", poisson_inverse(uniform(seed, F.col("__mix_name")), F.col("__mix_rate"))).where("__mix_n > 0")
-    copies = drawn.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    text = F.concat(F.lit(f"{seed}/"), F.col("__mix_name"), F.lit("/"), F.col("__mix_copy").cast("string"))
-    copies = copies.withColumn("__mix_key", F.md5(text))
-    shuffled = copies.repartition("__mix_key").sortWithinPartitions("__mix_key")
-    draw = [F.col("__mix_copy").alias("copy_no"), F.col("__mix_n").alias("n_copies"), F.col("__mix_key").alias("shuffle_key")]
-    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], *(draw if keep_draw else []))
+    # the input's columns travel as one, so that no name of theirs meets one of the operator's
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"))
+    drawn = drawing_names(rows).join(rates, F.col("source").eqNullSafe(F.col("of_source")))
+    drawn = drawn.withColumn("n_copies", poisson_inverse(uniform(seed, F.col("name")), F.col("rate"))).where("n_copies > 0")
+    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    text = F.concat(F.lit(f"{seed}/"), F.col("name"), F.lit("/"), F.col("copy_no").cast("string"))
+    copies = copies.select("doc", "copy_no", "n_copies", F.md5(text).alias("shuffle_key"))
+    shuffled = copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    names = [c for c in docs.columns if not (keep_draw and c.lower() in DRAW)]
+    return shuffled.select(*[F.col("doc").getField(c).alias(c) for c in names], *(DRAW if keep_draw else ()))
 
 
 ORACLE_SQL = """

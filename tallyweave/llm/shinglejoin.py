@@ -29,7 +29,8 @@ Defined results
 * Null texts and texts without words have ``n_shingles`` 0 and link with nothing.
 * Rows with the same id are one document; its component holds what any of its texts links with. A null id links with
   nothing and has a null component.
-* Texts shorter than a shingle give one shingle, the whole word sequence. An empty table gives an empty table. Other
+* Texts shorter than a shingle give one shingle, the whole word sequence. Very long texts have their whole sets
+  compared; a set is one row where it is verified. An empty table gives an empty table. Other
   columns of the input are not read, whatever their names.
 """
 

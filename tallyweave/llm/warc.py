@@ -14,6 +14,7 @@ Defined results
 * A null page has the empty payload. Rows that repeat key and payload are the same capture: where the key is the
   group's smallest they are all responses. A null key sorts behind all others; its record carries no page id.
 * Line breaks are removed from URLs, a null URL is written as ``urn:page:<key>``.
+* Pages of any length are stored whole, up to the size of one value.
 * An empty table gives an empty archive. Columns besides key, url and page are not read.
 
 The digests are narrow and are grouped without the payloads; a hot payload is pre-aggregated. Payloads are moved once,

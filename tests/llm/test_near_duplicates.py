@@ -199,6 +199,25 @@ def test_shingle_rows_that_share_or_lack_ids(spark):
     assert got == [(0, 28, None), (3, 28, 3), (5, 28, 3), (5, 28, 3), (7, 0, 7), (7, 0, 7), (8, 1, 8), (9, 28, 3)]
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    other = list(words)
+    for i in range(0, len(other), 400):
+        other[i] = "edited"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:60_000])), (4, "short one here"), (5, "short one here")]
+    got = sorted(tuple(r) for r in shinglejoin.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90).collect())
+    assert [(i, c) for i, _, c in got] == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)] and got[0][1] == len(shingles(rows[0][1], 3))
+
+
+def test_stars_of_a_hub_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(60)] + [(5, 5), (1, 0), (20_000, 20_001)]
+    found, path = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert got == {**{i: 0 for i in range(3000)}, **{10_000 + i: 10_000 for i in range(61)}, 20_000: 20_000, 20_001: 20_000}
+    common.drop(spark, path)
+
+
 def test_no_texts(spark):
     assert shinglejoin.shingle_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):

@@ -108,8 +108,9 @@ def test_store(spark):
     with pytest.raises(compaction.Conflict):
         store._commit(first, last.schema, [], set())
     assert store.vacuum() > 0 and store.versions() == [last.version] and sorted(map(repr, store.read().collect())) == before
-    with pytest.raises(ValueError):
-        store.append_batches(df.withColumn("__batch", F.lit(1)), F.lit(1))
+    clash = compaction.Store(spark, common.scratch(spark, "store"))
+    clash.append_batches(df.withColumn("__batch", F.lit("own")), F.lit(1))
+    assert {r["__batch"] for r in clash.read().collect()} == {"own"}
 
 
 def test_arrivals_come_in_order_of_their_numbers(spark):
@@ -255,8 +256,12 @@ def test_given_weights(spark):
 def test_mix_edges(spark):
     df = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
     assert mixing.mix(df.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(df.withColumn("n_copies", F.lit(1)))
+    clash = df.withColumns({"n_copies": F.lit("mine"), "rate": F.lit(7), "doc": F.lit("d"), "place": F.lit(0), "of_source": F.lit("o"), "__mix_n": F.lit(2)})
+    got = mixing.mix(clash, epochs=50.0)
+    assert got.columns == ["doc_id", "text", "source", "rate", "doc", "place", "of_source", "__mix_n", "copy_no", "n_copies", "shuffle_key"]
+    rows = got.collect()
+    assert len(rows) == rows[0]["n_copies"] > 1 and {(r["rate"], r["doc"], r["__mix_n"]) for r in rows} == {(7, "d", 2)}
+    assert mixing.mix(clash, epochs=50.0, keep_draw=False).columns == clash.columns
     with pytest.raises(Exception, match="repetition rate"):
         mixing.mix(df, {"a": 1.0}, epochs=1000.0).collect()
 
@@ -359,6 +364,35 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert order(map(tuple, P.run(spark, str(tmp_path)).collect())) == order(map(tuple, coded))
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    out = P.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "restored"]
+
+
+def test_pipeline_of_long_texts_and_clashing_names(spark, tmp_path):
+    """Columns beside the five are not carried, whatever their names; a very long text goes through whole."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r["text"] for r in P.quality_rules(spark, docs, "").orderBy("doc_id").limit(60).collect()]
+    long = " ".join(texts * 40)
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(900, long, "en", "a", len(long)), (901, None, None, None, None), (902, "", "en", "a", 0)]
+    clash = {"row": F.lit(1), "kept": F.lit("x"), "component_id": F.lit(2), "node": F.lit(3), "n": F.lit(4), "lang_pred": F.lit("y"), "score": F.lit(0), "__mix_rate": F.lit(1)}
+    spark.createDataFrame(rows, docs.schema).withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES[:3]:
+        now, _ = common.written(stage(spark, now, str(tmp_path)), name)
+        kept = {r["doc_id"] for r in now.select("doc_id").collect()}
+        assert now.columns == list(P.DOC_COLUMNS) and not kept & {901, 902}
+    assert now.where("doc_id = 900").count() == (900 in kept)
+    out = P.tokenise(spark, common.written(spark.createDataFrame(rows, docs.schema), "long")[0], "").where("doc_id = 900").first()
+    assert out["restored"] and out["n_tokens"] > 100_000
+
+
 def test_rows_of_null_and_shared_ids_are_judged_alone(spark, tmp_path):
     import corpus_pipeline as P
 
