@@ -3,6 +3,10 @@
 Language ID drops documents without a language or with a doubtful one; quality rules drop what fails them; of near
 duplicates one document stays; sources are mixed to target weights by replication; the last stage tokenises. Every row is
 judged by itself, whether its id is null or shared with others.
+
+Null texts and texts without words go in the first stages. An empty table gives an empty table with the same columns.
+Texts are judged whole, however long. Columns of the input besides the five of DOC_COLUMNS are not carried, so no name
+can clash. Of rows that repeat each other one stays. Each stage's input must be a written table.
 """
 
 from __future__ import annotations
