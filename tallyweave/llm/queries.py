@@ -15,8 +15,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors: cosine 0.93 or more within a label. Kept: the smallest id of a component."""
     found = vectordedup.near_vectors(_read(spark, sf_dir, "embeddings"), least=0.93)
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
@@ -28,6 +28,7 @@ FERTILITY = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.pa
 
 
 def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, whole texts; ``reasons`` names the measures outside their bands."""
     return fertility.quality(_read(spark, sf_dir, "documents"), FERTILITY).drop("lang")
 
 
@@ -43,6 +44,7 @@ def op3_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
     docs = _read(spark, sf_dir, "documents")
     out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
     found = langid.identify(docs, langid.train(docs.where(~out)))
@@ -50,6 +52,7 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as an archive, read back record by record, and what the records say of each capture."""
     path = common.scratch(spark, "archive")
     warc.write_archive(_read(spark, sf_dir, "pages"), path, min_bytes=0)
     found = warc.captures(warc.parse(warc.restore(spark, path)))
@@ -58,22 +61,27 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: number of tokens, digests of ids and of the decoded text."""
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence template of every place in every document that one matches."""
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of 3-word shingles have a Jaccard coefficient of 0.9 or more, as components."""
     return shinglejoin.shingle_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated to weights tempered by the square root of their sources' sizes, in shuffled order."""
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
