@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +26,46 @@ def link_hash(payload_sha: Column, previous: Column) -> Column:
     return S.sha256(F.concat_ws("|", payload_sha, previous))
 
 
-def append_chain(rows: DataFrame, chain: str, order: str, action: str, actor: str, payload: str, *, bind_all: bool = True) -> DataFrame:
-    """Rows (chain, seq, action, actor, payload_sha, prev_hash, entry_hash) of every chain.
+def _folded(rows: DataFrame, chain: str, order: str, action: str, actor: str, payload: str) -> DataFrame:
+    """Rows (chain, seq, action, actor, payload_sha, prev_hash, entry_hash, prev_link, link): both variants of every chain.
 
-    A chain is sequential, so a chain is folded in one task over its hashed payloads; chains are independent. Null
-    fields count as empty.
+    A chain is sequential, so its rows come in order to one task, which folds them as they stream by and keeps only the
+    last hashes. What is shuffled and sorted are hashes of payloads, not payloads.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    fields = F.struct(F.col(order).alias("o"), text(action).alias("action"), text(actor).alias("actor"), S.sha256(text(payload)).alias("payload_sha"))
-    listed = rows.groupBy(chain).agg(F.sort_array(F.collect_list(fields)).alias("l"))
-    numbered = F.transform("l", lambda e, i: F.struct(i.cast("bigint").alias("seq"), e["action"].alias("action"), e["actor"].alias("actor"), e["payload_sha"].alias("payload_sha")))
-    kind = "array<struct<seq: bigint, action: string, actor: string, payload_sha: string, prev_hash: string, entry_hash: string>>"
-    start = F.struct(F.lit(GENESIS if bind_all else ZERO_GENESIS).alias("head"), F.array().cast(kind).alias("made"))
-
-    def step(s: Column, e: Column) -> Column:
-        h = entry_hash(e["seq"], e["action"], e["actor"], e["payload_sha"], s["head"]) if bind_all else link_hash(e["payload_sha"], s["head"])
-        row = F.struct(e["seq"].alias("seq"), e["action"].alias("action"), e["actor"].alias("actor"), e["payload_sha"].alias("payload_sha"), s["head"].alias("prev_hash"), h.alias("entry_hash"))
-        return F.struct(h.alias("head"), F.concat(s["made"], F.array(row)).alias("made"))
-
-    return listed.select(chain, F.inline(F.aggregate(numbered, start, step, lambda s: s["made"])))
+    narrow = rows.select(F.col(chain).alias("chain"), F.col(order).alias("o"), text(action).alias("action"), text(actor).alias("actor"), S.sha256(text(payload)).alias("payload_sha"))
+    sorted_rows = narrow.repartition("chain").sortWithinPartitions("chain", "o", "action", "actor", "payload_sha").drop("o")
+    digest = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seq, head, link = object(), 0, "", ""
+        for batch in batches:
+            made = []
+            for key, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, seq, head, link = key, 0, GENESIS, ZERO_GENESIS
+                entry, weak = digest(str(seq), *fields, head), digest(fields[2], link)
+                made.append((seq, head, entry, link, weak))
+                seq, head, link = seq + 1, entry, weak
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+            seqs, *hashes = (pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), seqs, *batch.columns[1:], *hashes], ["chain", "seq", "action", "actor", "payload_sha", "prev_hash", "entry_hash", "prev_link", "link"])
+
+    kind = dict(narrow.dtypes)["chain"]
+    schema = f"chain {kind}, seq bigint, action string, actor string, payload_sha string, prev_hash string, entry_hash string, prev_link string, link string"
+    return sorted_rows.mapInArrow(fold, schema).withColumnRenamed("chain", chain)
+
+
+def append_chain(rows: DataFrame, chain: str, order: str, action: str, actor: str, payload: str, *, bind_all: bool = True) -> DataFrame:
+    """Rows (chain, seq, action, actor, payload_sha, prev_hash, entry_hash) of every chain. Null fields count as empty."""
+    made = _folded(rows, chain, order, action, actor, payload)
+    hashes = ("prev_hash", "entry_hash") if bind_all else (F.col("prev_link").alias("prev_hash"), F.col("link").alias("entry_hash"))
+    return made.select(chain, "seq", "action", "actor", "payload_sha", *hashes)
+
+
+def heads(rows: DataFrame, chain: str, order: str, action: str, actor: str, payload: str) -> DataFrame:
+    """Rows (chain, head, weak_head, n): the last hashes of both variants, from one fold."""
+    return _folded(rows, chain, order, action, actor, payload).groupBy(chain).agg(F.max_by("entry_hash", "seq").alias("head"), F.max_by("link", "seq").alias("weak_head"), F.count("*").alias("n"))
 
 
 def verify_chain(entries: DataFrame, chain: str, *, bind_all: bool = True) -> DataFrame:

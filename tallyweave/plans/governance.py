@@ -12,9 +12,15 @@ from tallyweave.sources import render
 from tallyweave.sources.tables import table
 
 
-def _chain(spark: SparkSession, sf_dir: str, bind_all: bool = True) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("actor", F.concat(F.lit("conv:"), F.col("conv_id").cast("string")))
-    return L.append_chain(turns, "conv_id", "turn", "role", "actor", "text", bind_all=bind_all)
+_FIELDS = ("conv_id", "turn", "role", "actor", "text")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").withColumn("actor", F.concat(F.lit("conv:"), F.col("conv_id").cast("string")))
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.append_chain(_turns(spark, sf_dir), *_FIELDS)
 
 
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +29,7 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last hash of every chain, in the binding form and in the weaker one."""
-    last = lambda d: d.groupBy("conv_id").agg(F.max_by("entry_hash", "seq").alias("head"), F.count("*").alias("n"))
-    weak = last(_chain(spark, sf_dir, bind_all=False)).select("conv_id", F.col("head").alias("weak_head"))
-    return last(_chain(spark, sf_dir)).join(weak, "conv_id")
+    return L.heads(_turns(spark, sf_dir), *_FIELDS)
 
 
 def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +294,6 @@ SELECT conv_id, count(*) AS n, count(reason) = 0 AS valid, CAST(min(seq) FILTER
 ), r AS (SELECT row_number() OVER (ORDER BY gate) - 1 AS seq, 'GateDecision' AS action, 'gate:' || gate AS actor, sha256(payload) AS p FROM e), c AS (
   SELECT seq, action, actor, 'GENESIS' AS prev_hash, sha256(concat_ws('|', seq, action, actor, p, 'GENESIS')) AS entry_hash FROM r WHERE seq = 0
   UNION ALL SELECT r.seq, r.action, r.actor, c.entry_hash, sha256(concat_ws('|', r.seq, r.action, r.actor, r.p, c.entry_hash)) FROM r JOIN c ON r.seq = c.seq + 1
-)
 ) SELECT 'gates' AS chain, * FROM c""",
     "schema_ir": _SCHEMA_SQL + "SELECT * FROM nodes",
     "schema_ir_errors": "SELECT * FROM (VALUES ('orders.x', 'unknown type'), ('orders.x', 'missing name'), ('orders.x', 'unknown parent'), ('orders.o_orderkey', 'repeated id'), ('orders.o_orderkey', 'repeated id')) t(node_id, error)",
