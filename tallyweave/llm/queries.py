@@ -33,11 +33,17 @@ def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen arrivals, compacted; what the last version holds, with digests of the texts."""
+    """Sixteen arrivals, compacted; what the last version holds, with digests of the texts.
+
+    An error where compaction leaves a run of one tier, or where its version holds other rows than the one before.
+    """
     store = compaction.Store(spark, common.scratch(spark, "store"))
     docs = compaction.arrivals_of(_read(spark, sf_dir, "documents"))
     store.append_batches(docs, F.col("arrival"))
-    store.compact()
+    before, after = store.manifest(), store.compact()
+    rows = lambda v: store.read(v).agg(F.count("*"), F.bit_xor(F.xxhash64("doc_id", "arrival", "n_chars"))).first()
+    if compaction.plan_bins(after.shards) or rows(before.version) != rows(after.version):
+        raise RuntimeError("compaction left a run of shards, or changed rows")
     store.vacuum()
     sized = store.read().withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256))
     return sized.select("doc_id", "arrival", "n_bytes", "text_sha256", "lang", "source", "n_chars")
