@@ -92,6 +92,23 @@ def alone(nodes: DataFrame, components: DataFrame) -> DataFrame:
     return nodes.select("id").join(components.join(large, "component", "left_semi").select("id"), "id", "left_anti")
 
 
+def cut_units(units: DataFrame, pairs: DataFrame, depth: int = 2) -> DataFrame:
+    """Rows (id, unit) of units (id, unit, cut) and affinities (i, j, w): units to cut get the path of their side at the end.
+
+    Members without any affinity within their unit stay in the unit itself.
+    """
+    end = lambda x: units.where("cut").select(F.col("id").alias(x), F.col("unit").alias(f"{x}_unit"))
+    inner = pairs.join(end("i"), "i").join(end("j"), "j").where("i_unit = j_unit").select(F.col("i_unit").alias("graph"), "i", "j", "w")
+    parts = G.spectral_clusters(inner, "graph", depth).select(F.col("node").alias("id"), "cluster")
+    return units.join(parts, "id", "left").select("id", F.when(F.col("cluster").isNull(), F.col("unit")).otherwise(F.concat("unit", F.lit("/"), "cluster")).alias("unit"))
+
+
+def rules_per_module(rules: DataFrame, modules: DataFrame) -> DataFrame:
+    """Rows (id, n_rules): how many rules (rule, refs) name each module."""
+    named = rules.select("rule", F.explode("refs").alias("id")).distinct().groupBy("id").agg(F.count("*").alias("n"))
+    return modules.select("id").join(named, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_rules"))
+
+
 def references(rules: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (rule, concern, id): the members that a rule's ``refs`` name."""
     return rules.select("rule", "concern", F.explode("refs").alias("id")).join(members.select("id").distinct(), "id", "left_semi")

@@ -39,6 +39,12 @@ def divergent_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.checked_share(C.by_tag(_vectors(spark)))
 
 
+def client_copy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by tag for which a copy of the decision that lacks the clause on arrivals says otherwise than the baseline."""
+    v = _vectors(spark)
+    return v.groupBy("tag").agg(F.sum((F.col("base_valid") != F.col("base_go")).cast("bigint")).alias("n_drifted"))
+
+
 def _files(spark: SparkSession, sf_dir: str, after: bool = False) -> DataFrame:
     """Small source files of the parts; large sizes bring constructions that a review finds. ``after``: as rewritten."""
     size = F.col("p_size")
@@ -75,6 +81,7 @@ QUERIES = {
     "route_divergence": route_divergence,
     "route_replay": route_replay,
     "divergent_share": divergent_share,
+    "client_copy_drift": client_copy_drift,
     "security_review": security_review,
     "source_accept_rate": source_accept_rate,
     "source_symbols": source_symbols,
@@ -162,6 +169,7 @@ SELECT oracle, kind, count(*) AS evaluated, CAST(0 AS BIGINT) AS violations, CAS
     + """, r AS (SELECT unnest(list_filter([CASE WHEN eta_vote = 1 THEN 'eta' END, CASE WHEN feasible_vote = 1 THEN 'feasible' END, CASE WHEN go_vote = 1 THEN 'go' END, CASE WHEN go_vote = 1 THEN 'messages' END, CASE WHEN total_vote = 1 THEN 'distances' END], lambda x: x IS NOT NULL)) AS field FROM o)
 SELECT field, count(*) AS n FROM r GROUP BY field""",
     "divergent_share": _ROUTES_SQL + " SELECT count(*) AS n, count(*) FILTER (WHERE divergent) AS divergent, count(*) FILTER (WHERE divergent) / CAST(count(*) AS DOUBLE) AS share FROM o",
+    "client_copy_drift": _ROUTES_SQL + " SELECT tag, count(*) FILTER (WHERE valid AND NOT base_feasible) AS n_drifted FROM o GROUP BY tag",
     "security_review": _FILES_SQL
     + """SELECT 'hardcoded-credentials' AS rule, 'Connection string in a literal' AS title, 'CAT II' AS severity, '(remediated)' AS location, 'Remediated' AS disposition FROM f WHERE p_type = 'ECONOMY'
 UNION ALL SELECT 'certificate-validation', 'Certificates are not validated', 'CAT II', path || ':3', 'Residual' FROM f WHERE p_type = 'ECONOMY'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import scalars as S
@@ -128,6 +128,13 @@ def ordered_sum_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_orderkey", "running_total", exact.alias("exact_total"), off.alias("drifted"))
 
 
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact units of every order's lines, added up line by line."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("units", K.line_units())
+    upto = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.select("l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)).alias("at_line"), F.sum("units").over(upto).alias("running_units"))
+
+
 def array_vote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array votes of three leg lists: the candidate drops the last element of every tenth route and repairs every third."""
     legs = _legs(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("leg", F.round("distance", 6).alias("d"), F.round("raw_distance", 6).alias("r")))).alias("l"))
@@ -260,6 +267,7 @@ QUERIES = {
     "eta_with_boundaries": eta_with_boundaries,
     "ordered_sum_drift": ordered_sum_drift,
     "array_vote_rows": array_vote_rows,
+    "running_totals": running_totals,
 }
 _EXPECTED_SQL, _DETECTED_SQL = (
     "(br > 1e-9::DOUBLE OR lines_off > 0 OR base_ok <> ref_ok OR base_big <> ref_big)",
@@ -305,6 +313,9 @@ SELECT user_id, launch, ref_eta, base_eta, abs(ref_eta - (base_eta + (user_id %
     FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * 100 AS BIGINT) * (100 - CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS BIGINT)) AS e FROM lineitem)) r
   GROUP BY r.l_orderkey
 ) SELECT l_orderkey, running_total, exact_total, abs(running_total - exact_total) / greatest(abs(running_total), abs(exact_total), 1e-12::DOUBLE) > 1e-9::DOUBLE AS drifted FROM sums""",
+    "running_totals": """WITH u AS (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * 100 AS BIGINT) * (100 - CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS BIGINT)) AS units FROM lineitem)
+SELECT l_orderkey, CAST(row_number() OVER w AS INTEGER) AS at_line, CAST(sum(units) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_units
+FROM u WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)""",
     "array_vote_rows": _LEGS_SQL
     + """, e AS (
   SELECT user_id, leg, count(*) OVER (PARTITION BY user_id) AS n, round(distance, 6) AS r, round(raw_distance, 6) AS b, CASE WHEN user_id % 3 = 0 THEN round(distance, 6) ELSE round(raw_distance, 6) END AS c FROM legs

@@ -88,6 +88,13 @@ def named_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("unit", F.col("place").cast("int").alias("place"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "risk")
 
 
+def rules_per_module(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day of the week with every kind of event is a rule that names its users."""
+    events = table(spark, sf_dir, "events")
+    rules = events.groupBy(F.concat_ws(":", F.dayofweek("ts").cast("string"), "event_type").alias("rule")).agg(F.collect_set("user_id").alias("refs"))
+    return P.rules_per_module(rules, events.select(F.col("user_id").alias("id")).distinct())
+
+
 def keyword_concern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first concern whose words a document holds, and whether its tags (language, source) name English."""
     docs = table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", "source"))
@@ -206,6 +213,7 @@ QUERIES = {
     "single_modules": single_modules,
     "concern_assignment": concern_assignment,
     "named_units": named_units,
+    "rules_per_module": rules_per_module,
     "keyword_concern": keyword_concern,
     "type_complexity": type_complexity,
     "fixed_point": fixed_point,
@@ -228,6 +236,7 @@ ORACLES = {
     "named_units": _CONCERNS_SQL
     + """, owned AS (SELECT id, risk, CASE WHEN concern = 'shared' THEN 'click' ELSE concern END AS concern FROM concerns)
 SELECT 'unit:' || concern AS unit, CASE concern WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS place, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members, max(risk) AS risk FROM owned GROUP BY concern""",
+    "rules_per_module": "SELECT user_id AS id, count(DISTINCT dayofweek(ts) || ':' || event_type) AS n_rules FROM events GROUP BY 1",
     "keyword_concern": "SELECT doc_id, CASE " + " ".join(f"WHEN {_WORDS('text', ws)} THEN '{label}'" for label, ws in CASCADE) + " END AS concern, coalesce(lower(lang) = 'en', false) OR coalesce(lower(source) = 'en', false) AS english FROM documents",
     "type_complexity": """SELECT p_brand AS type_id, CAST(sum(p_size) AS BIGINT) AS complexity, CAST(sum(coalesce(coupling, 0)) AS BIGINT) AS coupling, CAST(sum(coalesce(fan_out, 0)) AS BIGINT) AS fan_out,
   CAST(max(length(p_name)) AS INTEGER) AS nesting, CAST(max(p_size) AS BIGINT) AS worst FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS coupling, count(*) AS fan_out FROM lineitem GROUP BY 1) ON p_partkey = l_partkey GROUP BY 1""",

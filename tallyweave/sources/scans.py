@@ -49,6 +49,15 @@ def vectors(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame
     return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
+def with_labels(vectors: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Vectors with their labels, matched by key, never by place; an error where either side lacks a row of the other."""
+    one, two = vectors.withColumn("__left", F.lit(True)), labels.withColumn("__right", F.lit(True))
+    both = one.join(two, key, "full")
+    alone = F.col("__left").isNull() | F.col("__right").isNull()
+    checked = F.when(alone, F.raise_error(F.concat(F.lit("no partner of "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return both.where(checked).drop("__left", "__right")
+
+
 def tolerant_result(json: Column) -> Column:
     """A result struct from JSON text: missing or mistyped fields take their defaults; ``parsed`` tells bad JSON apart."""
     raw = F.from_json(json, RESULT)

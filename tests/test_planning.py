@@ -4,6 +4,8 @@ import math
 import os
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyweave.operators import differential as D
@@ -47,6 +49,37 @@ def test_concerns(spark):
     assert [(r["unit"], r["members"], r["risk"]) for r in units] == [("unit:one", ["b"], 0.0), ("unit:lead", ["a"], 0.5), ("unit:out", ["c", "d"], 0.9)]
 
 
+def test_units_to_cut(spark):
+    units = spark.createDataFrame([(i, "u", True) for i in range(6)] + [(9, "v", False), (10, "v", False)], "id int, unit string, cut boolean")
+    tight = [(a, b, 3.0) for g in ((0, 1, 2), (3, 4)) for a in g for b in g if a < b] + [(2, 3, 0.25), (9, 10, 3.0)]
+    got = dict(rows(P.cut_units(units, spark.createDataFrame(tight, "i int, j int, w double"), depth=1)))
+    assert got[0] == got[1] == got[2] != got[3] == got[4] and {got[0], got[3]} == {"u/0", "u/1"} and got[5] == "u" and got[9] == got[10] == "v"
+
+
+def test_labels_without_partners_raise(spark):
+    v = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    assert rows(scans.with_labels(v, spark.createDataFrame([(2, True), (1, False)], "id int, label boolean"), "id")) == [(1, "a", False), (2, "b", True)]
+    for bad in ([(1, True)], [(1, True), (2, True), (3, True)]):
+        with pytest.raises(Exception, match="no partner"):
+            scans.with_labels(v, spark.createDataFrame(bad, "id int, label boolean"), "id").collect()
+
+
+numbers = st.floats(min_value=-1e6, max_value=1e6, allow_nan=False)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(numbers, numbers, numbers), min_size=1, max_size=40))
+def test_votes_of_generated_numbers(spark, triples):
+    """A candidate equal to the baseline is equivalent; a violation is never explained by the reference."""
+    df = spark.createDataFrame([(*t, i) for i, t in enumerate(triples)], "b double, c double, r double, i int")
+    votes = df.select("b", "c", "r", D.continuous_vote(F.col("b"), F.col("c"), F.col("r")).alias("v"), D.continuous_vote(F.col("b"), F.col("b"), F.col("r")).alias("same")).collect()
+    error = lambda x, y: abs(x - y) / max(abs(x), abs(y), 1e-12)
+    for x in votes:
+        near = error(x["b"], x["c"]) <= 1e-9
+        fixed = error(x["c"], x["r"]) <= 1e-9 < error(x["b"], x["r"])
+        assert x["same"] == D.EQUIVALENT and x["v"] == (D.EQUIVALENT if near else D.INTENTIONAL if fixed else D.VIOLATION)
+
+
 def test_words_tags_and_statements(spark):
     df = spark.createDataFrame([("A Price", ["EN"]), ("none", []), (None, None)], "t string, tags array<string>")
     got = df.select(P.first_match(F.col("t"), (("m", ("price",)), ("n", ("none", "price")))).alias("a"), P.has_tag(F.col("tags"), "en").alias("b"), P.statement_of(F.col("t"), {"NONE": "said"}, "?").alias("c")).collect()
