@@ -227,9 +227,8 @@ def quartiles(measured: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "name", "measure").agg(F.max("total").cast("double").alias("n"), three.alias("q"))
 
 
-def bands(measured: DataFrame) -> DataFrame:
+def bands(measured: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (of_lang, of_script, q_<measure>): the pulled quartiles for every pair of language and script that occurs."""
-    found, _ = common.written(quartiles(measured), "quartiles")
     prior = F.array(*[F.struct(F.lit(m).alias("measure"), F.array(*map(F.lit, q)).alias("q")) for m, q in PRIOR.items()])
     rows = measured.select(F.col("lang").alias("of_lang"), F.col("script").alias("of_script")).distinct().select("*", F.inline(prior))
     for kind, name in (("all", F.lit("")), ("script", F.col("of_script")), ("lang", F.col("of_lang"))):
@@ -262,7 +261,9 @@ def judge(measured: DataFrame) -> DataFrame:
 
     ``measured`` is read twice, so it should be a written table.
     """
-    table, _ = common.written(bands(measured), "bands")
+    found, path = common.written(quartiles(measured), "quartiles")
+    table, _ = common.written(bands(measured, found), "bands")
+    common.drop(measured.sparkSession, path)
     near = F.broadcast(table) if table.count() <= MAX_BROADCAST_BANDS else table
     out = measured.join(near, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("script").eqNullSafe(F.col("of_script"))).withColumn("base_failed", base_failed())
     reasons = F.array_compact(F.array(*[F.when(_outside(m), F.lit(m)) for m in BANDS]))
