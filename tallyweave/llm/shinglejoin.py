@@ -21,8 +21,8 @@ Plan
 5. Candidates pass the length filter, the positional filter (what is left behind the shared shingle must suffice)
    and the suffix filter: fixed pivots split the hash space into parts, and each part in which one set has an even
    number of shingles and the other an odd one stands for a shingle that they do not share; for long sets the
-   differences of the parts' sizes are added up. Only for what is left are whole sets made again from the texts, and each distinct pair is
-   intersected once.
+   differences of the parts' sizes are added up. Only for what is left are whole sets made again from the texts, and
+   each distinct pair is intersected once.
 
 Defined results
 ---------------
@@ -359,7 +359,7 @@ def shingle_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     found, found_path = common.connected_components(links)
 
     # what has met the leaders and lies in another component than they meets in blocks
-    headed = F.exists("l", lambda x: x["node"] == F.col("node"))
+    headed = F.exists("l", lambda x: (x["node"] == F.col("node")) & (x["n"] == F.col("n")) & (x["pos"] == F.col("pos")))
     placed = led.where(~headed).select("sh", "node", "n", "pos").join(found, "node", "left")
     placed, placed_path = common.written(placed.withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
     common.drop(spark, led_path, leaders_path, groups_path)

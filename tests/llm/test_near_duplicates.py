@@ -199,6 +199,16 @@ def test_shingle_rows_that_share_or_lack_ids(spark):
     assert got == [(0, 28, None), (3, 28, 3), (5, 28, 3), (5, 28, 3), (7, 0, 7), (7, 0, 7), (8, 1, 8), (9, 28, 3)]
 
 
+def test_a_text_behind_a_longer_one_of_the_same_id(spark):
+    """Both texts of an id share all shingles with a third document, which is like the shorter one only."""
+    part = {r["id"]: r["p"] for r in spark.range(20, 80).select("id", F.pmod(F.xxhash64("id"), F.lit(shinglejoin.LEADERS)).alias("p")).collect()}
+    other = next(i for i in range(21, 80) if part[i] == part[20])  # of one part with it, so that only one of them leads
+    short = " ".join(f"s{i}" for i in range(40))
+    rows = [(20, short + " " + " ".join(f"t{i}" for i in range(80))), (20, short), (other, short + " end")]
+    got = {(r["doc_id"], r["component_id"]) for r in shinglejoin.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90).collect()}
+    assert got == {(20, 20), (other, 20)}
+
+
 def test_very_long_texts(spark):
     rng = random.Random(9)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
