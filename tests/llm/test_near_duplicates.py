@@ -204,9 +204,11 @@ def test_a_text_behind_a_longer_one_of_the_same_id(spark):
     part = {r["id"]: r["p"] for r in spark.range(20, 80).select("id", F.pmod(F.xxhash64("id"), F.lit(shinglejoin.LEADERS)).alias("p")).collect()}
     other = next(i for i in range(21, 80) if part[i] == part[20])  # of one part with it, so that only one of them leads
     short = " ".join(f"s{i}" for i in range(40))
-    rows = [(20, short + " " + " ".join(f"t{i}" for i in range(80))), (20, short), (other, short + " end")]
+    tail = " ".join(f"t{i}" for i in range(80))
+    # the rest of the longer text is frequent, so that what both share is rare and stands in its prefix
+    rows = [(20, short + " " + tail), (20, short), (other, short + " end")] + [(100 + i, f"{tail} x{i} y{i} z{i}") for i in range(12)]
     got = {(r["doc_id"], r["component_id"]) for r in shinglejoin.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90).collect()}
-    assert got == {(20, 20), (other, 20)}
+    assert {(20, 20), (other, 20)} <= got and (100, 100) in got
 
 
 def test_very_long_texts(spark):
