@@ -70,7 +70,7 @@ PRIOR = {
 #: Bands up to this number (pairs of language and script) are joined by broadcast.
 MAX_BROADCAST_BANDS = 10_000
 #: Words kept by a worker in each of two generations.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 160_000
 #: Texts measured at a time.
 SLICE_ROWS = 300
 _SYMBOLS = b"#*$%&|<>"
