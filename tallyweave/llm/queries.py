@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, common, compaction, fertility, htmltext, langid, licences, mixing, shinglejoin, vectordedup, warc
+from tallyweave.llm import bpe, common, compaction, fertility, htmltext, infill, langid, licences, mixing, shinglejoin, vectordedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,14 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and put together for filling in the middle; digests of the outputs and of the texts rebuilt from them."""
+    made = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    digests = (sha(F.col("output")).alias("output_sha256"), sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_dedup": op1_vector_dedup,
@@ -103,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -112,4 +121,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_archive": warc.ORACLE_SQL,
         "op8_license_scan": licences.oracle_sql(),
         "op10_poisson_mix": mixing.ORACLE_SQL,
+        "op13_fill_in_middle": infill.ORACLE_SQL,
     }
