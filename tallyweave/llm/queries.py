@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, common, compaction, fertility, htmltext, infill, langid, licences, mixing, shinglejoin, vectordedup, warc
+from tallyweave.llm import bpe, common, compaction, fertility, htmltext, infill, langid, licences, mixing, ranking, shinglejoin, vectordedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    return ranking.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and put together for filling in the middle; digests of the outputs and of the texts rebuilt from them."""
     made = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
+        "op11_threshold_search": op11_threshold_search,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
@@ -121,5 +127,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_archive": warc.ORACLE_SQL,
         "op8_license_scan": licences.oracle_sql(),
         "op10_poisson_mix": mixing.ORACLE_SQL,
+        "op11_threshold_search": ranking.ORACLE_SQL,
         "op13_fill_in_middle": infill.ORACLE_SQL,
     }
