@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, common, compaction, fertility, htmltext, infill, langid, licences, mixing, ranking, shinglejoin, vectordedup, warc
+from tallyweave.llm import bpe, common, compaction, fertility, htmltext, infill, langid, licences, mixing, neighbours, ranking, shinglejoin, vectordedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,12 @@ def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for every vector whose id is divisible by 20 (the stated set of queries)."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and put together for filling in the middle; digests of the outputs and of the texts rebuilt from them."""
     made = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
@@ -117,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_shingle_join": op9_shingle_join,
         "op10_poisson_mix": op10_poisson_mix,
         "op11_threshold_search": op11_threshold_search,
+        "op12_nearest_vectors": op12_nearest_vectors,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
