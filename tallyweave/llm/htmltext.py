@@ -11,6 +11,12 @@ Markup weighs lines, and the sums decide:
 * Elements that never hold an article's text (scripts, styles, menus, page headers, footers, sidebars, forms), or whose
   class, id or role names them as advert, notice, comments or the like, are stripped with what they contain. A line of
   length 0 stands for them; for menus, headers, footers and sidebars outside a marked article it is a whole window.
+  A class or id counts where it is a listed name, or made of such names and of words like ``box`` or ``list`` only:
+  ``ad-box`` is an advert, ``no-sidebar``, ``tag-search`` and ``related-work`` are nothing.
+* A name alone takes no article: a form, or an element stripped for its name, stays if it holds more than half of the
+  page's text (links, menus and the like not counted) and no marked article next to it has text. What is named as advert
+  or comments, or is hidden, stays only where nothing else has text. What such an element contains is judged anew.
+  Beyond ``WRAPPERS`` of them, one in the other, no name on the page counts.
 * Lines in a marked article (``article``, ``main``, role ``main``) count ``MARK_WEIGHT`` times, link text included, and
   a window of length 0 stands at either end of it.
 
@@ -29,7 +35,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -44,6 +50,8 @@ WINDOW, SURGE, DIVE = 3, 600, 0
 SURGE_SHARE = 0.25
 #: How often the lines of a marked article count.
 MARK_WEIGHT = 4
+#: Named elements around an article, one in the other, that are looked into.
+WRAPPERS = 8
 
 # Element names of HTML by their role here.
 BLOCKS = frozenset(
@@ -61,8 +69,11 @@ NAMES = frozenset(
     " navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments commentlist disqus respond related"
     " recommended recommendations widget widgets login signup search skip tagcloud".split()
 )
+#: What a compound name may hold besides listed names.
+PLAIN_PARTS = frozenset("area bar block body box btn button buttons card container content form group holder inner item items js links list module outer page panel popup posts section site slot top bottom left right unit widget wrap wrapper".split())
 PAGE_HEADERS = frozenset("header site-header page-header siteheader pageheader site_header page_header top-header topbar top-bar".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond related recommended recommendations".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -75,35 +86,70 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element and all it contains are stripped. ``inside``: within a marked article."""
+def _named(token: str) -> set[str]:
+    """The listed names that a class or id is made of; none if it has any other part."""
+    if token in NAMES:
+        return {token}
+    parts = [p for p in re.split(r"[-_]+", token) if p and not p[0].isdigit()]
+    names = NAMES.intersection(parts)
+    return names if all(p in names or p in PLAIN_PARTS for p in parts) else set()
+
+
+def _boilerplate(name: str, attributes: dict[str, str], inside: bool) -> str:
+    """Why an element and all it contains are stripped: its ``element``, a ``name``, an ``aside`` matter, or nothing.
+
+    ``inside``: within a marked article. Forms go with names; adverts, comments and hidden elements are aside matters.
+    """
+    if name in ("form", "fieldset"):
+        return "name"
     if name in DROPPED or name == "header" and not inside:
-        return True
+        return "element"
     if not attributes or name in ("html", "body", "main"):
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    for token in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
-        if token in PAGE_HEADERS and not inside or token in NAMES or not NAMES.isdisjoint(re.split(r"[-_]+", token)):
-            return True
-    return False
+        return ""
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return "aside"
+    tokens = (attributes.get("class", "") + " " + attributes.get("id", "")).split()
+    names = set().union(*map(_named, tokens))
+    if not names.isdisjoint(COMMENTS | ADVERTS):
+        return "aside"
+    headers = not inside and any(t in PAGE_HEADERS for t in tokens)
+    return "name" if names or headers or attributes.get("role") in ROLES else ""
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """Stripped lines: text, and weighted length. What was stripped, and the ends of marked articles, are empty lines."""
+    entered: set[int] = set()
+    for _ in range(WRAPPERS):
+        out, regions, kept, marked = _lines(page, entered.__contains__)
+        total = kept + sum(size for _, size, _, _ in regions)
+        new = {at for at, size, why, inside in regions if size and (size == total if why == "aside" else 2 * size > total and (inside or not marked))}
+        if not new:
+            return out
+        entered |= new
+    return _lines(page, lambda at: True)[0]
+
+
+def _lines(page: str, entered: Callable[[int], bool]) -> tuple[list[tuple[str, int]], list[tuple[int, int, str, bool]], int, int]:
+    """One pass over the tags; ``entered`` tells which places of named elements are not stripped.
+
+    Returns the lines, the elements stripped by name (place, code points outside links, why, in a marked article), and the
+    code points outside links of all lines and of those in marked articles.
+    """
     out: list[tuple[str, int]] = []
+    regions: list[tuple[int, int, str, bool]] = []
+    kept, marked, held = 0, 0, 0
     parts: list[str] = []
     own = 0
     at, links, inside = 0, 0, 0
-    skip, depth, skip_comments = "", 0, False
+    skip, depth, skip_comments, region = "", 0, False, (0, "", False)
 
     def end_line() -> None:
-        nonlocal own
+        nonlocal own, kept, marked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
             out.append((text, MARK_WEIGHT * len(text) if inside else own))
+            kept += own
+            marked += own if inside else 0
         parts.clear()
         own = 0
 
@@ -116,8 +162,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         out.extend([("", 0)] * (lines - have))
 
     def text(piece: str) -> None:
-        nonlocal own
-        if piece and not skip:
+        nonlocal own, held
+        if piece and skip:
+            held += 0 if links else len(" ".join(piece.split()))
+        elif piece:
             parts.append(piece)
             if not links:
                 own += len(" ".join(piece.split()))
@@ -136,6 +184,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             at = stop.end() if stop else len(page)
             continue
         if skip:
+            if name == "a":
+                links = 0 if closing else 1
             if closing and name == skip:
                 depth -= 1
             elif not closing and name == skip and name not in ("p", "li"):
@@ -147,15 +197,18 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             if depth:
                 continue
             closed_here = closing and name == skip
-            skip = ""
+            skip, links = "", 0
+            if region[1] != "element":
+                regions.append((region[0], held, *region[1:]))
             if closed_here:
                 continue
         if not closing and name not in VOID:
             attributes = _attributes(m[3]) if m[3].strip() else {}
-            if _boilerplate(name, attributes, inside > 0):
+            why = _boilerplate(name, attributes, inside > 0)
+            if why == "element" or why and not entered(m.start()):
                 gap(WINDOW if name in FURNITURE and not inside else 1)
                 if not m[3].endswith("/"):
-                    skip, depth = name, 1
+                    skip, depth, held, region = name, 1, 0, (m.start(), why, inside > 0)
                     names = set(re.split(r"[-_\s]+", attributes.get("class", "") + " " + attributes.get("id", "")))
                     skip_comments = name == "aside" or not COMMENTS.isdisjoint(names)
                 continue
@@ -177,8 +230,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             inside -= 1
             gap(0 if inside else WINDOW)
     text(page[at:])
+    if skip and region[1] != "element":
+        regions.append((region[0], held, *region[1:]))
     end_line()
-    return out
+    return out, regions, kept, marked
 
 
 def between_dives(sizes: list[int]) -> list[tuple[int, int]]:

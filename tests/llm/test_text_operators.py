@@ -363,6 +363,29 @@ def test_short_blocks_of_an_unmarked_page(monkeypatch):
         assert "link 0" in htmltext.main_text(page)
 
 
+TEXT = "".join(f"<p>Paragraph {i} {'of a long text ' * 25}</p>" for i in range(3))
+PLAIN = "\n".join(" ".join(p.split()) for p in re.findall("<p>(.*?)</p>", TEXT))
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="content no-sidebar">{}</div>', '<article class="post tag-search category-social">{}</article>', '<div id="search-page-main">{}</div>', '<article><section id="related-work">{}</section></article>',
+    '<div class="search">{}</div>', '<form id="aspnetForm"><div class="site-wrapper">{}</div></form>', '<div class="overlay"><div class="modal"><div class="popup-content">{}</div></div></div>',
+    '<div class="comments">{}</div>', '<div hidden>{}</div>', '<article><div class="social widget">{}</div></article>', '<div role="dialog">{}</div><div class="cookie-notice">We use cookies</div>',
+    '<div class="ad">Buy now</div><div class="sidebar">{}</div><div class="footer-links">some words</div>', "<div class='ad'>" * 30 + "{}" + "</div>" * 30,
+])
+def test_names_alone_take_no_article(around):
+    assert htmltext.main_text(f"<html><body><nav><a>menu</a></nav>{around.format(TEXT)}<footer>imprint</footer></body></html>") == PLAIN
+
+
+@pytest.mark.parametrize("beside", [
+    f"<article>{TEXT}</article><div class='comments'>{'<p>nice words</p>' * 400}</div>", f"<article>{TEXT}<div class='comments'>{'<p>nice words</p>' * 400}</div></article>",
+    f"<article>{TEXT}</article><div class='sidebar'>{'<p>many more words</p>' * 400}</div>", f"<div class='content'>{TEXT}</div><div class='ad-box'>{'<p>buy now</p>' * 400}</div>",
+    f"<article>{TEXT}<form><p>{'label ' * 100}</p></form></article>", f"<div>{TEXT}</div><ul class='related-posts'>{'<li>other</li>' * 20}</ul>",
+])
+def test_long_company_is_stripped(beside):
+    assert htmltext.main_text(beside) == PLAIN
+
+
 def test_teasers_in_articles_do_not_hide_the_body():
     body = "<p>" + "y" * 900 + "</p>"
     assert htmltext.main_text(f"<div>{body}</div><article><a>More</a></article>") == "y" * 900
