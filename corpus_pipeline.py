@@ -23,17 +23,25 @@ MIN_LANGUAGE_SCORE = 0.5
 SHINGLE_WORDS, SIMILARITY = 5, 80
 #: Rejected rows and groups up to this number (8 MB a column) are told to all tasks; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Files of a stage's input whose paths are told to all tasks (some 20 MB); the paths of more are joined by a shuffle.
+MAX_BROADCAST_FILES = 100_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The documents with a ``row`` number, so that verdicts meet the rows that they were passed on.
 
-    Two reads of a stage's written input give the same numbers: they follow from its files' splits and the order within.
-    An input that is not read from files is refused, since its rows may come in another order the second time.
+    A row's number is that of its file, in order of the paths, and its place in the file, as the Parquet reader gives it:
+    every read gives the same, whatever the splits and however many cores there are at the time. The files are those of
+    which the driver holds the list anyway. An input that is not read from files is refused.
     """
     if not docs.inputFiles():
         raise ValueError("a stage reads documents that are written")
-    return docs.select(*DOC_COLUMNS, F.monotonically_increasing_id().alias("row"))
+    at = docs.metadataColumn("_metadata")
+    placed = docs.select(*DOC_COLUMNS, at["file_path"].alias("file"), at["row_index"].alias("place"))
+    paths = sorted(r["file"] for r in placed.select("file").distinct().collect())
+    files, _ = common.written(docs.sparkSession.createDataFrame(list(enumerate(paths)), "nr long, file string"), "files")
+    files = F.broadcast(files) if len(paths) <= MAX_BROADCAST_FILES else files
+    return placed.join(files, "file").select(*DOC_COLUMNS, (F.col("nr") * (1 << 40) + F.col("place")).alias("row"))
 
 
 def _keep(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
