@@ -10,9 +10,9 @@ Plan
 ----
 1. *Size bounds.* A window that reaches the coefficient shares at least ``need`` of the template's ``b`` bigrams, which
    follows from the sizes alone. So it holds one of any ``b - need + 1`` of them: the template's anchors, those with most
-   letters, which ordinary prose hardly has. All bigrams of all texts meet the anchors by one broadcast join on hashes.
-2. Only texts and templates that met go on. Their bigrams meet all of the template's; each hit puts the template at a
-   place, and windows are compared there.
+   letters, which ordinary prose hardly has. One scan keeps the texts with an anchor, by hashes of their bigrams.
+2. Only these texts go on, with a number that is written, and only with the templates whose anchors they have. Their
+   bigrams meet all of the template's; each hit puts the template at a place, and windows are compared there.
 
 Defined results
 ---------------
@@ -114,14 +114,17 @@ def scan(docs: DataFrame, *, named: dict[str, str] | None = None, percent: int =
     """Rows (key, first_word, last_word, license, dice, n_shared, n_bigrams) of the windows that match; words count from 0."""
     spark = docs.sparkSession
     listed = templates(spark, named or TEMPLATES)
-    words = F.split(normalise(F.col(f"`{text}`").cast("string")), " ")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), words.alias("w")).where(F.size("w") > 1)
     hashes = _each(F.col("w"), lambda a, b: F.xxhash64(a, b))
-    met = rows.select("row", F.explode(hashes).alias("h")).join(F.broadcast(anchors(listed, percent)), "h").select("row", "template").distinct()
+    met_by = anchors(listed, percent)
+    any_of = F.lit([r["h"] for r in met_by.select("h").distinct().collect()]).cast("array<bigint>")  # some per template
+    words = F.split(normalise(F.col(f"`{text}`").cast("string")), " ")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), words.alias("w")).where(F.size("w") > 1)
+    # rows are numbered as they are written, and the numbers are read
+    few = rows.where(F.arrays_overlap(hashes, any_of)).withColumn("row", F.monotonically_increasing_id())
+    few, _ = common.written(few, "texts")
+    met = few.select("row", F.explode(hashes).alias("h")).join(F.broadcast(met_by), "h").select("row", "template").distinct()
     met, _ = common.written(met, "met")
     near = F.broadcast if met.count() <= MAX_BROADCAST_ROWS else lambda d: d
-    few = rows.join(near(met.select("row").distinct()), "row", "left_semi")
-    few, _ = common.written(few, "texts")
 
     every = listed.select("template", "len", F.posexplode(hashes).alias("place", "h"))
     hits = few.select("row", F.size("w").alias("n"), F.posexplode(hashes).alias("pos", "h")).join(F.broadcast(every), "h")
