@@ -53,8 +53,10 @@ SEEDS, STARTS = 1024, 8
 BEAM, EXPAND = 96, 32
 #: Centres with several groups up to this number are told to all tasks; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
-#: Proposals that a task gathers before it keeps the best of each node.
-HELD = 2_000_000
+#: Entries that a task gathers before it keeps the best of each node and sends them off.
+HELD = 1_000_000
+#: Nodes whose entries travel together, on average.
+TOGETHER = 256
 SEED = 12
 
 
@@ -92,6 +94,39 @@ def _listed(starts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
 
 
+def _packed(u: np.ndarray, v: np.ndarray, s: np.ndarray, flag: int, parts: int) -> pa.RecordBatch:
+    """Entries as few rows (p, us, vs, ss, flag): those of the nodes of one part together."""
+    p = ((u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(p, kind="stable")
+    p = p[order].astype(np.int64)
+    starts = _starts(p)
+    columns = [pa.array(p[starts]), *(_listed(starts, c[order]) for c in (u, v, s)), pa.array(np.full(len(starts), flag, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["p", "us", "vs", "ss", "flag"])
+
+
+_PACKED = "p long, us array<long>, vs array<long>, ss array<float>, flag int"
+
+
+class _Held:
+    """Entries (u, v, s) of a task: what is gathered goes off as packed rows, the best of each node only."""
+
+    def __init__(self, flag: int, parts: int):
+        self.flag, self.parts, self.entries, self.count = flag, parts, [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.entries.append((u, v, s))
+        self.count += len(u)
+        if self.count > HELD:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if self.count:
+            u, v, s = (np.concatenate(c) for c in zip(*self.entries, strict=True))
+            u, v, s, _ = best_of(u, v, s, np.zeros(len(u), np.int32), DEGREE)
+            yield _packed(u, v, s, self.flag, self.parts)
+        self.entries, self.count = [], 0
+
+
 def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of complete groups, which lie one after the other, and where groups start, the end included."""
     rest: pa.Table | None = None
@@ -181,8 +216,9 @@ class Index:
         self.nodes = self._kept(_sketched(self.classes, "cid"), "nodes")
         sizes = self.nodes.groupBy("d").agg(F.count("*").alias("n"))
         most = sizes.agg(F.max("n")).first()[0] or 0
-        # some vectors of every length, at most about SAMPLE in all
         total = sizes.agg(F.sum("n")).first()[0] or 0
+        self.parts = -(-total // TOGETHER) or 1
+        # some vectors of every length, at most about SAMPLE in all
         some = self.nodes.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, -(-total // SAMPLE)))) == 0).collect()
         by_length: dict[int, list] = {}
         for r in sorted(some, key=lambda r: r["cid"]):
@@ -211,20 +247,22 @@ class Index:
     def drop(self) -> None:
         common.drop(self.spark, *self.paths)
 
-    def _merged(self, lists: DataFrame) -> DataFrame:
-        """Rows (u, vs, ss, kth, fresh) of the best of all lists of a node; fresh counts entries of flag 1."""
+    def _merged(self, entries: DataFrame) -> DataFrame:
+        """Rows (u, vs, ss, kth, fresh) of the best of all packed entries of a node; fresh counts entries of flag 1."""
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table, _ in _whole(batches, ["u"]):
-                sizes = np.asarray(table.column("vs").combine_chunks().value_lengths())
-                u, v, s, flag = best_of(np.repeat(_array(table, "u"), sizes), _flat(table, "vs"), _flat(table, "ss"), np.repeat(_array(table, "flag"), sizes), DEGREE)
-                starts = _starts(u)
-                full = np.diff(np.append(starts, len(u))) == DEGREE
-                kth = np.where(full, s[np.append(starts[1:], len(u)) - 1], -np.inf).astype(np.float32)
-                fresh = np.add.reduceat(flag, starts) if len(u) else flag
-                yield pa.RecordBatch.from_arrays([pa.array(u[starts]), _listed(starts, v), _listed(starts, s), pa.array(kth), pa.array(fresh.astype(np.int64))], ["u", "vs", "ss", "kth", "fresh"])
-
-        return lists.repartition("u").sortWithinPartitions("u").mapInArrow(scan, "u long, vs array<long>, ss array<float>, kth float, fresh long")
+            for table, starts in _whole(batches, ["p"]):
+                for a, b in zip(starts, starts[1:], strict=False):  # parts one by one
+                    part = table.slice(a, b - a)
+                    sizes = np.asarray(part.column("us").combine_chunks().value_lengths())
+                    u, v, s, flag = best_of(_flat(part, "us"), _flat(part, "vs"), _flat(part, "ss"), np.repeat(_array(part, "flag"), sizes), DEGREE)
+                    first = _starts(u)
+                    ends = np.append(first[1:], len(u))
+                    kth = np.where(ends - first == DEGREE, s[ends - 1], -np.inf).astype(np.float32)
+                    columns = [pa.array(u[first]), _listed(first, v), _listed(first, s), pa.array(kth), pa.array(np.add.reduceat(flag, first).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["u", "vs", "ss", "kth", "fresh"])
+
+        return entries.repartition("p").sortWithinPartitions("p").mapInArrow(scan, "u long, vs array<long>, ss array<float>, kth float, fresh long")
 
     def _first_lists(self, bits: int, sample: dict[int, np.ndarray]) -> DataFrame:
         tables = TABLES if bits else 1
@@ -253,7 +291,10 @@ class Index:
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("cid", "t"), F.col("chunks"))).drop("chunks")
         keys = [*keys, "chunk"]
 
+        parts = self.parts
+
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Held(0, parts)
             for table, starts in _whole(batches, keys):
                 rows, cid = _Rows(table.column("sk"), table.column("step")), _array(table, "cid")
                 for a, b in zip(starts, starts[1:], strict=False):
@@ -265,12 +306,10 @@ class Index:
                         own = np.arange(len(dots))
                         dots[own, own + at] = -np.inf
                         near = np.argpartition(-dots, k - 1, axis=1)[:, :k]
-                        every = np.arange(0, near.size, k)
-                        columns = [pa.array(cid[a + at : a + at + len(dots)]), _listed(every, cid[a:b][near].ravel()), _listed(every, np.take_along_axis(dots, near, 1).ravel())]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(dots), np.int32))], ["u", "vs", "ss", "flag"])
+                        yield from held.add(np.repeat(cid[a + at : a + at + len(dots)], k), cid[a:b][near].ravel(), np.take_along_axis(dots, near, 1).ravel())
+            yield from held.send()
 
-        lists = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, vs array<long>, ss array<float>, flag int")
-        return self._merged(lists)
+        return self._merged(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, _PACKED))
 
     def _round(self) -> DataFrame:
         """The graph after all groups of neighbours were compared."""
@@ -286,16 +325,10 @@ class Index:
         known = self.nodes.select("cid", "sk", "step").join(self.graph.select(F.col("u").alias("cid"), "kth"), "cid")
         members = members.join(known, "cid").repartition("centre", "part").sortWithinPartitions("centre", "part")
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-
-            def best() -> pa.RecordBatch:
-                u, v, s = (np.concatenate(c) for c in zip(*held, strict=True))
-                u, v, s, _ = best_of(u, v, s, np.ones(len(u), np.int32), DEGREE)
-                starts = _starts(u)
-                return pa.RecordBatch.from_arrays([pa.array(u[starts]), _listed(starts, v), _listed(starts, s), pa.array(np.ones(len(starts), np.int32))], ["u", "vs", "ss", "flag"])
+        parts = self.parts
 
-            count = 0
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Held(1, parts)
             for table, starts in _whole(batches, ["centre", "part"]):
                 rows, cid, kth = _Rows(table.column("sk"), table.column("step")), _array(table, "cid"), _array(table, "kth")
                 for a, b in zip(starts, starts[1:], strict=False):
@@ -304,16 +337,16 @@ class Index:
                     dots = x @ x.T
                     np.fill_diagonal(dots, -np.inf)
                     p, q = np.nonzero(dots > kth[a + at][:, None])
-                    held.append((ids[p], ids[q], dots[p, q]))
-                    count += len(p)
-                    if count > HELD:
-                        yield best()
-                        held, count = [], 0
-            if count:
-                yield best()
-
-        proposed = members.mapInArrow(compare, "u long, vs array<long>, ss array<float>, flag int")
-        return self._merged(self.graph.select("u", "vs", "ss", F.lit(0).alias("flag")).unionByName(proposed))
+                    yield from held.add(ids[p], ids[q], dots[p, q])
+            yield from held.send()
+
+        def known_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                u = np.repeat(np.asarray(batch.column(0)), np.asarray(batch.column(1).value_lengths()))
+                yield _packed(u, np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten()), 0, parts)
+
+        known = self.graph.select("u", "vs", "ss").mapInArrow(known_entries, _PACKED)
+        return self._merged(known.unionByName(members.mapInArrow(compare, _PACKED)))
 
     def search(self, queries: DataFrame, *, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """Rows (query_id, rank, vec_id, score): the k nearest found of every query row, without rows of its own id."""

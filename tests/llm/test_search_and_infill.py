@@ -189,6 +189,7 @@ def test_recall_of_the_graph(spark, vectors, monkeypatch):
     monkeypatch.setattr(neighbours, "TABLES", 4)
     monkeypatch.setattr(neighbours, "MAX_BROADCAST_ROWS", 10)
     monkeypatch.setattr(neighbours, "HELD", 5000)
+    monkeypatch.setattr(neighbours, "TOGETHER", 50)
     rows, df = vectors
     index = neighbours.Index(df)
     got, want = got_nearest(index.search(df.where("vec_id % 20 = 0"))), plain_nearest(rows)

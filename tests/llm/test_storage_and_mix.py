@@ -393,6 +393,24 @@ def test_pipeline_of_long_texts_and_clashing_names(spark, tmp_path):
     assert out["restored"] and out["n_tokens"] > 100_000
 
 
+def test_row_numbers_stay_whatever_the_splits(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    clash = {"file": F.lit("x"), "place": F.lit(1), "row": F.lit(2), "_metadata": F.lit("y")}
+    docs.withColumns(clash).write.parquet(str(tmp_path / "a b%20c"))  # blanks and escapes in the path
+    docs = spark.read.parquet(str(tmp_path / "a b%20c"))
+    seen = []
+    for cores, size in ((16, "128m"), (2, "20k"), (64, "1k")):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        seen.append({(r["row"], r["doc_id"], r["text"]) for r in P._numbered(docs).collect()})
+    for name in ("leafNodeDefaultParallelism", "files.maxPartitionBytes", "files.openCostInBytes"):
+        spark.conf.unset(f"spark.sql.{name}")
+    assert seen[0] == seen[1] == seen[2] and len({r for r, _, _ in seen[0]}) == 200
+
+
 def test_rows_of_null_and_shared_ids_are_judged_alone(spark, tmp_path):
     import corpus_pipeline as P
 
