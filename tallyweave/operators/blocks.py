@@ -275,7 +275,7 @@ def blocks_of(text: str) -> list[Block]:
                 f.states[-1], f.start = "else", True
             elif v == "while" and f.open and f.states[-1] == "tail":
                 f.states[-1] = "end"
-            elif v == "switch" and (is_name(i - 1) or value_at(i - 1) in (")", "]") or i and kinds[i - 1] == "other"):
+            elif v == "switch" and not began and (is_name(i - 1) or value_at(i - 1) in (")", "]") or i and kinds[i - 1] == "other"):
                 pass  # a switch expression: its brace follows
             elif v in NESTING and (v not in ("using", "lock", "switch", "for", "foreach", "while", "if") or value_at(i + 1) == "("):
                 begin(f, v, line, v in DECIDING)
