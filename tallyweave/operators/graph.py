@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.operators.lineage import cut
+from tallyweave.operators.lineage import cut, drop, folder, numbered
 
-#: A dense spectral split holds n * n doubles in one task.
-MAX_SPECTRAL_NODES = 4000
-#: The priority order runs on the driver, on contracted graphs of at most this many units.
-MAX_ORDERED_UNITS = 200_000
+#: Rounds in which nodes without a way in or out are taken off before the rest is colored.
+TRIMS = 3
 SAME_LABEL, CALL, REFERENCE, OTHER = 3.0, 1.0, 0.5, 0.25
 
 
@@ -51,144 +48,133 @@ def affinity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(linked).groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (id, component): the smallest id of the node's strongly connected component.
 
-    Coloring: the smallest id that reaches a node is its color; within a color, the nodes that reach the color's own
-    node are a component. They are removed and the rest goes on. Memory is linear in the edges.
+    Nodes without a way in or without a way out are components; they are trimmed for some rounds. Coloring does the rest:
+    the smallest id that reaches a node is its color; within a color, the nodes that reach the color's own node are a
+    component. They are removed and the rest goes on. Memory is linear in the edges; what is done is written.
     """
+    spark, out = nodes.sparkSession, folder(nodes.sparkSession, "components")
     left, arcs = cut(nodes.select("id").distinct()), cut(known_only(edges.select("src", "dst").where("src <> dst").distinct(), nodes))
-    done = None
-    for _ in range(max_rounds):
-        color = cut(left.select("id", F.col("id").alias("color")))
-        while True:
-            reached = arcs.join(color.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("seen"))
-            new = cut(color.join(reached, "id", "left").select("id", F.least("color", "seen").alias("color"), (F.coalesce(F.col("seen") < F.col("color"), F.lit(False))).alias("moved")))
-            color, moved = new.select("id", "color"), not new.where("moved").isEmpty()
-            if not moved:
+    named = left.select("id", F.col("id").alias("component"))
+    named.limit(0).write.mode("append").parquet(out)
+
+    def without(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rest = cut(left.join(gone, "id", "left_anti"))
+        fewer = cut(arcs.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        drop(left, arcs)
+        return rest, fewer
+
+    while not left.isEmpty():
+        for _ in range(TRIMS):
+            inner = arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))
+            alone = cut(left.join(inner, "id", "left_anti"))
+            if alone.isEmpty():
                 break
-        inner = arcs.join(color.withColumnsRenamed({"id": "src", "color": "c1"}), "src").join(color.withColumnsRenamed({"id": "dst", "color": "c2"}), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("color"))
-        inner = cut(inner)
-        back = cut(color.where("id = color"))
-        front = back
+            alone.select("id", F.col("id").alias("component")).write.mode("append").parquet(out)
+            left, arcs = without(alone)
+        if left.isEmpty():
+            break
+        color = cut(left.select("id", F.col("id").alias("color"), F.lit(True).alias("moved")))
+        while not color.where("moved").isEmpty():
+            reached = arcs.join(color.select(F.col("id").alias("src"), "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("seen"))
+            color = cut(color.join(reached, "id", "left").select("id", F.least("color", "seen").alias("color"), (F.coalesce(F.col("seen") < F.col("color"), F.lit(False))).alias("moved")), color)
+        color = color.select("id", "color")
+        ends = arcs.join(color.withColumnsRenamed({"id": "src", "color": "c1"}), "src").join(color.withColumnsRenamed({"id": "dst", "color": "c2"}), "dst")
+        inner = cut(ends.where("c1 = c2").select("src", "dst", F.col("c1").alias("color")))
+        back = front = cut(color.where("id = color"))
         while not front.isEmpty():
             step = inner.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "color").distinct()
             front = cut(step.join(back, "id", "left_anti"))
-            back = cut(back.unionByName(front))
-        done = back if done is None else done.unionByName(back)
-        gone = back.select("id")
-        left = cut(left.join(gone, "id", "left_anti"))
-        if left.isEmpty():
-            return done.select("id", F.col("color").alias("component"))
-        arcs = cut(arcs.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    raise RuntimeError(f"nodes are left after {max_rounds} rounds")
+            back = cut(back.unionByName(front), back)
+        back.select("id", F.col("color").alias("component")).write.mode("append").parquet(out)
+        left, arcs = without(back.select("id"))
+        drop(inner, back)
+    return spark.read.schema(named.schema).parquet(out)
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (id, level): 0 for nodes that depend on nothing, else one more than the highest level depended on.
 
-    An edge points to what its source depends on. Peels the nodes without open dependencies; nodes on or above a
-    cycle get a null level. An error where ``max_rounds`` end before that is known.
+    An edge points to what its source depends on. Peels the nodes without open dependencies, level by level; what is done
+    is written. Nodes on or above a cycle get a null level.
     """
+    spark, out = nodes.sparkSession, folder(nodes.sparkSession, "levels")
     left, arcs = cut(nodes.select("id").distinct()), cut(known_only(edges.select("src", "dst").distinct(), nodes))
-    done = None
-    for level in range(max_rounds):
-        open_ = arcs.select(F.col("src").alias("id")).distinct()
-        free = cut(left.join(open_, "id", "left_anti"))
-        if free.isEmpty():
-            break
-        now = free.withColumn("level", F.lit(level))
-        done = now if done is None else done.unionByName(now)
-        left = cut(left.join(free, "id", "left_anti"))
-        arcs = cut(arcs.join(free.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    else:
-        if not left.isEmpty():
-            raise RuntimeError(f"levels are open after {max_rounds} rounds")
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
-
-
-def priority_order(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (id, position from 1): dependencies first; of the units that are ready, least risk, fewest dependencies, id.
-
-    ``units`` has (id, risk). Sequential by nature, so it runs on the driver over a contracted graph of bounded size;
-    units on a cycle come last, by risk and id.
+    level = 0
+    while True:
+        free = cut(left.join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+        done = free.isEmpty()
+        (left if done else free).withColumn("level", F.lit(None if done else level).cast("int")).write.mode("append").parquet(out)
+        if done:
+            return spark.read.schema(left.withColumn("level", F.lit(0)).schema).parquet(out)
+        left, arcs = cut(left.join(free, "id", "left_anti"), left), cut(arcs.join(free.withColumnRenamed("id", "dst"), "dst", "left_anti"), arcs)
+        drop(free)
+        level += 1
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (id, component): the smallest id of what edges connect, whatever their direction.
+
+    Every node hangs itself and its larger neighbours under the smallest neighbour, then its smaller ones, in turns, until
+    the edges are stars. Rounds grow with the logarithm of the size, memory with the edges.
     """
-    listed = units.select("id", "risk").limit(MAX_ORDERED_UNITS + 1).collect()
-    if len(listed) > MAX_ORDERED_UNITS:
-        raise ValueError("contract the graph first")
-    risk = {r["id"]: r["risk"] for r in listed}
-    waits, users = dict.fromkeys(risk, 0), {i: [] for i in risk}
-    for e in edges.select("src", "dst").distinct().toLocalIterator():
-        if e["src"] in risk and e["dst"] in risk:
-            waits[e["src"]] += 1
-            users[e["dst"]].append(e["src"])
-    needs = dict(waits)
-    ready = [(risk[i], needs[i], i) for i in risk if not waits[i]]
+    stars = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    while True:
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = cut(large.join(lower, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
+        settled = small.join(stars, ["a", "b"], "left_anti").isEmpty() and small.count() == stars.count()
+        drop(stars, large)
+        stars = small
+        if settled:
+            return nodes.select("id").distinct().join(stars.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _sequence(component: tuple, units: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The order of one component, and for every unit the largest key up to it."""
+    key = {i: (r, n, i) for i, r, n in zip(units["id"], units["risk"], units["needs"], strict=True)}
+    waits, users = dict.fromkeys(key, 0), {i: [] for i in key}
+    for s, d in zip(edges["src"], edges["dst"], strict=True):
+        waits[s] += 1
+        users[d].append(s)
+    ready = [key[i] for i in key if not waits[i]]
     heapq.heapify(ready)
-    order = []
+    out, top = [], None
     while ready:
-        i = heapq.heappop(ready)[2]
-        order.append(i)
-        for j in users[i]:
+        now = heapq.heappop(ready)
+        top = now if top is None or now > top else top
+        out.append((now[2], False, *top, len(out)))
+        for j in users[now[2]]:
             waits[j] -= 1
             if not waits[j]:
-                heapq.heappush(ready, (risk[j], needs[j], j))
-    placed = set(order)
-    order += [i for _, i in sorted((risk[i], i) for i in risk if i not in placed)]
-    kind = dict(units.dtypes)["id"]
-    return units.sparkSession.createDataFrame(list(zip(order, range(1, len(order) + 1), strict=True)), f"id {kind}, position int")
-
-
-def fiedler(weights: np.ndarray) -> np.ndarray:
-    """Eigenvector of the second smallest eigenvalue of the Laplacian; its first nonzero entry is positive."""
-    n = len(weights)
-    if n < 2 or not weights.any():
-        return np.zeros(n)
-    v = np.linalg.eigh(np.diag(weights.sum(1)) - weights)[1][:, 1]
-    v[np.abs(v) < 1e-12] = 0.0
-    first = v[np.flatnonzero(v)[:1]]
-    return -v if len(first) and first[0] < 0 else v
-
-
-def bisect(weights: np.ndarray) -> np.ndarray:
-    """Sides 0 and 1 of the nodes by the vector's sign; a median split where all have one sign."""
-    v = fiedler(weights)
-    side = (v >= 0).astype(int)
-    if len(v) > 1 and side.min() == side.max():
-        side = np.zeros(len(v), int)
-        side[np.argsort(v, kind="stable")[len(v) // 2 :]] = 1
-    return side
+                heapq.heappush(ready, key[j])
+    placed = {row[0] for row in out}
+    out += [(i, True, key[i][0], 0, i, 0) for i in key if i not in placed]  # on or behind a cycle
+    return pd.DataFrame(out, columns=["id", "late", "top_risk", "top_needs", "top_id", "seq"])
 
 
-def spectral_clusters(pairs: DataFrame, graph: str, depth: int = 2, leaf: int = 2) -> DataFrame:
-    """Rows (graph, node, cluster): recursive bisection of each graph given by rows (graph, i, j, w).
+def priority_order(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (id, position from 1): dependencies first; of the units that are ready, least risk, fewest dependencies, id.
 
-    ``cluster`` is the path of sides, such as "01". A graph is dense in one task and of bounded size.
+    ``units`` has (id, risk), ids once; a null risk comes last. Units on or behind a cycle come after all others, by risk
+    and id. What edges connect is ordered by a heap in a task of its own. The whole order merges these orders by their
+    least ready units; a unit comes after the largest key of its own component so far and before any larger key, so
+    sorting by that key, then by place, is the merge: one range-partitioned sort.
     """
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["i"]) | set(pdf["j"]))
-        if len(nodes) > MAX_SPECTRAL_NODES:
-            raise ValueError("the graph is too large for a dense split")
-        at = {x: k for k, x in enumerate(nodes)}
-        w = np.zeros((len(nodes), len(nodes)))
-        for i, j, x in zip(pdf["i"], pdf["j"], pdf["w"], strict=True):
-            w[at[i], at[j]] += x
-            w[at[j], at[i]] += x
-        path = [""] * len(nodes)
-
-        def cut_up(own: np.ndarray, level: int) -> None:
-            if level == depth or len(own) <= leaf:
-                return
-            side = bisect(w[np.ix_(own, own)])
-            for s in (0, 1):
-                for k in own[side == s]:
-                    path[k] += str(s)
-                cut_up(own[side == s], level + 1)
-
-        cut_up(np.arange(len(nodes)), 0)
-        return pd.DataFrame({graph: pdf[graph].iloc[0], "node": nodes, "cluster": path})
-
-    kinds = dict(pairs.dtypes)
-    return pairs.select(graph, "i", "j", "w").groupBy(graph).applyInPandas(split, f"{graph} {kinds[graph]}, node {kinds['i']}, cluster string")
+    risk = F.coalesce(F.col("risk").cast("double"), F.lit(float("inf")))
+    known = cut(known_only(edges.select("src", "dst").distinct(), units))
+    counts = known.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("needs"))
+    listed = units.select("id", risk.alias("risk")).join(counts, "id", "left").join(weak_components(units, known), "id")
+    listed = cut(listed.select("id", "risk", F.coalesce("needs", F.lit(0)).alias("needs"), "component"))
+    # a unit that no edge touches is a component, and needs no task; one that only depends on itself is on a cycle
+    touched = known.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    free = listed.join(touched, "id", "left_anti").select("id", F.lit(False).alias("late"), F.col("risk").alias("top_risk"), F.col("needs").alias("top_needs"), F.col("id").alias("top_id"), F.lit(0).cast("bigint").alias("seq"))
+    bound = listed.join(touched, "id", "left_semi")
+    arcs = cut(known.join(listed.select(F.col("id").alias("src"), "component"), "src"))
+    kind = dict(units.dtypes)["id"]
+    made = bound.groupBy("component").cogroup(arcs.groupBy("component")).applyInPandas(_sequence, f"id {kind}, late boolean, top_risk double, top_needs long, top_id {kind}, seq long")
+    return numbered(free.unionByName(made), "late", "top_risk", "top_needs", "top_id", "seq").select("id", F.col("position").cast("int").alias("position"))

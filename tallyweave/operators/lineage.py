@@ -1,37 +1,74 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting the lineage of iterative operators, and numbering rows in a global order."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent, only a session with a local master gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
-def folder(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that driver and executors share, which goes when the session's JVM ends."""
+def _shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a session with a local master gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    path = f"{named.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that driver and executors share, which goes when the session's JVM ends."""
+    path = f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
+    fs, where = _at(spark, path)
     fs.mkdirs(where)
     fs.deleteOnExit(where)
     return path
+
+
+def cut(df: DataFrame, *gone: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again, so that a lost executor costs no more than a step.
+
+    ``gone`` are earlier cuts that nothing reads any more; their files are deleted once the new ones are written.
+    """
+    path = folder(df.sparkSession, "cut")
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    drop(*gone)
+    return out
+
+
+def drop(*gone: DataFrame) -> None:
+    for df in gone:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            fs, where = _at(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """The rows with their place, from 1, in a global order that no two rows share.
+
+    One range-partitioned sort; rows are numbered within their partitions, and each partition's number of rows moves those
+    behind it. The order must decide between all rows; null comes first.
+    """
+    place = F.monotonically_increasing_id()  # partition and place in it, as the sorted rows are written
+    placed = cut(rows.orderBy(*order).withColumn("__at", place))
+    part = F.shiftright("__at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one row for each partition
+    before, listed = 0, []
+    for p, n in sizes:
+        listed.append((p, before))
+        before += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(listed, "__part long, __before long"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, part == F.col("__part")).withColumn(name, F.col("__before") + inside + 1).drop("__at", "__part", "__before")

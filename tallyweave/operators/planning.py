@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators import graph as G
+from tallyweave.operators import spectral as SP
 
 #: The node that stands for every database.
 DATABASE = "external:database"
@@ -99,7 +100,7 @@ def cut_units(units: DataFrame, pairs: DataFrame, depth: int = 2) -> DataFrame:
     """
     end = lambda x: units.where("cut").select(F.col("id").alias(x), F.col("unit").alias(f"{x}_unit"))
     inner = pairs.join(end("i"), "i").join(end("j"), "j").where("i_unit = j_unit").select(F.col("i_unit").alias("graph"), "i", "j", "w")
-    parts = G.spectral_clusters(inner, "graph", depth).select(F.col("node").alias("id"), "cluster")
+    parts = SP.spectral_clusters(inner, "graph", depth).select(F.col("node").alias("id"), "cluster")
     return units.join(parts, "id", "left").select("id", F.when(F.col("cluster").isNull(), F.col("unit")).otherwise(F.concat("unit", F.lit("/"), "cluster")).alias("unit"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from tallyweave.operators import graph as G
 from tallyweave.operators import scoring as R
+from tallyweave.operators import spectral as SP
 from tallyweave.sources.tables import table
 
 _EVENT_ORDER = {"view": 0, "click": 1, "purchase": 2, "login": 3, "logout": 4}
@@ -51,7 +52,7 @@ def affinity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectral_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.spectral_clusters(_affinity(spark, sf_dir).withColumn("graph", F.lit(1)), "graph")
+    return SP.spectral_clusters(_affinity(spark, sf_dir).withColumn("graph", F.lit(1)), "graph")
 
 
 def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

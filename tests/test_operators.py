@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import scalars as S
 from tallyweave.operators import differential as D
 from tallyweave.operators import graph as G
+from tallyweave.operators import spectral as SP
 from tallyweave.operators import ledger as L
 from tallyweave.operators import matching as M
 from tallyweave.operators import ordered as O
@@ -236,7 +237,7 @@ def test_levels_and_order(spark):
 
 def test_spectral_communities(spark):
     pairs = [(1, i, j, 1.0) for a in (range(0, 5), range(5, 11)) for i in a for j in a if i < j] + [(1, 0, 5, 0.01)]
-    got = G.spectral_clusters(spark.createDataFrame(pairs, "g int, i int, j int, w double"), "g", depth=1)
+    got = SP.spectral_clusters(spark.createDataFrame(pairs, "g int, i int, j int, w double"), "g", depth=1)
     sides = {}
     for r in got.collect():
         sides.setdefault(r["cluster"], set()).add(r["node"])
@@ -246,8 +247,8 @@ def test_spectral_communities(spark):
 def test_degenerate_spectral():
     import numpy as np
 
-    assert list(G.fiedler(np.zeros((3, 3)))) == [0, 0, 0] and len(G.fiedler(np.zeros((1, 1)))) == 1
-    assert sorted(G.bisect(np.zeros((4, 4)))) == [0, 0, 1, 1]
+    assert list(SP.fiedler(np.zeros((3, 3)))) == [0, 0, 0] and len(SP.fiedler(np.zeros((1, 1)))) == 1
+    assert sorted(SP.bisect(np.zeros((4, 4)))) == [0, 0, 1, 1]
 
 
 def test_contract_and_affinity(spark):
