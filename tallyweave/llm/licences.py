@@ -116,11 +116,11 @@ def scan(docs: DataFrame, *, named: dict[str, str] | None = None, percent: int =
     listed = templates(spark, named or TEMPLATES)
     hashes = _each(F.col("w"), lambda a, b: F.xxhash64(a, b))
     met_by = anchors(listed, percent)
-    any_of = F.lit([r["h"] for r in met_by.select("h").distinct().collect()]).cast("array<bigint>")  # some per template
+    any_of = [r["h"] for r in met_by.select("h").distinct().collect()]  # some per template
     words = F.split(normalise(F.col(f"`{text}`").cast("string")), " ")
     rows = docs.select(F.col(f"`{key}`").alias("key"), words.alias("w")).where(F.size("w") > 1)
     # rows are numbered as they are written, and the numbers are read
-    few = rows.where(F.arrays_overlap(hashes, any_of)).withColumn("row", F.monotonically_increasing_id())
+    few = rows.where(F.exists(hashes, lambda h: h.isin(any_of))).withColumn("row", F.monotonically_increasing_id())
     few, _ = common.written(few, "texts")
     met = few.select("row", F.explode(hashes).alias("h")).join(F.broadcast(met_by), "h").select("row", "template").distinct()
     met, _ = common.written(met, "met")
