@@ -405,12 +405,15 @@ def source_blocks(sources: DataFrame, path: str = "path", content: str = "conten
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                found = blocks_of(text.as_py() or "")
-                if found:
-                    rows = [(b.id, b.ancestors[-1] if b.ancestors else None, b.ancestors, b.kind, b.name, b.first, b.last, b.method, b.type, b.nesting, b.loc, b.body, b.decisions, b.couplings, b.called, b.created) for b in found]
+            for at in range(0, batch.num_rows, 500):
+                part, own, rows = batch.slice(at, 500), [], []
+                for i, text in enumerate(part.column(1)):
+                    found = blocks_of(text.as_py() or "")
+                    own += [i] * len(found)
+                    rows += [(b.id, b.ancestors[-1] if b.ancestors else None, b.ancestors, b.kind, b.name, b.first, b.last, b.method, b.type, b.nesting, b.loc, b.body, b.decisions, b.couplings, b.called, b.created) for b in found]
+                if rows:
                     columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), _ARROW, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(found)), *columns], ["path", *(name for name, _ in _ARROW)])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int32())), *columns], ["path", *(name for name, _ in _ARROW)])
 
     return read.mapInArrow(scan, f"path {read.schema['path'].dataType.simpleString()}, {_SCHEMA}")
 
@@ -432,7 +435,7 @@ def type_measures(blocks: DataFrame) -> DataFrame:
 
 
 # Node types of control flow.
-NODE_TYPES = {"if": "BRANCH", "switch": "BRANCH", "for": "LOOP", "foreach": "LOOP", "while": "LOOP", "do": "LOOP"}
+NODE_TYPES = {"if": "BRANCH", "switch": "SWITCH", "for": "FOR_LOOP", "foreach": "FOR_LOOP", "while": "WHILE_LOOP", "do": "DO_UNTIL", "try": "TRY_CATCH"}
 
 
 def block_tree(blocks: DataFrame) -> DataFrame:

@@ -62,8 +62,12 @@ def _within(u: Column, name: str) -> Column:
     return _field(name)[0] + u * (_field(name)[1] - _field(name)[0])
 
 
-def _shapes(n: int) -> Column:
-    """The shape of a row by its place, the classes in proportion to their counts."""
+#: Rows of a table take places of the classes' list by this step, prime to its length, so that neighbours differ.
+STEP = 7919
+
+
+def _shapes(place: Column, n: int) -> Column:
+    """The shape of a row by its place among n, the classes in proportion to their counts."""
     def literal(s: Shape) -> Column:
         pair = lambda t: F.array(*[F.lit(float(x)) for x in t])
         whole = {"legs": pair(s.legs), "stride": pair(s.stride), "stray": F.lit(s.stray), "start_lon": pair(s.start_lon), "heading": pair(s.heading)}
@@ -72,18 +76,28 @@ def _shapes(n: int) -> Column:
     total, upto, out = sum(TAG_COUNTS.values()), 0, None
     for s in SHAPES:
         upto += TAG_COUNTS[s.tag]
-        here = F.col("id") * total < F.lit(upto * n)
+        here = place * total < F.lit(upto * n)
         out = F.when(here, literal(s)) if out is None else out.when(here, literal(s))
     return out
 
 
 def routes(spark: SparkSession, n: int = 2000, seed: int = 2024) -> DataFrame:
-    """Rows (id, tag, launch, points, late): the classes in proportion, in order of ids.
+    """n routes with ids from 0, the classes in proportion, in order of ids."""
+    return _made(spark.range(n).withColumn("shape", _shapes(F.col("id"), n)), seed)
+
+
+def routes_of(rows: DataFrame, key: str, seed: int = 2024) -> DataFrame:
+    """A route for every row of a table with integer keys, the classes about in proportion."""
+    n = sum(TAG_COUNTS.values())
+    return _made(rows.select(F.col(key).cast("long").alias("id")).withColumn("shape", _shapes(F.pmod(F.col("id") * STEP, F.lit(n)), n)), seed)
+
+
+def _made(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows (id, tag, launch, points, late) of rows (id, shape).
 
     A route leaves its start on a heading and strays from it leg by leg; points are sums of legs, latitudes are kept
     away from the poles, and longitudes are written within [-180, 180].
     """
-    rows = spark.range(n).withColumn("shape", _shapes(n))
     legs = F.floor(_field("legs")[0] + _u(seed, "legs") * (_field("legs")[1] - _field("legs")[0] + 1)).cast("int")
     heading = _within(_u(seed, "heading"), "heading")
     # a stride of a degenerate class is either nothing or beyond the box

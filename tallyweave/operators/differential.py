@@ -84,6 +84,29 @@ def vector_votes(vectors: DataFrame, oracles: list[Oracle], key: str, parsed: Co
     return vectors.select(key, votes.alias("votes")).withColumn("n_violations", bad).withColumn("class", cls)
 
 
+def report(vectors: DataFrame, oracles: list[Oracle], parsed: Column | None = None) -> DataFrame:
+    """``oracle_report`` of the votes of ``vector_votes``, without rows for votes: counts of every oracle are columns of one aggregate."""
+    read = F.lit(True) if parsed is None else F.coalesce(parsed, F.lit(False))
+    named = {}
+    for i, o in enumerate(oracles):
+        seen = F.lit(True) if o.where is None else read & F.coalesce(o.where, F.lit(False))
+        rel = F.coalesce(o.rel, F.lit(0.0)) if o.rel is not None else F.lit(0.0)
+        named[f"v{i}"] = F.when(seen, F.when(read, o.vote.cast("int")).otherwise(VIOLATION))
+        named[f"r{i}"] = F.when(seen, F.when(read & (rel < float("inf")), rel).otherwise(F.lit(0.0)))
+    rows = vectors.select(*[c.alias(k) for k, c in named.items()])
+    worst = F.greatest(*[F.coalesce(f"v{i}", F.lit(0)) for i in range(len(oracles))], F.lit(0))
+    flag = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    is_ = lambda i, vote: F.coalesce(F.col(f"v{i}") == vote, F.lit(False))
+    sums = [F.count("*").alias("evaluated"), flag(worst == EQUIVALENT).alias("passed"), flag(worst == INTENTIONAL).alias("fixed"), flag(worst == VIOLATION).alias("bad")]
+    for i in range(len(oracles)):
+        sums += [F.count(f"v{i}").alias(f"n{i}"), flag(is_(i, VIOLATION)).alias(f"x{i}"), flag(is_(i, INTENTIONAL)).alias(f"y{i}"), F.max(f"r{i}").alias(f"m{i}")]
+    got = rows.agg(*sums)
+    each = [F.struct(F.lit(o.name).alias("oracle"), F.lit(o.kind).alias("kind"), F.col(f"n{i}").alias("evaluated"), F.col(f"x{i}").alias("violations"), F.col(f"y{i}").alias("intentional"), F.col(f"m{i}").alias("max_rel_error")) for i, o in enumerate(oracles)]
+    total = sum((F.col(f"x{i}") for i in range(len(oracles))), F.lit(0))
+    totals = F.struct("evaluated", "passed", "fixed", "bad", total.alias("all_violations")).alias("t")
+    return _with_bounds(got.select(totals, F.explode(F.filter(F.array(*each), lambda r: r["evaluated"] > 0)).alias("r")))
+
+
 def oracle_report(votes: DataFrame) -> DataFrame:
     """One row for each evaluated oracle, with the totals and bounds of the whole comparison.
 
@@ -105,7 +128,11 @@ def oracle_report(votes: DataFrame) -> DataFrame:
     )
     # a dozen rows at most: one for each oracle and the totals
     listed = agg.agg(F.collect_list(F.struct(*agg.columns)).alias("rows"))
-    rows = listed.select(F.filter("rows", lambda r: r["oracle"].isNull())[0].alias("t"), F.explode(F.filter("rows", lambda r: r["oracle"].isNotNull())).alias("r"))
+    return _with_bounds(listed.select(F.filter("rows", lambda r: r["oracle"].isNull())[0].alias("t"), F.explode(F.filter("rows", lambda r: r["oracle"].isNotNull())).alias("r")))
+
+
+def _with_bounds(rows: DataFrame) -> DataFrame:
+    """The report's columns from totals ``t`` and an oracle's counts ``r``."""
     clean = F.col("t.all_violations") == 0
     bound = lambda c: F.lit(math.log(1 / (1 - c))) / F.col("t.passed")
     return rows.select(

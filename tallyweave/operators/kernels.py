@@ -34,7 +34,7 @@ def order_vectors(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """
     exact = line_units()
     each = lines.select(
-        "l_orderkey", exact.alias("exact"), (S.half_even_div(exact, UNITS_PER_CENT) * UNITS_PER_CENT).alias("rounded"), (F.col("l_returnflag") == "R").alias("returned"), "l_returnflag", "l_partkey"
+        "l_orderkey", "l_linenumber", exact.alias("exact"), (S.half_even_div(exact, UNITS_PER_CENT) * UNITS_PER_CENT).alias("rounded"), (F.col("l_returnflag") == "R").alias("returned"), "l_returnflag", "l_partkey"
     )
     rel = S.relative_error((F.col("exact") / 10000.0), (F.col("rounded") / 10000.0))
     per = each.groupBy("l_orderkey").agg(
@@ -42,12 +42,16 @@ def order_vectors(orders: DataFrame, lines: DataFrame) -> DataFrame:
         # each model counts lines and looks for returns in its own way
         F.count("l_orderkey").alias("base_lines"), F.count("l_partkey").alias("cand_lines"),
         F.sum(F.col("returned").cast("int")).alias("n_returned"), F.max("l_returnflag").alias("last_flag"),
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "exact", "rounded"))).alias("values"),
         F.max(rel).alias("line_rel"), F.sum((rel > S.RELATIVE_TOLERANCE).cast("bigint")).alias("lines_off"),
     )
     out = orders.join(per, orders["o_orderkey"] == per["l_orderkey"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     counted = [zero("base_lines"), zero("cand_lines"), (zero("n_returned") > 0).alias("base_returned"), F.coalesce(F.col("last_flag") >= "R", F.lit(False)).alias("cand_returned")]
-    out = out.select("o_orderkey", "o_orderpriority", *counted, zero("lines"), zero("exact"), zero("rounded"), zero("returned"), zero("line_rel"), zero("lines_off"), (F.col("o_orderpriority") == URGENT).alias("urgent"))
+    out = out.select("o_orderkey", "o_orderpriority", *counted, zero("lines"), zero("exact"), zero("rounded"), zero("returned"), zero("line_rel"), zero("lines_off"), F.coalesce("values", F.array()).alias("values"), (F.col("o_orderpriority") == URGENT).alias("urgent"))
+    # the lines of an order are few; each model has its own values of them
+    value = lambda of: F.transform("values", lambda v: of(v) / 10000.0)
+    out = out.withColumns({"ref_values": value(lambda v: v["exact"]), "base_values": value(lambda v: v["rounded"]), "cand_values": value(lambda v: F.when(F.col("urgent"), v["exact"]).otherwise(v["rounded"]))}).drop("values")
     out = out.withColumns({"chosen": F.when(F.col("urgent"), F.col("exact")).otherwise(F.col("rounded")), "ref_lines": F.col("lines"), "ref_returned": F.col("returned") == 1})
     trunc = lambda c: ((F.col(c) - F.pmod(F.col(c), F.lit(HANDLING))) / HANDLING).cast("bigint")
     ref_units = S.half_even_div(F.col("exact"), HANDLING)

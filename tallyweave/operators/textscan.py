@@ -176,20 +176,20 @@ class Structure:
     patterns: tuple[str, ...]
 
 
-# Categories and confidences of the twelve recognisers, and the names by which they know a construction.
+# Ids, categories and confidences of the twelve recognisers, and the names by which they know a construction.
 STRUCTURAL = (
     Structure("great-circle-leg-distance", "Calculation", 0.92, (r"EarthRadius", r"\.Sqrt\s*\(")),
-    Structure("total-distance-accumulation", "Calculation", 0.9, (r"(?i)\w*total\w*\s*\+=",)),
+    Structure("total-distance-sum", "Calculation", 0.9, (r"(?i)\w*total\w*\s*\+=",)),
     Structure("estimated-time-on-target", "Calculation", 0.85, (r"launchEpochSec", r"NominalSpeed")),
     Structure("anti-meridian-wrap", "Calculation", 0.9, (r"\b360\b", r"\b180\b", r"\bwhile\s*\(")),
-    Structure("leg-degree-box", "Validation", 0.9, (r"MaxLegDLat", r"MaxLegDLon")),
+    Structure("leg-degree-box-feasibility", "Validation", 0.9, (r"MaxLegDLat", r"MaxLegDLon")),
     Structure("turn-rate-limit", "Validation", 0.9, (r"MaxTurnDeg",)),
     Structure("tot-tolerance", "Validation", 0.9, (r"TotTol", r"\bAbs\b", r"desiredTot")),
-    Structure("route-validity", "Validation", 0.85, (r"\brouteValid\s*=\s*false\b",)),
-    Structure("sequential-waypoints", "Routing", 0.85, (r"\[i ?\+ ?1\]", r"\bfor\s*\(")),
-    Structure("categorical-go-no-go", "Constraint", 0.93, (r"""==\s*"[^"]+"\s*&&[^;]*==\s*"[^"]+""", r"(?i)goNoGo")),
-    Structure("range-by-variant", "Constraint", 0.85, (r"Dictionary<string, double>", r"\b900\b")),
-    Structure("maximum-leg-length", "Constraint", 0.8, (r"MaxLegNm|MAX_LEG_NM",)),
+    Structure("route-validity-aggregate", "Validation", 0.85, (r"\brouteValid\s*=\s*false\b",)),
+    Structure("sequential-waypoint-legs", "Routing", 0.85, (r"\[i ?\+ ?1\]", r"\bfor\s*\(")),
+    Structure("mst-surface-only-tasking", "Constraint", 0.93, (r"""==\s*"[^"]+"\s*&&[^;]*==\s*"[^"]+""", r"(?i)goNoGo")),
+    Structure("weapon-max-range-by-variant", "Constraint", 0.85, (r"Dictionary<string, double>", r"\b900\b")),
+    Structure("max-leg-length", "Constraint", 0.8, (r"MaxLegNm|MAX_LEG_NM",)),
 )
 
 

@@ -16,32 +16,33 @@ from tallyweave.sources.tables import table
 EXTENSIONS = {"ECONOMY": "cs", "SMALL": "js", "MEDIUM": "sql", "PROMO": "bas"}
 
 
-def _vectors(spark: SparkSession) -> DataFrame:
-    return C.evaluate(C.routes(spark), F.col("tag") == "anti-meridian")
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route for every customer, with the outputs of the three models."""
+    return C.evaluate(C.routes_of(table(spark, sf_dir, "customer"), "c_custkey"), F.col("tag") == "anti-meridian")
 
 
 def route_diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thousand generated routes; the candidate repairs the wrap at the date line and keeps the rest."""
-    report = D.oracle_report(D.vector_votes(_vectors(spark), C.oracles(), "id"))
+    """Every customer's route; the candidate repairs the wrap at the date line and keeps the rest."""
+    report = D.report(_vectors(spark, sf_dir), C.oracles())
     return report.withColumn("max_rel_error", F.round("max_rel_error", 9))
 
 
 def route_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.by_tag(_vectors(spark))
+    return C.by_tag(_vectors(spark, sf_dir))
 
 
 def route_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields in which the candidate differs from the baseline's recorded outputs, counted."""
-    return C.replay_mismatches(C.record(_vectors(spark), "base"), "cand").groupBy("field").agg(F.count("*").alias("n"))
+    return C.replay_mismatches(C.record(_vectors(spark, sf_dir), "base"), "cand").groupBy("field").agg(F.count("*").alias("n"))
 
 
 def divergent_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.checked_share(C.by_tag(_vectors(spark)))
+    return C.checked_share(C.by_tag(_vectors(spark, sf_dir)))
 
 
 def client_copy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes by tag for which a copy of the decision that lacks the clause on arrivals says otherwise than the baseline."""
-    v = _vectors(spark)
+    v = _vectors(spark, sf_dir)
     return v.groupBy("tag").agg(F.sum((F.col("base_valid") != F.col("base_go")).cast("bigint")).alias("n_drifted"))
 
 
@@ -102,12 +103,12 @@ def _tag_case() -> str:
     upto, out = 0, []
     for s in C.SHAPES:
         upto += C.TAG_COUNTS[s.tag]
-        out.append(f"WHEN id < {upto} THEN '{s.tag}'")
+        out.append(f"WHEN (id * {C.STEP}) % {sum(C.TAG_COUNTS.values())} < {upto} THEN '{s.tag}'")
     return "CASE " + " ".join(out) + " END"
 
 
 _ROUTES_SQL = f"""
-WITH t AS (SELECT range AS id FROM range(2000)), s AS (SELECT id, {_tag_case()} AS tag FROM t), a AS (
+WITH t AS (SELECT c_custkey AS id FROM customer), s AS (SELECT id, {_tag_case()} AS tag FROM t), a AS (
   SELECT id, tag, CAST(floor({_CASE(lambda s: s.legs[0])} + {_U("'legs'")} * ({_CASE(lambda s: s.legs[1])} - {_CASE(lambda s: s.legs[0])} + 1)) AS INTEGER) AS legs,
     {_CASE(lambda s: s.heading[0])} + {_U("'heading'")} * ({_CASE(lambda s: s.heading[1])} - {_CASE(lambda s: s.heading[0])}) AS heading, {_CASE(lambda s: s.stray)} AS stray,
     CASE WHEN tag = 'degenerate-route' THEN CASE WHEN {_U("'still'")} < 0.5 THEN {_RANGES["degenerate-route"].stride[0]!r}::DOUBLE ELSE {_RANGES["degenerate-route"].stride[1]!r}::DOUBLE END

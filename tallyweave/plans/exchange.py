@@ -124,7 +124,7 @@ def unparsed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('{"id":"'), F.col("o_orderkey").cast("string"), F.lit('","valid":true,"est":'), F.col("cand_units").cast("string"), F.lit("}"))
     made = vectors.withColumn("text", F.when(F.col("o_orderpriority") == "5-LOW", F.substring(text, 1, 9)).otherwise(text))
     read = made.withColumn("result", scans.tolerant_result(F.col("text"))).withColumn("cand_units", F.col("result.est"))
-    return D.oracle_report(D.vector_votes(read, numeric._oracles(), "o_orderkey", F.col("result.parsed")))
+    return D.report(read, numeric._oracles(), F.col("result.parsed"))
 
 
 def failing_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ def _oracles() -> list[D.Oracle]:
     discrete = lambda name, out: D.Oracle(name, "discrete", D.discrete_vote(c(f"base_{out}"), c(f"cand_{out}"), c(f"ref_{out}")))
     total = D.continuous_vote(c("base_total"), c("cand_total"), c("ref_total"))
     total_rel = S.relative_error(c("base_total"), c("cand_total"))
-    # per line, a tagged candidate equals the reference and any other one the baseline
-    line = F.when(c("urgent") & (c("lines_off") > 0), D.INTENTIONAL).otherwise(D.EQUIVALENT)
-    line_rel = F.when(c("urgent"), c("line_rel")).otherwise(F.lit(0.0))
+    # line by line: other numbers of lines are a violation, and so is a value that neither the baseline nor the reference has
+    lines = D.array_vote(c("base_values"), c("cand_values"), c("ref_values"))
+    line, line_rel = lines["vote"], lines["rel"]
     units = D.discrete_vote(c("base_units"), c("cand_units"), c("ref_units"))
     return [
         discrete("big_order", "big"),
@@ -47,7 +47,7 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_oracle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.oracle_report(_votes(spark, sf_dir))
+    return D.report(_vectors(spark, sf_dir), _oracles())
 
 
 def diff_vector_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,12 @@ WITH each_line AS (
     CAST(cand_big AS INT) + CAST(NOT cand_ok AS INT) AS cand_messages,
     abs(base_total - cand_total) / greatest(abs(base_total), abs(cand_total), 1e-12::DOUBLE) AS bc,
     abs(cand_total - ref_total) / greatest(abs(cand_total), abs(ref_total), 1e-12::DOUBLE) AS cr,
-    abs(base_total - ref_total) / greatest(abs(base_total), abs(ref_total), 1e-12::DOUBLE) AS br FROM v3
+    abs(base_total - ref_total) / greatest(abs(base_total), abs(ref_total), 1e-12::DOUBLE) AS br, coalesce(lines_vote, 0) AS lines_vote, coalesce(lines_rel, 0.0::DOUBLE) AS lines_rel
+  FROM v3 LEFT JOIN (
+    SELECT o_orderkey AS k, max(CASE WHEN c_b <= 1e-9::DOUBLE THEN 0 WHEN c_r <= 1e-9::DOUBLE AND rel > 1e-9::DOUBLE THEN 1 ELSE 2 END) AS lines_vote, max(c_b) AS lines_rel FROM (
+      SELECT o_orderkey, rel, abs(c - b) / greatest(abs(c), abs(b), 1e-12::DOUBLE) AS c_b, abs(c - r) / greatest(abs(c), abs(r), 1e-12::DOUBLE) AS c_r FROM (
+        SELECT o_orderkey, rel, exact / 10000.0::DOUBLE AS r, rounded / 10000.0::DOUBLE AS b, CASE WHEN o_orderpriority = '1-URGENT' THEN exact ELSE rounded END / 10000.0::DOUBLE AS c FROM rel_line JOIN orders ON o_orderkey = l_orderkey))
+    GROUP BY 1) ON k = o_orderkey
 )"""
 
 
@@ -185,7 +190,7 @@ def _sql_discrete(out: str) -> str:
 
 
 _SQL_TOTAL = "CASE WHEN bc <= 1e-9::DOUBLE THEN 0 WHEN cr <= 1e-9::DOUBLE AND br > 1e-9::DOUBLE THEN 1 ELSE 2 END"
-_SQL_LINE, _SQL_LINE_REL = "CASE WHEN urgent AND lines_off > 0 THEN 1 ELSE 0 END", "CASE WHEN urgent THEN line_rel ELSE 0.0::DOUBLE END"
+_SQL_LINE, _SQL_LINE_REL = "lines_vote", "lines_rel"
 _SQL_ORACLES = [
     ("big_order", "discrete", _sql_discrete("big"), "0.0::DOUBLE", "true"),
     ("within_units", "discrete", _sql_discrete("ok"), "0.0::DOUBLE", "true"),

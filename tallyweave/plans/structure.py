@@ -90,7 +90,7 @@ SELECT path, class AS name, CAST(sum(loc) + 2 AS INTEGER) AS loc, count(*) AS n_
   UNION ALL SELECT path, 'type', 1, 2, coalesce(per.n, 0) + 3, decisions, calls, 1 FROM sums LEFT JOIN per USING (path)
   UNION ALL SELECT path, 'namespace', 0, 1, coalesce(per.n, 0) + 4, decisions, calls, 1 FROM sums LEFT JOIN per USING (path)
 )
-SELECT path, CASE WHEN kind IN ('if', 'switch') THEN 'BRANCH' WHEN kind IN ('for', 'foreach', 'while', 'do') THEN 'LOOP' ELSE 'SEQUENCE' END AS node_type, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(depth) AS BIGINT) AS depth,
+SELECT path, CASE kind WHEN 'if' THEN 'BRANCH' WHEN 'switch' THEN 'SWITCH' WHEN 'for' THEN 'FOR_LOOP' WHEN 'foreach' THEN 'FOR_LOOP' WHEN 'while' THEN 'WHILE_LOOP' WHEN 'do' THEN 'DO_UNTIL' WHEN 'try' THEN 'TRY_CATCH' ELSE 'SEQUENCE' END AS node_type, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(depth) AS BIGINT) AS depth,
   CAST(sum(n_children) AS BIGINT) AS n_children, CAST(sum(n_nodes) AS BIGINT) AS n_nodes, CAST(sum(decisions) AS BIGINT) AS decisions, CAST(sum(calls) AS BIGINT) AS calls FROM every GROUP BY path, kind""",
     "class_dependencies": f"""{_METHODS}
 SELECT 'References' AS kind, false AS external, count(*) AS n FROM methods
