@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import corpora, exchange, governance, graphs, numeric, planning, structure, texts
+from tallyweave.plans import corpora, exchange, governance, graphs, measures, numeric, planning, structure, texts
 
-_MODULES = (numeric, texts, graphs, governance, corpora, planning, exchange, structure)
+_MODULES = (numeric, texts, graphs, governance, corpora, planning, exchange, structure, measures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
