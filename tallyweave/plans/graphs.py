@@ -186,17 +186,14 @@ QUERIES = {
     "routing_strategy": routing_strategy,
     "task_capabilities": task_capabilities,
 }
-_UNI = lambda name: f"((CAST(('0x' || substr(md5('2024:' || {name}), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
-
-
 def _gamma_sql(name: str, shape: str) -> str:
-    u = lambda kind: _UNI(f"{name} || ':{kind}:' || i")
-    whole = f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, CAST(floor({shape}) AS BIGINT) + 1), lambda i: -ln({u('w')}))), lambda x, y: x + y)"
-    f = f"({shape} - floor({shape}))"
-    pairs = f"list_transform(range(1, 41), lambda i: {{'x': pow({u('u')}, 1 / {f}), 'y': pow({u('v')}, 1 / (1 - {f}))}})"
-    kept = f"list_filter({pairs}, lambda p: p.x + p.y <= 1)[1]"
-    tail = _UNI(name + " || ':e'")
-    return f"({whole} + CASE WHEN {f} > 0 THEN -ln({tail}) * ({kept}).x / (({kept}).x + ({kept}).y) ELSE 0 END)"
+    """The first accepted of the tries, for shapes from 1."""
+    u = lambda k: f"((CAST(('0x' || substr(sha256('2024:' || {name} || ':g:' || i), {1 + 12 * k}, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+    d = f"({shape} - 1.0::DOUBLE / 3.0::DOUBLE)"
+    x = f"(sqrt(-2.0::DOUBLE * ln({u(0)})) * cos(2.0::DOUBLE * pi() * {u(1)}))"
+    tries = f"list_transform(range(1, 41), lambda i: {{'x': {x}, 'u': {u(2)}, 'w': 1.0::DOUBLE + 1.0::DOUBLE / sqrt(9.0::DOUBLE * {d}) * {x}}})"
+    good = f"list_filter({tries}, lambda r: CASE WHEN r.w > 0 THEN ln(r.u) < 0.5::DOUBLE * r.x * r.x + {d} * (1.0::DOUBLE - r.w * r.w * r.w + ln(r.w * r.w * r.w)) ELSE false END)"
+    return f"list_transform({good}[1:1], lambda r: {d} * (r.w * r.w * r.w))[1]"
 
 
 ORACLES = {

@@ -122,3 +122,23 @@ def test_report_equals_that_of_votes(spark, parsed):
     plain = D.oracle_report(D.vector_votes(df, oracles, "id", read))
     assert sorted(map(tuple, D.report(df, oracles, read).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     assert {r["oracle"]: r["violations"] > 0 for r in plain.collect()} == {"a": True, "v": True, "p": True}
+
+
+# draws
+
+
+def test_gamma_draws_have_the_moments_of_their_shape(spark):
+    from tallyweave.operators import scoring
+
+    n = 20_000
+    df = spark.range(n).select("id", F.explode(F.array(*[F.lit(x) for x in (0.3, 1.0, 2.5, 47.0, 1e6)])).alias("shape"))
+    draw = scoring.gamma_sample(7, F.col("id").cast("string"), F.col("shape"))
+    got = df.select("shape", draw.alias("x")).groupBy("shape").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("var"), F.min("x").alias("least"), F.count("x").alias("n")).collect()
+    for r in got:
+        k = r["shape"]
+        assert r["n"] == n and r["least"] > 0
+        assert abs(r["mean"] - k) < 5 * math.sqrt(k / n) and abs(r["var"] / k - 1) < 5 * math.sqrt((2 + 6 / k) / n)
+    once, again = (sorted(map(tuple, d.select("id", "shape", draw.alias("x")).collect())) for d in (df, df.repartition(5)))
+    assert once == again
+    share = spark.range(n).select(scoring.beta_sample(3, F.col("id").cast("string"), F.lit(2.0), F.lit(6.0)).alias("b")).agg(F.avg("b"), F.var_samp("b")).first()
+    assert abs(share[0] - 0.25) < 0.005 and abs(share[1] - 0.25 * 0.75 / 9) < 0.001
