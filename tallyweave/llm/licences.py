@@ -118,7 +118,8 @@ def scan(docs: DataFrame, *, named: dict[str, str] | None = None, percent: int =
     met_by = anchors(listed, percent)
     any_of = [r["h"] for r in met_by.select("h").distinct().collect()]  # some per template
     words = F.split(normalise(F.col(f"`{text}`").cast("string")), " ")
-    rows = docs.select(F.col(f"`{key}`").alias("key"), words.alias("w")).where(F.size("w") > 1)
+    # a generator makes the words once; a plain column would be worked out for every condition on it
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.inline(F.array(F.struct(words.alias("w"))))).where(F.size("w") > 1)
     # rows are numbered as they are written, and the numbers are read
     few = rows.where(F.exists(hashes, lambda h: h.isin(any_of))).withColumn("row", F.monotonically_increasing_id())
     few, _ = common.written(few, "texts")
