@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions import scalars as S
+from tallyweave.operators.lineage import numbered
 
 # Which control a kind of finding is evidence for.
 CONTROL_NAMES = {
@@ -56,10 +57,9 @@ def control_evidence(findings: DataFrame, rule: str = "rule") -> DataFrame:
     return got.join(F.broadcast(names), "control_id").select("control_id", "control_name", "evidence")
 
 
-def numbered(rows: DataFrame, prefix: str, *order: str) -> Column:
-    """An id of prefix and three digits, from 1 in the stated order. For small reports: the order is global."""
-    w = Window.partitionBy(F.lit(prefix)).orderBy(*order)
-    return F.format_string(f"{prefix}-%03d", F.row_number().over(w))
+def with_ids(rows: DataFrame, prefix: str, *order: str) -> DataFrame:
+    """The rows with an ``id`` of prefix and three digits at least, from 1 in the stated order, which is global."""
+    return numbered(rows, *order, name="nr").withColumn("id", F.format_string(f"{prefix}-%03d", "nr")).drop("nr")
 
 
 def remediation_items(findings: DataFrame, defects: DataFrame, latent: DataFrame) -> DataFrame:
@@ -71,10 +71,10 @@ def remediation_items(findings: DataFrame, defects: DataFrame, latent: DataFrame
     done = F.col("disposition") == "Remediated"
     schedule = F.when(done, F.lit(None).cast("string")).when(F.col("disposition") == "OutOfScope", "Follow-on increment (out of scope)").otherwise("Change-recommended")
     text = F.concat(F.lit("["), F.col("rule"), F.lit(" / "), F.col("severity"), F.lit("] "), F.col("place"), F.lit(" [disposition: "), F.col("disposition"), F.lit("]"))
-    s = findings.select(numbered(findings, "ITEM-S", "rule", "place").alias("id"), text.alias("weakness"), F.when(done, "Remediated").otherwise("Open").alias("status"), schedule.alias("schedule"))
-    c = defects.select(numbered(defects, "ITEM-C", "statement").alias("id"), F.col("statement").alias("weakness"), F.lit("Open").alias("status"), F.lit("Change-recommended").alias("schedule"))
+    s = with_ids(findings, "ITEM-S", "rule", "place", "severity", "disposition").select("id", text.alias("weakness"), F.when(done, "Remediated").otherwise("Open").alias("status"), schedule.alias("schedule"))
+    c = with_ids(defects, "ITEM-C", "statement").select("id", F.col("statement").alias("weakness"), F.lit("Open").alias("status"), F.lit("Change-recommended").alias("schedule"))
     counted = F.concat(F.lit("Latent defect class '"), F.col("tag"), F.lit("': "), F.col("n").cast("string"), F.lit(" divergent vectors"))
-    l = latent.select(numbered(latent, "ITEM-L", "tag").alias("id"), counted.alias("weakness"), F.lit("Open").alias("status"), F.lit("Change-recommended").alias("schedule"))  # noqa: E741
+    l = with_ids(latent, "ITEM-L", "tag").select("id", counted.alias("weakness"), F.lit("Open").alias("status"), F.lit("Change-recommended").alias("schedule"))  # noqa: E741
     return s.unionByName(c).unionByName(l)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyweave.functions import scalars as S
 from tallyweave.operators import differential as D
 from tallyweave.operators import ledger as L
 from tallyweave.operators import reporting as P
+from tallyweave.operators import runner as M
 from tallyweave.plans import governance, graphs, numeric
 from tallyweave.plans import planning as N
 from tallyweave.sources import exchange as E
@@ -127,12 +130,17 @@ def unparsed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.report(read, numeric._oracles(), F.col("result.parsed"))
 
 
+def _units_model(batch: pa.RecordBatch) -> pa.Array:
+    """The candidate's units; it fails where it has no lines to divide by."""
+    lines = batch.column("lines")
+    return pc.multiply(pc.divide(batch.column("cand_units"), lines), lines) if not pc.all(pc.greater(lines, 0)).as_py() else batch.column("cand_units")
+
+
 def failing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of a candidate model that fails for orders without lines: its output is null there, so nothing is parsed."""
+    """Votes of a candidate model that raises for orders without lines: its output is null there, so nothing is parsed."""
     vectors = numeric._vectors(spark, sf_dir)
-    model = lambda rows: rows.where("lines > 0").select("o_orderkey", F.col("cand_units").alias("output"))
-    both = vectors.join(E.run_model(vectors, model, "o_orderkey", "output"), "o_orderkey").withColumn("cand_units", F.col("output"))
-    return D.vector_votes(both, numeric._oracles(), "o_orderkey", F.col("output").isNotNull()).select("o_orderkey", "n_violations", "class", F.size("votes").alias("n_votes"))
+    ran = M.run_safely(vectors, _units_model, "long").withColumn("cand_units", F.col("output"))
+    return D.vector_votes(ran, numeric._oracles(), "o_orderkey", F.col("error").isNull()).select("o_orderkey", "n_violations", "class", F.size("votes").alias("n_votes"))
 
 
 def publish_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import scalars as S
 from tallyweave.operators import graph as G
 from tallyweave.operators import kernels as K
+from tallyweave.operators import lineage
 from tallyweave.operators import ordered as O
 from tallyweave.operators import planning as P
 from tallyweave.operators import textscan as X
@@ -147,9 +148,8 @@ def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings numbered by place, then line and name; edges between regions numbered by their ends."""
     found = texts.secret_findings(spark, sf_dir).select(F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("place"), F.col("line_no").cast("bigint").alias("line_no"), "name")
     edges = graphs.contract_edges(spark, sf_dir).select(F.concat(F.lit("edge:"), F.col("src").cast("string")).alias("place"), F.col("dst").cast("bigint").alias("line_no"), F.col("weight").cast("string").alias("name"))
-    both = found.unionByName(edges)
-    numbered = F.row_number().over(Window.partitionBy(F.substring("place", 1, 4)).orderBy("place", "line_no", "name"))
-    return both.select("place", "line_no", "name", numbered.alias("position")).orderBy("place", "line_no", "name")
+    order = ("place", "line_no", "name")
+    return lineage.numbered(found.select(*order), *order).unionByName(lineage.numbered(edges.select(*order), *order))
 
 
 def rule_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

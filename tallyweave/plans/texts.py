@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import scalars as S
@@ -144,8 +144,8 @@ def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = parts.select(F.concat(F.translate("p_brand", "#", "_"), F.lit(".sql")).alias("file"), "doc")
     where = exchange.write_documents(parts, base, "scan/of/parts")
     found = scans.source_files(spark, where, "*.txt").withColumn("path", F.regexp_extract("path", r"file=([^/]+)/", 1))
-    ordered = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path"))
-    return found.select("path", scans.language_of(F.col("path")).alias("language"), S.sha256(F.regexp_replace("content", "\n$", "")).alias("sha256"), ordered.alias("position"))
+    hashed = found.select("path", scans.language_of(F.col("path")).alias("language"), S.sha256(F.regexp_replace("content", "\n$", "")).alias("sha256"))
+    return lineage.numbered(hashed, "path")
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
