@@ -9,7 +9,8 @@ are left alone.
 A version lists the shards that it adds and removes; behind every ``SNAPSHOT_EVERY``-th one a snapshot file lists all, so
 a version costs what it changes and a reader opens few files. It appears by a rename that fails where the version exists
 already, so readers see all of a change or nothing. Of two writers one finds its version taken and plans again on top
-of it: an append as it is, a merge if all its shards are still listed, else with new bins.
+of it: an append as it is, a merge if all its shards are still listed, else with new bins. The store needs a file system
+with such a rename (HDFS and local ones have it); object stores without one may let two writers make the same version.
 
 ``vacuum`` deletes shards that no kept version lists. It spares what a writer has announced by an intent: data is listed
 before intents and these before versions, so a folder without an intent has been committed by then or is left over.
@@ -277,7 +278,7 @@ class Store:
 
 
 ORACLE_SQL = """
-SELECT doc_id, CAST(doc_id % 16 AS BIGINT) AS arrival, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars
+SELECT doc_id, CAST(coalesce(doc_id, 0) % 16 AS BIGINT) AS arrival, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars
 FROM documents
 """
 
