@@ -20,7 +20,8 @@ def _shared(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _at(spark: SparkSession, path: str):
+def file_at(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its object."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
@@ -28,7 +29,7 @@ def _at(spark: SparkSession, path: str):
 def folder(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that driver and executors share, which goes when the session's JVM ends."""
     path = f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
-    fs, where = _at(spark, path)
+    fs, where = file_at(spark, path)
     fs.mkdirs(where)
     fs.deleteOnExit(where)
     return path
@@ -51,7 +52,7 @@ def drop(*gone: DataFrame) -> None:
     for df in gone:
         path = getattr(df, "_cut_path", None)
         if path:
-            fs, where = _at(df.sparkSession, path)
+            fs, where = file_at(df.sparkSession, path)
             fs.delete(where, True)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,8 +174,8 @@ def find_above(start: str, *names: str, levels: int = 12) -> str:
 
 def listed_files(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
     """Whole files of a stated list, named by their paths below the base, in the order of the list."""
-    rows = [(i, p, open(os.path.join(base, p), encoding="utf-8").read()) for i, p in enumerate(paths)]
-    out = spark.createDataFrame(rows, "place int, path string, content string")
+    one = lambda i, p: spark.read.text(f"{base.rstrip('/')}/{p}", wholetext=True).select(F.lit(i).alias("place"), F.lit(p).alias("path"), F.col("value").alias("content"))
+    out = reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(paths)])
     return out.select("place", "path", scans.language_of(F.col("path")).alias("language"), "content", S.sha256(F.col("content")).alias("content_sha256"))
 
 

@@ -79,7 +79,10 @@ def points_of_blob(rows: DataFrame, key: str, blob: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
-    """The target with the source's rows in place of those of the same key, and its new rows."""
+    """The target with the source's rows in place of those of the same key, and its new rows. Keys that the source repeats are refused."""
+    twice = source.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the source repeats the key {tuple(twice[0][k] for k in keys)}")
     return source.select(*target.columns).unionByName(target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns))
 
 
