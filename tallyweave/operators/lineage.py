@@ -26,6 +26,28 @@ def file_at(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def create_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """A file with this content where none is yet; False where there is one, which stays as it is.
+
+    It appears whole, by a rename that refuses to overwrite; the file system must have one (HDFS and local ones do).
+    """
+    jvm = spark.sparkContext._jvm
+    fs, draft = file_at(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(content)
+    out.close()
+    _, final = file_at(spark, path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(final), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Exception:
+        fs.delete(draft, False)
+        if fs.exists(final):
+            return False
+        raise
+
+
 def folder(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that driver and executors share, which goes when the session's JVM ends."""
     path = f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators.lineage import file_at
+from tallyweave.operators.lineage import create_once, file_at
 
 PUBLISHED, SKIPPED = "PUBLISHED", "PUBLISH_SKIPPED"  # fixed values: what a publication answers
 
@@ -50,22 +50,8 @@ class Publication:
             done = self.runs()
             if any(r["run"] == run for r in done):
                 return False
-            fs, draft = file_at(self.spark, f"{self.path}/drafts/{uuid.uuid4().hex}")
-            out = fs.create(draft, False)
-            out.write(json.dumps({"run": run, "attempt": attempt}).encode())
-            out.close()
-            _, final = file_at(self.spark, f"{self.path}/commits/{len(done):012d}.json")
-            fs.mkdirs(final.getParent())
-            jvm = self.spark.sparkContext._jvm
-            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-            try:
-                context.rename(fs.makeQualified(draft), fs.makeQualified(final), none)  # refuses to overwrite
+            if create_once(self.spark, f"{self.path}/commits/{len(done):012d}.json", json.dumps({"run": run, "attempt": attempt}).encode()):
                 return True
-            except Exception:
-                fs.delete(draft, False)
-                if not fs.exists(final):
-                    raise
 
     def publish(self, parents: DataFrame, children: DataFrame, run: str) -> tuple[str, str]:
         """Publish one run. Returns the answer and, where the run was skipped, why; nothing is visible then."""
