@@ -126,14 +126,19 @@ _AGENTS = [
 ]
 
 
-def thompson_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+def thompson_route(spark: SparkSession, sf_dir: str, sovereign_only: bool = False) -> DataFrame:
     agents = spark.createDataFrame(_AGENTS, "agent string, sovereign boolean, alpha double, beta double, weights map<string, double>")
     size = F.length("text") / 10000.0
     tasks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task"), F.create_map(F.lit("contextSize"), size, F.lit("complexity"), F.lit(0.5)).alias("features"))
-    got = R.thompson_routes(tasks, agents, seed=2024)
+    got = R.thompson_routes(tasks, agents, seed=2024, sovereign_only=sovereign_only)
     return got.select("task", "agent", F.round("sampled", 9).alias("sampled"), F.round("posterior_mean", 9).alias("posterior_mean"))
 
 
+def sovereign_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tasks where only local agents may be used."""
+    return thompson_route(spark, sf_dir, sovereign_only=True)
+
+
 def task_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     features = F.create_map(F.lit("crypto"), F.length("text") / 2000.0)
@@ -183,6 +188,7 @@ QUERIES = {
     "risk_score": risk_score,
     "unit_max_risk": unit_max_risk,
     "thompson_route": thompson_route,
+    "sovereign_route": sovereign_route,
     "routing_strategy": routing_strategy,
     "task_capabilities": task_capabilities,
 }
@@ -196,13 +202,20 @@ def _gamma_sql(name: str, shape: str) -> str:
     return f"list_transform({good}[1:1], lambda r: {d} * (r.w * r.w * r.w))[1]"
 
 
-ORACLES = {
-    "thompson_route": "WITH agents(agent, alpha, beta, complexity, size) AS (VALUES "
-    + ", ".join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE, {w['complexity']}::DOUBLE, {w['contextSize']}::DOUBLE)" for a, _, x, y, w in _AGENTS)
-    + f"""), t AS (
+def _route_sql(agents: list[tuple]) -> str:
+    return (
+        "WITH agents(agent, alpha, beta, complexity, size) AS (VALUES "
+    + ", ".join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE, {w['complexity']}::DOUBLE, {w['contextSize']}::DOUBLE)" for a, _, x, y, w in agents)
+        + f"""), t AS (
   SELECT doc_id AS task, length(text) / 10000.0::DOUBLE AS s, agent, alpha, beta, complexity, size, doc_id || ':' || agent AS name FROM documents, agents
 ), d AS (SELECT *, {_gamma_sql("name || ':a'", "alpha")} AS ga, {_gamma_sql("name || ':b'", "beta")} AS gb, (s * size + 0.5::DOUBLE * complexity) / (s + 0.5::DOUBLE) AS match FROM t
-) SELECT task, agent, round(ga / (ga + gb) * match, 9) AS sampled, round(alpha / (alpha + beta) * match, 9) AS posterior_mean FROM d QUALIFY row_number() OVER (PARTITION BY task ORDER BY ga / (ga + gb) * match DESC, alpha / (alpha + beta) * match DESC, agent) = 1""",
+) SELECT task, agent, round(ga / (ga + gb) * match, 9) AS sampled, round(alpha / (alpha + beta) * match, 9) AS posterior_mean FROM d QUALIFY row_number() OVER (PARTITION BY task ORDER BY ga / (ga + gb) * match DESC, alpha / (alpha + beta) * match DESC, agent) = 1"""
+    )
+
+
+ORACLES = {
+    "thompson_route": _route_sql(_AGENTS),
+    "sovereign_route": _route_sql([a for a in _AGENTS if a[1]]),
     "task_capabilities": "SELECT doc_id, CASE WHEN length(text) / 2000.0::DOUBLE >= 0.5 AND NOT lang = 'de' THEN 'code|analysis' ELSE 'code' END AS capabilities FROM documents",
     "priority_order": "WITH RECURSIVE "
     + _USERS_SQL

@@ -7,11 +7,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions import scalars as S
 from tallyweave.operators import exact as X
+from tallyweave.operators import ledger as L
 from tallyweave.operators import lineage
 from tallyweave.operators import ordered as O
 from tallyweave.operators import ranges as R
 from tallyweave.operators import runner as M
+from tallyweave.sources import scans
 from tallyweave.sources.published import Publication
 from tallyweave.sources.tables import table
 
@@ -76,9 +79,35 @@ def published_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return above.join(per, "key", "left").groupBy("o_orderpriority", "run").agg(F.count("*").alias("n_parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_children"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("quantity"))
 
 
-QUERIES = {"published_orders": published_orders, "days_crossed": days_crossed, "returns_between_orders": returns_between_orders, "exact_double_sum": exact_double_sum, "model_failures": model_failures}
+def orders_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle root of all orders in order of their keys."""
+    leaf = S.sha256(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))
+    rows = lineage.numbered(table(spark, sf_dir, "orders").select("o_orderkey", leaf.alias("leaf")), "o_orderkey").withColumn("at", F.col("position") - 1)
+    return spark.createDataFrame([(L.merkle_root_of_rows(rows, "at", "leaf"),)], "root string")
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with their labels, matched by id; an error where either lacks its partner."""
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return scans.with_labels(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, "doc_id").select("doc_id", "lang", "n_chars", "quality", "toxic")
+
+
+def complete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks, all of which have a recorded result; one without would be an error."""
+    tasks = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("unit"), F.lit("sql").alias("language"), F.col("p_size").cast("string").alias("stack"))
+    recorded = tasks.select(S.sha256(F.concat_ws("|", "unit", "language", "stack")).alias("key"), F.concat(F.lit("size "), "stack").alias("result"))
+    return scans.attach_recorded(tasks, recorded, missing="error").select("unit", "record_key", "result")
+
+
+QUERIES = {"orders_root": orders_root, "labelled_documents": labelled_documents, "complete_records": complete_records, "published_orders": published_orders, "days_crossed": days_crossed, "returns_between_orders": returns_between_orders, "exact_double_sum": exact_double_sum, "model_failures": model_failures}
 _SCALE = 2**43
 ORACLES = {
+    "orders_root": """WITH RECURSIVE m AS (
+  SELECT list(sha256(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)) ORDER BY o_orderkey) AS h FROM orders
+  UNION ALL SELECT list_transform(range(0, CAST(ceil(len(h) / 2.0) AS BIGINT)), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], h[2 * i + 1]))) FROM m WHERE len(h) > 1
+) SELECT h[1] AS root FROM m WHERE len(h) = 1""",
+    "labelled_documents": "SELECT doc_id, lang, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)",
+    "complete_records": "SELECT CAST(p_partkey AS VARCHAR) AS unit, sha256(concat_ws('|', p_partkey, 'sql', p_size)) AS record_key, 'size ' || p_size AS result FROM part",
     "published_orders": """SELECT o_orderpriority, CASE WHEN o_orderpriority = '1-URGENT' THEN 'second' ELSE 'first' END AS run, count(*) AS n_parents, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_children, coalesce(sum(q), 0) AS quantity
 FROM orders LEFT JOIN (SELECT l_orderkey, o_orderpriority = '1-URGENT' AS u, count(*) AS n, sum(l_quantity) AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority <> '1-URGENT' OR l_returnflag = 'R' GROUP BY 1, 2) ON l_orderkey = o_orderkey
 GROUP BY 1, 2""",

@@ -149,7 +149,8 @@ def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = texts.secret_findings(spark, sf_dir).select(F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("place"), F.col("line_no").cast("bigint").alias("line_no"), "name")
     edges = graphs.contract_edges(spark, sf_dir).select(F.concat(F.lit("edge:"), F.col("src").cast("string")).alias("place"), F.col("dst").cast("bigint").alias("line_no"), F.col("weight").cast("string").alias("name"))
     order = ("place", "line_no", "name")
-    return lineage.numbered(found.select(*order), *order).unionByName(lineage.numbered(edges.select(*order), *order))
+    both = lineage.numbered(found.select(*order), *order).unionByName(lineage.numbered(edges.select(*order), *order))
+    return both.withColumn("position", F.col("position").cast("int"))
 
 
 def rule_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

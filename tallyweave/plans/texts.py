@@ -145,7 +145,7 @@ def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = exchange.write_documents(parts, base, "scan/of/parts")
     found = scans.source_files(spark, where, "*.txt").withColumn("path", F.regexp_extract("path", r"file=([^/]+)/", 1))
     hashed = found.select("path", scans.language_of(F.col("path")).alias("language"), S.sha256(F.regexp_replace("content", "\n$", "")).alias("sha256"))
-    return lineage.numbered(hashed, "path")
+    return lineage.numbered(hashed, "path").withColumn("position", F.col("position").cast("int"))
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
