@@ -16,14 +16,15 @@ Defined results
 * Ties go to the language that comes first in the order of code points. Repeated rows are labelled one by one, an
   empty table gives an empty table. Only key, text and (for training) language columns are read. Bytes that are no
   UTF-8 count as U+FFFD, which is no letter.
-* Words are runs of up to ``WORD_LETTERS`` letters and number signs of the whole lower-cased text that hold a letter;
-  longer runs are cut. Very long texts are labelled whole: a text takes some 6 bytes for each word and language.
+* Words are runs of up to ``WORD_LETTERS`` letters, number signs and combining marks of the whole lower-cased text that
+  hold a letter; longer runs are cut. Very long texts are labelled whole: a text takes some 6 bytes for each word and language.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +49,10 @@ SCRIPT_SHARE = 0.02
 #: Words kept by a worker, and words decoded at a time.
 MEMO_WORDS, SLICE_WORDS = 200_000, 400_000
 _RUN = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
+# combining marks (vowel signs, accents) belong to the word; few texts have any, and the others are cut by the faster pattern
+_MARKS = "".join(chr(c) for c in range(0x300, 0x12000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+_MARK = re.compile(f"[{_MARKS}]")
+_MARKED_RUN = re.compile(r"(?:[^\W\d_]|[%s]){1,%d}" % (_MARKS, WORD_LETTERS))
 _UND = "und"
 
 
@@ -56,6 +61,12 @@ def _lettered(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
+def runs_of(text: str) -> list[str]:
+    """Runs of letters, number signs and combining marks of a text in lower case."""
+    lower = text.lower()
+    return (_MARKED_RUN if not lower.isascii() and _MARK.search(lower) else _RUN).findall(lower)
+
+
 def grams(word: str) -> list[str]:
     """The n-grams of a word with its ends marked."""
     marked = f"<{word}>"
@@ -127,7 +138,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
         words: dict[str, Counter] = {}
         for batch in batches:
             for v, t in zip(common.decoded(batch.column(0)), common.decoded(batch.column(1)), strict=True):
-                words.setdefault(v, Counter()).update(filter(_lettered, _RUN.findall(t.lower())))
+                words.setdefault(v, Counter()).update(filter(_lettered, runs_of(t)))
         for v, own in words.items():
             found, by_script = Counter(), Counter()
             for w, n in own.items():
@@ -210,7 +221,7 @@ class _Scorer:
             self.clear()
         at, new, ids, sizes, letters = self.at, [], [], [], []
         for text in texts:
-            runs = _RUN.findall(text.lower()) if text and model.langs else []
+            runs = runs_of(text) if text and model.langs else []
             none = set()
             for w in set(runs):
                 if w not in at:

@@ -217,6 +217,17 @@ def test_nothing_to_learn_from(spark):
     assert (r["lang_pred"], r["score"]) == ("und", 0.0)
 
 
+def test_marks_belong_to_their_words(spark):
+    assert langid.runs_of("हिन्दी भाषा, ภาษาไทย! Café cafe\u0301 \u0301 x2") == ["हिन्दी", "भाषा", "ภาษาไทย", "café", "cafe\u0301", "\u0301", "x"]
+    assert langid.runs_of("ab" * 40) == ["ab" * 16, "ab" * 16, "ab" * 8]
+    hindi, marathi = "यह हिन्दी भाषा में लिखा गया है और बहुत छोटा है", "हे मराठी भाषेत लिहिले आहे आणि फार लहान आहे"
+    rows = [(i, hindi, "hi") for i in range(30)] + [(100 + i, marathi, "mr") for i in range(30)] + [(200, "\u0301\u0302", None), (201, "भाषेत आहे आणि लहान", None), (202, "यह भाषा बहुत छोटा है", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["spans"]) for r in langid.identify(df, langid.train(df.where("lang is not null"))).collect()}
+    assert got[200] == ("und", []) and got[201][0] == "mr" and got[202][0] == "hi"
+    assert [(s["first_word"], s["last_word"]) for s in got[202][1]] == [(0, 4)]
+
+
 def test_number_signs_are_no_letters(spark):
     docs = spark.createDataFrame([(0, "\u00bd \u00b2 \u2460 \u2167"), (1, "\u00bd the ing wh"), (2, " ".join(["the\u00b2"] * 3))], "doc_id long, text string")
     model = langid.train(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
