@@ -14,7 +14,7 @@ from tallyweave.operators import lineage
 from tallyweave.operators import ordered as O
 from tallyweave.operators import ranges as R
 from tallyweave.operators import runner as M
-from tallyweave.sources import scans
+from tallyweave.sources import arrays, scans
 from tallyweave.sources.published import Publication
 from tallyweave.sources.tables import table
 
@@ -99,9 +99,20 @@ def complete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.attach_recorded(tasks, recorded, missing="error").select("unit", "record_key", "result")
 
 
-QUERIES = {"orders_root": orders_root, "labelled_documents": labelled_documents, "complete_records": complete_records, "published_orders": published_orders, "days_crossed": days_crossed, "returns_between_orders": returns_between_orders, "exact_double_sum": exact_double_sum, "model_failures": model_failures}
+def array_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as JSON arrays, with braces and quotes in their texts, and read again element by element."""
+    row = F.struct("p_partkey", F.concat(F.col("p_name"), F.lit(' "}],{\\ ')).alias("text"), F.array("p_brand", "p_type").alias("tags"))
+    few = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 500)).agg(F.to_json(F.collect_list(row)).alias("value"))  # 500 at most
+    where = f"{lineage.folder(spark, 'arrays')}/corpus"
+    few.select("value").write.text(where)
+    read = arrays.read_array(spark, where, "p_partkey long, text string, tags array<string>")
+    return read.select("p_partkey", "text", F.element_at("tags", 1).alias("brand"), F.size("tags").alias("n_tags"))
+
+
+QUERIES = {"array_corpus": array_corpus, "orders_root": orders_root, "labelled_documents": labelled_documents, "complete_records": complete_records, "published_orders": published_orders, "days_crossed": days_crossed, "returns_between_orders": returns_between_orders, "exact_double_sum": exact_double_sum, "model_failures": model_failures}
 _SCALE = 2**43
 ORACLES = {
+    "array_corpus": """SELECT p_partkey, p_name || ' "}],{\\ ' AS text, p_brand AS brand, 2 AS n_tags FROM part""",
     "orders_root": """WITH RECURSIVE m AS (
   SELECT list(sha256(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)) ORDER BY o_orderkey) AS h FROM orders
   UNION ALL SELECT list_transform(range(0, CAST(ceil(len(h) / 2.0) AS BIGINT)), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], h[2 * i + 1]))) FROM m WHERE len(h) > 1
