@@ -15,30 +15,22 @@ THRESHOLD = 0.18
 CATEGORIES = ("Calculation", "Validation", "Routing", "Constraint")
 
 
-def _prefixes(side: DataFrame, counts: DataFrame, category: str, threshold: float) -> DataFrame:
-    """Rows (category, tok, id, n): of every set the rarest keywords, so many that two similar sets share one of them."""
-    each = side.select("id", category, F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(counts, [category, "tok"])
-    listed = each.groupBy("id", category, "n").agg(F.sort_array(F.collect_list(F.struct("k", "tok"))).alias("l"))
-    first = F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    return listed.select(category, "id", "n", F.explode(first).alias("e")).select(category, F.col("e.tok").alias("tok"), "id", "n")
-
-
 def similar_pairs(left: DataFrame, right: DataFrame, category: str, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of one category whose keyword sets have a Jaccard coefficient of at least the threshold.
 
-    Both sides have (id, category, toks). Keywords are counted over both; a set's prefix leaves out its most frequent
-    ones, which two similar sets cannot both need. Prefixes meet by category and keyword where the sizes allow the
-    coefficient, and each pair that meets is compared once.
+    Both sides have (id, category, toks). Sides meet by category and keyword where their sizes allow the coefficient, and
+    what a pair shares is the number of times that it meets: one join and one sum with partial aggregates. At thresholds as
+    low as this prefixes of rare keywords leave hardly anything out, so no set travels and none is compared again; rows of
+    a frequent keyword are dealt to several tasks by adaptive execution, and where one side is small it is broadcast.
     """
-    counts = left.select(category, "toks").unionByName(right.select(category, "toks")).select(category, F.explode("toks").alias("tok")).groupBy(category, "tok").agg(F.count("*").alias("k"))
-    side = lambda d, s: _prefixes(d, counts, category, threshold).withColumnsRenamed({"id": f"{s}_id", "n": f"{s}_n"})
+
+    def side(d: DataFrame, s: str) -> DataFrame:
+        return d.select(category, F.col("id").alias(f"{s}_id"), F.size("toks").alias(f"{s}_n"), F.explode(F.array_distinct("toks")).alias("tok"))
+
     sizes = F.least("l_n", "r_n") >= threshold * F.greatest("l_n", "r_n") - 1e-9
-    met = side(left, "l").join(side(right, "r"), [category, "tok"]).where(sizes).select(category, "l_id", "r_id").distinct()
-    sets = lambda d, s: d.select(category, F.col("id").alias(f"{s}_id"), F.col("toks").alias(f"{s}_toks"))
-    both = met.join(sets(left, "l"), [category, "l_id"]).join(sets(right, "r"), [category, "r_id"])
-    both = both.withColumns({"l_n": F.size("l_toks"), "r_n": F.size("r_toks"), "shared": F.size(F.array_intersect("l_toks", "r_toks")).cast("bigint")})
-    pairs = both.select(category, "l_id", "r_id", "l_n", "r_n", "shared", (F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared"))).alias("jaccard"))
-    return pairs.where(F.col("jaccard") >= threshold)
+    met = side(left, "l").join(side(right, "r"), [category, "tok"]).where(sizes)
+    pairs = met.groupBy(category, "l_id", "r_id", "l_n", "r_n").agg(F.count("*").alias("shared"))
+    return pairs.withColumn("jaccard", F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared"))).where(F.col("jaccard") >= threshold)
 
 
 def greedy_match(pairs: DataFrame, category: str) -> DataFrame:
