@@ -51,7 +51,7 @@ MEMO_WORDS, SLICE_WORDS = 200_000, 400_000
 _RUN = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
 # combining marks (vowel signs, accents) belong to the word; few texts have any, and the others are cut by the faster pattern
 _MARKS = "".join(chr(c) for c in range(0x300, 0x12000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
-_MARK = re.compile(f"[{_MARKS}]")
+_MARK = re.compile(f"[{_MARKS}]")  # above Latin-1, all of them
 _MARKED_RUN = re.compile(r"(?:[^\W\d_]|[%s]){1,%d}" % (_MARKS, WORD_LETTERS))
 _UND = "und"
 
@@ -64,7 +64,11 @@ def _lettered(word: str) -> bool:
 def runs_of(text: str) -> list[str]:
     """Runs of letters, number signs and combining marks of a text in lower case."""
     lower = text.lower()
-    return (_MARKED_RUN if not lower.isascii() and _MARK.search(lower) else _RUN).findall(lower)
+    try:
+        lower.encode("latin-1")  # no marks among these, which is told at the cost of a copy
+        return _RUN.findall(lower)
+    except UnicodeEncodeError:
+        return (_MARKED_RUN if _MARK.search(lower) else _RUN).findall(lower)
 
 
 def grams(word: str) -> list[str]:

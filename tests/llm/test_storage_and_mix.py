@@ -437,5 +437,5 @@ def test_rows_of_null_and_shared_ids_are_judged_alone(spark, tmp_path):
 
 def test_registered_names():
     names = set(queries.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names}
     assert set(queries.oracle_sql()) <= names
