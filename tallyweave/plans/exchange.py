@@ -110,14 +110,14 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims_in_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that documents make, gathered into JSON by source, read again and audited."""
+    """Claims that documents make, gathered into JSON by source and some ids, read again and audited."""
     docs = table(spark, sf_dir, "documents")
     status = F.when(F.col("lang") == "en", "A").when(F.col("lang") == "de", "E").when(F.col("lang") == "fr", "P").when(F.col("lang") == "es", "X")
     claim = F.struct(
-        F.concat(F.when(F.col("n_chars") > 200, "C-").otherwise("c"), F.floor(F.col("doc_id") / 2).cast("string")).alias("claim_id"), F.substring("text", 1, 12).alias("claim_text"), F.col("source").alias("source"),
+        F.concat(F.when(F.col("n_chars") > 200, "C-").otherwise("c"), F.floor(F.col("doc_id") / 2).cast("string")).alias("claim_id"), F.col("text").alias("claim_text"), F.col("source").alias("source"),
         F.lit("quant").alias("claim_type"), status.alias("status"), F.when(F.col("n_chars") > 1000, "preliminary").alias("label"), F.when(F.col("n_chars") > 400, "doc.txt").alias("evidence"),
     )
-    texts = docs.groupBy("source").agg(E.to_text(F.struct(F.collect_list(claim).alias("claims"))).alias("doc"))
+    texts = docs.groupBy("source", F.floor(F.col("doc_id") / 100)).agg(E.to_text(F.struct(F.collect_list(claim).alias("claims"))).alias("doc"))
     return P.audit_claims(E.claims_of(texts)).groupBy("issue").agg(F.count("*").alias("n"))
 
 
@@ -210,7 +210,7 @@ SELECT p_brand, ids_sha256, any_value(n) AS n, p_type AS kind, count(*) AS n_kin
     CAST(len(regexp_extract_all(text, '\\{{"lat":[^{{}}]*\\}}')) AS INTEGER) AS n_points FROM r
 ) SELECT *, CASE WHEN NOT ok THEN '{E.PARSE_MESSAGE}' END AS message, CASE WHEN ok THEN launch ELSE 0 END AS strict_launch, CAST(CASE WHEN ok THEN n_points ELSE 0 END AS INTEGER) AS strict_points FROM p""",
     "claims_in_json": f"""WITH c AS (
-  SELECT CASE WHEN n_chars > 200 THEN 'C-' ELSE 'c' END || doc_id // 2 AS id, substr(text, 1, 12) AS t, source, {_DOC_STATUS} AS status, n_chars > 1000 AS label, n_chars > 400 AS evidence FROM documents
+  SELECT CASE WHEN n_chars > 200 THEN 'C-' ELSE 'c' END || doc_id // 2 AS id, text AS t, source, {_DOC_STATUS} AS status, n_chars > 1000 AS label, n_chars > 400 AS evidence FROM documents
 ), d AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM c), i AS (
   SELECT unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate claim_id' END, CASE WHEN NOT regexp_matches(id, '^C-[A-Z0-9][A-Z0-9-]*$') THEN 'malformed claim_id' END, CASE WHEN coalesce(trim(t, ' '), '') = '' THEN 'missing claim_text' END,
     CASE WHEN coalesce(trim(source, ' '), '') = '' THEN 'missing source' END, CASE WHEN status IS NULL THEN 'missing status' END, CASE WHEN status = 'X' THEN 'unknown status' END,

@@ -56,10 +56,10 @@ def spectral_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Users as modules; edges follow from the ids: back to a third, on to a multiple for some."""
+    """Users as modules; edges follow from the ids: back to a third, on to a multiple."""
     users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
     a = users.select(F.col("id").alias("src"), F.floor(F.col("id") / 3).cast("bigint").alias("dst"))
-    b = users.where(F.pmod("id", F.lit(5)) == 0).select(F.col("id").alias("src"), (F.col("id") * 3 + 1).alias("dst"))
+    b = users.select(F.col("id").alias("src"), (F.col("id") * 3 + 1).alias("dst"))
     return users, a.unionByName(b).where("src <> dst").withColumn("kind", F.lit("Calls")).withColumn("weight", F.lit(1))
 
 
@@ -158,7 +158,7 @@ WITH flows AS (
 _USERS_SQL = """
 users AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1), arcs AS (
   SELECT id AS src, id // 3 AS dst FROM users WHERE id <> id // 3 AND id // 3 IN (SELECT id FROM users)
-  UNION SELECT id, id * 3 + 1 FROM users WHERE id % 5 = 0 AND id * 3 + 1 IN (SELECT id FROM users)
+  UNION SELECT id, id * 3 + 1 FROM users WHERE id * 3 + 1 IN (SELECT id FROM users)
 )"""
 _SAT = lambda v, cap: f"least(greatest({v} / {cap}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)"
 _RISK_SQL = f"""

@@ -71,9 +71,12 @@ def single_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as members; every day of the week is a rule of each kind of event that names the users who caused it then."""
+    """Users as members; every day of the week is a rule of each kind of event that names the users who caused it then.
+
+    A rule comes in parts of some users each, so no array grows with the table; a user is named by one part only.
+    """
     events = table(spark, sf_dir, "events")
-    rules = events.groupBy(F.dayofweek("ts").alias("rule"), F.col("event_type").alias("concern")).agg(F.collect_set("user_id").alias("refs"))
+    rules = events.groupBy(F.dayofweek("ts").alias("rule"), F.col("event_type").alias("concern"), F.floor(F.col("user_id") / 500)).agg(F.collect_set("user_id").alias("refs"))
     users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("fan_out"))
     name = F.concat(F.lit("user "), F.col("id").cast("string"))
     return P.assign_concerns(users.select("id", name.alias("name")), rules, users, P.first_match(F.col("name"), (("view", ("1",)), ("click", ("2",)))), ORDER, LEAD)
@@ -92,7 +95,7 @@ def named_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_per_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day of the week with every kind of event is a rule that names its users."""
     events = table(spark, sf_dir, "events")
-    rules = events.groupBy(F.concat_ws(":", F.dayofweek("ts").cast("string"), "event_type").alias("rule")).agg(F.collect_set("user_id").alias("refs"))
+    rules = events.groupBy(F.concat_ws(":", F.dayofweek("ts").cast("string"), "event_type").alias("rule"), F.floor(F.col("user_id") / 500)).agg(F.collect_set("user_id").alias("refs"))
     return P.rules_per_module(rules, events.select(F.col("user_id").alias("id")).distinct())
 
 
