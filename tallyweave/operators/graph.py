@@ -94,16 +94,18 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return spark.read.schema(named.schema).parquet(out)
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Rows (id, level): 0 for nodes that depend on nothing, else one more than the highest level depended on.
 
     An edge points to what its source depends on. Peels the nodes without open dependencies, level by level; what is done
-    is written. Nodes on or above a cycle get a null level.
+    is written. Nodes on or above a cycle get a null level. An error where a caller's ``max_rounds`` end before that is known.
     """
     spark, out = nodes.sparkSession, folder(nodes.sparkSession, "levels")
     left, arcs = cut(nodes.select("id").distinct()), cut(known_only(edges.select("src", "dst").distinct(), nodes))
     level = 0
     while True:
+        if level == max_rounds and not left.isEmpty():
+            raise RuntimeError(f"levels are open after {max_rounds} rounds")
         free = cut(left.join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         done = free.isEmpty()
         (left if done else free).withColumn("level", F.lit(None if done else level).cast("int")).write.mode("append").parquet(out)
