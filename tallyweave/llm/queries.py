@@ -58,10 +58,14 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+#: The pages have no date of their own; their records carry this one.
+CAPTURED = "2024-01-01T00:00:00Z"
+
+
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as an archive, read back record by record, and what the records say of each capture."""
     path = common.scratch(spark, "archive")
-    warc.write_archive(_read(spark, sf_dir, "pages"), path, min_bytes=0)
+    warc.write_archive(_read(spark, sf_dir, "pages"), path, min_bytes=0, date=CAPTURED)
     found = warc.captures(warc.parse(warc.restore(spark, path)))
     common.drop(spark, path)
     return found.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
