@@ -52,3 +52,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 11
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_what_patterns_need_stands_in_every_match():
+    import random
+    import re
+
+    from tallyweave.operators import textscan as X
+
+    rng = random.Random(6)
+    bits = ["MD5", "SHA1", "DES", "3DES", "RC2", "RC4", "ARC4", "RSA", "ECDsa", "ECDH", "DSA", "MD4", ".Create", "Managed", "CryptoServiceProvider", "Triple", "Server", "Data Source", "Password", "pwd", "=", ":", " ", '"', "'", "abc", "api_key", "SECRET-KEY", "token", "Integrated Security", "\n", ".", "md5", "server"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        for p in (*X.ALGORITHMS, *X.SECRETS, X.ASSIGNED_SECRET):
+            if re.search(p.regex, text):
+                assert any(n in text for n in p.needs), (p.name, text)
