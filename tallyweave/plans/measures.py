@@ -128,8 +128,8 @@ SELECT event_id, count(day) AS n_days FROM l LEFT JOIN d ON day > low AND day <=
     "returns_between_orders": """WITH g AS (SELECT o_orderkey, o_orderpriority, date_diff('day', DATE '1970-01-01', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::DATE) AS low, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS high FROM orders),
 s AS (SELECT date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day, count(*) AS k FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT o_orderpriority, count(*) AS n_days, CAST(sum(k) AS BIGINT) AS n_lines, count(DISTINCT o_orderkey) AS n_orders FROM g JOIN s ON day > low AND day <= high GROUP BY 1""",
-    "exact_double_sum": f"""SELECT l_orderkey, CAST(sum(CAST(l_extendedprice * {_SCALE}.0::DOUBLE AS BIGINT)) AS BIGINT)::DOUBLE / {_SCALE}.0::DOUBLE AS exact_total,
-  CAST(sum(CAST(l_extendedprice * {_SCALE}.0::DOUBLE AS BIGINT)) AS BIGINT)::DOUBLE / {_SCALE}.0::DOUBLE <> list_reduce(list_prepend(0.0::DOUBLE, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice)), lambda a, b: a + b) AS differs
+    "exact_double_sum": f"""SELECT l_orderkey, CAST(sum(CAST(l_extendedprice * {_SCALE}.0::DOUBLE AS BIGINT)) AS DOUBLE) / {_SCALE}.0::DOUBLE AS exact_total,
+  CAST(sum(CAST(l_extendedprice * {_SCALE}.0::DOUBLE AS BIGINT)) AS DOUBLE) / {_SCALE}.0::DOUBLE <> list_reduce(list_prepend(0.0::DOUBLE, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice)), lambda a, b: a + b) AS differs
 FROM lineitem GROUP BY l_orderkey""",
     "model_failures": """SELECT o_orderkey, CASE WHEN coalesce(lines, 0) > 0 AND NOT (lines = 1 AND o_orderpriority = '5-LOW') THEN cents // lines END AS output,
   CASE WHEN lines IS NULL THEN 'ArrowInvalid' WHEN lines = 1 AND o_orderpriority = '5-LOW' THEN 'ValueError' END AS failure

@@ -33,7 +33,8 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = lambda returned: F.array_join(F.transform(F.filter(F.coalesce("s", F.array()), lambda s: s["returned"] == F.lit(returned)), lambda s: F.concat(F.lit("    "), s["text"], F.lit("\n"))), "")
     key = F.col("path").cast("string")
     content = F.concat(F.lit("namespace Shop {\nclass Order_"), key, F.lit(" {\n  int Kept(int n) {\n"), some(False), F.lit("  }\n  int Returned(int n) {\n"), some(True), F.lit("  }\n}\n}\n"))
-    return orders.select("path", content.alias("content"))
+    # few bytes and much work for each: a stated number of partitions is not put together
+    return orders.select("path", content.alias("content")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def method_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
