@@ -15,10 +15,18 @@ TRIMS = 3
 SAME_LABEL, CALL, REFERENCE, OTHER = 3.0, 1.0, 0.5, 0.25
 
 
+#: Names that are told to all tasks; more are joined by a shuffle.
+MAX_BROADCAST_NAMES = 500_000
+
+
 def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """Edges from a caller to every method of the called name, but for the caller itself; no edge twice."""
-    named = methods.select(F.col("id").alias("dst"), "name")
-    return calls.select(F.col("id").alias("src"), F.col("called").alias("name")).join(named, "name").where("src <> dst").select("src", "dst").distinct()
+    called = calls.select(F.col("id").alias("src"), F.col("called").alias("name"))
+    # names without a caller or without a method go first: a name that very many methods share would else send them all to one task
+    names = cut(called.select("name").distinct().join(methods.select("name").distinct(), "name", "left_semi"))
+    known = F.broadcast(names) if names.count() <= MAX_BROADCAST_NAMES else names
+    named = methods.select(F.col("id").alias("dst"), "name").join(known, "name", "left_semi")
+    return called.join(known, "name", "left_semi").join(named, "name").where("src <> dst").select("src", "dst").distinct()
 
 
 def known_only(edges: DataFrame, nodes: DataFrame) -> DataFrame:

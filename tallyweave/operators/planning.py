@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import graph as G
 from tallyweave.operators import spectral as SP
+from tallyweave.operators.lineage import cut
 
 #: The node that stands for every database.
 DATABASE = "external:database"
@@ -52,7 +53,7 @@ def dependency_edges(methods: DataFrame, calls: DataFrame, created: DataFrame) -
     """
     owner = methods.select("id", "type_id")
     contained = owner.select(F.col("id").alias("src"), F.col("type_id").alias("dst"), F.lit("References").alias("kind"))
-    called = G.resolve_calls(calls, methods)
+    called = cut(G.resolve_calls(calls, methods))  # its size is known then: few calls are broadcast
     ends = called.join(owner.withColumnsRenamed({"id": "src", "type_id": "src_type"}), "src").join(owner.withColumnsRenamed({"id": "dst", "type_id": "dst_type"}), "dst")
     linked = ends.select(
         F.inline(
