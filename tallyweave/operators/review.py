@@ -28,7 +28,7 @@ def security_findings(files: DataFrame, *, skip_comments: tuple[str, ...] = ("sq
     lines = X.lines(files.withColumn("content", F.replace("content", F.lit("\r\n"), F.lit("\n"))), "content", "path", "language")
     code = lines.where(X.not_comment() | ~F.col("language").isin(*skip_comments)) if skip_comments else lines
     of = lambda language: code.where(F.col("language") == language)
-    has = lambda p: F.col("line").rlike(p)
+    has = lambda p: F.col("line").rlike(S.ascii_words(p))
     w = Window.partitionBy("path").orderBy("line_no").rangeBetween(0, LOOK_AHEAD - 1)
     built = of("csharp").withColumn("joined", F.max(has(X.CONCATENATION).cast("int")).over(w) == 1).where(has(X.COMMAND) & F.col("joined"))
     parts = [
@@ -63,7 +63,7 @@ def accepted(files: DataFrame) -> DataFrame:
     text = F.col("content")
     ok = (
         F.when(F.col("language") == "javascript", S.braces_balanced(text) & text.rlike(X.SCRIPT_FUNCTION))
-        .when(F.col("language") == "sql", text.rlike(X.SQL_PROCEDURE) | text.rlike(X.SQL_TABLE) | text.rlike(r"(?i)\b(INSERT|SELECT|UPDATE|DELETE|MERGE)\b"))
+        .when(F.col("language") == "sql", text.rlike(X.SQL_PROCEDURE) | text.rlike(X.SQL_TABLE) | text.rlike(S.ascii_words(r"(?i)\b(INSERT|SELECT|UPDATE|DELETE|MERGE)\b")))
         .when(F.col("language") == "vb6", text.rlike("(?i)Attribute VB_Name|Option Explicit") & text.rlike(X.BASIC_PROCEDURE))
         .otherwise(S.braces_balanced(text))
     )
