@@ -89,7 +89,9 @@ def routes(spark: SparkSession, n: int = 2000, seed: int = 2024) -> DataFrame:
 def routes_of(rows: DataFrame, key: str, seed: int = 2024) -> DataFrame:
     """A route for every row of a table with integer keys, the classes about in proportion."""
     n = sum(TAG_COUNTS.values())
-    return _made(rows.select(F.col(key).cast("long").alias("id")).withColumn("shape", _shapes(F.pmod(F.col("id") * STEP, F.lit(n)), n)), seed)
+    # few bytes and much work for each: keys are dealt to a stated number of partitions, which are not put together
+    dealt = rows.select(F.col(key).cast("long").alias("id")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return _made(dealt.withColumn("shape", _shapes(F.pmod(F.col("id") * STEP, F.lit(n)), n)), seed)
 
 
 def _made(rows: DataFrame, seed: int) -> DataFrame:
@@ -102,18 +104,27 @@ def _made(rows: DataFrame, seed: int) -> DataFrame:
     heading = _within(_u(seed, "heading"), "heading")
     # a stride of a degenerate class is either nothing or beyond the box
     stride = F.when(_field("tag") == "degenerate-route", F.when(_u(seed, "still") < 0.5, _field("stride")[0]).otherwise(_field("stride")[1])).otherwise(_within(_u(seed, "stride"), "stride"))
-    turn = lambda i: F.radians(heading + (2 * _u(seed, "stray", i) - 1) * _field("stray"))
-    rows = rows.withColumns({"stride": stride, "turns": F.transform(F.sequence(F.lit(1), legs), turn)})
+    # what is the same for all legs goes in by arrays, never within a lambda: there it would be drawn anew for every leg
+    strays = F.transform(F.sequence(F.lit(1), legs), lambda i: (2 * _u(seed, "stray", i) - 1) * _field("stray"))
+    rows = rows.withColumns({"stride": stride, "strays": strays, "heading": heading})
+    turns = F.zip_with(F.array_repeat("heading", F.size("strays")), "strays", lambda h, s: F.radians(h + s))
+    steps = F.zip_with(F.array_repeat("stride", F.size("strays")), turns, lambda d, h: F.struct((F.cos(h) * d).alias("north"), (F.sin(h) * d).alias("east")))
+    rows = rows.withColumn("steps", steps)
     start_lat, start_lon = 20 * (2 * _u(seed, "lat") - 1), _within(_u(seed, "lon"), "start_lon")
-    sums = lambda part, k: F.aggregate(F.slice("turns", 1, k), F.lit(0.0), lambda s, h: s + part(h) * F.col("stride"))
-
-    def point(k: Column) -> Column:
-        lat, lon = F.col("lat0") + F.col("flip") * sums(F.cos, k), F.col("lon0") + sums(F.sin, k)
+    # sums of the first legs, from none to all, each from the one before
+    none = F.array(F.struct(F.lit(0.0).alias("north"), F.lit(0.0).alias("east")))
+    last = lambda sums: F.element_at(sums, -1)
+    sums = F.aggregate("steps", none, lambda s, d: F.concat(s, F.array(F.struct((last(s)["north"] + d["north"]).alias("north"), (last(s)["east"] + d["east"]).alias("east")))))
+    rows = rows.withColumns({"sums": sums, "lat0": start_lat, "lon0": start_lon})
+
+    def point(start: Column, moved: Column) -> Column:
+        lat, lon = start["lat"] + start["flip"] * moved["north"], start["lon"] + moved["east"]
         return F.struct(F.greatest(F.least(lat, F.lit(85.0)), F.lit(-85.0)).alias("lat"), S.wrap_to_180(lon).alias("lon"))
 
-    north = sums(F.cos, F.size("turns"))
-    rows = rows.withColumns({"lat0": start_lat, "lon0": start_lon}).withColumn("flip", F.when(F.abs(F.col("lat0") + north) > F.abs(F.col("lat0") - north), -1.0).otherwise(1.0))
-    rows = rows.withColumn("points", F.transform(F.sequence(F.lit(0), F.size("turns")), point))
+    north = last(F.col("sums"))["north"]
+    flip = F.when(F.abs(F.col("lat0") + north) > F.abs(F.col("lat0") - north), -1.0).otherwise(1.0)
+    start = F.struct(F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), flip.alias("flip"))
+    rows = rows.withColumn("points", F.zip_with(F.array_repeat(start, F.size("sums")), "sums", point))
     # a launch near a boundary lies so far before it that half to all of the journey is behind it
     journey = _sum(_next(F.col("points"), lambda a, b: S.flat_distance(*_ends(a, b)))) / S.SPEED_NM_PER_SEC
     epochs = F.array(*[F.lit(e) for e in S.BOUNDARY_EPOCHS])
@@ -157,8 +168,9 @@ def evaluate(vectors: DataFrame, repaired: Column) -> DataFrame:
     for who, wrapped in apart.items():
         out = out.withColumn(f"{who}_legs", _legs(p, wrapped)).withColumn(f"{who}_total", _sum(F.col(f"{who}_legs")))
     far = _next(p, lambda a, b: (F.abs(b["lat"] - a["lat"]) > S.MAX_LEG_DLAT_DEG) | (F.abs(S.wrap_to_180(b["lon"] - a["lon"])) > S.MAX_LEG_DLON_DEG))
-    turns = _next(_next(p, lambda a, b: S.bearing(*_ends(a, b))), lambda b1, b2: S.turn_angle(b1, b2) > S.MAX_TURN_DEG)
-    out = out.withColumns({"n_far": F.size(F.filter(far, lambda x: x)), "n_turns": F.size(F.filter(turns, lambda x: x))})
+    out = out.withColumn("bearings", _next(p, lambda a, b: S.bearing(*_ends(a, b))))
+    turns = _next(F.col("bearings"), lambda b1, b2: S.turn_angle(b1, b2) > S.MAX_TURN_DEG)
+    out = out.withColumns({"n_far": F.size(F.filter(far, lambda x: x)), "n_turns": F.size(F.filter(turns, lambda x: x))}).drop("bearings")
     rounded = F.col("launch") + F.rint(F.col("ref_total") / S.SPEED_NM_PER_SEC).cast("bigint")
     out = out.withColumn("ref_eta", rounded + S.boundaries_between(F.col("launch"), rounded))
     out = out.withColumn("base_eta", F.col("launch") + (F.col("base_total") / S.SPEED_NM_PER_SEC).cast("bigint"))

@@ -84,3 +84,10 @@ def test_look_ahead_ends(spark):
     text = "new SqlCommand(\n" + "\n" * 4 + '"a" +'
     count = lambda t: V.security_findings(scans.source_texts(spark, {"a.cs": t})).where("rule = 'sql-injection'").count()
     assert count(text) == 1 and count(text.replace("\n\n", "\n\n\n", 1)) == 0
+
+
+def test_routes_of_a_small_file_are_made_by_all_tasks(spark):
+    rows = spark.range(4000, numPartitions=1).withColumnRenamed("id", "k")
+    sizes = C.evaluate(C.routes_of(rows, "k"), F.lit(False)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == n and max(r["count"] for r in sizes) < 2 * 4000 / n
