@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions import scalars as S
+from tallyweave.operators import lineage
 
 # Languages by file extension.
 LANGUAGES = {"cs": "csharp", "js": "javascript", "sql": "sql", "bas": "vb6", "java": "java", "cob": "cobol", "cbl": "cobol", "f90": "fortran", "f": "fortran", "adb": "ada", "ads": "ada"}
@@ -80,10 +81,12 @@ def points_of_blob(rows: DataFrame, key: str, blob: str) -> DataFrame:
 
 def upsert(target: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
     """The target with the source's rows in place of those of the same key, and its new rows. Keys that the source repeats are refused."""
-    twice = source.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    new = lineage.cut(source.select(*target.columns))  # read three times, made once
+    new, old = lineage.dealt(new.count() + target.count(), (new, keys), (target, keys))
+    twice = new.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"the source repeats the key {tuple(twice[0][k] for k in keys)}")
-    return source.select(*target.columns).unionByName(target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns))
+    return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti").select(*target.columns))
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -45,3 +45,46 @@ def test_events_just_before_midnight(spark, tmp_path):
     ts = pa.array([start + dt.timedelta(seconds=s) for s in offsets], pa.timestamp("us"))
     pq.write_table(pa.table({"event_id": range(len(ts)), "user_id": [k % 2 for k in range(len(ts))], "ts": ts}), tmp_path / "events.parquet")
     same_as_sql(spark, tmp_path, "days_crossed")
+
+
+def test_partitions_grow_with_the_rows(spark):
+    from tallyweave.operators import lineage
+
+    few, many = (lineage.dealt(n, (spark.range(10), "id"))[0].rdd.getNumPartitions() for n in (10, 50 * lineage.PART_ROWS))
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) and many == 50
+
+
+def test_an_upsert_makes_its_source_once(spark):
+    from tallyweave.sources import scans
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def scan(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    target = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, v string")
+    source = spark.createDataFrame([(1, "x"), (3, "y")], "k long, v string")
+    got = scans.upsert(target, source.mapInArrow(scan, source.schema), "k")
+    assert sorted((r["k"] or 0, r["v"]) for r in got.collect()) == [(0, "d"), (1, "x"), (2, "c"), (3, "y")]
+    assert seen.value == 2
+
+
+def test_exact_sums_read_the_rows_once(spark):
+    from tallyweave.operators import exact
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def scan(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, 0.1), (1, 1e300), (1, -1e300), (2, None), (3, inf), (3, 1.0), (4, inf), (4, -inf), (5, 0.0), (6, -5e-324), (6, None), (None, 2.5), (None, -0.5)]
+    df = spark.createDataFrame(rows, "k long, x double")
+    got = {r["k"]: r["total"] for r in exact.exact_sum(df.mapInArrow(scan, df.schema), "x", "k").collect()}
+    assert repr(got.pop(4)) == repr(nan)
+    assert got == {1: 0.1, 2: None, 3: inf, 5: 0.0, 6: -5e-324, None: 2.0}
+    assert seen.value == len(rows)
