@@ -17,21 +17,33 @@ from pyspark.sql import functions as F
 BITS, SHIFT = 32, 608
 
 
+_PART = "array<struct<power: int, high: bigint, low: bigint, odd: double>>"
+
+
 def parts(x: Column) -> Column:
-    """Array of (power, multiple): a finite double as the sum of multiple * 2^(BITS * power)."""
+    """Array of (power, high, low, odd): a finite double as the sum of (high * 2^16 + low) * 2^(BITS * power).
+
+    Two halves of a multiple, since their sums as bigints overflow only beyond 2^47 rows. A value that is not finite is
+    ``odd``; a null has a part without any of them.
+    """
+    finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     tiny = F.abs(x) < F.lit(2.0**-400)
     y = F.when(tiny, x * F.lit(2.0**SHIFT)).otherwise(x)
     top = F.when(y == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(y)) / BITS)).cast("int")
-    start = F.struct(y.alias("rest"), F.array().cast("array<struct<power: int, multiple: decimal(38,0)>>").alias("found"))
+    start = F.struct(y.alias("rest"), F.array().cast(_PART).alias("found"))
+    part = lambda power, high, low, odd: F.struct(power.cast("int").alias("power"), high.cast("bigint").alias("high"), low.cast("bigint").alias("low"), odd.cast("double").alias("odd"))
+    none = F.lit(None)
 
     def step(s: Column, k: Column) -> Column:
         unit = F.pow(F.lit(2.0), (top - k) * BITS)
         whole = s["rest"] / unit
         whole = F.when(whole < 0, -F.floor(-whole)).otherwise(F.floor(whole)).cast("bigint")  # towards 0: what is left stays exact
-        one = F.struct((top - k - F.when(tiny, SHIFT // BITS).otherwise(0)).cast("int").alias("power"), whole.cast("decimal(38,0)").alias("multiple"))
-        return F.struct((s["rest"] - whole.cast("double") * unit).alias("rest"), F.concat(s["found"], F.array(one)).alias("found"))
+        one = part(top - k - F.when(tiny, SHIFT // BITS).otherwise(0), F.shiftright(whole, 16), F.pmod(whole, F.lit(1 << 16)), none)
+        return F.struct((s["rest"] - whole.cast("double") * unit).alias("rest"), F.when(whole == 0, s["found"]).otherwise(F.concat(s["found"], F.array(one))).alias("found"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step, lambda s: F.filter(s["found"], lambda p: p["multiple"] != 0))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step, lambda s: s["found"])
+    zero, other = F.array(part(F.lit(0), F.lit(0), F.lit(0), none)).cast(_PART), F.array(part(F.lit(0), none, none, x)).cast(_PART)
+    return F.when(x == 0, zero).when(finite, found).otherwise(other)
 
 
 def put_together(powers: list[int], multiples: list[int]) -> float:
@@ -48,26 +60,20 @@ def exact_sum(rows: DataFrame, value: str, *keys: str, name: str = "total") -> D
 
     NaN, or infinities of both signs, give NaN; one infinity gives it; sums beyond the largest double give an infinity.
     """
-    x = F.col(value).cast("double")
-    finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    given = rows.where(x.isNotNull())
-    odd = given.where(~finite).groupBy(*keys).agg(F.sum(x).alias("odd"))
-    found = given.where(finite).select(*keys, F.explode_outer(parts(x)).alias("p"))
-    summed = found.groupBy(*keys, F.coalesce("p.power", F.lit(0)).alias("power")).agg(F.coalesce(F.sum("p.multiple"), F.lit(0)).cast("string").alias("multiple"))
-    gathered = summed.groupBy(*keys).agg(F.collect_list(F.struct("power", "multiple")).alias("parts"))  # one for each power
+    found = rows.select(*keys, F.explode(parts(F.col(value).cast("double"))).alias("p"))
+    summed = found.groupBy(*keys, F.col("p.power").alias("__power")).agg(F.sum("p.high").alias("__high"), F.sum("p.low").alias("__low"), F.sum("p.odd").alias("__odd"))
+    part = F.when(F.col("__high").isNotNull(), F.struct(F.col("__power").alias("power"), F.col("__high").alias("high"), F.col("__low").alias("low")))
+    gathered = summed.groupBy(*keys).agg(F.sum("__odd").alias("__odd"), F.collect_list(part).alias("__parts"))  # one for each power
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals = [None if not row else put_together([p["power"] for p in row], [int(p["multiple"]) for p in row]) for row in batch.column(batch.num_columns - 1).to_pylist()]
+            lists = batch.column(batch.num_columns - 1)
+            ends = lists.offsets.to_pylist()
+            powers, high, low = (lists.values.field(k).to_pylist() for k in range(3))
+            multiples = [(h << 16) + r for h, r in zip(high, low, strict=True)]
+            totals = [put_together(powers[a:b], multiples[a:b]) if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.float64())], [*batch.schema.names[:-1], "__sum"])
 
     kinds = dict(rows.dtypes)
-    sums = gathered.mapInArrow(scan, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "__sum double"]))
-    total = F.when(F.col("odd").isNotNull(), F.col("odd")).otherwise(F.col("__sum")).alias(name)
-    if not keys:
-        one = rows.sparkSession.range(1, numPartitions=1).select(F.lit(1).alias("__one"))
-        tag = lambda d: d.withColumn("__one", F.lit(1))
-        return one.join(tag(sums), "__one", "left").join(tag(odd), "__one", "left").select(total)
-    every, s, o = rows.select(*keys).distinct().alias("e"), sums.alias("s"), odd.alias("o")
-    on = lambda t: [F.col(f"e.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in keys]
-    return every.join(s, on("s"), "left").join(o, on("o"), "left").select(*[F.col(f"e.{k}") for k in keys], total)
+    sums = gathered.mapInArrow(scan, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "__odd double", "__sum double"]))
+    return sums.select(*keys, F.when(F.col("__odd").isNotNull(), F.col("__odd")).otherwise(F.col("__sum")).alias(name))
